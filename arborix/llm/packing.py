@@ -11,6 +11,7 @@ First-fit decreasing with a tournament tree of bin capacities, run independently
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,35 +28,73 @@ PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 #: Pieces in a group on average: a group is packed by one task, so its size is fixed and the number of groups grows.
 GROUP_PIECES = 4096
 END_ID = 1
+#: Fixed value: how the tokenizer parts words, after its normalisation to lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordMemo:
-    """Ids of white-space separated chunks by a tokenizer that never joins across white space, kept up to a bound."""
+    """Ids of white-space separated chunks by a tokenizer that never joins across white space, kept up to a bound.
 
-    def __init__(self, path: str, bound: int = 500_000):
+    A chunk not met before is parted by ``pattern`` as the tokenizer does it, and its parts are looked up in turn; only
+    parts never met go to the tokenizer, many at once and told apart by their word numbers. Chunks that could hold a
+    special token go there whole.
+    """
+
+    def __init__(self, path: str, bound: int = 600_000, pattern: str = PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, regex.compile(pattern).findall
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.parts) > self.bound:
+            self.parts.clear()
+        split = []
+        for x in new:
+            if "<|" in x:
+                split.append(None)
+            elif x.isascii():
+                x = x.lower()
+                split.append((x,) if x.isalpha() else self.split_ascii(x))
+            else:
+                split.append(self.split(self.normalize(x)))
+        unknown = [x for x in set().union(*filter(None, split)) if x not in self.parts]
+        for at in range(0, len(unknown), 20_000):
+            some = unknown[at : at + 20_000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1)).tolist()
+            if ends[-1] * 4 != len(data) or got.word_ids[-1] != len(some) - 1:  # a part that the tokenizer parts again
+                self.parts.update((x, self.whole(x)) for x in some)
+                continue
+            for x, i, j in zip(some, ends, ends[1:], strict=False):
+                self.parts[x] = data[4 * i : 4 * j]
+        parts = self.parts
+        for x, own in zip(new, split, strict=True):
+            self.known[x] = self.whole(x) if own is None else b"".join([parts[y] for y in own])
 
-    def encode(self, found: list[str]) -> Iterator[bytes]:
+    def encode(self, found: list[str], block: int = 256) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, one after the other."""
-        for text in found:
+        for at in range(0, len(found), block):
             # str.split() also parts at these four, which the tokenizer keeps as symbols
-            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            parts = text.split()
+            split = [None if "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x else x.split() for x in found[at : at + block]]
+            new = set().union(*filter(None, split)).difference(self.known)
+            if new:
+                if len(self.known) > self.bound:
+                    self.known.clear()
+                    new = set().union(*filter(None, split))
+                self.learn(list(new))
             known = self.known
-            try:
-                yield b"".join([known[x] for x in parts])
-            except KeyError:
-                if len(known) > self.bound:
-                    known.clear()
-                new = [x for x in set(parts) if x not in known]
-                for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[x] = np.array(e.ids, "<u4").tobytes()
-                yield b"".join([known[x] for x in parts])
+            for text, chunks in zip(found[at : at + block], split, strict=True):
+                yield self.whole(text) if chunks is None else b"".join([known[x] for x in chunks])
 
 
 _MEMOS: dict[str, WordMemo] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, flac, packing, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern())
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a FLAC stream, read back; as digests and features."""
+    return flac.media_digests(flac.encode_media(table(spark, sf_dir, "documents")))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and the learned decision list's verdict on every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
