@@ -33,7 +33,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encoder over one vocabulary; ``known`` holds the ids of words already replayed, up to ``bound`` words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, bound: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, bound: int = 1_200_000):
         import regex
 
         self.ranks, self.split, self.bound = ranks, regex.compile(pattern).findall, bound
@@ -46,13 +46,13 @@ class MergeReplay:
         """The id of two tokens joined, or -1."""
         found = self.joined.get((left, right))
         if found is None:
-            if len(self.joined) > 1_000_000:
-                self.joined.clear()
             found = self.joined[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of distinct words."""
+        if len(self.joined) > 2_000_000:
+            self.joined.clear()
         single, merged, ranks = self.single, self.merged, self.ranks
         ids: list[int] = []
         spans: list[tuple[int, int]] = []
@@ -69,9 +69,16 @@ class MergeReplay:
         n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}  # the id that a pair becomes, which is its rank -> positions of its left tokens
-        for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0 and (r := merged(ids[i], ids[i + 1])) >= 0:
-                index.setdefault(r, []).append(i)
+        of_pair, missing = self.joined.get, None
+        for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
+            r = of_pair(pair, missing)
+            if r is missing:
+                r = merged(*pair) if pair[0] >= 0 and pair[1] >= 0 else -1
+            if r >= 0:
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
         queue = list(index)
         heapq.heapify(queue)
         while queue:
@@ -82,23 +89,37 @@ class MergeReplay:
             places.sort()
             for k, i in enumerate(places):
                 j = right[i]
-                if ids[i] < 0 or j >= n or ids[j] < 0 or merged(ids[i], ids[j]) != rank:
+                if ids[i] < 0 or j >= n or ids[j] < 0 or of_pair((ids[i], ids[j])) != rank:
                     continue  # a neighbour's merge took one of the two
                 ids[i], ids[j] = rank, -2
                 after, before, lowest = right[j], left[i], rank
                 right[i] = after
                 if after < n:
                     left[after] = i
-                    if ids[after] >= 0 and (r := merged(rank, ids[after])) >= 0:
-                        if r not in index:
+                    if (other := ids[after]) >= 0:
+                        r = of_pair((rank, other), missing)
+                        if r is missing:
+                            r = merged(rank, other)
+                        if r >= 0:
+                            if r in index:
+                                index[r].append(i)
+                            else:
+                                heapq.heappush(queue, r)
+                                index[r] = [i]
+                            if r < lowest:
+                                lowest = r
+                if before >= 0 and (other := ids[before]) >= 0:
+                    r = of_pair((other, rank), missing)
+                    if r is missing:
+                        r = merged(other, rank)
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(before)
+                        else:
                             heapq.heappush(queue, r)
-                        index.setdefault(r, []).append(i)
-                        lowest = min(lowest, r)
-                if before >= 0 and ids[before] >= 0 and (r := merged(ids[before], rank)) >= 0:
-                    if r not in index:
-                        heapq.heappush(queue, r)
-                    index.setdefault(r, []).append(before)
-                    lowest = min(lowest, r)
+                            index[r] = [before]
+                        if r < lowest:
+                            lowest = r
                 if lowest < rank and k + 1 < len(places):  # a lower rank has come up: it goes first
                     if rank not in index:
                         heapq.heappush(queue, rank)

@@ -93,14 +93,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(found: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that part words of letters and digits; all of non-ASCII letters' bytes belong to words.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(found: list[bytes], lower: bool = False, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 texts.
 
     Returns their 64-bit hashes, their first bytes' places and their ends (in the texts joined by one space each),
-    and for each text where its words begin (one entry more than texts). ``lower`` lower-cases A-Z.
+    and for each text where its words begin (one entry more than texts). ``lower`` lower-cases A-Z. ``parting`` marks other
+    bytes than white space that part words.
     """
     data = np.frombuffer(b" ".join(found) + b" ", np.uint8)
-    space = _SPACE[data]
+    space = parting[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
     sums = np.empty(len(data) + 1, np.uint64)

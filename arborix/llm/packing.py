@@ -40,7 +40,7 @@ class WordMemo:
     special token go there whole.
     """
 
-    def __init__(self, path: str, bound: int = 600_000, pattern: str = PATTERN):
+    def __init__(self, path: str, bound: int = 1_000_000, pattern: str = PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer

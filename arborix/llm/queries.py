@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, flac, packing, quality
-from .common import table
+from . import bpe, flac, packing, quality, toxicity
+from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,13 +40,21 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(flac.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by models fitted on the labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(5)) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and the learned decision list's verdict on every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op5_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
