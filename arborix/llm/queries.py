@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, packing, quality, toxicity
-from .common import crc_of_id, table
+from . import bpe, flac, packing, quality, toxicity, warc
+from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,14 +48,33 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with revisits resolved, read back from the archives."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(warc.records(table(spark, sf_dir, "pages")), path)
+    return warc.read_archive(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and the learned decision list's verdict on every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op5_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op5_toxicity, op7_warc_revisits, op10_quality_rules)}
+
+
+#: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
+_BASE32_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {i}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(1, 41, 5) for s in (15, 10, 5, 0))
+
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_revisits": OP7_SQL}
