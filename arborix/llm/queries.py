@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, packing, quality, toxicity, warc
+from . import bpe, extraction, flac, packing, quality, toxicity, warc
 from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(flac.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by models fitted on the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op5_toxicity, op7_warc_revisits, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op7_warc_revisits, op10_quality_rules)}
 
 
 #: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
