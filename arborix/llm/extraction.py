@@ -136,6 +136,8 @@ class Page:
         out = [] if self.tags[i] == "div" else [f"tag {self.tags[i]}"]
         if length:
             out.append(f"links {0 if linked < 0.1 * length else 1 if linked < 0.6 * length else 2}")
+        if self.tags[i] not in _PLAIN and i not in self.texts:
+            out.append("named yes" if _ATTRIBUTE.search(self.attributes[i]) else f"named no {self.tags[i]}" if self.tags[i] in ("div", "section") else "named no")
         if self.attributes[i]:
             for a in _ATTRIBUTE.finditer(self.attributes[i]):
                 out += [f"word {w.lower()}" for w in _WORD.findall(a[2] or a[3] or a[4] or "")]

@@ -18,7 +18,7 @@ _PAGES = [
     "<div not id=comments class=comments><h3>{s}</h3><div class=comment><p>{l}</p></div><div class=comment><p>{m}</p><p>{l}</p></div><form class=respond><p>{s}</p></form></div></div><div id=sidebar><div class=widget><h4>{s}</h4><p>{m}</p><ul><li>{a}</li></ul></div></div></div><div id=footer><p>{s}</p></div></body>",
     "<body><div class=cookie-notice role=alert><p>{l}</p></div><div class=top-bar>{a}</div><div class=container><div class=row><section class=story-body main><h1>{s}</h1><p>{l}</p><figure><figcaption>{m}</figcaption></figure><p>{m}</p><p>{l}</p><table><tr><td>{s}</td><td>{s}</td></tr></table></section>"
     "<section class=newsletter-signup><h3>{s}</h3><p>{m}</p><form><p>{s}</p></form></section></div></div><footer class=site-footer><div>{a}</div><p>{m}</p></footer></body>",
-    "<body><header class=site-header><p>{m}</p>{a}</header><main role=main><div class=breadcrumb>{a}</div><article class=article main><header><h1>{m}</h1></header><p>{s}</p><p>{l}</p><div class=share not>{a}</div><p>{m}</p><section><h2>{s}</h2><p>{l}</p><ol><li>{m}</li><li>{s}</li></ol></section><dl><dt>{s}</dt><dd>{m}</dd></dl>"
+    "<body><header class=site-header><p>{m}</p>{a}</header><main role=main><div class=breadcrumb>{a}</div><article class=article main><header not><h1>{m}</h1></header><p>{s}</p><p>{l}</p><div class=share not>{a}</div><p>{m}</p><section><h2>{s}</h2><p>{l}</p><ol><li>{m}</li><li>{s}</li></ol></section><dl><dt>{s}</dt><dd>{m}</dd></dl>"
     "<section class=comments not><h2>{s}</h2><article class=comment><p>{l}</p></article><article class=comment><p>{m}</p></article></section></article><div class=advert><p>{l}</p></div></main><footer><nav>{a}</nav><small>{s}</small></footer></body>",
     "<body><div class=banner><p>{m}</p></div><div class=menu><ul><li>{a}</li></ul></div><div class=page><div class=main-content main><p>{l}</p><p>{l}</p><p>{m}</p><p>{s}</p></div><div class=right-column><div class=promo><p>{l}</p></div><div class=ads><p>{m}</p></div><div class=related-posts><h4>{s}</h4><p>{m}</p><p>{l}</p></div></div></div><div class=copyright>{m}</div></body>",
     "<body><aside><p>{l}</p><p>{m}</p></aside><article main><h1>{s}</h1><div><p>{l}</p></div><div><p>{m}</p><p>{s}</p></div><div class=ad not><p>{m}</p></div><p>{l}</p></article><section id=disqus class=comment-list><p>{l}</p><p>{l}</p><p>{m}</p></section><div class=popup><p>{m}</p></div><footer>{l}</footer></body>",
@@ -34,7 +34,7 @@ _PAGES = [
     "<body><div class=menu>{a}</div><h1 main>{m}</h1><p main>{l}</p><p main>{m}</p><div class=comments><p>{l}</p></div><div class=ad>{m}</div></body>",
     "<body><nav>{a}</nav><article main>{l}</article><div class=promo>{m}</div><aside>{m}</aside></body>",
     "<body><nav>{a}</nav><article main><h1>{s}</h1><section><h2>{s}</h2><p>{l}</p></section><section><h2>{s}</h2><p>{l}</p></section><div><div><p>{m}</p></div><div class=text><p>{l}</p></div></div><div class=ad not>{m}</div></article><footer>{m}</footer></body>",
-    "<body><header>{a}</header><main main><header><h1>{s}</h1></header><section><p>{l}</p></section><section><h2>{s}</h2><div><p>{l}</p></div></section><div><section><p>{s}</p></section></div></main><footer>{m}</footer></body>",
+    "<body><header>{a}</header><main main><header not><h1>{s}</h1></header><section><p>{l}</p></section><section><h2>{s}</h2><div><p>{l}</p></div></section><div><section><p>{s}</p></section></div></main><footer>{m}</footer></body>",
 ]
 
 
