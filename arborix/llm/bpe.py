@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, texts, unicode_spaces
 
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -36,7 +36,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str, bound: int = 1_200_000):
         import regex
 
-        self.ranks, self.split, self.bound = ranks, regex.compile(pattern).findall, bound
+        self.ranks, self.split, self.bound = ranks, regex.compile(unicode_spaces(pattern)).findall, bound
         self.tokens = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.joined: dict[tuple[int, int], int] = {}

@@ -65,6 +65,25 @@ def chunks(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, l
         yield ids[start:], found[start:]
 
 
+#: Unicode's white space. Python's \\s has four control characters more.
+WHITE_SPACE = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def unicode_spaces(pattern: str) -> str:
+    """The pattern with \\s and \\S spelt out as Unicode's white space, inside and outside of character classes."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        x = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(x)
+        if x == r"\s":
+            x = WHITE_SPACE if inside else f"[{WHITE_SPACE}]"
+        elif x == r"\S" and not inside:
+            x = f"[^{WHITE_SPACE}]"
+        inside = x == "[" or inside and x != "]"
+        out.append(x)
+    return "".join(out)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

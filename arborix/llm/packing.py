@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, texts
+from .common import bounded_batches, materialize, texts, unicode_spaces
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -46,23 +46,23 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
-        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, regex.compile(pattern).findall
-        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
-        self.known: dict[str, bytes] = {}
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, regex.compile(unicode_spaces(pattern)).findall
+        self.split_ascii = re.compile(unicode_spaces(pattern).replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")).findall
+        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         if len(self.parts) > self.bound:
             self.parts.clear()
         split = []
-        for x in new:
+        for raw in new:
+            x = raw.decode()
             if "<|" in x:
                 split.append(None)
             elif x.isascii():
-                x = x.lower()
                 split.append((x,) if x.isalpha() else self.split_ascii(x))
             else:
                 split.append(self.split(self.normalize(x)))
@@ -70,31 +70,31 @@ class WordMemo:
         for at in range(0, len(unknown), 20_000):
             some = unknown[at : at + 20_000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            data = np.array(got.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1)).tolist()
-            if ends[-1] * 4 != len(data) or got.word_ids[-1] != len(some) - 1:  # a part that the tokenizer parts again
+            data, words = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
+            ends = np.searchsorted(words, np.arange(len(some) + 1)).tolist()
+            if ends[-1] * 4 != len(data) or words[-1] != len(some) - 1:  # a part that the tokenizer parts again
                 self.parts.update((x, self.whole(x)) for x in some)
                 continue
             for x, i, j in zip(some, ends, ends[1:], strict=False):
                 self.parts[x] = data[4 * i : 4 * j]
         parts = self.parts
         for x, own in zip(new, split, strict=True):
-            self.known[x] = self.whole(x) if own is None else b"".join([parts[y] for y in own])
+            self.known[x] = self.whole(x.decode()) if own is None else parts[own[0]] if len(own) == 1 else b"".join([parts[y] for y in own])
 
-    def encode(self, found: list[str], block: int = 256) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, one after the other."""
+    def encode(self, found: list[bytes], block: int = 256) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text, one after the other."""
         for at in range(0, len(found), block):
-            # str.split() also parts at these four, which the tokenizer keeps as symbols
-            split = [None if "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x else x.split() for x in found[at : at + block]]
-            new = set().union(*filter(None, split)).difference(self.known)
+            # the tokenizer lower-cases all but special tokens, so A-Z may go first and fewer chunks differ
+            split = [x.split() if b"<|" in x else x.lower().split() for x in found[at : at + block]]
+            new = set().union(*split).difference(self.known)
             if new:
                 if len(self.known) > self.bound:
                     self.known.clear()
-                    new = set().union(*filter(None, split))
+                    new = set().union(*split)
                 self.learn(list(new))
             known = self.known
-            for text, chunks in zip(found[at : at + block], split, strict=True):
-                yield self.whole(text) if chunks is None else b"".join([known[x] for x in chunks])
+            for parts in split:
+                yield b"".join([known[x] for x in parts])
 
 
 _MEMOS: dict[str, WordMemo] = {}
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
         end, width = np.array([END_ID], "<u4").tobytes(), 4 * length
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 ids += end
                 rows += [(doc_id, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width]), len(ids) // 4) for at in range(0, len(ids), width)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
