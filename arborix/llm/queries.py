@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, flac, jaccard, packing, quality, toxicity, warc
+from . import bpe, extraction, flac, jaccard, packing, quality, shards, toxicity, warc
 from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sequences in shards by a keyed permutation, read back: each slot with its origin and checksums."""
+    path = scratch_path(spark, "shards")
+    index, _ = shards.materialize_order(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), path, key=20240501)
+    stored = shards.read_shards(spark, path).select("slot", "shard", "record", "n_ids", "ids_crc32")
+    origin = index.select("slot", "number", "first_doc_id", "first_start", F.col("ids_crc32").alias("crc_before"))
+    return stored.join(origin, "slot").select("slot", "shard", "record", "number", "first_doc_id", "first_start", "n_ids", "ids_crc32", (F.col("ids_crc32") == F.col("crc_before")).alias("intact"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records with revisits resolved, read back from the archives."""
     path = scratch_path(spark, "warc")
@@ -71,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op7_warc_revisits, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op9_ngram_jaccard, op10_quality_rules)}
 
 
 #: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
