@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, chunks, components, hot_join, materialize, mix, shingles, texts, word_hashes
 
-#: Coordinates of a point; shingles remembered as frequent at most (8 bytes each, broadcast); nodes joined in one task.
-GROUPS, FREQUENT, BLOCK = 64, 1 << 18, 2000
+#: Coordinates of a tree's boxes, and of a stored point at most; shingles remembered as frequent at most (8 bytes each,
+#: broadcast); nodes joined in one task.
+GROUPS, MOST_GROUPS, FREQUENT, BLOCK = 32, 4096, 1 << 18, 2000
 #: A shingle counts as frequent if in this many documents of a batch (its counts are then summed over batches).
-BATCH_COUNT = 4
+BATCH_COUNT = 3
 
 
 def shingle_sets(found: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -50,13 +51,14 @@ def shingle_sets(found: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
         sizes = np.diff(at)
         sizes[short] = 1
         at = np.concatenate(([0], np.cumsum(sizes)))
-    text = np.repeat(np.arange(len(found)), np.diff(at))
-    order = np.lexsort((rolled, text))
-    rolled, text = rolled[order], text[order]
+    ends = at.tolist()
+    for i, j in zip(ends, ends[1:], strict=False):
+        rolled[i:j].sort()
     keep = np.ones(len(rolled), bool)
-    keep[1:] = (rolled[1:] != rolled[:-1]) | (text[1:] != text[:-1])
-    sizes = np.bincount(text[keep], minlength=len(found))
-    return rolled[keep], np.concatenate(([0], np.cumsum(sizes)))
+    keep[1:] = rolled[1:] != rolled[:-1]
+    keep[at[:-1][np.diff(at) > 0]] = True
+    sums = np.concatenate(([0], np.cumsum(keep)))
+    return rolled[keep], sums[at]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -64,12 +66,60 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def points(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Group counts of each set (uint16; a full count stands for any larger one)."""
-    n = len(bounds) - 1
-    text = np.repeat(np.arange(n), np.diff(bounds))
-    group = (mix(sets) >> np.uint64(58)).astype(np.int64)
-    return np.minimum(np.bincount(text * GROUPS + group, minlength=n * GROUPS), 65535).astype(np.uint16).reshape(n, GROUPS)
+def points(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Group counts of each set, one byte each (255 stands for any larger count too).
+
+    A set of n shingles has about n / 4 groups, a power of two; a group is the leading bits of a mixed hash, so a point
+    folds to fewer groups by adding neighbours.
+    """
+    mixed, out = mix(sets), []
+    ends = bounds.tolist()
+    for i, j in zip(ends, ends[1:], strict=False):
+        bits = min(MOST_GROUPS.bit_length() - 1, max(GROUPS.bit_length() - 1, int((j - i - 1) // 4).bit_length()))
+        out.append(np.minimum(np.bincount((mixed[i:j] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
+    return out
+
+
+class Points:
+    """Points of one block or batch, of several lengths, folded as needed."""
+
+    def __init__(self, raw: list[bytes]):
+        self.length = np.array([len(x) for x in raw])
+        self.place = np.empty(len(raw), np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        self.full = np.zeros(len(raw), bool)
+        for g in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == g)
+            self.place[own] = np.arange(len(own))
+            self.rows[g, g] = p = np.frombuffer(b"".join([raw[i] for i in own]), np.uint8).reshape(-1, g)
+            self.full[own] = (p == 255).any(axis=1)
+
+    def folded(self, g: int, to: int) -> np.ndarray:
+        if (g, to) not in self.rows:
+            self.rows[g, to] = self.rows[g, g].reshape(-1, to, g // to).sum(axis=2, dtype=np.uint16)
+        return self.rows[g, to]
+
+    def boxes(self) -> np.ndarray:
+        """All points folded to GROUPS coordinates; a full count is endless."""
+        out = np.empty((len(self.length), GROUPS), np.uint16)
+        for g in np.unique(self.length).tolist():
+            out[self.length == g] = self.folded(g, GROUPS)
+        out[self.full] = 65535
+        return out
+
+    def possible(self, i: np.ndarray, other: Points, j: np.ndarray, n_i: np.ndarray, n_j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets of these pairs of points can be similar enough, in as many groups as both have."""
+        ok = self.full[i] | other.full[j]
+        for g, h in {*zip(self.length[i].tolist(), other.length[j].tolist(), strict=True)}:
+            own = np.flatnonzero((self.length[i] == g) & (other.length[j] == h) & ~ok)
+            to = min(g, h)
+            p, q = self.folded(g, to), other.folded(h, to)
+            for at in range(0, len(own), max(1, (1 << 22) // to)):
+                some = own[at : at + max(1, (1 << 22) // to)]
+                overlap = np.minimum(p[self.place[i[some]]], q[other.place[j[some]]]).sum(axis=1, dtype=np.int64)
+                # 100 x >= percent * (n_i + n_j - x)
+                ok[some] = (100 + percent) * overlap >= percent * (n_i[some] + n_j[some])
+        return ok
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -83,12 +133,11 @@ def profile(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["kind", "id", "n", "set_id", "point"], [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for ids, found in chunks(batch, 8 << 20):
+            for ids, found in chunks(batch, 16 << 20):
                 sets, bounds = shingle_sets(found, width)
                 n = np.diff(bounds)
                 set_id = mix(_sums(sets, bounds) ^ mix(_sums(mix(sets), bounds) + n.astype(np.uint64))).view(np.int64)
-                p = points(sets, bounds)
-                rows = [np.zeros(len(ids), np.int8), ids, n, pa.array(set_id, mask=n == 0), [x.tobytes() for x in p]]
+                rows = [np.zeros(len(ids), np.int8), ids, n, pa.array(set_id, mask=n == 0), points(sets, bounds)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
                 common, counts = np.unique(sets, return_counts=True)
                 common, counts = common[counts >= BATCH_COUNT], counts[counts >= BATCH_COUNT]
@@ -105,29 +154,33 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, width: int = 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = handle.value
+        seen = np.zeros(1 << 20, bool)  # by the leading bits: most shingles need no search
+        seen[last >> np.uint64(44)] = True
         for batch in batches:
             for _, found in chunks(batch, 8 << 20):
                 sets, bounds = shingle_sets(found, width)
                 n = np.diff(bounds)
                 set_id = mix(_sums(sets, bounds) ^ mix(_sums(mix(sets), bounds) + n.astype(np.uint64))).view(np.int64)
+                late = np.flatnonzero(seen[sets >> np.uint64(44)])
+                late = late[last[np.minimum(np.searchsorted(last, sets[late]), len(last) - 1)] == sets[late]] if len(late) else late
+                rare = np.ones(len(sets), bool)
+                rare[late] = False
+                rares = np.concatenate(([0], np.cumsum(rare)))
+                before = rares[:-1] - np.repeat(rares[bounds[:-1]], n)  # rare ones of the text before each
+                among = np.repeat(rares[bounds[1:]] - rares[bounds[:-1]], n)
+                place = np.where(rare, before, among + np.arange(len(sets)) - np.repeat(bounds[:-1], n) - before)
+                take = np.flatnonzero(place < np.repeat(prefix_length(n, percent), n))
                 text = np.repeat(np.arange(len(found)), n)
-                place = np.minimum(np.searchsorted(last, sets), max(0, len(last) - 1))
-                late = last[place] == sets if len(last) else np.zeros(len(sets), bool)
-                order = np.lexsort((sets, late, text))
-                rank = np.arange(len(sets)) - np.repeat(bounds[:-1], n)
-                take = order[rank < np.repeat(prefix_length(n, percent), n)]
                 yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]])], names=["shingle", "set_id"])
 
     return texts(docs).mapInArrow(run, "shingle long, set_id long")
 
 
 def within_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these points (or boxes' upper corners, with least sizes) can be similar enough."""
+    """Whether sets in these boxes (upper corners, with least sizes) can be similar enough."""
     least = np.minimum(a, b)
-    overlap = least.sum(axis=-1, dtype=np.int64)
-    full = (least == 65535).any(axis=-1)
     # 100 i >= p (n_a + n_b - i)
-    return full | ((100 + percent) * overlap >= percent * (n_a + n_b))
+    return (least == 65535).any(axis=-1) | ((100 + percent) * least.sum(axis=-1, dtype=np.int64) >= percent * (n_a + n_b))
 
 
 class RTree:
@@ -227,10 +280,11 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
             ids, n, component = (whole.column(k).to_numpy() for k in ("set_id", "n", "component"))
             if (component == component[0]).all():
                 continue
-            p = np.frombuffer(b"".join(whole.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            p = Points(whole.column("point").to_pylist())
             code = np.unique(component, return_inverse=True)[1]
-            for i, j in RTree(p, n, code).join(percent):
-                a, b = ids[i], ids[j]
+            for i, j in RTree(p.boxes(), n, code).join(percent):
+                ok = p.possible(i, p, j, n[i], n[j], percent)
+                a, b = ids[i[ok]], ids[j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -248,34 +302,33 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ta, tb = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-            start, total = 0, 0
-            for i in range(len(a)):
-                total += len(ta[i]) + len(tb[i])
-                if total >= 4 << 20 or i + 1 == len(a):
-                    m = i + 1 - start
-                    sets, bounds = shingle_sets(ta[start : i + 1] + tb[start : i + 1], width)
-                    n = np.diff(bounds)
-                    pair = np.repeat(np.tile(np.arange(m), 2), n)
-                    order = np.lexsort((sets, pair))
-                    s, q = sets[order], pair[order]
-                    twice = (s[1:] == s[:-1]) & (q[1:] == q[:-1])
-                    common = np.bincount(q[1:][twice], minlength=m)
-                    ok = 100 * common >= percent * (n[:m] + n[m:] - common)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[start : i + 1][ok]), pa.array(b[start : i + 1][ok])], names=["a", "b"])
-                    start, total = i + 1, 0
+            sets: dict[int, np.ndarray] = {}
+            own: dict[int, bytes] = dict(zip([*a.tolist(), *b.tolist()], [*ta, *tb], strict=True))
+            for ids, found in chunks(pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], names=["i", "t"])):
+                values, bounds = shingle_sets(found, width)
+                sets |= {i: values[x:y] for i, x, y in zip(ids, bounds, bounds[1:], strict=False)}
+            ok = np.zeros(len(a), bool)
+            for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                s, t = sets[i], sets[j]
+                if len(s) > len(t):
+                    s, t = t, s
+                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                ok[k] = 100 * common >= percent * (len(s) + len(t) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose points' bound allows the similarity, by built-in functions over the coordinates."""
+    """Pairs whose sizes and points allow the similarity."""
     side = lambda c: nodes.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (4, 5))
-            ok = within_bound(p, q, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            p, q = (Points(batch.column(k).to_pylist()) for k in (4, 5))
+            at = np.arange(batch.num_rows)
+            ok = p.possible(at, q, at, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
@@ -297,7 +350,9 @@ def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5)
     # blocks whose nodes are not all connected yet; those of two nodes are settled
     named = blocks.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("shingle", "low", "set_id", F.coalesce("component", "set_id").alias("component"))
     named = materialize(named, "blocks")
-    split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x < y AND size > 2").select("shingle")
+    alike = [F.min("set_id").alias("u"), F.max("set_id").alias("v"), F.bit_xor(F.xxhash64("set_id")).alias("w")]
+    split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *alike).filter("x < y AND size > 2")
+    split = split.groupBy("size", "u", "v", "w").agg(F.min("shingle").alias("shingle")).select("shingle")  # one of blocks of the same nodes
     open_ = named.join(split, "shingle").join(nodes.select("set_id", "n", "point"), "set_id")
     pairs = block_pairs(open_.select("shingle", "set_id", "n", "point", "component"), percent)
     pairs = pairs.join(star, ["a", "b"], "left_anti")
