@@ -1,15 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again by whoever runs them."""
+"""The corpus pipeline: stages over documents, each written and read again by whoever runs them.
+
+All but the last stage return the columns of documents. Rows without an id or without a text pass the filters that need
+neither (a null text is an empty one, which the quality rules reject); an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborix.llm import jaccard, packing, passages, quality, toxicity
+from arborix.llm.common import table
+
+TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models, fitted on all labelled ones, score below 0.5."""
+    return toxicity.keep_ordinary(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and that no learned rule rejects."""
+    rules = quality.learn_from(docs, table(spark, sf_dir, "labels"))
+    stats = F.col("stats")
+    return quality.with_statistics(docs).filter(~quality.base_failed(stats) & rules.verdict(stats)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates; repeated rows once."""
+    found = jaccard.near_duplicates(docs.filter("doc_id IS NOT NULL"))
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that a document of a lesser id has too."""
+    return passages.without_repeats(docs, passages.repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), SEQUENCE)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", apply_quality_rules), ("near duplicates", one_of_each_group), ("repeated passages", cut_repeated_passages), ("packing", pack)]
 
-STAGES: list = []
+#: Trained models, hashes and a tokenizer: SQL can't express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
