@@ -226,7 +226,8 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
     joined = docs.join(by_doc, "doc_id", "left")
-    at, extra = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, extra = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +242,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         done = ends[b - 1]
                     found[i] = b"".join([*kept, found[i][done:]])
             columns = [pa.array(found, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(extra)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
