@@ -4,7 +4,7 @@ A document's set holds its distinct shingles. Equal sets are one node. By the pr
 similarity t or more share one of the first ``n - ceil(t n) + 1`` shingles in any global order; the order here puts
 frequent shingles last, so blocks of nodes that share such a shingle are small. Shingles are also hashed into
 ``GROUPS`` groups; a node's group counts are a point, and the overlap of two sets is at most the sum of the minima
-of their coordinates. First each node of a block is held against the block's least node. Blocks whose nodes are
+of their coordinates. First each node of a block is held against the block's most central node. Blocks whose nodes are
 still in several components are then joined by an R-tree over their points, whose boxes give the same bound; only
 pairs across components that pass it are verified on the texts. No pair of a block is left out but by a bound, or
 because both are already known to be connected.
@@ -28,7 +28,10 @@ from .common import bounded_batches, chunks, components, hot_join, materialize,
 
 #: Coordinates of a tree's boxes, and of a stored point at most; shingles remembered as frequent at most (8 bytes each,
 #: broadcast); nodes joined in one task.
-GROUPS, MOST_GROUPS, FREQUENT, BLOCK = 32, 4096, 1 << 18, 2000
+GROUPS, MOST_GROUPS, FREQUENT, BLOCK = 32, 1 << 16, 1 << 18, 2000
+#: Nodes of a block from which its nodes get finer points: among many altered copies of a text, most pairs are nearly
+#: similar enough.
+CROWD = 64
 #: A shingle counts as frequent if in this many documents of a batch (its counts are then summed over batches).
 BATCH_COUNT = 3
 
@@ -66,16 +69,16 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def points(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+def points(sets: np.ndarray, bounds: np.ndarray, finer: int = 1) -> list[bytes]:
     """Group counts of each set, one byte each (255 stands for any larger count too).
 
-    A set of n shingles has about n / 4 groups, a power of two; a group is the leading bits of a mixed hash, so a point
+    A set of n shingles has about n / 4 groups, a power of two, or ``finer`` times as many; a group is the leading bits of a mixed hash, so a point
     folds to fewer groups by adding neighbours.
     """
     mixed, out = mix(sets), []
     ends = bounds.tolist()
     for i, j in zip(ends, ends[1:], strict=False):
-        bits = min(MOST_GROUPS.bit_length() - 1, max(GROUPS.bit_length() - 1, int((j - i - 1) // 4).bit_length()))
+        bits = min(MOST_GROUPS.bit_length() - 1, max(GROUPS.bit_length() - 1, int((j - i - 1) * finer // 4).bit_length()))
         out.append(np.minimum(np.bincount((mixed[i:j] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
     return out
 
@@ -95,6 +98,8 @@ class Points:
             self.full[own] = (p == 255).any(axis=1)
 
     def folded(self, g: int, to: int) -> np.ndarray:
+        if g == to:
+            return self.rows[g, g]
         if (g, to) not in self.rows:
             self.rows[g, to] = self.rows[g, g].reshape(-1, to, g // to).sum(axis=2, dtype=np.uint16)
         return self.rows[g, to]
@@ -107,19 +112,22 @@ class Points:
         out[self.full] = 65535
         return out
 
-    def possible(self, i: np.ndarray, other: Points, j: np.ndarray, n_i: np.ndarray, n_j: np.ndarray, percent: int) -> np.ndarray:
-        """Whether the sets of these pairs of points can be similar enough, in as many groups as both have."""
+    def possible(self, i: np.ndarray, other: Points, j: np.ndarray, n_i: np.ndarray, n_j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the sets of these pairs of points can be similar enough, in as many groups as both have; the bound."""
         ok = self.full[i] | other.full[j]
+        bound = np.where(ok, 1.0, 0.0)
         for g, h in {*zip(self.length[i].tolist(), other.length[j].tolist(), strict=True)}:
             own = np.flatnonzero((self.length[i] == g) & (other.length[j] == h) & ~ok)
-            to = min(g, h)
-            p, q = self.folded(g, to), other.folded(h, to)
-            for at in range(0, len(own), max(1, (1 << 22) // to)):
-                some = own[at : at + max(1, (1 << 22) // to)]
-                overlap = np.minimum(p[self.place[i[some]]], q[other.place[j[some]]]).sum(axis=1, dtype=np.int64)
-                # 100 x >= percent * (n_i + n_j - x)
-                ok[some] = (100 + percent) * overlap >= percent * (n_i[some] + n_j[some])
-        return ok
+            for to in (min(g, h) // 16, min(g, h)) if min(g, h) >= 512 else (min(g, h),):  # coarse first
+                p, q = self.folded(g, to), other.folded(h, to)
+                for at in range(0, len(own), max(1, (1 << 22) // to)):
+                    some = own[at : at + max(1, (1 << 22) // to)]
+                    overlap = np.minimum(p[self.place[i[some]]], q[other.place[j[some]]]).sum(axis=1, dtype=np.int64)
+                    # 100 x >= percent * (n_i + n_j - x)
+                    ok[some] = (100 + percent) * overlap >= percent * (n_i[some] + n_j[some])
+                    bound[some] = overlap / (n_i[some] + n_j[some])
+                own = own[ok[own]]
+        return ok, bound
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -238,9 +246,12 @@ class RTree:
             stack.append((level - 1, x[keep], y[keep]))
 
 
-def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+def block_pairs(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (a, b) of nodes across components within blocks (shingle, set_id, n, point, component).
 
+    ``best``: only the pair with the highest bound for each node and other component of a block, which most often
+    settles whether they are connected; all pairs otherwise.
+
     Blocks of more than ``BLOCK`` nodes are cut into slices by a hash, and every pair of slices is a block of its own:
     no task holds more than two slices, and no pair is lost.
     """
@@ -282,10 +293,22 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 continue
             p = Points(whole.column("point").to_pylist())
             code = np.unique(component, return_inverse=True)[1]
+            got = []
             for i, j in RTree(p.boxes(), n, code).join(percent):
-                ok = p.possible(i, p, j, n[i], n[j], percent)
-                a, b = ids[i[ok]], ids[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                ok, bound = p.possible(i, p, j, n[i], n[j], percent)
+                got.append((i[ok], j[ok], bound[ok]))
+            if not got:
+                continue
+            i, j, bound = (np.concatenate(x) for x in zip(*got, strict=True))
+            if best:
+                i, j, bound = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((bound, bound))
+                order = np.lexsort((j, -bound, code[j], i))
+                i, j = i[order], j[order]
+                keep = np.ones(len(i), bool)
+                keep[1:] = (i[1:] != i[:-1]) | (code[j[1:]] != code[j[:-1]])
+                i, j = i[keep], j[keep]
+            a, b = ids[i], ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -328,12 +351,39 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             p, q = (Points(batch.column(k).to_pylist()) for k in (4, 5))
             at = np.arange(batch.num_rows)
-            ok = p.possible(at, q, at, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            ok, _ = p.possible(at, q, at, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
+def finer_points(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
+    """(set_id, n, point) with sixteen times the groups, for some nodes."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, found in chunks(batch):
+                sets, bounds = shingle_sets(found, width)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(points(sets, bounds, 16), pa.binary())], names=["set_id", "n", "point"])
+
+    own = texts(docs).join(nodes.select("doc_id", "set_id"), "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+    return own.mapInArrow(run, "set_id long, n long, point binary")
+
+
+def central_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b), a < b: each node with the most central node of each of its blocks (shingle, set_id).
+
+    A node's weight is the sum of its blocks' sizes: of a text and its many altered copies the text itself, which is
+    like all of them though they need not be like each other, weighs most.
+    """
+    sizes = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+    weights = blocks.join(sizes, "shingle").groupBy("set_id").agg(F.sum("size").alias("weight"))
+    weighed = blocks.join(weights, "set_id")
+    top = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "set_id")).alias("top")).select("shingle", F.col("top.set_id").alias("centre"))
+    return blocks.join(top, "shingle").filter("set_id <> centre").select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) that connect the nodes as all links would, components (id, component)), from a stored ``profile``."""
     own = found.filter("kind = 0 AND set_id IS NOT NULL")
@@ -341,24 +391,29 @@ def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5)
     top = found.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").toArrow()
     frequent = np.sort(top.column("id").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
     rows = prefixes(docs, frequent, percent, width)
-    # blocks with two nodes at least, and the least node of each
-    shared = rows.groupBy("shingle").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high").select("shingle", "low")
+    # blocks with two nodes at least
+    shared = rows.groupBy("shingle").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high").select("shingle")
     blocks = materialize(rows.join(shared, "shingle").distinct(), "blocks")
-    star = blocks.filter("set_id <> low").select(F.col("low").alias("a"), F.col("set_id").alias("b")).distinct()
+    star = materialize(central_pairs(blocks), "star")
     first = materialize(verify(bounded_pairs(star, nodes, percent), nodes, docs, percent, width), "links")
-    joined = components(first)
-    # blocks whose nodes are not all connected yet; those of two nodes are settled
-    named = blocks.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("shingle", "low", "set_id", F.coalesce("component", "set_id").alias("component"))
-    named = materialize(named, "blocks")
-    alike = [F.min("set_id").alias("u"), F.max("set_id").alias("v"), F.bit_xor(F.xxhash64("set_id")).alias("w")]
-    split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *alike).filter("x < y AND size > 2")
-    split = split.groupBy("size", "u", "v", "w").agg(F.min("shingle").alias("shingle")).select("shingle")  # one of blocks of the same nodes
-    open_ = named.join(split, "shingle").join(nodes.select("set_id", "n", "point"), "set_id")
-    pairs = block_pairs(open_.select("shingle", "set_id", "n", "point", "component"), percent)
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    second = materialize(verify(pairs, nodes, docs, percent, width), "links")
-    both = first.unionByName(second)
-    return both, (components(both) if second.limit(1).count() else joined)
+    joined, tried = components(first), star
+    for best in (True, False):
+        # blocks whose nodes are not all connected yet; those of two nodes are settled
+        named = materialize(blocks.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("shingle", "set_id", F.coalesce("component", "set_id").alias("component")), "blocks")
+        alike = [F.min("set_id").alias("u"), F.max("set_id").alias("v"), F.bit_xor(F.xxhash64("set_id")).alias("w")]
+        split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *alike).filter("x < y AND size > 2")
+        split = split.groupBy("size", "u", "v", "w").agg(F.min("shingle").alias("shingle")).select("shingle", "size")  # one of blocks of the same nodes
+        open_ = materialize(named.join(split, "shingle"), "open")
+        crowd = open_.filter(F.col("size") > CROWD)
+        fine = finer_points(docs, nodes.join(crowd.select("set_id").distinct(), "set_id", "left_semi"), width)
+        open_ = open_.filter(F.col("size") <= CROWD).join(nodes.select("set_id", "n", "point"), "set_id").unionByName(crowd.join(fine, "set_id"))
+        pairs = materialize(block_pairs(open_.select("shingle", "set_id", "n", "point", "component"), percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(verify(pairs, nodes, docs, percent, width), "links")
+        tried = tried.unionByName(pairs)
+        if more.limit(1).count():
+            first = first.unionByName(more)
+            joined = components(first)
+    return first, joined
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
