@@ -28,7 +28,8 @@ PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 #: Pieces in a group on average: a group is packed by one task, so its size is fixed and the number of groups grows.
 GROUP_PIECES = 4096
 END_ID = 1
-#: Fixed value: how the tokenizer parts words, after its normalisation to lower case.
+#: What ends the last token of a word, and how words are parted after normalisation to lower case.
+WORD_END = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -36,52 +37,51 @@ class WordMemo:
     """Ids of white-space separated chunks by a tokenizer that never joins across white space, kept up to a bound.
 
     A chunk not met before is parted by ``pattern`` as the tokenizer does it, and its parts are looked up in turn; only
-    parts never met go to the tokenizer, many at once and told apart by their word numbers. Chunks that could hold a
+    parts never met go to the tokenizer, many at once and told apart by the ids that end words. Chunks that could hold a
     special token go there whole.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000, pattern: str = PATTERN):
+    def __init__(self, path: str, bound: int = 1_200_000, pattern: str = PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         self.normalize, self.split = self.tokenizer.normalizer.normalize_str, regex.compile(unicode_spaces(pattern)).findall
-        self.split_ascii = re.compile(unicode_spaces(pattern).replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")).findall
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r").encode()).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)  # ids that end a word
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.parts) > self.bound:
-            self.parts.clear()
-        split = []
-        for raw in new:
-            x = raw.decode()
-            if "<|" in x:
-                split.append(None)
-            elif x.isascii():
-                split.append((x,) if x.isalpha() else self.split_ascii(x))
-            else:
-                split.append(self.split(self.normalize(x)))
-        unknown = [x for x in set().union(*filter(None, split)) if x not in self.parts]
+    def learn(self, new: set[bytes]) -> None:
+        known = self.known
+        unknown = [x for x in new if x.isalpha()]
+        mixed: list[tuple[bytes, list[bytes]]] = []
+        parts: set[bytes] = set()
+        for x in new.difference(unknown):
+            if b"<|" in x:
+                known[x] = self.whole(x.decode())
+                continue
+            own = self.split_ascii(x) if x.isascii() else [y.encode() for y in self.split(self.normalize(x.decode()))]
+            mixed.append((x, own))
+            parts.update(own)
+        unknown += parts.difference(known, unknown)
         for at in range(0, len(unknown), 20_000):
             some = unknown[at : at + 20_000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            data, words = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-            ends = np.searchsorted(words, np.arange(len(some) + 1)).tolist()
-            if ends[-1] * 4 != len(data) or words[-1] != len(some) - 1:  # a part that the tokenizer parts again
-                self.parts.update((x, self.whole(x)) for x in some)
-                continue
-            for x, i, j in zip(some, ends, ends[1:], strict=False):
-                self.parts[x] = data[4 * i : 4 * j]
-        parts = self.parts
-        for x, own in zip(new, split, strict=True):
-            self.known[x] = self.whole(x.decode()) if own is None else parts[own[0]] if len(own) == 1 else b"".join([parts[y] for y in own])
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(ends) != len(some) + 1:  # a part that the tokenizer parts again
+                known.update((x, self.whole(x.decode())) for x in some)
+            else:
+                known.update(zip(some, [data[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
+        for x, own in mixed:
+            known[x] = b"".join([known[y] for y in own])
 
-    def encode(self, found: list[bytes], block: int = 256) -> Iterator[bytes]:
+    def encode(self, found: list[bytes], block: int = 512) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, one after the other."""
         for at in range(0, len(found), block):
             # the tokenizer lower-cases all but special tokens, so A-Z may go first and fewer chunks differ
@@ -91,7 +91,7 @@ class WordMemo:
                 if len(self.known) > self.bound:
                     self.known.clear()
                     new = set().union(*split)
-                self.learn(list(new))
+                self.learn(new)
             known = self.known
             for parts in split:
                 yield b"".join([known[x] for x in parts])

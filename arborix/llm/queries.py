@@ -57,7 +57,7 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sequences in shards by a keyed permutation, read back: each slot with its origin and checksums."""
     path = scratch_path(spark, "shards")
     index, _ = shards.materialize_order(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), path, key=20240501)
-    stored = shards.read_shards(spark, path).select("slot", "shard", "record", "n_ids", "ids_crc32")
+    stored = shards.read_shards(spark, path, with_ids=False).select("slot", "shard", "record", "n_ids", "ids_crc32")
     origin = index.select("slot", "number", "first_doc_id", "first_start", F.col("ids_crc32").alias("crc_before"))
     return stored.join(origin, "slot").select("slot", "shard", "record", "number", "first_doc_id", "first_start", "n_ids", "ids_crc32", (F.col("ids_crc32") == F.col("crc_before")).alias("intact"))
 

@@ -149,8 +149,8 @@ def write_shards(found: DataFrame, path: str, key: int, length: int = 2048, per_
     return index, order
 
 
-def read_shards(spark: SparkSession, path: str, length: int = 2048, per_shard: int = 512) -> DataFrame:
-    """(slot, shard, record, n_ids, ids_crc32, ids) of every record, from its place in its shard."""
+def read_shards(spark: SparkSession, path: str, length: int = 2048, per_shard: int = 512, with_ids: bool = True) -> DataFrame:
+    """(slot, shard, record, n_ids, ids_crc32 and, if wanted, ids) of every record, from its place in its shard."""
     stride = 2 * length + len(SEPARATOR)
     bounded_batches(spark)
 
@@ -164,10 +164,15 @@ def read_shards(spark: SparkSession, path: str, length: int = 2048, per_shard: i
                 ids = np.ascontiguousarray(own).view("<u2")
                 n = len(ids)
                 record = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + record), pa.array(np.full(n, shard, np.int32)), pa.array(record.astype(np.int32)), pa.array((ids != PAD).sum(axis=1).astype(np.int32)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["slot", "shard", "record", "n_ids", "ids_crc32", "ids"])
+                columns = [pa.array(shard * per_shard + record), pa.array(np.full(n, shard, np.int32)), pa.array(record.astype(np.int32)), pa.array(length - (ids == PAD).sum(axis=1, dtype=np.int32)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                names = ["slot", "shard", "record", "n_ids", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "slot long, shard int, record int, n_ids int, ids_crc32 long, ids binary")
+    return files.mapInArrow(run, "slot long, shard int, record int, n_ids int, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def materialize_order(docs: DataFrame, tokenizer: str, path: str, key: int, length: int = 2048, per_shard: int = 512) -> tuple[DataFrame, Feistel]:
