@@ -52,6 +52,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+#: Ids that are broadcast at most to pick documents (8 bytes each); above this the texts are shuffled to the ids.
+BROADCAST_IDS = 1_000_000
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents among ``wanted`` (doc_id), a stored table."""
+    ids = wanted.select("doc_id").distinct()
+    return texts(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def chunks(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, list]]:
     """(ids, UTF-8 texts) of a batch in runs of about ``size`` bytes, in order."""
     ids, found = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, hot_join, materialize, mix, shingles, texts, word_hashes
+from .common import bounded_batches, chunks, components, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
 
 #: Coordinates of a tree's boxes, and of a stored point at most; shingles remembered as frequent at most (8 bytes each,
 #: broadcast); nodes joined in one task.
@@ -317,8 +317,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
     """Those of the pairs (a, b) of nodes whose sets are similar enough. ``nodes`` has (set_id, doc_id)."""
     bounded_batches(docs.sparkSession)
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(nodes.select("set_id", "doc_id"), "set_id")
-    found = materialize(texts(docs).join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(nodes.select("set_id", "doc_id"), "set_id"), "wanted")
+    found = materialize(texts_of(docs, wanted).join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
     both = pairs.join(found.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +367,8 @@ def finer_points(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame
                 sets, bounds = shingle_sets(found, width)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(points(sets, bounds, 16), pa.binary())], names=["set_id", "n", "point"])
 
-    own = texts(docs).join(nodes.select("doc_id", "set_id"), "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+    nodes = materialize(nodes.select("doc_id", "set_id"), "crowd")
+    own = texts_of(docs, nodes).join(nodes, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
     return own.mapInArrow(run, "set_id long, n long, point binary")
 
 

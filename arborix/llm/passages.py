@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, chunks, materialize, mix, shingles, texts, word_hashes
+from .common import bounded_batches, chunks, materialize, mix, shingles, texts, texts_of, word_hashes
 
 LEAST, WIDTH, HASHES, CONTEXT = 50, 5, 2, 12
 _SIDE = (1 << 15) - 1
@@ -131,7 +131,7 @@ def exact_candidates(docs: DataFrame, places: DataFrame, least: int = LEAST, con
     """(first_id, doc_id) of documents with equal runs of ``least - 4`` words about some of the places."""
     bounded_batches(docs.sparkSession)
     run_words, slack = least - WIDTH + 1, WIDTH
-    joined = texts(docs).join(places, "doc_id")
+    joined = texts_of(docs, places).join(places, "doc_id")
     before = [*range(0, run_words - WIDTH - context, slack), run_words - WIDTH - context]  # words that a run begins before the place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +183,8 @@ def verify(pairs: DataFrame, docs: DataFrame, least: int = LEAST, percent: int =
     bounded_batches(docs.sparkSession)
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("first_id", "doc_id")).alias("doc_id")).distinct()
-    found = materialize(texts(docs).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(found.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id").join(found, "doc_id")
+    found = materialize(texts_of(docs, wanted).groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(found, "doc_id").join(found.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
