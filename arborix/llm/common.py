@@ -101,12 +101,14 @@ _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes hashed at once: memory is bounded by this, not by a text's length.
+SEGMENT = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 22)
+        size = max(n, SEGMENT + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
@@ -136,15 +138,31 @@ def word_hashes(found: list[bytes], lower: bool = False, parting: np.ndarray = _
     bytes than white space that part words.
     """
     data = np.frombuffer(b" ".join(found) + b" ", np.uint8)
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + SEGMENT)
+        while end < len(data) and not parting[data[end - 1]]:  # a word isn't cut, however long
+            gap = np.flatnonzero(parting[data[end : end + SEGMENT]])
+            end += int(gap[0]) + 1 if len(gap) else min(SEGMENT, len(data) - end)
+        parts.append(_segment_hashes(data[at:end], at, lower, parting))
+        at = end
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    text_at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in found])))
+    return hashes, starts, ends, np.searchsorted(starts, text_at)
+
+
+def _segment_hashes(data: np.ndarray, at: int, lower: bool, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the words of one segment, which begins at ``at`` and doesn't cut a word."""
     space = parting[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * _powers(_P, len(data)) + _powers(_P, len(data)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_P_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
-    text_at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in found])))
-    return hashes, starts, ends, np.searchsorted(starts, text_at)
+    terms = (_LOWER[data] if lower else data).astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers(_P, len(data))
+    np.cumsum(terms, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_P_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64)), starts + at, ends + at
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -76,6 +76,27 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     return nodes, lefts, rights
 
 
+def outer_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of a text's places under one key that follow each other closer than ``least``, the first and the last.
+
+    Texts that repeat a few words on and on have a window at every place; all between the outer two see the same words.
+    Both keep the widest reach of their run.
+    """
+    if not len(key):
+        return key, text, start, left, right
+    order = np.lexsort((start, key, text))
+    key, text, start, left, right = (x[order] for x in (key, text, start, left, right))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] - start[:-1] >= least)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(key)])) - 1
+    left, right = np.maximum.reduceat(left, first), np.maximum.reduceat(right, first)
+    more = np.flatnonzero(start[last] > start[first])
+    pick = np.concatenate((first, last[more]))
+    run = np.concatenate((np.arange(len(first)), more))
+    return key[pick], text[pick], start[pick], left[run], right[run]
+
+
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context: int = CONTEXT) -> DataFrame:
     """(key, doc_id, reach): compact windows filed under the words around their nodes.
 
@@ -100,10 +121,9 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context:
                         start = place - at[text]
                         fits = (start >= 0) & (start < np.diff(around_at)[text]) & known[text]
                         p, t = place[fits], text[fits]
-                        reach = (start[fits] << 32) | (np.clip(p - left[fits], 0, _SIDE) << 16) | np.clip(right[fits] - p, 0, _SIDE)
-                        rows.append((around[around_at[t] + start[fits]], doc[t], reach))
-                key, own, reach = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(reach)], names=["key", "doc_id", "reach"])
+                        rows.append((around[around_at[t] + start[fits]], t, start[fits], np.clip(p - left[fits], 0, _SIDE), np.clip(right[fits] - p, 0, _SIDE)))
+                key, text, start, left, right = outer_places(*(np.concatenate(x) for x in zip(*rows, strict=True)), least - WIDTH + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array((start << 32) | (left << 16) | right)], names=["key", "doc_id", "reach"])
 
     return texts(docs).mapInArrow(run, "key long, doc_id long, reach long")
 
