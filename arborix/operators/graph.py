@@ -176,3 +176,15 @@ def traversal_subgraph(visited: DataFrame, edges: DataFrame) -> DataFrame:
     own = steps.select(F.when(F.col("inverse"), F.col("target")).otherwise(F.col("source")).alias("src"), "pred", F.when(F.col("inverse"), F.col("source")).otherwise(F.col("target")).alias("dst")).distinct()
     checked = own.join(edges.select("src", "pred", "dst", F.lit(True).alias("known")).distinct(), ["src", "pred", "dst"], "left")
     return checked.filter(F.when(F.col("known"), True).otherwise(F.raise_error(F.lit("a step is not an edge of the source")).cast("boolean"))).select("src", "pred", "dst")
+
+
+def fallback_labels(labels: DataFrame, languages: tuple[str, ...] = ("en", "fr")) -> DataFrame:
+    """(node, label) of (node, lang, label): the first language that a node has, commas and semicolons as spaces; else empty."""
+    one = [F.min(F.when(F.col("lang") == x, F.col("label"))).alias(x) for x in languages]
+    return labels.groupBy("node").agg(*one).select("node", F.translate(F.coalesce(*languages, F.lit("")), ",;", "  ").alias("label"))
+
+
+def unseen_neighbours(edges: DataFrame, nodes: DataFrame, predicate: str, seen: DataFrame) -> DataFrame:
+    """(node): sources of ``predicate`` edges into the nodes, without those seen."""
+    rows = edges.filter(F.col("pred") == predicate).join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+    return rows.join(seen.select("node").distinct(), "node", "left_anti")

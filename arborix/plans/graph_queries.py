@@ -185,7 +185,26 @@ by_label AS (SELECT lower(label) AS cf, count(DISTINCT node) AS n, min(node) AS
 SELECT reference, coalesce(k.node, CASE WHEN b.n = 1 THEN b.node END) AS node, CASE WHEN k.node IS NOT NULL OR b.n = 1 THEN NULL WHEN b.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS problem
 FROM asked LEFT JOIN known k ON k.node = reference LEFT JOIN by_label b ON b.cf = lower(reference)"""
 
-_simple = lambda f: f
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    """Decision nodes only: suppliers hang on nations, which are no decision nodes, so none is reached past them."""
+    own = graph.logical_edges(g.small_edges(spark, d))
+    decided = g.seeds(spark, d).select(F.col("node").alias("seed")).join(g.nodes(spark, d).filter("node LIKE 'nation/%' OR node LIKE 'supplier/1%'").select("node"), how="cross")
+    every = spark.createDataFrame([("hasNation",), ("hasSupplier",)], "predicate string")
+    return traverse.two_phase_bfs(own, g.seeds(spark, d), every, every, decided, bridges=False)
+
+
+def first_threshold_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Scores turned into verdicts at several thresholds, each traversed on its own: reached suppliers by threshold."""
+    scores = g.table(spark, d, "nation").select(g.node("nation", "n_nationkey").alias("node"), (F.col("n_nationkey") / 25.0).alias("score"))
+    grid = spark.createDataFrame([(0.2,), (0.5,), (0.8,)], "threshold double")
+    gates = scores.join(F.broadcast(grid), how="cross").select(F.col("threshold").cast("string").alias("t"), "node", (F.col("score") >= F.col("threshold")).cast("int").alias("target"))
+    seeds = g.seeds(spark, d).join(F.broadcast(grid.select(F.col("threshold").cast("string").alias("t"))), how="cross").select(F.concat_ws("@", "node", "t").alias("seed"), "node")
+    links = g.small_edges(spark, d).filter("pred <> 'hasCustomer'")
+    start = seeds.join(links.filter("pred = 'hasNation'"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.substring_index("seed", "@", -1).alias("t"))
+    open_ = start.join(gates, ["node", "t"]).filter("target = 1").select("seed", "node")
+    reached = traverse.reachable(links, open_)
+    return reached.filter("node LIKE 'supplier/%'").groupBy(F.substring_index("seed", "@", -1).alias("threshold")).agg(F.count_distinct("node").alias("suppliers"))
+
 
 QUERIES: dict = {
     "gated_extraction": (gated, GATED_SQL),
@@ -220,6 +239,10 @@ SELECT seed, src, pred, dst FROM small JOIN nat ON node = src UNION ALL SELECT s
     "bridge_candidates": (lambda s, d: graph.bridge_candidates(g.verdicts(s, d).filter("node LIKE 'supplier/%' AND classification = 'EXCLUDE'"), g.small_edges(s, d), g.seeds(s, d)), f"WITH {E}, {V}, {SMALL} SELECT v.node, s.pred, TRUE AS inverse, s.src AS bridge FROM verdicts v JOIN small s ON s.dst = v.node WHERE v.node LIKE 'supplier/%' AND NOT keep"),
     "node_degrees": (lambda s, d: graph.degrees(g.edges(s, d), ("hasNation", "hasSupplier", "contains")), f"WITH {E}, o AS (SELECT DISTINCT src, pred, dst FROM edges WHERE pred IN ('hasNation', 'hasSupplier', 'contains')) SELECT node, count(*)::BIGINT AS degree FROM (SELECT src AS node FROM o UNION ALL SELECT dst FROM o) GROUP BY node"),
     "property_targets": (lambda s, d: graph.targets(g.small_edges(s, d), s.createDataFrame([("hasSupplier", False), ("hasNation", True)], "predicate string, inverse boolean")), f"WITH {E}, {SMALL} SELECT DISTINCT src AS node, dst AS target FROM small WHERE pred = 'hasSupplier' UNION SELECT dst, src FROM small WHERE pred = 'hasNation'"),
+    "decision_layers": (layers, "SELECT 'region/' || n_regionkey AS seed, 'nation/' || n_nationkey AS node, 1::BIGINT AS depth FROM nation UNION ALL SELECT 'region/' || n_regionkey, 'supplier/' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey::VARCHAR LIKE '1%'"),
+    "threshold_reach": (first_threshold_reach, "SELECT t::VARCHAR AS threshold, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES (0.2), (0.5), (0.8)) x(t) WHERE n_nationkey / 25.0 >= t GROUP BY t"),
+    "label_fallback": (lambda s, d: graph.fallback_labels(g.table(s, d, "documents").select(F.col("source").alias("node"), F.col("lang"), F.concat_ws(",", "lang", "source").alias("label")).filter("lang <> 'en' OR node LIKE '%1%'")), "SELECT source AS node, replace(replace(coalesce(min(CASE WHEN lang = 'en' THEN lang || ',' || source END), min(CASE WHEN lang = 'fr' THEN lang || ',' || source END), ''), ',', ' '), ';', ' ') AS label FROM documents WHERE lang <> 'en' OR source LIKE '%1%' GROUP BY source"),
+    "unseen_neighbours": (lambda s, d: graph.unseen_neighbours(g.edges(s, d), g.nodes(s, d).filter("node LIKE 'supplier/%'"), "hasSupplier", s.createDataFrame([("nation/1",), ("nation/2",)], "node string")), "SELECT DISTINCT 'nation/' || s_nationkey AS node FROM supplier WHERE s_nationkey NOT IN (1, 2)"),
     "page_links": (lambda s, d: g.table(s, d, "pages").select("page_id", F.posexplode(links(F.col("html"))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href"), """SELECT page_id, (generate_subscripts(x, 1) - 1)::BIGINT AS pos, unnest(x) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS x FROM pages)"""),
     "text_functions": (lambda s, d: g.table(s, d, "documents").select("doc_id", slug(F.col("source")).alias("slug"), word_count(F.col("text")).cast("long").alias("words"), F.sha2("text", 256).alias("sha")), "SELECT doc_id, lower(source) AS slug, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words, sha256(text) AS sha FROM documents"),
 }

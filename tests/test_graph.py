@@ -145,3 +145,34 @@ def test_vectors_and_samples(spark):
     with pytest.raises(Exception, match="not a decision"):
         spark.range(1).select(text.decision(F.lit("maybe"))).collect()
     assert relational.universe_errors(spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([], "node string, included boolean")).collect()[0].bucket == "fn_unreached"
+
+
+def test_prompts(spark):
+    from arborix.operators import prompts
+
+    rows = spark.createDataFrame([(2, "b", 0), (1, "a", 1)], "ord int, evidence string, decision int")
+    assert prompts.demonstration_block(rows).first().block == "1. a => INCLUDE\n2. b => EXCLUDE"
+    assert prompts.render("x {{ a }} y", {"a": "1"}) == "x 1 y"
+    with pytest.raises(ValueError):
+        prompts.render("x {{ a }}", {"b": "1"})
+    assert prompts.problems("# Role\n" + "word " * 200, headings=("role",)) == []
+    assert len(prompts.problems("{{ a }} ```", 500, ("role",), fences=False)) == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from arborix import cli
+
+    (tmp_path / "g.ttl").write_text('@prefix e: <http://e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . e:s e:p e:a ; r:label "S"@en . e:a e:p e:b ; r:label "A"@en . e:b r:label "B"@en . e:s e:q e:c . e:c r:label "C"@en .')
+    (tmp_path / "v.csv").write_text("node,classification,confidence\nhttp://e/a,INCLUDE,0.9\nhttp://e/b,EXCLUDE,0.8\nhttp://e/c,INCLUDE,1\n")
+    base = ["extract", "--graph", str(tmp_path / "g.ttl"), "--seed", "s", "--relation", "p"]
+    plan = cli.main([*base, "--dry-run"], spark)
+    assert plan == {"graph_type": "general", "seeds": ["http://e/s"], "relations": [["http://e/p", False]], "max_depth": None}
+    done = cli.main([*base, "--verdicts", str(tmp_path / "v.csv"), "--out", str(tmp_path / "out")], spark)
+    assert (done["visited"], done["included"]) == (3, 2)
+    assert any("<http://e/s> <http://e/p> <http://e/a> ." in r.value for r in spark.read.text(str(tmp_path / "out/subgraph")).collect())
+    with pytest.raises(ValueError, match="unknown"):
+        cli.main(["extract", "--graph", str(tmp_path / "g.ttl"), "--seed", "zzz"], spark)
+    (tmp_path / "a.csv").write_text("row_id,property,target,prediction,fold\n1,p,1,1,0\n2,p,0,1,1\n")
+    (tmp_path / "b.csv").write_text("row_id,property,target,prediction,fold\n1,p,1,0,0\n2,p,0,0,1\n")
+    assert cli.main(["score", "--rows", str(tmp_path / "a.csv")], spark)[0]["tp"] == 1
+    assert cli.main(["compare", "--left", str(tmp_path / "a.csv"), "--right", str(tmp_path / "b.csv")], spark)["profile"][0]["disagreements"] == 2
