@@ -9,6 +9,7 @@ from arborix.functions.vectors import euclidean, fit_path
 from arborix.operators import classify, metrics, relational, sampling, traverse
 from arborix.sources import tables
 
+from . import batch_jobs
 from . import driver_graph as g
 
 J = g.JUDGED_SQL
@@ -81,9 +82,30 @@ def picked(spark: SparkSession, d: str) -> DataFrame:
     return relational.pick_rows(rows, wanted)
 
 
+def batch_score(spark: SparkSession, d: str) -> DataFrame:
+    """A whole offline batch over nations and suppliers: requests, results as a provider sends them, gating, metrics."""
+    of = g.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("region/"), "n_regionkey").alias("seed"))
+    top = of.select(F.col("n_nationkey").alias("row_index"), "seed", g.node("nation", "n_nationkey").alias("node"), F.lit("").alias("parent"), (F.col("n_nationkey") % 4 != 0).alias("keep"), (F.col("n_nationkey") % 5 != 0).cast("int").alias("target"))
+    low = g.table(spark, d, "supplier").join(of, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") + 100).alias("row_index"), "seed", g.node("supplier", "s_suppkey").alias("node"), g.node("nation", "s_nationkey").alias("parent"), (F.col("s_acctbal") > 0).alias("keep"), (F.col("s_acctbal") > 1000).cast("int").alias("target"))
+    rows = top.unionByName(low).withColumn("row_id", F.concat(F.lit("row"), "row_index")).withColumn("evidence", F.col("node"))
+    _, manifest = batch_jobs.prepare(rows, "d1", "judge", 10)
+    answered = manifest.join(rows.select("row_id", "keep"), "row_id").filter("row_id NOT LIKE '%7'")
+    item = F.struct("idx", F.when(F.col("keep"), "INCLUDE").otherwise("EXCLUDE").alias("classification"), F.lit(0.9).alias("confidence"))
+    results = answered.groupBy("key").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("evaluations"))).alias("text")).select(F.to_json(F.struct("key", F.struct("text").alias("response"))).alias("value"))
+    out = batch_jobs.score(rows, batch_jobs.predictions(results, manifest))
+    return out.select("view", "rows", "tp", "fp", "tn", "fn", "unmatched", F.round("f1", 6).alias("f1"))
+
+
+BATCH_SQL = """WITH n AS (SELECT n_nationkey, n_nationkey % 5 <> 0 AS good, CASE WHEN n_nationkey::VARCHAR NOT LIKE '%7' THEN n_nationkey % 4 <> 0 END AS raw FROM nation),
+s AS (SELECT s_acctbal > 1000 AS good, CASE WHEN (s_suppkey + 100)::VARCHAR NOT LIKE '%7' THEN s_acctbal > 0 END AS raw, coalesce(n.raw, FALSE) AS open FROM supplier JOIN n ON s_nationkey = n_nationkey),
+v AS (SELECT 'gated' AS view, good, coalesce(raw, FALSE) AS p FROM n UNION ALL SELECT 'gated', good, open AND coalesce(raw, FALSE) FROM s UNION ALL SELECT 'ungated', good, raw FROM n UNION ALL SELECT 'ungated', good, raw FROM s),
+c AS (SELECT view, count(*) AS rows, count(*) FILTER (good AND p) AS tp, count(*) FILTER (NOT good AND p) AS fp, count(*) FILTER (NOT good AND NOT p) AS tn, count(*) FILTER (good AND NOT p) AS fn, count(*) FILTER (p IS NULL) AS unmatched FROM v GROUP BY view)
+SELECT *, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c"""
+
 _DRAW = lambda *c: f"md5(concat_ws('|', '42', {', '.join(c)}))"
 
 QUERIES: dict = {
+    "batch_score": (batch_score, BATCH_SQL),
     "evidence_messages": (message_rows, MESSAGES_SQL),
     "answer_matching": (answers, "WITH n AS (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) % 20 + 1 AS idx FROM customer) SELECT c_custkey, CASE WHEN idx NOT IN (3, 5) THEN CAST(c_acctbal > 0 AS INT) END AS prediction, CASE WHEN idx IN (3, 5) THEN 'NO_MATCH' ELSE 'MATCHED' END AS matched FROM n"),
     "recorded_answers": (parsed, "SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 7 <> 0 THEN 1 END AS idx, CASE WHEN s_suppkey % 7 <> 0 THEN CASE WHEN s_acctbal > 0 THEN 'INCLUDE' ELSE 'EXCLUDE' END END AS classification, CASE WHEN s_suppkey % 7 <> 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN s_suppkey % 7 = 0 THEN 'quota' END AS error FROM supplier"),
