@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts, unicode_spaces
+from .common import bounded_batches, frugal, texts, unicode_spaces
 
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for ids, found in _blocks(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(own.encode_block(found)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -190,7 +190,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, decoded binary")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -208,4 +208,4 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, ENCODED_SCHEMA)
+    return texts(docs).mapInArrow(frugal(run), ENCODED_SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 from .labelled_pages import labelled_pages
 
 CONTAINER, CONTENT_TOP, CONTENT, BOILERPLATE_TOP, BOILERPLATE = STATES = range(5)
@@ -252,4 +252,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    return own.mapInArrow(run, TEXT_SCHEMA)
+    return own.mapInArrow(frugal(run), TEXT_SCHEMA)

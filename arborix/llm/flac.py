@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, chunks, texts
+from .common import bounded_batches, chunks, frugal, texts
 
 FRAME = 576  # samples; FLAC's block size code 2
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -443,7 +443,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 media = encode_payloads([payload_of(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return texts(docs).mapInArrow(run, MEDIA_SCHEMA)
+    return texts(docs).mapInArrow(frugal(run), MEDIA_SCHEMA)
 
 
 def _read(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list, list[bytes], list[tuple[bytes, list[int]]]]]:
@@ -467,7 +467,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, BLOCK_SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(frugal(run), BLOCK_SCHEMA)
 
 
 def features(payload: bytes) -> str:
@@ -490,4 +490,4 @@ def media_digests(media: DataFrame) -> DataFrame:
                 rows = [(i, n, len(p), sha(p), zlib.crc32(p[-32:]), len(m), sha(m), features(p)) for i, n, m, (p, _) in zip(ids, lengths, own, got, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST_SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(frugal(run), DIGEST_SCHEMA)

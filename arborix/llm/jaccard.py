@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
+from .common import bounded_batches, chunks, components, frugal, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
 
 #: Coordinates of a tree's boxes, and of a stored point at most; shingles remembered as frequent at most (8 bytes each,
 #: broadcast); nodes joined in one task.
@@ -152,7 +152,7 @@ def profile(docs: DataFrame, width: int = 5) -> DataFrame:
                 if len(common):
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(common), np.int8)), pa.array(common.view(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(len(common), pa.int64()), pa.nulls(len(common), pa.binary())], names=names)
 
-    return texts(docs).mapInArrow(run, "kind byte, id long, n long, set_id long, point binary")
+    return texts(docs).mapInArrow(frugal(run), "kind byte, id long, n long, set_id long, point binary")
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, width: int = 5) -> DataFrame:
@@ -181,7 +181,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, width: int = 5
                 text = np.repeat(np.arange(len(found)), n)
                 yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]])], names=["shingle", "set_id"])
 
-    return texts(docs).mapInArrow(run, "shingle long, set_id long")
+    return texts(docs).mapInArrow(frugal(run), "shingle long, set_id long")
 
 
 def within_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -310,7 +310,7 @@ def block_pairs(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b = ids[i], ids[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int = 5) -> DataFrame:
@@ -339,7 +339,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
                 ok[k] = 100 * common >= percent * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -354,7 +354,7 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             ok, _ = p.possible(at, q, at, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def finer_points(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
@@ -369,7 +369,7 @@ def finer_points(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame
 
     nodes = materialize(nodes.select("doc_id", "set_id"), "crowd")
     own = texts_of(docs, nodes).join(nodes, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
-    return own.mapInArrow(run, "set_id long, n long, point binary")
+    return own.mapInArrow(frugal(run), "set_id long, n long, point binary")
 
 
 def central_pairs(blocks: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, texts, unicode_spaces
+from .common import bounded_batches, frugal, materialize, texts, unicode_spaces
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
                 rows += [(doc_id, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width]), len(ids) // 4) for at in range(0, len(ids), width)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(cut, PIECE_SCHEMA)
+    return texts(docs).mapInArrow(frugal(cut), PIECE_SCHEMA)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, chunks, materialize, mix, shingles, texts, texts_of, word_hashes
+from .common import bounded_batches, chunks, frugal, materialize, mix, shingles, texts, texts_of, word_hashes
 
 LEAST, WIDTH, HASHES, CONTEXT = 50, 5, 2, 12
 _SIDE = (1 << 15) - 1
@@ -125,7 +125,7 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context:
                 key, text, start, left, right = outer_places(*(np.concatenate(x) for x in zip(*rows, strict=True)), least - WIDTH + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array((start << 32) | (left << 16) | right)], names=["key", "doc_id", "reach"])
 
-    return texts(docs).mapInArrow(run, "key long, doc_id long, reach long")
+    return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, reach long")
 
 
 def meetings(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context: int = CONTEXT) -> DataFrame:
@@ -169,7 +169,7 @@ def exact_candidates(docs: DataFrame, places: DataFrame, least: int = LEAST, con
                         yield pa.RecordBatch.from_arrays([pa.array(runs[run_at[k] + starts].view(np.int64)), pa.array(np.full(len(starts), ids[at + k], np.int64))], names=["key", "doc_id"])
                 at += len(found)
 
-    own = joined.select("doc_id", "text", "places").mapInArrow(run, "key long, doc_id long")
+    own = joined.select("doc_id", "text", "places").mapInArrow(frugal(run), "key long, doc_id long")
     first = own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("high")).filter("first_id < high").drop("high")
     return own.join(first, "key").filter("doc_id > first_id").select("first_id", "doc_id").distinct()
 
@@ -220,7 +220,7 @@ def verify(pairs: DataFrame, docs: DataFrame, least: int = LEAST, percent: int =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "first_id", "start_word", "end_word"])
 
-    return both.select("first_id", "doc_id", "first_text", "text").mapInArrow(run, "doc_id long, first_id long, start_word long, end_word long")
+    return both.select("first_id", "doc_id", "first_text", "text").mapInArrow(frugal(run), "doc_id long, first_id long, start_word long, end_word long")
 
 
 def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75, hashes: int = HASHES) -> DataFrame:
@@ -264,7 +264,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(found, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(extra)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    out = joined.select(*docs.columns, "_spans").mapInArrow(frugal(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, mix, texts
+from .common import bounded_batches, frugal, materialize, mix, texts
 from .packing import END_ID, memo
 
 PAD, SEPARATOR = 65535, "\r\n"
@@ -113,7 +113,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
             yield from cut(False)
         yield from cut(True)
 
-    return texts(docs).mapInArrow(run, SEQUENCE_SCHEMA)
+    return texts(docs).mapInArrow(frugal(run), SEQUENCE_SCHEMA)
 
 
 def write_shards(found: DataFrame, path: str, key: int, length: int = 2048, per_shard: int = 512) -> tuple[DataFrame, Feistel]:
@@ -142,10 +142,10 @@ def write_shards(found: DataFrame, path: str, key: int, length: int = 2048, per_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([open_(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["shard", "value"])
 
     bounded_batches(found.sparkSession)
-    placed = found.select("part", "place", "ids").mapInArrow(number, "shard int, slot long, number long, ids binary").select("shard", "slot", "ids")
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(unpack, "shard int, value binary")
+    placed = found.select("part", "place", "ids").mapInArrow(frugal(number), "shard int, slot long, number long, ids binary").select("shard", "slot", "ids")
+    ordered = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(frugal(unpack), "shard int, value binary")
     ordered.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", SEPARATOR).text(path)
-    index = found.drop("ids").mapInArrow(number, "shard int, slot long, number long, first_doc_id long, first_start long, n_ids int, ids_crc32 long")
+    index = found.drop("ids").mapInArrow(frugal(number), "shard int, slot long, number long, first_doc_id long, first_start long, n_ids int, ids_crc32 long")
     return index, order
 
 
@@ -172,7 +172,7 @@ def read_shards(spark: SparkSession, path: str, length: int = 2048, per_shard: i
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "slot long, shard int, record int, n_ids int, ids_crc32 long" + ", ids binary" * with_ids)
+    return files.mapInArrow(frugal(run), "slot long, shard int, record int, n_ids int, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def materialize_order(docs: DataFrame, tokenizer: str, path: str, key: int, length: int = 2048, per_shard: int = 512) -> tuple[DataFrame, Feistel]:

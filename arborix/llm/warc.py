@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join
+from .common import frugal, hot_join
 
 RECORDS_PER_FILE = 1000
 END = "\r\n\r\n"
@@ -148,7 +148,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, RECORD_SCHEMA + ", payload binary" * with_payload)
+    return files.mapInArrow(frugal(run), RECORD_SCHEMA + ", payload binary" * with_payload)
 
 
 def deduplicate_archive(spark: SparkSession, path: str, out: str, least: int = 0) -> None:
