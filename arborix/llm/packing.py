@@ -10,10 +10,12 @@ First-fit decreasing with a tournament tree of bin capacities, run independently
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ class WordMemo:
     special token go there whole.
     """
 
-    def __init__(self, path: str, bound: int = 1_200_000, pattern: str = PATTERN):
+    def __init__(self, path: str, bound: int = 1_800_000, pattern: str = PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -59,14 +61,22 @@ class WordMemo:
 
     def learn(self, new: set[bytes]) -> None:
         known = self.known
-        unknown = [x for x in new if x.isalpha()]
-        mixed: list[tuple[bytes, list[bytes]]] = []
+        unknown: list[bytes] = []
+        mixed: list[tuple[bytes, tuple[bytes, ...]]] = []
         parts: set[bytes] = set()
-        for x in new.difference(unknown):
-            if b"<|" in x:
+        for x in new:
+            core = x[:-1] if x[-1] in b".," else x
+            # letters alone are one part if normalisation leaves them as they are
+            if core.isalpha() or (not x.isascii() and (y := core.decode()).isalpha() and y.islower() and is_normalized("NFC", y)):
+                if core is x:
+                    unknown.append(x)
+                    continue
+                own: tuple[bytes, ...] = (core, x[-1:])
+            elif b"<|" in x:
                 known[x] = self.whole(x.decode())
                 continue
-            own = self.split_ascii(x) if x.isascii() else [y.encode() for y in self.split(self.normalize(x.decode()))]
+            else:
+                own = tuple(self.split_ascii(x) if x.isascii() else [y.encode() for y in self.split(self.normalize(x.decode()))])
             mixed.append((x, own))
             parts.update(own)
         unknown += parts.difference(known, unknown)
@@ -91,7 +101,11 @@ class WordMemo:
                 if len(self.known) > self.bound:
                     self.known.clear()
                     new = set().union(*split)
-                self.learn(new)
+                gc.disable()  # many small lists, no cycles
+                try:
+                    self.learn(new)
+                finally:
+                    gc.enable()
             known = self.known
             for parts in split:
                 yield b"".join([known[x] for x in parts])
