@@ -80,3 +80,42 @@ def strictly_nested(packs: DataFrame) -> DataFrame:
     bigger = packs.select(F.col("size").alias("next_size"), F.col("item").alias("have"))
     rows = packs.join(F.broadcast(sizes), "size").join(bigger.withColumnRenamed("have", "item").withColumn("in", F.lit(1)), ["next_size", "item"], "left")
     return rows.groupBy("size", "next_size").agg(F.count_if(F.col("in").isNull()).alias("missing"))
+
+
+def filter_rows(rows: DataFrame, seed_label: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Rows without excluded ids, of one seed label if given (case aside)."""
+    if exclude is not None:
+        rows = rows.join(exclude.select("row_id").distinct(), "row_id", "left_anti")
+    return rows if seed_label is None else rows.filter(F.lower("seed_label") == seed_label.lower())
+
+
+def rows_in_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose (seed, node) is among the pairs; a blank seed is taken from the legacy id, before its bar."""
+    seed = F.coalesce(F.nullif(F.col("seed"), F.lit("")), F.split_part("legacy_row_id", F.lit("|"), F.lit(1)))
+    return rows.withColumn("seed", seed).join(pairs.select("seed", "node").distinct(), ["seed", "node"], "left_semi")
+
+
+def by_availability(rows: DataFrame, available: DataFrame) -> DataFrame:
+    """``rows`` with ``kept``: whether both ends have a vector."""
+    marked = absent(rows, available)
+    return rows.join(marked.select("row_id", F.col("present").alias("kept")), "row_id")
+
+
+def with_path_labels(rows: DataFrame) -> DataFrame:
+    """Blank labels filled from the path text's first and last names."""
+    first, last = F.trim(F.substring_index("path", "-->", 1)), F.trim(F.substring_index("path", "-->", -1))
+    return rows.withColumn("seed_label", F.coalesce(F.nullif("seed_label", F.lit("")), first)).withColumn("label", F.coalesce(F.nullif("label", F.lit("")), last))
+
+
+def best_configurations(scores: DataFrame, by: list[str]) -> DataFrame:
+    """The configuration of each group with the best f1, precision, recall and then the fewest parameters."""
+    key = F.struct("f1", "precision", "recall", (-F.col("parameters")).alias("small"))
+    return scores.groupBy(*by).agg(F.max_by(F.struct("configuration", "f1"), key).alias("x")).select(*by, "x.*")
+
+
+def identity_errors(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, column) of fields that differ between two tables' rows of one key, nulls equal to nulls."""
+    a = left.select(key, *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = right.select(key, *[F.col(c).alias(f"b_{c}") for c in columns])
+    differ = F.filter(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    return a.join(b, key).select(key, F.explode(differ).alias("column"))

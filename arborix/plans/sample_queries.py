@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborix.functions.vectors import euclidean, fit_path
 from arborix.operators import classify, metrics, relational, sampling, traverse
-from arborix.sources import tables
+from arborix.sources import records, tables
 
 from . import batch_jobs
 from . import driver_graph as g
@@ -105,6 +105,15 @@ SELECT *, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END,
 _DRAW = lambda *c: f"md5(concat_ws('|', '42', {', '.join(c)}))"
 
 QUERIES: dict = {
+    "integer_ids": (lambda s, d: records.integer_ids(g.nodes(s, d)), f"WITH {g.NODES_SQL} SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM nodes"),
+    "required_ids": (lambda s, d: records.required_ids(g.table(s, d, "events").select("props", "event_type"), ["props", "event_type"], "[0-9]+"), "SELECT DISTINCT unnest(regexp_extract_all(props || event_type, '[0-9]+')) AS id FROM events"),
+    "missing_runs": (lambda s, d: records.missing_runs(g.judged(s, d).filter("row_id % 2 = 0").select("seed", "property"), g.judged(s, d).select("seed", "property"), ["seed", "property"]), f"WITH {J} SELECT DISTINCT seed, property FROM judged EXCEPT SELECT seed, property FROM judged WHERE row_id % 2 = 0"),
+    "rows_in_pairs": (lambda s, d: relational.rows_in_pairs(g.judged(s, d).select("row_id", F.when(F.col("row_id") % 2 == 0, F.col("seed")).otherwise("").alias("seed"), F.col("property").alias("node"), F.concat_ws("|", "seed", "property").alias("legacy_row_id")), g.judged(s, d).filter("score > 0.9").select("seed", F.col("property").alias("node"))).select("row_id", "seed"), f"WITH {J} SELECT row_id, seed FROM judged WHERE (seed, property) IN (SELECT (seed, property) FROM judged WHERE score > 0.9)"),
+    "filtered_rows": (lambda s, d: relational.filter_rows(g.judged(s, d).withColumn("seed_label", F.upper("seed")), "Src3", g.judged(s, d).filter("row_id % 3 = 0")).select("row_id"), f"WITH {J} SELECT row_id FROM judged WHERE seed = 'src3' AND row_id % 3 <> 0"),
+    "best_configurations": (lambda s, d: relational.best_configurations(metrics.confusion(g.judged(s, d), ["fold", "property"]).withColumn("configuration", F.col("property")).withColumn("parameters", F.length("property") + F.ascii("property")), ["fold"]).select("fold", "configuration", F.round("f1", 6).alias("f1")), f"""WITH {J}, c AS (SELECT fold, property, count(*) FILTER (target = 1 AND prediction = 1)::DOUBLE AS tp, count(*) FILTER (target = 0 AND prediction = 1)::DOUBLE AS fp, count(*) FILTER (target = 1 AND prediction = 0)::DOUBLE AS fn FROM judged GROUP BY fold, property),
+m AS (SELECT fold, property, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM m)
+SELECT fold, property AS configuration, round(f1, 6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, p DESC, r DESC, length(property) + ascii(property)) = 1"""),
+    "identity_errors": (lambda s, d: relational.identity_errors(g.judged(s, d), g.judged(s, d).withColumn("target", F.when(F.col("row_id") % 7 == 0, F.lit(None)).otherwise(F.col("target"))), "row_id", ["seed", "target", "prediction"]), f"WITH {J} SELECT row_id, 'target' AS column FROM judged WHERE row_id % 7 = 0"),
     "batch_score": (batch_score, BATCH_SQL),
     "evidence_messages": (message_rows, MESSAGES_SQL),
     "answer_matching": (answers, "WITH n AS (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) % 20 + 1 AS idx FROM customer) SELECT c_custkey, CASE WHEN idx NOT IN (3, 5) THEN CAST(c_acctbal > 0 AS INT) END AS prediction, CASE WHEN idx IN (3, 5) THEN 'NO_MATCH' ELSE 'MATCHED' END AS matched FROM n"),

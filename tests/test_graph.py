@@ -176,3 +176,25 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "b.csv").write_text("row_id,property,target,prediction,fold\n1,p,1,0,0\n2,p,0,0,1\n")
     assert cli.main(["score", "--rows", str(tmp_path / "a.csv")], spark)[0]["tp"] == 1
     assert cli.main(["compare", "--left", str(tmp_path / "a.csv"), "--right", str(tmp_path / "b.csv")], spark)["profile"][0]["disagreements"] == 2
+
+
+def test_records_and_claims(spark, tmp_path):
+    import json
+
+    from arborix.sources import records
+
+    snak = lambda i, rank="normal", kind="value": {"rank": rank, "mainsnak": {"snaktype": kind, "property": "P31", "datavalue": {"type": "wikibase-entityid", "value": {"id": i}}}}
+    entity = {"id": "Q1", "claims": {"P31": [snak("Q2"), snak("Q3", "deprecated"), snak("L4"), snak("Q5", kind="novalue")], "P9": [snak("Q6")]}}
+    rows = spark.createDataFrame([(json.dumps(entity),), (json.dumps({"id": "Q7", "claims": []}),)], "value string")
+    assert [(r.entity, r.target) for r in records.claims(rows, ["P31"]).collect()] == [("Q1", "Q2")]
+    records.append_records(spark.createDataFrame([("a/1.json", "{}")], "path string, data string"), str(tmp_path / "log"))
+    records.append_records(spark.createDataFrame([("b/2.json", '{"x":1}')], "path string, data string"), str(tmp_path / "log"))
+    assert [r.data for r in records.read_records(spark, str(tmp_path / "log"), "b/%").collect()] == ['{"x":1}']
+    sub = spark.createDataFrame([("s", "a", "p", "b")], "seed string, src string, pred string, dst string")
+    out = json.loads(records.per_seed_json(sub, spark.createDataFrame([("a", "A")], "node string, label string")).first().value)
+    assert out == {"edges": [["a", "p", "b"]], "labels": {"a": "A"}}
+    assert records.markdown(spark.createDataFrame([("x|y", 0.5)], "n string, v double")).splitlines()[2] == "| x\\|y | 0.5000 |"
+    filled = relational.with_path_labels(spark.createDataFrame([("", "", "A --> p --> B")], "seed_label string, label string, path string")).first()
+    assert (filled.seed_label, filled.label) == ("A", "B")
+    kept = relational.by_availability(spark.createDataFrame([(1, "a", "b"), (2, "a", "z")], "row_id int, seed string, node string"), spark.createDataFrame([("a",), ("b",)], "node string"))
+    assert {r.row_id: r.kept for r in kept.collect()} == {1: True, 2: False}
