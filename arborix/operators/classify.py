@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fixpoint import ordinals
+
 INCLUDE, EXCLUDE, NO_MATCH = "INCLUDE", "EXCLUDE", "NO_MATCH"
 
 
@@ -84,8 +86,8 @@ class ThresholdClassifier:
 
 def batches(rows: DataFrame, order: list[str], size: int, group: list[str] | None = None) -> DataFrame:
     """``rows`` with ``batch`` (from 0) and ``idx`` (from 1): an ordered list, by group, in chunks of ``size``."""
-    n = F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)) - 1
-    return rows.withColumn("n", n).withColumn("batch", F.floor(F.col("n") / size).cast("long")).withColumn("idx", (F.col("n") % size + 1).cast("long")).drop("n")
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) if group else ordinals(rows, order)
+    return numbered.withColumn("batch", F.floor(F.col("n") / size).cast("long")).withColumn("idx", (F.col("n") % size + 1).cast("long")).drop("n")
 
 
 def messages(batched: DataFrame, text: str, group: list[str]) -> DataFrame:

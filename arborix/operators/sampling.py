@@ -121,12 +121,13 @@ def vote(neighbours: DataFrame, labels: DataFrame, threshold: float = 0.5, major
 def analogies(queries: DataFrame, keeping: DataFrame, pruning: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(query, reference, pattern, valid): pairs kk and pp are valid analogies, kp and pk are not."""
     own = F.when(F.col("target") == 1, "k").otherwise("p")
-    pool = keeping.select(F.col("id").alias("reference"), "seed", F.lit("k").alias("kind")).unionByName(pruning.select(F.col("id").alias("reference"), "seed", F.lit("p").alias("kind")))
-    asked = queries.select(F.col("id").alias("query"), "seed", own.alias("q")).withColumn("kind", F.explode(F.array(F.lit("k"), F.lit("p"))))
-    got = references(asked.select("query", "seed", F.concat("kind").alias("group")).distinct().withColumn("query", F.concat_ws("/", "query", "group")), pool.withColumnRenamed("kind", "group"), k, seed, other_seed=True)
-    marks = asked.select(F.concat_ws("/", F.col("query"), F.col("kind")).alias("query"), F.col("query").alias("id"), "q", "kind").distinct()
-    rows = got.join(marks, "query").select(F.col("id").alias("query"), "reference", F.concat("q", "kind").alias("pattern"))
-    return rows.withColumn("valid", F.col("pattern").isin("kk", "pp"))
+    pool = keeping.select(F.col("id").alias("reference"), "seed", F.lit("k").alias("group")).unionByName(pruning.select(F.col("id").alias("reference"), "seed", F.lit("p").alias("group")))
+    out = None
+    for kind in ("k", "p"):
+        got = references(queries.select(F.col("id").alias("query"), F.lit(kind).alias("group"), "seed"), pool.filter(F.col("group") == kind), k, seed, other_seed=True)
+        rows = got.join(queries.select(F.col("id").alias("query"), own.alias("q")).distinct(), "query").select("query", "reference", F.concat("q", F.lit(kind)).alias("pattern"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("valid", F.col("pattern").isin("kk", "pp"))
 
 
 def augmented(pairs: DataFrame) -> DataFrame:

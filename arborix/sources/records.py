@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from arborix.operators.fixpoint import ordinals
 
 CLAIM = "array<struct<rank:string,mainsnak:struct<snaktype:string,property:string,datavalue:struct<type:string,value:struct<id:string>>>>>"
 
@@ -29,12 +30,8 @@ def claims(entities: DataFrame, properties: list[str]) -> DataFrame:
 
 
 def integer_ids(nodes: DataFrame) -> DataFrame:
-    """(node, id): ids from 0 in the order of the names; partitions are sorted by range and numbered by their counts."""
-    ordered = nodes.select("node").distinct().repartitionByRange("node").sortWithinPartitions("node").withColumn("_part", F.spark_partition_id())
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("node")) - 1
-    return ordered.withColumn("_place", place).join(F.broadcast(base.select("_part", "base").limit(1_000_000)), "_part").select("node", (F.col("base") + F.col("_place")).alias("id"))
+    """(node, id): ids from 0 in the order of the names."""
+    return ordinals(nodes.select("node").distinct(), ["node"], "id").select("node", "id")
 
 
 def required_ids(texts: DataFrame, columns: list[str], pattern: str = r"Q\d+") -> DataFrame:

@@ -198,3 +198,25 @@ def test_records_and_claims(spark, tmp_path):
     assert (filled.seed_label, filled.label) == ("A", "B")
     kept = relational.by_availability(spark.createDataFrame([(1, "a", "b"), (2, "a", "z")], "row_id int, seed string, node string"), spark.createDataFrame([("a",), ("b",)], "node string"))
     assert {r.row_id: r.kept for r in kept.collect()} == {1: True, 2: False}
+
+
+def test_analogies_probabilities_and_evidence(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 3}", i % 2) for i in range(12)], "id long, seed string, target int")
+    got = sampling.analogies(rows.filter("id < 2"), rows.filter("target = 1"), rows.filter("target = 0"), 2).collect()
+    assert {(r.query, r.pattern, r.valid) for r in got} == {(0, "pk", False), (0, "pp", True), (1, "kk", True), (1, "kp", False)} and len(got) == 8
+    forms = sampling.augmented(spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")).collect()
+    assert {(r.form, r.a, r.b, r.c, r.d) for r in forms} == {("plain", 1, 2, 3, 4), ("symmetry", 3, 4, 1, 2), ("inner_symmetry", 2, 1, 4, 3)}
+    good = spark.createDataFrame([("INCLUDE", 0.7, 0.3)], "classification string, p_include double, p_exclude double")
+    assert classify.checked_probabilities(good).count() == 1
+    with pytest.raises(Exception, match="do not fit"):
+        classify.checked_probabilities(good.withColumn("p_exclude", F.lit(0.9))).collect()
+    row = spark.createDataFrame([("S", "L", 2, "p", "P", "S --> L")], "seed_label string, label string, depth int, property string, parent_label string, path string")
+    assert row.select(classify.evidence("depth")).first()[0] == "seed=S | candidate=L | depth=2"
+    assert row.select(classify.evidence("path_simple")).first()[0] == "path=S --> L"
+    train = spark.createDataFrame([("row1", "x"), ("row2", "y")], "row_id string, node string")
+    near = spark.createDataFrame([("q", "y", 0.1), ("q", "x", 0.5), ("q", "zz", 0.0)], "query string, other string, distance double")
+    assert [(r.row_id, r.n) for r in relational.ordered_distances(train, near).orderBy("n").collect()] == [("row2", 1), ("row1", 2)]
+    assert sinks.coverage(train.withColumnRenamed("node", "id"), spark.createDataFrame([("x",)], "id string")).first().missing == 1
+    assert sinks.flat_metrics(spark.createDataFrame([("f1", 0.5)], "name string, value double")).first().f1 == 0.5
+    votes = sampling.vote(spark.createDataFrame([(1, 10), (1, 11)], "query int, id int"), spark.createDataFrame([(10, 1), (11, 0)], "id int, label int"), 0.6)
+    assert (votes.first().score, votes.first().prediction) == (0.5, 0)
