@@ -25,6 +25,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("symbols_per_mille", "repeat_per_mille", "dup_lines_per_mille", "word_length_milli", "upper_per_mille", "distinct_per_mille", "bars_per_mille", "marks_per_mille")
 _SPACES = "\t\n\x0b\x0c\r"
 WINDOW = 8
+#: Labels that are broadcast at most (12 bytes each) to find labelled texts; above this both sides are shuffled.
+BROADCAST_LABELS = 1_000_000
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -197,6 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> DecisionList:
-    """Rules from the labelled documents alone."""
-    some = docs.select(docs["doc_id"], docs["text"]).join(labels.select(labels["doc_id"], labels["quality"]), "doc_id")
+    """Rules from the labelled documents alone. Few enough labels are broadcast, so that texts stay where they are."""
+    own = labels.select(labels["doc_id"], labels["quality"])
+    some = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(own) if own.count() <= BROADCAST_LABELS else own, "doc_id")
     return learn(materialize(with_statistics(some).select("stats", "quality"), "labelled"))
