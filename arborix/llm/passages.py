@@ -76,25 +76,32 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     return nodes, lefts, rights
 
 
-def outer_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of a text's places under one key that follow each other closer than ``least``, the first and the last.
+def distinct_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray, bounds: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, ...]:
+    """The places of a text under one key, one of those with equal words about them; all have the key's widest reach.
 
-    Texts that repeat a few words on and on have a window at every place; all between the outer two see the same words.
-    Both keep the widest reach of their run.
+    Texts that repeat a few words on and on have a window at every place. Only places with the same words from ``reach``
+    before the key's ``width`` words to ``reach`` after them are alike; places nearer to an end of the text are kept.
     """
     if not len(key):
         return key, text, start, left, right
     order = np.lexsort((start, key, text))
     key, text, start, left, right = (x[order] for x in (key, text, start, left, right))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] - start[:-1] >= least)
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
     first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(key)])) - 1
-    left, right = np.maximum.reduceat(left, first), np.maximum.reduceat(right, first)
-    more = np.flatnonzero(start[last] > start[first])
-    pick = np.concatenate((first, last[more]))
-    run = np.concatenate((np.arange(len(first)), more))
-    return key[pick], text[pick], start[pick], left[run], right[run]
+    group = np.cumsum(new) - 1
+    left, right = np.maximum.reduceat(left, first)[group], np.maximum.reduceat(right, first)[group]
+    begin = bounds[text] + start - reach
+    several = np.flatnonzero((np.bincount(group)[group] > 1) & (start >= reach) & (begin + width + 2 * reach <= bounds[text + 1]))
+    about = np.zeros(len(several), np.uint64)
+    for i in range(width + 2 * reach):
+        about = about * np.uint64(0xD6E8FEB86659FD93) + words[begin[several] + i]
+    keep = np.ones(len(key), bool)
+    keep[several] = False
+    at = np.lexsort((several, about, group[several]))
+    if len(at):
+        again = np.concatenate(([False], (about[at][1:] == about[at][:-1]) & (group[several][at][1:] == group[several][at][:-1])))
+        keep[several[at[~again]]] = True
+    return key[keep], text[keep], start[keep], left[keep], right[keep]
 
 
 def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context: int = CONTEXT) -> DataFrame:
@@ -122,7 +129,7 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context:
                         fits = (start >= 0) & (start < np.diff(around_at)[text]) & known[text]
                         p, t = place[fits], text[fits]
                         rows.append((around[around_at[t] + start[fits]], t, start[fits], np.clip(p - left[fits], 0, _SIDE), np.clip(right[fits] - p, 0, _SIDE)))
-                key, text, start, left, right = outer_places(*(np.concatenate(x) for x in zip(*rows, strict=True)), least - WIDTH + 1)
+                key, text, start, left, right = distinct_places(*(np.concatenate(x) for x in zip(*rows, strict=True)), words, bounds, WIDTH + context, least)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array((start << 32) | (left << 16) | right)], names=["key", "doc_id", "reach"])
 
     return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, reach long")

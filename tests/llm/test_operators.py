@@ -353,6 +353,26 @@ def test_compact_windows_are_cartesian_tree_intervals():
         assert set(zip(*[x.tolist() for x in passages.compact_windows(v, np.array(cut), least)], strict=True)) == expected
 
 
+def _template_table(spark, trials):
+    """Lists of entries of 40 constant and 5 differing words; id 3 n + 2 repeats 50 words of a middle entry of 3 n + 1."""
+    rows = []
+    for n in range(trials):
+        draw = random.Random(n)
+        word = lambda: f"w{draw.getrandbits(40):x}"  # noqa: B023, E731
+        constant = [word() for _ in range(40)]
+        entries = [x for _ in range(9) for x in (*constant, *(word() for _ in range(5)))]
+        cut = 45 * 4 + draw.randrange(45)
+        rows.append((3 * n, " ".join([*(word() for _ in range(20)), *constant, *(word() for _ in range(20))])))
+        rows.append((3 * n + 1, " ".join(entries)))
+        rows.append((3 * n + 2, " ".join([*(word() for _ in range(60)), *entries[cut : cut + 50], *(word() for _ in range(60))])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_repeats_of_a_middle_entry_of_a_template(spark):
+    found = {(r["doc_id"], r["first_id"]) for r in passages.repeats(_template_table(spark, 200)).collect() if r["end_word"] - r["start_word"] >= 50}
+    assert sum((3 * n + 2, 3 * n + 1) in found or (3 * n + 2, 3 * n) in found for n in range(200)) == 200
+
+
 def test_repeated_passages(docs, empty, texts):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in enumerate(texts)}
     first, exact = {}, collections.defaultdict(set)
