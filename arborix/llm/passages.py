@@ -4,11 +4,9 @@ Every run of five words is a token. For each of ``HASHES`` hash functions the Ca
 has, for each node, the widest run of tokens whose least hash is the node's: a compact window, which stands for all
 passages in it that share the signature. Only windows of at least ``least - 4`` tokens are kept, which are the top of the
 tree. A window is filed under the ``CONTEXT`` words before or after its node and the node's own, so two passages of
-``least`` equal words always meet under one of the two keys. Windows under one key that overlap enough, once aligned,
-join each to the key's first document; the texts of such pairs are then compared and what repeats is a span. Where a
-key's first document does not explain a window, the key's windows are filed anew under all ``least - 4`` equal words
-about their nodes (ten runs, five words apart), and each meets the first document of those keys: whatever the first
-round's choice, no repeat of ``least`` equal words is lost.
+``least`` equal words always meet under one of the two keys. The tokens about all places of one key are compared: each
+place is held against those of lesser documents one after another, until one is alike, so no document hides another. The
+texts of such pairs are then compared and what repeats is a span.
 
 A span is a run of words in which each stretch of ``least`` words has the stated Jaccard similarity of five-word tokens
 with the other text (equal passages, or near-equal ones), trimmed to tokens that both have.
@@ -32,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, chunks, frugal, materialize, mix, shingles, texts, texts_of, word_hashes
 
 LEAST, WIDTH, HASHES, CONTEXT = 50, 5, 2, 12
+#: Tokens about a place beyond a stretch of ``LEAST`` words, for words that one of two texts has more.
+MARGIN = 8
 _SIDE = (1 << 15) - 1
 
 
@@ -135,50 +135,138 @@ def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context:
     return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, reach long")
 
 
-def meetings(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context: int = CONTEXT) -> DataFrame:
-    """(key, doc_id, place, first_id, overlap) for the windows under keys of two documents or more."""
-    own = windows(docs, least, hashes, context)
-    first = own.groupBy("key").agg(F.min(F.struct("doc_id", "reach")).alias("first"), F.max("doc_id").alias("high"))
-    first = first.filter("first.doc_id < high").select("key", F.col("first.doc_id").alias("first_id"), F.col("first.reach").alias("first_reach"))
-    left = lambda c: F.shiftright(c, 16).bitwiseAND(0xFFFF)
-    right = lambda c: F.col(c).bitwiseAND(0xFFFF)
-    overlap = F.least(left("reach"), left("first_reach")) + F.least(right("reach"), right("first_reach")) + 1
-    return own.join(first, "key").select("key", "doc_id", F.shiftright("reach", 32).cast("int").alias("place"), "first_id", overlap.cast("int").alias("overlap"))
+def shared_places(own: DataFrame) -> DataFrame:
+    """(doc_id, places): all windows of ``own`` under keys of two documents or more."""
+    keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
+    met = own.join(keys, "key", "left_semi").select("doc_id", F.shiftright("reach", 32).cast("int").alias("place"))
+    return met.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def unexplained(met: DataFrame, spans: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(doc_id, places): all windows under keys where some window isn't within a span found."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    covered = F.exists("spans", lambda s: (s["start_word"] <= F.col("place")) & (s["end_word"] >= F.col("place") + WIDTH + context))
-    loose = met.filter("doc_id <> first_id").join(by_doc, "doc_id", "left").filter(F.col("spans").isNull() | ~covered)
-    return met.join(loose.select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+def needed(least: int, percent: int) -> tuple[int, int]:
+    """(tokens that a stretch of ``least`` words has in common at least, tokens of its longest equal run at least).
+
+    An edit within the stretch takes ``WIDTH - 1`` tokens at least, which bounds the number of equal runs.
+    """
+    width = least - WIDTH + 1
+    need = -(-2 * width * percent // (100 + percent))
+    return need, need // ((width - need) // (WIDTH - 1) + 1)
 
 
-def exact_candidates(docs: DataFrame, places: DataFrame, least: int = LEAST, context: int = CONTEXT) -> DataFrame:
-    """(first_id, doc_id) of documents with equal runs of ``least - 4`` words about some of the places."""
+def contexts(docs: DataFrame, places: DataFrame, least: int, key_words: int) -> DataFrame:
+    """(key, doc_id, around): 16 bits of each token about the places, with all stretches of ``least`` words that hold the key and ``MARGIN``; 0 outside of the text."""
     bounded_batches(docs.sparkSession)
-    run_words, slack = least - WIDTH + 1, WIDTH
     joined = texts_of(docs, places).join(places, "doc_id")
-    before = [*range(0, run_words - WIDTH - context, slack), run_words - WIDTH - context]  # words that a run begins before the place
+    reach = least - key_words + MARGIN
+    about = np.arange(-reach, key_words - WIDTH + 1 + reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for _, found in chunks(batch.select([0, 1])):
                 words, _, _, bounds = word_hashes(found, lower=True)
-                runs, run_at = shingles(words, bounds, run_words)
-                lengths = np.diff(run_at)
+                tokens, token_at = shingles(words, bounds, WIDTH)
+                keys, key_at = shingles(words, bounds, key_words)
+                short = (tokens % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
                 for k in range(len(found)):
                     own = np.array(batch.column(2)[at + k].as_py(), np.int64)
-                    starts = np.unique((own[:, None] - np.array(before)).ravel())
-                    starts = starts[(starts >= 0) & (starts < lengths[k])]
-                    if len(starts):
-                        yield pa.RecordBatch.from_arrays([pa.array(runs[run_at[k] + starts].view(np.int64)), pa.array(np.full(len(starts), ids[at + k], np.int64))], names=["key", "doc_id"])
+                    own = own[own < key_at[k + 1] - key_at[k]]
+                    for x in range(0, len(own), 20_000):
+                        some = own[x : x + 20_000]
+                        where = some[:, None] + about + token_at[k]
+                        inside = (where >= token_at[k]) & (where < token_at[k + 1])
+                        around = np.where(inside, short[np.clip(where, 0, len(short) - 1)], np.uint16(0))
+                        around = pa.Array.from_buffers(pa.binary(2 * len(about)), len(some), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[key_at[k] + some].view(np.int64)), pa.array(np.full(len(some), ids[at + k], np.int64)), around], names=["key", "doc_id", "around"])
                 at += len(found)
 
-    own = joined.select("doc_id", "text", "places").mapInArrow(frugal(run), "key long, doc_id long")
-    first = own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("high")).filter("first_id < high").drop("high")
-    return own.join(first, "key").filter("doc_id > first_id").select("first_id", "doc_id").distinct()
+    return joined.select("doc_id", "text", "places").mapInArrow(frugal(run), "key long, doc_id long, around binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, width: int, need: int) -> np.ndarray:
+    """For each row, whether ``width`` tokens on end of ``a``, but for its margins, have ``need`` or more among those of ``b``."""
+    inner = a[:, MARGIN:-MARGIN]
+
+    def enough(same: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(same), same.shape[1] + 1), np.int16)
+        np.cumsum(same, axis=1, out=sums[:, 1:])
+        return (sums[:, width:] - sums[:, :-width]).max(axis=1) >= need
+
+    out = enough((inner == b[:, MARGIN:-MARGIN]) & (inner != 0))
+    rest = np.flatnonzero(~out)
+    if len(rest):  # words put in or left out shift the tokens
+        row = np.arange(len(rest), dtype=np.uint64)[:, None] << np.uint64(16)
+        have = np.sort(row | b[rest].astype(np.uint64), axis=1).ravel()
+        asked = row | inner[rest].astype(np.uint64)
+        same = have[np.minimum(np.searchsorted(have, asked), len(have) - 1)] == asked
+        out[rest] = enough(same & (inner[rest] != 0))
+    return out
+
+
+def least_alike(key: np.ndarray, doc: np.ndarray, around: np.ndarray, least: int, percent: int, key_tokens: int) -> np.ndarray:
+    """For each row, in the order of key and document, the first row of its key and another document that is alike, or -1.
+
+    Rows that are alike have an equal run of tokens about the key, so only those that share one are compared; of these
+    each is held against one after another until one is found.
+    """
+    n, width = len(key), least - WIDTH + 1
+    need, equal = needed(least, percent)
+    equal = max(equal, key_tokens)
+    none = np.int64(n)
+    best = np.full(n, none)
+    middle = least - WIDTH + 1 - key_tokens + MARGIN
+    for offset in range(equal - key_tokens + 1):
+        value = key.view(np.uint64).copy()
+        for i in range(equal):
+            value = value * np.uint64(0xD6E8FEB86659FD93) + around[:, middle - offset + i]
+        order = np.argsort(mix(value), kind="stable")
+        new = np.concatenate(([True], value[order][1:] != value[order][:-1]))
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        turn = np.flatnonzero(np.arange(n) > first)
+        k = 0
+        while len(turn):
+            source, target = order[first[turn] + k], order[turn]
+            left = source < np.minimum(best[target], target)
+            turn, source, target = turn[left], source[left], target[left]
+            other = np.flatnonzero(doc[source] != doc[target])
+            for x in range(0, len(other), 5000):
+                some = other[x : x + 5000]
+                hit = some[alike(around[target[some]], around[source[some]], width, need)]
+                best[target[hit]] = source[hit]
+            k += 1
+    return np.where(best < none, best, -1)
+
+
+def candidates(around: DataFrame, least: int, percent: int, key_words: int) -> DataFrame:
+    """(first_id, doc_id): for each place the least document that is alike about it, among all documents of its key."""
+    bounded_batches(around.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            key, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
+            found = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(key), -1)
+            best = least_alike(key, doc, found, least, percent, key_words - WIDTH + 1)
+            target = np.flatnonzero(best >= 0)
+            both = np.unique(np.column_stack((doc[best[target]], doc[target])), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["first_id", "doc_id"])
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if held and (cut or held[-1].column(0)[held[-1].num_rows - 1].as_py() != key[0]):
+                if rows >= 20_000:
+                    yield pairs([*held, batch.slice(0, cut)] if cut else held)
+                    held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield pairs(held)
+
+    return around.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(run), "first_id long, doc_id long").distinct()
 
 
 def repeated_spans(first: np.ndarray, tokens: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
@@ -232,11 +320,8 @@ def verify(pairs: DataFrame, docs: DataFrame, least: int = LEAST, percent: int =
 
 def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75, hashes: int = HASHES) -> DataFrame:
     """(doc_id, start_word, end_word, first_id): merged spans of each document, and the least document that has one."""
-    met = materialize(meetings(docs, least, hashes), "meetings")
-    pairs = materialize(met.filter((F.col("doc_id") > F.col("first_id")) & (F.col("overlap") >= least - WIDTH + 1)).select("first_id", "doc_id").distinct(), "pairs")
-    spans = materialize(verify(pairs, docs, least, percent), "spans")
-    more = exact_candidates(docs, materialize(unexplained(met, spans), "places"), least).join(pairs, ["first_id", "doc_id"], "left_anti")
-    spans = spans.unionByName(verify(more, docs, least, percent))
+    places = materialize(shared_places(windows(docs, least, hashes)), "places")
+    spans = verify(candidates(contexts(docs, places, least, WIDTH + CONTEXT), least, percent, WIDTH + CONTEXT), docs, least, percent)
     own = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     past = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", (past.isNull() | (F.col("start_word") >= past)).cast("int"))

@@ -373,6 +373,29 @@ def test_repeats_of_a_middle_entry_of_a_template(spark):
     assert sum((3 * n + 2, 3 * n + 1) in found or (3 * n + 2, 3 * n) in found for n in range(200)) == 200
 
 
+def _near_copies(spark, trials, length, lead):
+    """Id 3 n + 2 repeats a passage of 3 n + 1 with one word replaced; id 3 n has the passage's first ``lead`` words."""
+    rows = []
+    for n in range(trials):
+        draw = random.Random(n)
+        some = lambda k: [f"w{draw.getrandbits(40):x}" for _ in range(k)]  # noqa: B023, E731
+        passage = some(length)
+        copy = list(passage)
+        copy[draw.randrange(length)] = "edited"
+        for i, x in enumerate((passage[:lead], passage, copy)):
+            rows.append((3 * n + i, " ".join([*some(60), *x, *some(60)])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def _near_found(spark, trials, length, lead):
+    found = {r["doc_id"] for r in passages.repeats(_near_copies(spark, trials, length, lead)).collect()}
+    return sum(3 * n + 2 in found for n in range(trials))
+
+
+def test_near_copies_beside_a_lesser_document_with_their_lead_in(spark):
+    assert _near_found(spark, 300, 60, 40) >= 297
+
+
 def test_repeated_passages(docs, empty, texts):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in enumerate(texts)}
     first, exact = {}, collections.defaultdict(set)
