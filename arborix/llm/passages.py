@@ -1,12 +1,11 @@
 """Substring deduplication with compact windows.
 
-Every run of five words is a token. For each of ``HASHES`` hash functions the Cartesian tree over a text's token hashes
-has, for each node, the widest run of tokens whose least hash is the node's: a compact window, which stands for all
-passages in it that share the signature. Only windows of at least ``least - 4`` tokens are kept, which are the top of the
-tree. A window is filed under the ``CONTEXT`` words before or after its node and the node's own, so two passages of
-``least`` equal words always meet under one of the two keys. The tokens about all places of one key are compared: each
-place is held against those of lesser documents one after another, until one is alike, so no document hides another. The
-texts of such pairs are then compared and what repeats is a span.
+Every run of five words is a token. A stretch of ``least`` words with 75 % of common tokens has at most one edit inside, so
+a run of 24 words in it is equal, edited words aside. The hashes of runs of ``KEY`` words have a Cartesian tree over each
+text; each node has the widest run in which its hash is the least: a compact window. Nodes of windows of 13 and more, the top
+of the tree, are the minima of all 13 runs on end, so each 24 equal words hold a node that both texts have, under one key.
+The tokens about all places of one key are compared: each place is held against those of lesser documents one after another,
+until one is alike, so no document hides another. The texts of such pairs are then compared and what repeats is a span.
 
 A span is a run of words in which each stretch of ``least`` words has the stated Jaccard similarity of five-word tokens
 with the other text (equal passages, or near-equal ones), trimmed to tokens that both have.
@@ -29,10 +28,9 @@ from pyspark.sql.window import Window
 
 from .common import bounded_batches, chunks, frugal, materialize, mix, shingles, texts, texts_of, word_hashes
 
-LEAST, WIDTH, HASHES, CONTEXT = 50, 5, 2, 12
+LEAST, WIDTH, KEY = 50, 5, 12
 #: Tokens about a place beyond a stretch of ``LEAST`` words, for words that one of two texts has more.
 MARGIN = 8
-_SIDE = (1 << 15) - 1
 
 
 def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,20 +74,18 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     return nodes, lefts, rights
 
 
-def distinct_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray, bounds: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, ...]:
-    """The places of a text under one key, one of those with equal words about them; all have the key's widest reach.
+def distinct_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, words: np.ndarray, bounds: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, ...]:
+    """The places of a text under one key, one of those with equal words about them.
 
     Texts that repeat a few words on and on have a window at every place. Only places with the same words from ``reach``
     before the key's ``width`` words to ``reach`` after them are alike; places nearer to an end of the text are kept.
     """
     if not len(key):
-        return key, text, start, left, right
+        return key, text, start
     order = np.lexsort((start, key, text))
-    key, text, start, left, right = (x[order] for x in (key, text, start, left, right))
+    key, text, start = key[order], text[order], start[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
-    first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    left, right = np.maximum.reduceat(left, first)[group], np.maximum.reduceat(right, first)[group]
     begin = bounds[text] + start - reach
     several = np.flatnonzero((np.bincount(group)[group] > 1) & (start >= reach) & (begin + width + 2 * reach <= bounds[text + 1]))
     about = np.zeros(len(several), np.uint64)
@@ -101,44 +97,41 @@ def distinct_places(key: np.ndarray, text: np.ndarray, start: np.ndarray, left:
     if len(at):
         again = np.concatenate(([False], (about[at][1:] == about[at][:-1]) & (group[several][at][1:] == group[several][at][:-1])))
         keep[several[at[~again]]] = True
-    return key[keep], text[keep], start[keep], left[keep], right[keep]
+    return key[keep], text[keep], start[keep]
 
 
-def windows(docs: DataFrame, least: int = LEAST, hashes: int = HASHES, context: int = CONTEXT) -> DataFrame:
-    """(key, doc_id, reach): compact windows filed under the words around their nodes.
+def key_words(least: int, percent: int) -> tuple[int, int]:
+    """(words of a key, keys of which the least is taken): so many keys lie within the equal run of ``needed``."""
+    equal = max(1, needed(least, percent)[1])
+    tokens = max(1, min(KEY - WIDTH + 1, equal))
+    return tokens + WIDTH - 1, equal - tokens + 1
 
-    ``reach`` packs the key's place in the text and the tokens to its left and right, 2 ** 15 - 1 at most of these.
-    """
+
+def windows(docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
+    """(key, doc_id, place): nodes of the compact windows of runs of words, each filed under its own words."""
     bounded_batches(docs.sparkSession)
+    size, among = key_words(least, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, found in chunks(batch, 8 << 20):
                 words, _, _, bounds = word_hashes(found, lower=True)
-                tokens, at = shingles(words, bounds, WIDTH)
-                around, around_at = shingles(words, bounds, WIDTH + context)
-                text_of = np.repeat(np.arange(len(found)), np.diff(at))
+                keys, at = shingles(words, bounds, size)
+                node, _, _ = compact_windows(mix(keys ^ np.uint64(0x9E3779B97F4A7C15)), at, among)
+                text = np.repeat(np.arange(len(found)), np.diff(at))[node]
                 doc = np.array([0 if x is None else x for x in ids], np.int64)
-                known = np.array([x is not None for x in ids], bool)
-                rows = []
-                for k in range(hashes):
-                    node, left, right = compact_windows(mix(tokens ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)), at, least - WIDTH + 1)
-                    text = text_of[node]
-                    for place in (node - context, node):
-                        start = place - at[text]
-                        fits = (start >= 0) & (start < np.diff(around_at)[text]) & known[text]
-                        p, t = place[fits], text[fits]
-                        rows.append((around[around_at[t] + start[fits]], t, start[fits], np.clip(p - left[fits], 0, _SIDE), np.clip(right[fits] - p, 0, _SIDE)))
-                key, text, start, left, right = distinct_places(*(np.concatenate(x) for x in zip(*rows, strict=True)), words, bounds, WIDTH + context, least)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array((start << 32) | (left << 16) | right)], names=["key", "doc_id", "reach"])
-
-    return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, reach long")
+                fits = np.array([x is not None for x in ids], bool)[text] & (np.diff(bounds)[text] >= least)
+                node, text = node[fits], text[fits]
+                key, text, start = distinct_places(keys[node], text, node - at[text], words, bounds, size, least)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array(start.astype(np.int32))], names=["key", "doc_id", "place"])
+
+    return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, place int")
 
 
 def shared_places(own: DataFrame) -> DataFrame:
     """(doc_id, places): all windows of ``own`` under keys of two documents or more."""
     keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    met = own.join(keys, "key", "left_semi").select("doc_id", F.shiftright("reach", 32).cast("int").alias("place"))
+    met = own.join(keys, "key", "left_semi").select("doc_id", "place")
     return met.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -152,12 +145,12 @@ def needed(least: int, percent: int) -> tuple[int, int]:
     return need, need // ((width - need) // (WIDTH - 1) + 1)
 
 
-def contexts(docs: DataFrame, places: DataFrame, least: int, key_words: int) -> DataFrame:
+def contexts(docs: DataFrame, places: DataFrame, least: int, size: int) -> DataFrame:
     """(key, doc_id, around): 16 bits of each token about the places, with all stretches of ``least`` words that hold the key and ``MARGIN``; 0 outside of the text."""
     bounded_batches(docs.sparkSession)
     joined = texts_of(docs, places).join(places, "doc_id")
-    reach = least - key_words + MARGIN
-    about = np.arange(-reach, key_words - WIDTH + 1 + reach)
+    reach = least - size + MARGIN
+    about = np.arange(-reach, size - WIDTH + 1 + reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +158,7 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, key_words: int) ->
             for _, found in chunks(batch.select([0, 1])):
                 words, _, _, bounds = word_hashes(found, lower=True)
                 tokens, token_at = shingles(words, bounds, WIDTH)
-                keys, key_at = shingles(words, bounds, key_words)
+                keys, key_at = shingles(words, bounds, size)
                 short = (tokens % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
                 for k in range(len(found)):
                     own = np.array(batch.column(2)[at + k].as_py(), np.int64)
@@ -236,7 +229,7 @@ def least_alike(key: np.ndarray, doc: np.ndarray, around: np.ndarray, least: int
     return np.where(best < none, best, -1)
 
 
-def candidates(around: DataFrame, least: int, percent: int, key_words: int) -> DataFrame:
+def candidates(around: DataFrame, least: int, percent: int, size: int) -> DataFrame:
     """(first_id, doc_id): for each place the least document that is alike about it, among all documents of its key."""
     bounded_batches(around.sparkSession)
 
@@ -245,7 +238,7 @@ def candidates(around: DataFrame, least: int, percent: int, key_words: int) -> D
             table = pa.Table.from_batches(held).combine_chunks()
             key, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
             found = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(key), -1)
-            best = least_alike(key, doc, found, least, percent, key_words - WIDTH + 1)
+            best = least_alike(key, doc, found, least, percent, size - WIDTH + 1)
             target = np.flatnonzero(best >= 0)
             both = np.unique(np.column_stack((doc[best[target]], doc[target])), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["first_id", "doc_id"])
@@ -318,10 +311,11 @@ def verify(pairs: DataFrame, docs: DataFrame, least: int = LEAST, percent: int =
     return both.select("first_id", "doc_id", "first_text", "text").mapInArrow(frugal(run), "doc_id long, first_id long, start_word long, end_word long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75, hashes: int = HASHES) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
     """(doc_id, start_word, end_word, first_id): merged spans of each document, and the least document that has one."""
-    places = materialize(shared_places(windows(docs, least, hashes)), "places")
-    spans = verify(candidates(contexts(docs, places, least, WIDTH + CONTEXT), least, percent, WIDTH + CONTEXT), docs, least, percent)
+    size, _ = key_words(least, percent)
+    places = materialize(shared_places(windows(docs, least, percent)), "places")
+    spans = verify(candidates(contexts(docs, places, least, size), least, percent, size), docs, least, percent)
     own = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     past = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", (past.isNull() | (F.col("start_word") >= past)).cast("int"))

@@ -396,6 +396,10 @@ def test_near_copies_beside_a_lesser_document_with_their_lead_in(spark):
     assert _near_found(spark, 300, 60, 40) >= 297
 
 
+def test_near_copies_of_fifty_words(spark):
+    assert _near_found(spark, 400, 50, 0) == 400
+
+
 def test_repeated_passages(docs, empty, texts):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in enumerate(texts)}
     first, exact = {}, collections.defaultdict(set)
