@@ -57,7 +57,7 @@ def directed(edges: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     both = edges.select("src", "pred", F.lit(False).alias("inverse"), "dst").unionByName(edges.select(F.col("dst").alias("src"), "pred", F.lit(True).alias("inverse"), F.col("src").alias("dst")))
     if relations is None:
         return both
-    return both.join(F.broadcast(relations.select(F.col("predicate").alias("pred"), "inverse").distinct().limit(10_000)), ["pred", "inverse"], "left_semi").select("src", "pred", "inverse", "dst")
+    return both.join(relations.select(F.col("predicate").alias("pred"), "inverse").distinct(), ["pred", "inverse"], "left_semi").select("src", "pred", "inverse", "dst")
 
 
 def adjacency(edges: DataFrame, labels: DataFrame, relations: DataFrame | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def folds(seeds: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def fold_assignments(branches: DataFrame) -> DataFrame:
     """(test, validation, training): ordered pairs of different branches, the rest in order. Branches are few."""
-    names = branches.select("branch").distinct().limit(1000)
+    names = branches.select("branch").distinct()
     every = names.agg(F.sort_array(F.collect_set("branch")).alias("all"))
     pairs = names.select(F.col("branch").alias("test")).join(F.broadcast(names.select(F.col("branch").alias("validation"))), F.col("test") != F.col("validation"))
     return pairs.join(F.broadcast(every), how="cross").select("test", "validation", F.array_except("all", F.array("test", "validation")).alias("training"))

@@ -146,7 +146,7 @@ def two_phase_bfs(edges: DataFrame, seeds: DataFrame, first: DataFrame, later: D
     marks = decided.select("seed", "node", F.lit(True).alias("own")).distinct()
     while True:
         depth += 1
-        hop = links.join(F.broadcast((first if depth == 1 else later).select(F.col("predicate").alias("pred")).distinct().limit(10_000)), "pred", "left_semi").select("src", "dst")
+        hop = links.join((first if depth == 1 else later).select(F.col("predicate").alias("pred")).distinct(), "pred", "left_semi").select("src", "dst")
         near = level.filter("expands").select("seed", F.col("node").alias("src")).join(hop, "src").select("seed", F.col("dst").alias("node")).distinct()
         near = near.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").join(marks, ["seed", "node"], "left")
         if not bridges:

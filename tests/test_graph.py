@@ -220,3 +220,17 @@ def test_analogies_probabilities_and_evidence(spark):
     assert sinks.flat_metrics(spark.createDataFrame([("f1", 0.5)], "name string, value double")).first().f1 == 0.5
     votes = sampling.vote(spark.createDataFrame([(1, 10), (1, 11)], "query int, id int"), spark.createDataFrame([(10, 1), (11, 0)], "id int, label int"), 0.6)
     assert (votes.first().score, votes.first().prediction) == (0.5, 0)
+
+
+def test_more_relations_and_branches_than_any_bound(spark):
+    from arborix.operators import graph, sampling, traverse
+
+    n = 10_500
+    edges = spark.range(n).selectExpr("'a' AS src", "concat('p', id) AS pred", "concat('n', id) AS dst")
+    assert graph.directed(edges, graph.relation_specs(edges)).count() == 2 * n
+    seeds = spark.createDataFrame([("a",)], "node string")
+    decided = edges.selectExpr("'a' AS seed", "dst AS node")
+    predicates = edges.selectExpr("pred AS predicate")
+    assert traverse.two_phase_bfs(edges, seeds, predicates, predicates, decided).filter("depth = 1").count() == n
+    branches = spark.range(1_100).selectExpr("concat('b', id) AS branch")
+    assert sampling.fold_assignments(branches).count() == 1_100 * 1_099
