@@ -101,14 +101,14 @@ class Points:
         if g == to:
             return self.rows[g, g]
         if (g, to) not in self.rows:
-            self.rows[g, to] = self.rows[g, g].reshape(-1, to, g // to).sum(axis=2, dtype=np.uint16)
+            self.rows[g, to] = self.rows[g, g].reshape(-1, to, g // to).sum(axis=2, dtype=np.uint32)
         return self.rows[g, to]
 
     def boxes(self) -> np.ndarray:
         """All points folded to GROUPS coordinates; a full count is endless."""
         out = np.empty((len(self.length), GROUPS), np.uint16)
         for g in np.unique(self.length).tolist():
-            out[self.length == g] = self.folded(g, GROUPS)
+            out[self.length == g] = np.minimum(self.folded(g, GROUPS), 65535)
         out[self.full] = 65535
         return out
 

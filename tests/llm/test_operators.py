@@ -326,6 +326,12 @@ def test_points_bound_the_overlap():
             assert bound[0] * (len(a) + len(b)) >= len(np.intersect1d(a, b)) - 1e-6
 
 
+def test_boxes_of_points_of_very_long_texts():
+    points = jaccard.Points([bytes([40]) * 65536, bytes([3]) * 65536])
+    assert (points.boxes() == np.array([[65535], [3 * 2048]])).all()
+    assert (points.folded(65536, 32) == np.array([[40 * 2048], [3 * 2048]])).all()
+
+
 def test_connected_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (70, 70)] + [(300, 300 + i) for i in range(1, 30)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
