@@ -85,6 +85,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, list]]:
     """(ids, UTF-8 texts) of a batch in runs of about ``size`` bytes, in order."""
     ids, found = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()

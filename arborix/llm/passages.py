@@ -4,16 +4,20 @@ Every run of five words is a token. A stretch of ``least`` words with 75 % of co
 a run of 24 words in it is equal, edited words aside. The hashes of runs of ``KEY`` words have a Cartesian tree over each
 text; each node has the widest run in which its hash is the least: a compact window. Nodes of windows of 13 and more, the top
 of the tree, are the minima of all 13 runs on end, so each 24 equal words hold a node that both texts have, under one key.
-The tokens about all places of one key are compared: each place is held against those of lesser documents one after another,
-until one is alike, so no document hides another. The texts of such pairs are then compared and what repeats is a span.
+Places of one key are alike if 44 equal words on end hold the key, or if 24 or more end at an edit of a few words and go on
+beyond it, with 48 words in all. Each such pair of runs is a hash, and places with one hash meet by sorting: the work grows
+with the places, not with their pairs, and no document hides another. The texts of pairs that meet are then compared and
+what repeats is a span.
 
 A span is a run of words in which each stretch of ``least`` words has the stated Jaccard similarity of five-word tokens
 with the other text (equal passages, or near-equal ones), trimmed to tokens that both have.
 
 * Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased. Texts of fewer than ``least`` words have no spans, nor
   have null or empty ones. Only repeats across documents count; the document with the least id keeps its passage.
-* Repeated rows with one id are one document. Rows without an id have no spans. Extra columns are ignored by ``repeats``
-  and kept by ``without_repeats``. Texts of any length are used whole. An empty table gives no rows.
+* A unit is a text, named by its 64-bit hash; it belongs to the least document that has it. Further documents with it are
+  spans as a whole. Repeated rows are one; an id with several texts has spans for each of them (``unit`` tells which).
+* Rows without an id have no spans. Extra columns, whatever their names, are ignored by ``repeats`` and kept by
+  ``without_repeats``. Texts of any length are used whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, chunks, frugal, materialize, mix, shingles, texts, texts_of, word_hashes
+from .common import BROADCAST_IDS, bounded_batches, chunks, free_name, frugal, hot_join, materialize, mix, shingles, word_hashes
 
 LEAST, WIDTH, KEY = 50, 5, 12
-#: Tokens about a place beyond a stretch of ``LEAST`` words, for words that one of two texts has more.
-MARGIN = 8
+#: Words that an edit takes at most.
+GAP = 4
+#: Places of a key that one task holds at most (about 1 KB each); keys of more are met by grouping their hashes.
+HOT = 50_000
 
 
 def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,32 +113,49 @@ def key_words(least: int, percent: int) -> tuple[int, int]:
     return tokens + WIDTH - 1, equal - tokens + 1
 
 
-def windows(docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
-    """(key, doc_id, place): nodes of the compact windows of runs of words, each filed under its own words."""
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, unit, text): rows with an id and a text; ``unit`` is the text's hash."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("unit"), text.alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def units_of(docs: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """(doc_id, text, unit) of the rows among ``wanted`` (doc_id, unit), a stored table, or of all others."""
+    some = wanted.select("doc_id", "unit").distinct()
+    return units(docs).join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, ["doc_id", "unit"], how).select("doc_id", "text", "unit")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, unit, first_id): documents with a text that belongs to a lesser document, stored."""
+    rows = units(docs).select("doc_id", "unit").distinct()
+    several = rows.groupBy("unit").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = materialize(several, "copied")
+    return materialize(hot_join(rows, several.drop("n"), "unit", several.select("unit", "n"), how="inner").filter("doc_id > first_id"), "copies")
+
+
+def windows(docs: DataFrame, least: int = LEAST, percent: int = 75, but: DataFrame | None = None) -> DataFrame:
+    """(key, doc_id, unit, place): nodes of the compact windows of runs of words, each filed under its own words; not of the texts in ``but``."""
     bounded_batches(docs.sparkSession)
     size, among = key_words(least, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, found in chunks(batch, 8 << 20):
+            at_unit = 0
+            for ids, found in chunks(batch.select([0, 1]), 8 << 20):
+                unit = batch.column(2).slice(at_unit, len(ids)).to_numpy()
+                at_unit += len(ids)
                 words, _, _, bounds = word_hashes(found, lower=True)
                 keys, at = shingles(words, bounds, size)
                 node, _, _ = compact_windows(mix(keys ^ np.uint64(0x9E3779B97F4A7C15)), at, among)
                 text = np.repeat(np.arange(len(found)), np.diff(at))[node]
-                doc = np.array([0 if x is None else x for x in ids], np.int64)
-                fits = np.array([x is not None for x in ids], bool)[text] & (np.diff(bounds)[text] >= least)
+                fits = np.diff(bounds)[text] >= least
                 node, text = node[fits], text[fits]
+                doc = np.array(ids, np.int64)
                 key, text, start = distinct_places(keys[node], text, node - at[text], words, bounds, size, least)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array(start.astype(np.int32))], names=["key", "doc_id", "place"])
-
-    return texts(docs).mapInArrow(frugal(run), "key long, doc_id long, place int")
-
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[text]), pa.array(unit[text]), pa.array(start.astype(np.int32))], names=["key", "doc_id", "unit", "place"])
 
-def shared_places(own: DataFrame) -> DataFrame:
-    """(doc_id, places): all windows of ``own`` under keys of two documents or more."""
-    keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    met = own.join(keys, "key", "left_semi").select("doc_id", "place")
-    return met.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    rows = units_of(docs, but, "left_anti") if but is not None else units(docs).select("doc_id", "text", "unit")
+    return rows.mapInArrow(frugal(run), "key long, doc_id long, unit long, place int")
 
 
 def needed(least: int, percent: int) -> tuple[int, int]:
@@ -145,103 +168,185 @@ def needed(least: int, percent: int) -> tuple[int, int]:
     return need, need // ((width - need) // (WIDTH - 1) + 1)
 
 
-def contexts(docs: DataFrame, places: DataFrame, least: int, size: int) -> DataFrame:
-    """(key, doc_id, around): 16 bits of each token about the places, with all stretches of ``least`` words that hold the key and ``MARGIN``; 0 outside of the text."""
+class Shape:
+    """What places that are alike have in common, in words: see ``repeats``.
+
+    ``need`` equal words on end that hold the key; or ``run`` of them or more that end at an edit, beyond which ``WIDTH`` or
+    more are equal too, both together ``need`` and ``WIDTH - 1`` more. Edits of at most ``edit`` words in the greater
+    document, of at most ``GAP`` in the lesser one.
+    """
+
+    def __init__(self, least: int, percent: int):
+        need, equal = needed(least, percent)
+        self.size, _ = key_words(least, percent)
+        self.need, self.run = need + WIDTH - 1, max(equal + WIDTH - 1, self.size)
+        self.beyond = self.need - self.run  # most tokens beyond the edit
+        self.edit = min(GAP, least - WIDTH + 1 - need - (WIDTH - 1))
+        self.reach = max(self.need - self.size, self.run + GAP + self.beyond + WIDTH - 1 - self.size, 1)
+
+
+def shared_places(own: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(unit, doc_id, places) of all windows under keys of two documents or more: of keys of up to ``hot`` places, and of the others."""
+    keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    met = materialize(own.join(keys.select("key", (F.col("n") > hot).alias("hot")), "key").select("unit", "doc_id", "place", "hot").groupBy("unit", "doc_id", "hot").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    return met.filter("NOT hot").drop("hot"), met.filter("hot").drop("hot")
+
+
+def contexts(docs: DataFrame, places: DataFrame, shape: Shape) -> DataFrame:
+    """(key, doc_id, unit, place, around): a byte of each word's hash about the places; 0 outside of the text."""
     bounded_batches(docs.sparkSession)
-    joined = texts_of(docs, places).join(places, "doc_id")
-    reach = least - size + MARGIN
-    about = np.arange(-reach, size - WIDTH + 1 + reach)
+    joined = units_of(docs, places).join(places, ["doc_id", "unit"])
+    about = np.arange(-shape.reach, shape.size + shape.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
+            ids, units, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for _, found in chunks(batch.select([0, 1])):
                 words, _, _, bounds = word_hashes(found, lower=True)
-                tokens, token_at = shingles(words, bounds, WIDTH)
-                keys, key_at = shingles(words, bounds, size)
-                short = (tokens % np.uint64(0xFFFF) + np.uint64(1)).astype(np.uint16)
+                keys, key_at = shingles(words, bounds, shape.size)
+                short = (words % np.uint64(0xFF) + np.uint64(1)).astype(np.uint8)
                 for k in range(len(found)):
-                    own = np.array(batch.column(2)[at + k].as_py(), np.int64)
-                    own = own[own < key_at[k + 1] - key_at[k]]
+                    own = np.array(batch.column(3)[at + k].as_py(), np.int64)
                     for x in range(0, len(own), 20_000):
                         some = own[x : x + 20_000]
-                        where = some[:, None] + about + token_at[k]
-                        inside = (where >= token_at[k]) & (where < token_at[k + 1])
-                        around = np.where(inside, short[np.clip(where, 0, len(short) - 1)], np.uint16(0))
-                        around = pa.Array.from_buffers(pa.binary(2 * len(about)), len(some), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[key_at[k] + some].view(np.int64)), pa.array(np.full(len(some), ids[at + k], np.int64)), around], names=["key", "doc_id", "around"])
+                        where = some[:, None] + about + bounds[k]
+                        inside = (where >= bounds[k]) & (where < bounds[k + 1])
+                        around = np.where(inside, short[np.clip(where, 0, len(short) - 1)], np.uint8(0))
+                        around = pa.Array.from_buffers(pa.binary(len(about)), len(some), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
+                        same = lambda v: pa.array(np.full(len(some), v, np.int64))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[key_at[k] + some].view(np.int64)), same(ids[at + k]), same(units[at + k]), pa.array(some.astype(np.int32)), around], names=["key", "doc_id", "unit", "place", "around"])
                 at += len(found)
 
-    return joined.select("doc_id", "text", "places").mapInArrow(frugal(run), "key long, doc_id long, around binary")
-
-
-def alike(a: np.ndarray, b: np.ndarray, width: int, need: int) -> np.ndarray:
-    """For each row, whether ``width`` tokens on end of ``a``, but for its margins, have ``need`` or more among those of ``b``."""
-    inner = a[:, MARGIN:-MARGIN]
-
-    def enough(same: np.ndarray) -> np.ndarray:
-        sums = np.zeros((len(same), same.shape[1] + 1), np.int16)
-        np.cumsum(same, axis=1, out=sums[:, 1:])
-        return (sums[:, width:] - sums[:, :-width]).max(axis=1) >= need
-
-    out = enough((inner == b[:, MARGIN:-MARGIN]) & (inner != 0))
-    rest = np.flatnonzero(~out)
-    if len(rest):  # words put in or left out shift the tokens
-        row = np.arange(len(rest), dtype=np.uint64)[:, None] << np.uint64(16)
-        have = np.sort(row | b[rest].astype(np.uint64), axis=1).ravel()
-        asked = row | inner[rest].astype(np.uint64)
-        same = have[np.minimum(np.searchsorted(have, asked), len(have) - 1)] == asked
-        out[rest] = enough(same & (inner[rest] != 0))
-    return out
-
-
-def least_alike(key: np.ndarray, doc: np.ndarray, around: np.ndarray, least: int, percent: int, key_tokens: int) -> np.ndarray:
-    """For each row, in the order of key and document, the first row of its key and another document that is alike, or -1.
-
-    Rows that are alike have an equal run of tokens about the key, so only those that share one are compared; of these
-    each is held against one after another until one is found.
-    """
-    n, width = len(key), least - WIDTH + 1
-    need, equal = needed(least, percent)
-    equal = max(equal, key_tokens)
-    none = np.int64(n)
-    best = np.full(n, none)
-    middle = least - WIDTH + 1 - key_tokens + MARGIN
-    for offset in range(equal - key_tokens + 1):
-        value = key.view(np.uint64).copy()
-        for i in range(equal):
-            value = value * np.uint64(0xD6E8FEB86659FD93) + around[:, middle - offset + i]
-        order = np.argsort(mix(value), kind="stable")
-        new = np.concatenate(([True], value[order][1:] != value[order][:-1]))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        turn = np.flatnonzero(np.arange(n) > first)
-        k = 0
-        while len(turn):
-            source, target = order[first[turn] + k], order[turn]
-            left = source < np.minimum(best[target], target)
-            turn, source, target = turn[left], source[left], target[left]
-            other = np.flatnonzero(doc[source] != doc[target])
-            for x in range(0, len(other), 5000):
-                some = other[x : x + 5000]
-                hit = some[alike(around[target[some]], around[source[some]], width, need)]
-                best[target[hit]] = source[hit]
-            k += 1
-    return np.where(best < none, best, -1)
-
-
-def candidates(around: DataFrame, least: int, percent: int, size: int) -> DataFrame:
-    """(first_id, doc_id): for each place the least document that is alike about it, among all documents of its key."""
+    return joined.select("doc_id", "text", "unit", "places").mapInArrow(frugal(run), "key long, doc_id long, unit long, place int, around binary")
+
+
+class Around:
+    """Contexts of some places, rows in the order of key and document, with hashes of any run of their words."""
+
+    def __init__(self, key: np.ndarray, doc: np.ndarray, around: list[bytes], shape: Shape):
+        self.doc, self.shape, self.seed = doc, shape, mix(key.view(np.uint64))
+        self.words = np.ascontiguousarray(np.frombuffer(b"".join(around), np.uint8).reshape(len(key), -1).T)
+        self.sums = np.zeros((len(self.words) + 1, len(key)), np.uint64)
+        for i, word in enumerate(self.words):
+            np.multiply(self.sums[i], _STEP, out=self.sums[i + 1])
+            self.sums[i + 1] += word
+
+    def run(self, start: int | np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+        return self.sums[start + n, rows] - self.sums[start, rows] * np.uint64(pow(int(_STEP), n, 1 << 64))
+
+    def inside(self, start: int | np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+        return (self.words[start, rows] != 0) & (self.words[start + n - 1, rows] != 0)
+
+    def exact(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, rows) of each run of ``need`` words that holds the key."""
+        s, rows = self.shape, np.arange(len(self.doc))
+        for start in range(s.reach + s.size - s.need, s.reach + 1):
+            own = rows[self.inside(start, s.need, rows)]
+            yield mix(self.run(start, s.need, own) ^ self.seed[own]), own
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, hashes, rows) of each run of ``run`` words that holds the key."""
+        s, rows = self.shape, np.arange(len(self.doc))
+        for start in range(s.reach + s.size - s.run, s.reach + 1):
+            own = rows[self.inside(start, s.run, rows)]
+            yield start, mix(self.run(start, s.run, own) ^ self.seed[own]), own
+
+    def beyond(self, start: int, after: bool, gaps: np.ndarray, n: int) -> np.ndarray:
+        """Where the ``n`` words beyond edits of ``gaps`` words after (or before) the run at ``start`` begin."""
+        return start + self.shape.run + gaps if after else start - gaps - n
+
+    def edits(self, start: int, after: bool, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, words beside the run, rows, gaps): the run at ``start`` and ``WIDTH`` words beyond an edit of each size."""
+        gaps, rows = np.repeat(np.arange(GAP + 1), len(rows)), np.tile(rows, GAP + 1)
+        at = self.beyond(start, after, gaps, WIDTH)
+        keep = self.inside(at, WIDTH, rows)
+        gaps, rows, at = gaps[keep], rows[keep], at[keep]
+        value = mix(mix(self.run(start, self.shape.run, rows) ^ self.seed[rows]) + mix(self.run(at, WIDTH, rows)))
+        return value, self.words[start + self.shape.run if after else start - 1, rows], rows, gaps
+
+    def both(self, start: int, after: bool, n: int, rows: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, which of the rows have them): ``n`` tokens beyond the edit, and as many before it as make up the rest."""
+        s, words = self.shape, n + WIDTH - 1
+        own, at = s.need - n, self.beyond(start, after, gaps, words)
+        first = start + s.run - own if after else start
+        have = self.inside(first, own, rows) & self.inside(at, words, rows)
+        rows, at = rows[have], at[have]
+        return mix(mix(self.run(first, own, rows) ^ self.seed[rows]) + mix(self.run(at, words, rows) + np.uint64(n))), have
+
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begin of each group of equal values in it, size of each)."""
+    order = np.argsort(values)
+    begin = np.flatnonzero(np.concatenate(([True], values[order][1:] != values[order][:-1])))
+    return order, begin, np.diff(np.append(begin, len(values)))
+
+
+def least_alike(a: Around) -> np.ndarray:
+    """For each row the least row of its key and a lesser document that is alike, or -1. Equal hashes are met by sorting; no pairs are compared."""
+    n, doc = len(a.doc), a.doc
+    best = np.full(n, n)
+
+    def meet(values: np.ndarray, rows: np.ndarray, may: np.ndarray | None = None) -> None:
+        if len(values) > 1:
+            order, begin, sizes = _groups(values)
+            first = np.repeat(np.minimum.reduceat(rows[order], begin), sizes)
+            own = rows[order]
+            hit = doc[first] < doc[own]
+            if may is not None:
+                hit &= may[order]
+            np.minimum.at(best, own[hit], first[hit])
+
+    def hopeful(values: np.ndarray, rows: np.ndarray, beside: np.ndarray | None = None) -> np.ndarray:
+        """Rows of groups in which a row that has no partner yet may find one."""
+        out = np.zeros(len(rows), bool)
+        if len(values) > 1:
+            order, begin, sizes = _groups(values)
+            own = rows[order]
+            asks = (best[own] == n) & (doc[np.repeat(np.minimum.reduceat(own, begin), sizes)] < doc[own])
+            some = np.logical_or.reduceat(asks, begin)
+            if beside is not None:  # if all have the same word there, it isn't edited
+                some &= np.minimum.reduceat(beside[order], begin) < np.maximum.reduceat(beside[order], begin)
+            out[order] = np.repeat(some, sizes)
+        return out
+
+    for values, rows in a.exact():
+        meet(values, rows)
+    if a.shape.edit >= 0 and a.shape.beyond > 0:
+        for start, values, rows in a.runs():
+            found = rows[hopeful(values, rows)]
+            for after in (True, False) if len(found) else ():
+                values, beside, rows, gaps = a.edits(start, after, found)
+                keep = hopeful(values, rows, beside)
+                rows, gaps = rows[keep], gaps[keep]
+                for tokens in range(1, a.shape.beyond + 1):
+                    if not len(rows):
+                        break
+                    values, have = a.both(start, after, tokens, rows, gaps)
+                    meet(values, rows[have], gaps[have] <= a.shape.edit)
+                    words = tokens + WIDTH
+                    on = a.inside(a.beyond(start, after, gaps, words), words, rows) if tokens < a.shape.beyond else np.zeros(len(rows), bool)
+                    rows, gaps = rows[on], gaps[on]
+                    values = mix(a.run(start, a.shape.run, rows) ^ a.seed[rows]) + mix(a.run(a.beyond(start, after, gaps, words), words, rows))
+                    on = hopeful(values, rows)
+                    rows, gaps = rows[on], gaps[on]
+    return np.where(best < n, best, -1)
+
+
+def candidates(around: DataFrame, shape: Shape) -> DataFrame:
+    """(first_unit, unit): for each place the least document that is alike about it, among all documents of its key."""
     bounded_batches(around.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            key, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
-            found = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(key), -1)
-            best = least_alike(key, doc, found, least, percent, size - WIDTH + 1)
+            key, doc, unit = (table.column(i).to_numpy() for i in range(3))
+            best = least_alike(Around(key, doc, table.column(3).to_pylist(), shape))
             target = np.flatnonzero(best >= 0)
-            both = np.unique(np.column_stack((doc[best[target]], doc[target])), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["first_id", "doc_id"])
+            both = np.unique(np.column_stack((unit[best[target]], unit[target])), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["first_unit", "unit"])
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -251,7 +356,7 @@ def candidates(around: DataFrame, least: int, percent: int, size: int) -> DataFr
             key = batch.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if held and (cut or held[-1].column(0)[held[-1].num_rows - 1].as_py() != key[0]):
-                if rows >= 20_000:
+                if rows >= 30_000:
                     yield pairs([*held, batch.slice(0, cut)] if cut else held)
                     held, rows, batch = [], 0, batch.slice(cut)
             held.append(batch)
@@ -259,7 +364,70 @@ def candidates(around: DataFrame, least: int, percent: int, size: int) -> DataFr
         if held:
             yield pairs(held)
 
-    return around.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(run), "first_id long, doc_id long").distinct()
+    dealt = around.select("key", "doc_id", "unit", "around").repartition("key").sortWithinPartitions("key", "doc_id")
+    return dealt.mapInArrow(frugal(run), "first_unit long, unit long").distinct()
+
+
+def least_of(met: DataFrame) -> DataFrame:
+    """(first_unit, unit) from (value, doc_id, unit, may): each that may with the least document of its value, if lesser."""
+    least = met.groupBy("value").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("high")).filter("first.doc_id < high")
+    pairs = met.filter("may").join(least, "value").filter("first.doc_id < doc_id")
+    return pairs.select(F.col("first.unit").alias("first_unit"), "unit").distinct()
+
+
+def hot_candidates(around: DataFrame, shape: Shape) -> DataFrame:
+    """As ``candidates``, for keys of very many places: hashes are met by grouping rows of them, so no task holds a key.
+
+    Two rounds for edits: the run and the words next beyond the edit first, and all lengths for what meets in them.
+    """
+    bounded_batches(around.sparkSession)
+    around = materialize(around.withColumn("row", F.monotonically_increasing_id()), "hot-contexts")
+    names = ["value", "doc_id", "unit", "may"]
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Around]]:
+        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        yield batch, Around(key, doc, batch.column(4).to_pylist(), shape)
+
+    def out(batch: pa.RecordBatch, values: np.ndarray, rows: np.ndarray, may: np.ndarray) -> pa.RecordBatch:
+        doc, unit = (batch.column(i).to_numpy()[rows] for i in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(doc), pa.array(unit), pa.array(may)], names=names)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a in (x for b in batches for x in blocks(b)):
+            for values, rows in a.exact():
+                yield out(batch, values, rows, np.ones(len(rows), bool))
+
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a in (x for b in batches for x in blocks(b)):
+            doc, row = batch.column(1).to_numpy(), batch.column(5).to_numpy()
+            for start, _, own in a.runs():
+                for after in (False, True):
+                    values, beside, rows, gaps = a.edits(start, after, own)
+                    code = (start * 2 + after) * (GAP + 1) + gaps
+                    yield pa.RecordBatch.from_arrays([pa.array((values + np.uint64(after)).view(np.int64)), pa.array(beside.astype(np.int16)), pa.array(doc[rows]), pa.array(row[rows]), pa.array(code.astype(np.int32))], names=["value", "beside", "doc_id", "row", "code"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a in (x for b in batches for x in blocks(b)):
+            lists = batch.column(6).combine_chunks() if isinstance(batch.column(6), pa.ChunkedArray) else batch.column(6)
+            rows_of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            codes = lists.flatten().to_numpy().astype(np.int64)
+            for code in np.unique(codes // (GAP + 1)).tolist():
+                at = codes // (GAP + 1) == code
+                rows, gaps, after = rows_of[at], codes[at] % (GAP + 1), bool(code % 2)
+                for tokens in range(1, shape.beyond + 1):
+                    on = a.inside(a.beyond(code // 2, after, gaps, tokens + WIDTH - 1), tokens + WIDTH - 1, rows)
+                    rows, gaps = rows[on], gaps[on]
+                    values, have = a.both(code // 2, after, tokens, rows, gaps)
+                    yield out(batch, mix(values + np.uint64(code)), rows[have], gaps[have] <= shape.edit)
+
+    found = least_of(around.mapInArrow(frugal(exact), "value long, doc_id long, unit long, may boolean"))
+    if shape.edit < 0 or shape.beyond <= 0:
+        return found
+    first = around.mapInArrow(frugal(edits), "value long, beside short, doc_id long, row long, code int")
+    several = first.groupBy("value").agg(F.min("beside").alias("a"), F.max("beside").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).filter("a < b AND c < d").select("value")
+    asked = first.join(several, "value", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    met = around.join(asked, "row").select(*around.columns, "codes").mapInArrow(frugal(both), "value long, doc_id long, unit long, may boolean")
+    return found.unionByName(least_of(met)).distinct()
 
 
 def repeated_spans(first: np.ndarray, tokens: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
@@ -286,54 +454,63 @@ def repeated_spans(first: np.ndarray, tokens: np.ndarray, least: int, percent: i
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
-    """(doc_id, first_id, start_word, end_word): what the pairs' texts repeat."""
+def verify(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
+    """(unit, doc_id, first_id, start_word, end_word): what the pairs' (first_unit, unit) texts repeat. ``owners``: (unit, doc_id)."""
     bounded_batches(docs.sparkSession)
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("first_id", "doc_id")).alias("doc_id")).distinct()
-    found = materialize(texts_of(docs, wanted).groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(found, "doc_id").join(found.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
+    wanted = materialize(pairs.select(F.explode(F.array("first_unit", "unit")).alias("unit")).distinct().join(owners, "unit"), "wanted")
+    found = materialize(units_of(docs, wanted).dropDuplicates(["unit"]), "texts")
+    first = found.select(F.col("unit").alias("first_unit"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
+    both = pairs.join(found, "unit").join(first, "first_unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            text = {i: x for at, own in ((2, firsts), (3, ids)) for i, x in zip(own, batch.column(at).cast(pa.binary()).to_pylist(), strict=True)}
+            firsts, own, first_ids, ids = (batch.column(i).to_pylist() for i in range(4))
+            text = {u: x for at, of in ((4, firsts), (5, own)) for u, x in zip(of, batch.column(at).cast(pa.binary()).to_pylist(), strict=True)}
             tokens: dict[int, np.ndarray] = {}
             for some, raw in chunks(pa.RecordBatch.from_arrays([pa.array(list(text), pa.int64()), pa.array(list(text.values()), pa.binary())], names=["i", "t"])):
                 words, _, _, bounds = word_hashes(raw, lower=True)
                 values, at = shingles(words, bounds, WIDTH)
-                tokens |= {i: values[x:y] for i, x, y in zip(some, at, at[1:], strict=False)}
-            ordered = {i: np.sort(tokens[i]) for i in {*firsts}}
-            rows = [(d, f, a, b) for f, d in zip(firsts, ids, strict=True) for a, b in repeated_spans(ordered[f], tokens[d], least, percent)]
+                tokens |= {u: values[x:y] for u, x, y in zip(some, at, at[1:], strict=False)}
+            ordered = {u: np.sort(tokens[u]) for u in {*firsts}}
+            rows = [(u, d, f, a, b) for first_unit, u, f, d in zip(firsts, own, first_ids, ids, strict=True) for a, b in repeated_spans(ordered[first_unit], tokens[u], least, percent)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "first_id", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["unit", "doc_id", "first_id", "start_word", "end_word"])
 
-    return both.select("first_id", "doc_id", "first_text", "text").mapInArrow(frugal(run), "doc_id long, first_id long, start_word long, end_word long")
+    return both.select("first_unit", "unit", "first_id", "doc_id", "first_text", "text").mapInArrow(frugal(run), "unit long, doc_id long, first_id long, start_word long, end_word long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
-    """(doc_id, start_word, end_word, first_id): merged spans of each document, and the least document that has one."""
-    size, _ = key_words(least, percent)
-    places = materialize(shared_places(windows(docs, least, percent)), "places")
-    spans = verify(candidates(contexts(docs, places, least, size), least, percent, size), docs, least, percent)
-    own = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75, hot: int = HOT) -> DataFrame:
+    """(doc_id, unit, start_word, end_word, first_id): merged spans of each document's text, and the least document that has one."""
+    shape, copied = Shape(least, percent), copies(docs)
+    cold, crowded = shared_places(windows(docs, least, percent, copied), hot)
+    pairs = candidates(contexts(docs, cold, shape), shape)
+    if crowded.limit(1).count():
+        pairs = pairs.unionByName(hot_candidates(contexts(docs, crowded, shape), shape)).distinct()
+    owners = cold.select("unit", "doc_id").unionByName(crowded.select("unit", "doc_id")).distinct()
+    spans = verify(pairs, owners, docs, least, percent)
+    own = Window.partitionBy("unit").orderBy("start_word", "end_word")
     past = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", (past.isNull() | (F.col("start_word") >= past)).cast("int"))
     parts = parts.withColumn("part", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = parts.groupBy("doc_id", "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("first_id"))
-    return merged.select("doc_id", "start_word", "end_word", "first_id")
+    merged = parts.groupBy("unit", "doc_id", "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("first_id"))
+    whole = units_of(docs, copied).distinct().select("doc_id", "unit", F.lit(0).cast("long").alias("start_word"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("end_word"))
+    whole = whole.filter(F.col("end_word") >= least).join(copied, ["doc_id", "unit"])
+    names = ["doc_id", "unit", "start_word", "end_word", "first_id"]
+    return merged.select(*names).unionByName(whole.select(*names))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans (of ``repeats``) cut out of ``text``; other columns stay but ``n_chars``, which follows it.
 
-    White space before a span goes with it. Documents stay, with what is left of their text.
+    White space before a span goes with it. Documents stay, with what is left of their text. Spans go by id and text.
     """
     bounded_batches(docs.sparkSession)
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    joined = docs.join(by_doc, "doc_id", "left")
     names = docs.columns
     at, extra = names.index("text"), len(names)
+    cut, unit = free_name(docs, "spans"), free_name(docs, "unit")
+    by_doc = spans.groupBy(F.col("doc_id"), F.col("unit").alias(unit)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cut))
+    joined = docs.withColumn(unit, F.xxhash64(docs["text"].cast("string"))).join(by_doc, ["doc_id", unit], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +527,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(found, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(extra)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = joined.select(*docs.columns, "_spans").mapInArrow(frugal(run), docs.schema)
+    out = joined.select(*docs.columns, cut).mapInArrow(frugal(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -406,6 +406,54 @@ def test_near_copies_of_fifty_words(spark):
     assert _near_found(spark, 400, 50, 0) == 400
 
 
+def test_keys_of_many_places_give_the_same_pairs(spark):
+    """Hashes grouped by rows find what sorting a key's places finds, and what comparing all pairs finds."""
+    draw = random.Random(5)
+    some = lambda k: [f"w{draw.getrandbits(40):x}" for _ in range(k)]
+    core, rows = some(60), []
+    for i in range(120):
+        copy = core[: draw.choice([30, 45, 60])]
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            at = draw.randrange(len(copy))
+            copy[at : at + draw.choice([0, 1, 2])] = some(draw.choice([0, 1, 2]))
+        rows.append((i, " ".join([*some(draw.choice([0, 30])), *copy, *some(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = passages.Shape(50, 75)
+    found = []
+    for hot in (10**6, 1):
+        cold, crowded = passages.shared_places(passages.windows(docs), hot)
+        pairs = passages.candidates(passages.contexts(docs, cold, shape), shape).unionByName(passages.hot_candidates(passages.contexts(docs, crowded, shape), shape))
+        assert (crowded.count() > 0) == (hot == 1)
+        found.append({r.doc_id for r in pairs.join(passages.units(docs), "unit").collect()})
+    expected = {i for i, t in rows if any(len(shingle_tuples(t) & shingle_tuples(u)) >= 40 and passages_alike(t, u) for j, u in rows[:i])}
+    assert expected <= found[0] == found[1] and len(expected) > 40
+    assert {r.doc_id for r in passages.repeats(docs, hot=1).collect()} == {r.doc_id for r in passages.repeats(docs).collect()} >= expected
+
+
+def shingle_tuples(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def passages_alike(t, u):
+    """Whether 50 words on end of ``t`` have 40 of their 46 tokens in ``u``."""
+    w, other = t.split(), shingle_tuples(u)
+    same = [tuple(w[i : i + 5]) in other for i in range(len(w) - 4)]
+    return any(sum(same[i : i + 46]) >= 40 for i in range(len(same) - 45))
+
+
+def test_one_id_with_several_texts_and_clashing_columns(spark):
+    draw = random.Random(9)
+    some = lambda k: " ".join(f"w{draw.getrandbits(30):x}" for _ in range(k))
+    a, b, c = some(60), some(70), some(55)
+    rows = [(1, a, "x", 1), (1, b, "x", 2), (2, f"{a} tail", "y", 3), (2, some(5), "y", 4), (3, f"{b} {c}", "z", 5), (4, a, "u", 6), (4, a, "u", 6), (5, None, "v", 7), (None, a, "n", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string, unit int")
+    spans = passages.repeats(docs)
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_id) for r in spans.collect()} == {(2, 0, 60, 1), (3, 0, 70, 1), (4, 0, 60, 1)}
+    cut = passages.without_repeats(docs, spans)
+    assert cut.columns == docs.columns and {(r.doc_id, (r.text or "").strip(), r._spans, r.unit) for r in cut.collect()} == {(i, "tail" if t and t.endswith("tail") else c if i == 3 else "" if i == 4 else t or "", x, k) for i, t, x, k in rows}
+
+
 def test_repeated_passages(docs, empty, texts):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in enumerate(texts)}
     first, exact = {}, collections.defaultdict(set)
