@@ -2,7 +2,9 @@
 
 A document's set holds its distinct shingles. Equal sets are one node. By the prefix principle two sets of Jaccard
 similarity t or more share one of the first ``n - ceil(t n) + 1`` shingles in any global order; the order here puts
-frequent shingles last, so blocks of nodes that share such a shingle are small. Shingles are also hashed into
+frequent shingles last, so blocks of nodes that share such a shingle are small. Frequencies are counted over all documents
+in a sketch (``SKETCH_BITS``) that can only count too much: a shingle in its lowest class has at most ``rare`` documents, so
+its block is gathered within one task; others are frequent and their blocks are met by joins. Shingles are also hashed into
 ``GROUPS`` groups; a node's group counts are a point, and the overlap of two sets is at most the sum of the minima
 of their coordinates. First each node of a block is held against the block's most central node. Blocks whose nodes are
 still in several components are then joined by an R-tree over their points, whose boxes give the same bound; only
@@ -24,17 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, frugal, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
+from .common import bounded_batches, chunks, components, discard, frugal, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
 
-#: Coordinates of a tree's boxes, and of a stored point at most; shingles remembered as frequent at most (8 bytes each,
-#: broadcast); nodes joined in one task.
-GROUPS, MOST_GROUPS, FREQUENT, BLOCK = 32, 1 << 16, 1 << 18, 2000
+#: Coordinates of a tree's boxes, and of a stored point at most; nodes joined in one task.
+GROUPS, MOST_GROUPS, BLOCK = 32, 1 << 16, 2000
+#: Counters of the frequency sketch (2 bytes each in a task; 1 each when broadcast), and the slices they are summed in. With
+#: more shingles a counter the order is coarser and blocks are larger; what is found stays the same.
+SKETCH_BITS, SLICES = 24, 64
 #: Nodes of a block from which its nodes get finer points: among many altered copies of a text, most pairs are nearly
 #: similar enough.
 CROWD = 64
-#: A shingle counts as frequent if in this many documents of a batch (its counts are then summed over batches).
-BATCH_COUNT = 3
-
 
 def shingle_sets(found: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one after the other, and their bounds."""
@@ -108,7 +109,7 @@ class Points:
         """All points folded to GROUPS coordinates; a full count is endless."""
         out = np.empty((len(self.length), GROUPS), np.uint16)
         for g in np.unique(self.length).tolist():
-            out[self.length == g] = np.minimum(self.folded(g, GROUPS), 65535)
+            out[self.length == g] = np.minimum(self.folded(g, GROUPS).astype(np.uint32), 65535)
         out[self.full] = 65535
         return out
 
@@ -135,53 +136,127 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per document (kind 0): id, size n, set_id and point; per frequent shingle of a batch (kind 1): id and its count."""
+    """Per document (kind 0): id, size n, set_id and point; per task and slice of the sketch (kind 1): slice and its counts."""
     bounded_batches(docs.sparkSession)
+    bits, slices = SKETCH_BITS, SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         names, kinds = ["kind", "id", "n", "set_id", "point"], [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
+            np.minimum(counts, 60_000, out=counts)  # a batch adds some thousands at most
             for ids, found in chunks(batch, 16 << 20):
                 sets, bounds = shingle_sets(found, width)
                 n = np.diff(bounds)
                 set_id = mix(_sums(sets, bounds) ^ mix(_sums(mix(sets), bounds) + n.astype(np.uint64))).view(np.int64)
+                np.add.at(counts, (sets >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
                 rows = [np.zeros(len(ids), np.int8), ids, n, pa.array(set_id, mask=n == 0), points(sets, bounds)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
-                common, counts = np.unique(sets, return_counts=True)
-                common, counts = common[counts >= BATCH_COUNT], counts[counts >= BATCH_COUNT]
-                if len(common):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(common), np.int8)), pa.array(common.view(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(len(common), pa.int64()), pa.nulls(len(common), pa.binary())], names=names)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for i, part in enumerate(counts.reshape(slices, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1], [i], [None], [None], [pack(part.tobytes())]), kinds, strict=True)], names=names)
 
     return texts(docs).mapInArrow(frugal(run), "kind byte, id long, n long, set_id long, point binary")
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, width: int = 5) -> DataFrame:
-    """(shingle, set_id) for the shingles of each document's prefix. ``frequent``: ascending hashes, put last."""
+def often(found: DataFrame) -> tuple[np.ndarray, int]:
+    """(class of each counter of the sketch, from 0 to 3; the count up to which the class is 0), from a stored ``profile``.
+
+    2 ** SKETCH_BITS bytes reach the driver, in compressed slices, however large the corpus.
+    """
+    spark = found.sparkSession
+    bounded_batches(spark)
+    bits, slices = SKETCH_BITS, SLICES
+    width = (1 << bits) // slices
+    total = found.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    mean = total / (1 << bits)
+    rare = int(mean + 5 * mean**0.5 + 5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sums.setdefault(i, np.zeros(width, np.int64))
+                own += np.frombuffer(open_(x), np.uint16)
+        for i, own in sums.items():
+            classes = sum((own > rare * 8**k).astype(np.uint8) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(classes.tobytes())], pa.binary())], names=["slice", "classes"])
+
+    dealt = found.filter("kind = 1").select(F.col("id").cast("int").alias("slice"), "point").repartition(slices, "slice")
+    out = np.zeros((slices, width), np.uint8)
+    import zstandard
+
+    for r in dealt.mapInArrow(frugal(run), "slice int, classes binary").collect():
+        out[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["classes"])), np.uint8)
+    return out.ravel(), rare
+
+
+def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, width: int = 5) -> DataFrame:
+    """(shingle, set_id, often) for the shingles of each document's prefix, in the order of their class and then their hash."""
     bounded_batches(docs.sparkSession)
-    handle = docs.sparkSession.sparkContext.broadcast(frequent)
+    handle, bits = docs.sparkSession.sparkContext.broadcast(classes), SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = handle.value
-        seen = np.zeros(1 << 20, bool)  # by the leading bits: most shingles need no search
-        seen[last >> np.uint64(44)] = True
         for batch in batches:
             for _, found in chunks(batch, 8 << 20):
                 sets, bounds = shingle_sets(found, width)
                 n = np.diff(bounds)
                 set_id = mix(_sums(sets, bounds) ^ mix(_sums(mix(sets), bounds) + n.astype(np.uint64))).view(np.int64)
-                late = np.flatnonzero(seen[sets >> np.uint64(44)])
-                late = late[last[np.minimum(np.searchsorted(last, sets[late]), len(last) - 1)] == sets[late]] if len(late) else late
-                rare = np.ones(len(sets), bool)
-                rare[late] = False
-                rares = np.concatenate(([0], np.cumsum(rare)))
-                before = rares[:-1] - np.repeat(rares[bounds[:-1]], n)  # rare ones of the text before each
-                among = np.repeat(rares[bounds[1:]] - rares[bounds[:-1]], n)
-                place = np.where(rare, before, among + np.arange(len(sets)) - np.repeat(bounds[:-1], n) - before)
-                take = np.flatnonzero(place < np.repeat(prefix_length(n, percent), n))
                 text = np.repeat(np.arange(len(found)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]])], names=["shingle", "set_id"])
+                kind = handle.value[(sets >> np.uint64(64 - bits)).astype(np.int64)]
+                left = np.repeat(prefix_length(n, percent), n)  # how many of the prefix the classes before leave
+                take = np.zeros(len(sets), bool)
+                for k in range(4):
+                    own = kind == k
+                    upto = np.concatenate(([0], np.cumsum(own)))
+                    before = upto[:-1] - np.repeat(upto[bounds[:-1]], n)  # those of the class and text before each
+                    take |= own & (before < left)
+                    left = left - np.repeat(upto[bounds[1:]] - upto[bounds[:-1]], n)
+                take = np.flatnonzero(take)
+                yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]]), pa.array(kind[take] > 0)], names=["shingle", "set_id", "often"])
+
+    return texts(docs).mapInArrow(frugal(run), "shingle long, set_id long, often boolean")
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """(shingle, set_id), distinct, of the rows (of ``prefixes``) whose shingle another set has too, or is frequent.
+
+    One shuffle: rare shingles are dealt by themselves, so a task sees their few rows together; rows of frequent ones, which
+    others have anyway, are dealt one by one.
+    """
+    bounded_batches(rows.sparkSession)
 
-    return texts(docs).mapInArrow(frugal(run), "shingle long, set_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(shingle: np.ndarray, set_id: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (set_id[1:] != set_id[:-1])
+            shingle, set_id, many = shingle[new], set_id[new], many[new]
+            same = shingle[1:] == shingle[:-1]
+            keep = many.copy()
+            keep[1:] |= same
+            keep[:-1] |= same
+            return pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(set_id[keep])], names=["shingle", "set_id"])
+
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last shingle may go on
+            yield whole(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        yield whole(*held)
+
+    key = F.when(F.col("often"), F.xxhash64("shingle", "set_id")).otherwise(F.col("shingle"))
+    dealt = rows.repartition(key).sortWithinPartitions("shingle", "set_id")
+    return dealt.mapInArrow(frugal(run), "shingle long, set_id long")
 
 
 def within_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -250,7 +325,7 @@ def block_pairs(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (a, b) of nodes across components within blocks (shingle, set_id, n, point, component).
 
     ``best``: only the pair with the highest bound for each node and other component of a block, which most often
-    settles whether they are connected; all pairs otherwise.
+    settles whether they are connected, for crowded blocks in the first round; all pairs otherwise.
 
     Blocks of more than ``BLOCK`` nodes are cut into slices by a hash, and every pair of slices is a block of its own:
     no task holds more than two slices, and no pair is lost.
@@ -314,9 +389,8 @@ def block_pairs(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar enough. ``nodes`` has (set_id, doc_id)."""
+    """Those of the stored pairs (a, b) of nodes whose sets are similar enough, stored. ``nodes`` has (set_id, doc_id)."""
     bounded_batches(docs.sparkSession)
-    pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(nodes.select("set_id", "doc_id"), "set_id"), "wanted")
     found = materialize(texts_of(docs, wanted).join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
     both = pairs.join(found.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -339,7 +413,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
                 ok[k] = 100 * common >= percent * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long")
+    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long"), "links")
+    discard(found, wanted)
+    return out
 
 
 def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -378,42 +454,46 @@ def central_pairs(blocks: DataFrame) -> DataFrame:
     A node's weight is the sum of its blocks' sizes: of a text and its many altered copies the text itself, which is
     like all of them though they need not be like each other, weighs most.
     """
-    sizes = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
-    weights = blocks.join(sizes, "shingle").groupBy("set_id").agg(F.sum("size").alias("weight"))
+    sizes = materialize(blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    counts = sizes.withColumnRenamed("size", "n")
+    weights = hot_join(blocks, sizes, "shingle", counts).groupBy("set_id").agg(F.sum("size").alias("weight"))
     weighed = blocks.join(weights, "set_id")
     top = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "set_id")).alias("top")).select("shingle", F.col("top.set_id").alias("centre"))
-    return blocks.join(top, "shingle").filter("set_id <> centre").select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+    top = materialize(top, "centres")
+    return hot_join(blocks, top, "shingle", counts).filter("set_id <> centre").select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
 
 
 def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) that connect the nodes as all links would, components (id, component)), from a stored ``profile``."""
     own = found.filter("kind = 0 AND set_id IS NOT NULL")
     nodes = materialize(own.groupBy("set_id").agg(F.min("id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count(F.lit(1)).alias("copies")), "nodes")
-    top = found.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").toArrow()
-    frequent = np.sort(top.column("id").to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
-    rows = prefixes(docs, frequent, percent, width)
-    # blocks with two nodes at least
-    shared = rows.groupBy("shingle").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low < high").select("shingle")
-    blocks = materialize(rows.join(shared, "shingle").distinct(), "blocks")
+    classes, _ = often(found)
+    blocks = materialize(blocks_of(prefixes(docs, classes, percent, width)), "blocks")
     star = materialize(central_pairs(blocks), "star")
-    first = materialize(verify(bounded_pairs(star, nodes, percent), nodes, docs, percent, width), "links")
+    first = verify(materialize(bounded_pairs(star, nodes, percent), "pairs"), nodes, docs, percent, width)
     joined, tried = components(first), star
-    for best in (True, False):
-        # blocks whose nodes are not all connected yet; those of two nodes are settled
-        named = materialize(blocks.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("shingle", "set_id", F.coalesce("component", "set_id").alias("component")), "blocks")
+    for again in (False, True):
+        # blocks whose nodes are not all connected yet; those of two nodes are settled, and after the first round all small ones
+        named = materialize(blocks.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").select("shingle", "set_id", F.coalesce("component", "set_id").alias("component")), "named")
         alike = [F.min("set_id").alias("u"), F.max("set_id").alias("v"), F.bit_xor(F.xxhash64("set_id")).alias("w")]
-        split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *alike).filter("x < y AND size > 2")
-        split = split.groupBy("size", "u", "v", "w").agg(F.min("shingle").alias("shingle")).select("shingle", "size")  # one of blocks of the same nodes
-        open_ = materialize(named.join(split, "shingle"), "open")
+        split = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *alike).filter(f"x < y AND size > {CROWD if again else 2}")
+        split = materialize(split.groupBy("size", "u", "v", "w").agg(F.min("shingle").alias("shingle")).select("shingle", "size"), "split")  # one of blocks of the same nodes
+        open_ = materialize(hot_join(named, split, "shingle", split.withColumnRenamed("size", "n"), how="inner"), "open")
+        discard(named, split)
+        names = ["shingle", "set_id", "n", "point", "component"]
         crowd = open_.filter(F.col("size") > CROWD)
         fine = finer_points(docs, nodes.join(crowd.select("set_id").distinct(), "set_id", "left_semi"), width)
-        open_ = open_.filter(F.col("size") <= CROWD).join(nodes.select("set_id", "n", "point"), "set_id").unionByName(crowd.join(fine, "set_id"))
-        pairs = materialize(block_pairs(open_.select("shingle", "set_id", "n", "point", "component"), percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verify(pairs, nodes, docs, percent, width), "links")
+        pairs = block_pairs(crowd.join(fine, "set_id").select(*names), percent, not again)
+        if not again:
+            pairs = pairs.unionByName(block_pairs(open_.filter(F.col("size") <= CROWD).join(nodes.select("set_id", "n", "point"), "set_id").select(*names), percent, False)).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        discard(open_)
+        more = verify(pairs, nodes, docs, percent, width)
         tried = tried.unionByName(pairs)
         if more.limit(1).count():
             first = first.unionByName(more)
             joined = components(first)
+    discard(blocks)
     return first, joined
 
 
