@@ -370,8 +370,9 @@ def candidates(around: DataFrame, shape: Shape) -> DataFrame:
 
 def least_of(met: DataFrame) -> DataFrame:
     """(first_unit, unit) from (value, doc_id, unit, may): each that may with the least document of its value, if lesser."""
-    least = met.groupBy("value").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("high")).filter("first.doc_id < high")
-    pairs = met.filter("may").join(least, "value").filter("first.doc_id < doc_id")
+    least = met.groupBy("value").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("first.doc_id < high")
+    least = materialize(least.select("value", "first", "n"), "least")
+    pairs = hot_join(met.filter("may"), least.drop("n"), "value", least.select("value", "n"), how="inner").filter("first.doc_id < doc_id")
     return pairs.select(F.col("first.unit").alias("first_unit"), "unit").distinct()
 
 
