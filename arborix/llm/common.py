@@ -72,10 +72,21 @@ def frugal(run: Callable) -> Callable:
     return wrapped
 
 
+#: Resident bytes below which a worker has nothing worth giving back.
+MODEST = 150 << 20
+
+
 def release_memory() -> None:
     import ctypes
     import gc
-
+    import os
+
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < MODEST:
+                return
+    except OSError:  # no such file on this system
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it

@@ -9,8 +9,10 @@ Sum-product messages passed up and then down the tree give each text run's margi
 not are the text, in page order.
 
 * A null or empty page has no text. Repeated rows are extracted each alone; equal pages have equal texts.
-* Broken markup is read leniently: unclosed elements end with their parents, stray end tags are skipped, and a tag, comment
-  or script cut off by the end of the page reaches to that end. Pages of any length and depth are read whole.
+* Broken markup is read leniently: unclosed elements end with their parents (also those whose insides are no text, such as
+  ``svg`` or ``button``), stray end tags are skipped, and a tag, comment or script cut off by the end of the page reaches to
+  that end. Quotes count only after an equals sign. A slash ends an ``svg``, ``math`` or ``object`` tag's element. Pages of any
+  length and depth are read whole, in time that grows with their length.
 * White space (also that of character references) inside a block becomes one space; blocks without text vanish.
 * Extra columns are ignored; an empty table gives no rows.
 """
@@ -34,16 +36,22 @@ CONTAINER, CONTENT_TOP, CONTENT, BOILERPLATE_TOP, BOILERPLATE = STATES = range(5
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long"
 
 #: Fixed values of HTML: elements whose insides are never text of the page, void elements, inline elements.
-_SKIPPED = "script|style|template|noscript|iframe|svg|math|object|textarea|select|button|title|video|audio|canvas|datalist"
+_RAW = "script|style|noscript|iframe|textarea|title"
+_HIDDEN = frozenset("template svg math object select button video audio canvas datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Which open elements an opening tag ends, and where looking for them stops.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _SCOPES = frozenset("ul ol dl table body html article section main div".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_ATTRIBUTES = r"""(?:[^>=]+|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*["']))*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW})(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that, without a class, id or role, are mere parts of what holds them.
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption hgroup center".split())
+#: Fixed values of HTML: elements that begin parts of a page.
+_SECTIONS = frozenset("#page #text html head body main article section div nav aside header footer form fieldset legend label address dialog details summary menu search hgroup center".split())
+#: Words in a custom element's name that make it more than a mere part.
+_PARTS = frozenset("ad ads aside banner comment comments cookie footer header menu nav newsletter popup related share sidebar social toolbar".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -58,10 +66,21 @@ class Page:
         self.links: dict[int, int] = {}
         self.sums: list[list[int]] | None = None  # the length of each node's text and of that in links
         open_: list[int] = [0]
+        places: dict[str, list[int]] = {}  # where in open_ the elements of a tag are
+        scopes = [0]  # where in open_ those of _SCOPES are
+        hidden: list[str] = []  # open elements of a part whose insides are no text, from its own on
+        inside: Counter = Counter()  # how often each tag is among them
         run: list[str] = []
         linked, in_link, at = 0, 0, 0
         tags = self.tags
 
+        def end(place: int) -> None:
+            while len(open_) > place:
+                tag = tags[open_.pop()]
+                places[tag].pop()
+                if tag in _SCOPES:
+                    scopes.pop()
+
         def flush() -> None:
             nonlocal linked
             if run:
@@ -74,7 +93,7 @@ class Page:
             linked = 0
 
         for m in _TOKEN.finditer(html):
-            if m.start() > at:
+            if m.start() > at and not hidden:
                 run.append(html[at : m.start()])
                 linked += (m.start() - at) * (in_link > 0)
             at = m.end()
@@ -82,6 +101,26 @@ class Page:
             if name is None:
                 continue
             name, closing = name.lower(), bool(m[2])
+            if hidden:
+                if not closing:
+                    if name not in _VOID and not m[4].endswith("/"):
+                        hidden.append(name)
+                        inside[name] += 1
+                    continue
+                if inside[name]:
+                    while (last := hidden.pop()) != name:
+                        inside[last] -= 1
+                    inside[name] -= 1
+                    continue
+                if not places.get(name):
+                    continue
+                hidden.clear()  # it ends with what holds it
+                inside.clear()
+            elif name in _HIDDEN and not closing:
+                if not m[4].endswith("/"):
+                    hidden.append(name)
+                    inside[name] += 1
+                continue
             if name in _INLINE:
                 if name == "a":
                     in_link = 0 if closing else 1
@@ -92,26 +131,25 @@ class Page:
                 elif name == "hr":
                     flush()
                 continue
+            if closing and name in _HIDDEN:
+                continue
             flush()
             if closing:
-                for i in range(len(open_) - 1, 0, -1):
-                    if tags[open_[i]] == name:
-                        del open_[i:]
-                        break
+                if places.get(name):
+                    end(places[name][-1])
                 in_link = 0
                 continue
             if tags[open_[-1]] == "p":
-                open_.pop()
-            for i in range(len(open_) - 1, 0, -1):
-                tag = tags[open_[i]]
-                if tag in _ENDS.get(name, ()):
-                    del open_[i:]
-                    continue
-                if tag in _SCOPES:
-                    break
+                end(len(open_) - 1)
+            last = [x for tag in _ENDS.get(name, ()) for x in places.get(tag, ())[-3:] if x > scopes[-1]]
+            if last:
+                end(min(last))
+            places.setdefault(name, []).append(len(open_))
+            if name in _SCOPES:
+                scopes.append(len(open_))
             open_.append(len(tags))
             self.add(name, open_[-2], m[4] or "")
-        if at < len(html):
+        if at < len(html) and not hidden:
             run.append(html[at:])
         flush()
 
@@ -122,7 +160,12 @@ class Page:
 
     def kind(self, i: int) -> int:
         """0: a run of text; 1: a plain element; 2: an element that may begin a part of another sort."""
-        return 0 if i in self.texts else 1 if self.tags[i] in _PLAIN and not _ATTRIBUTE.search(self.attributes[i]) else 2
+        return 0 if i in self.texts else 1 if self.plain(i) and not _ATTRIBUTE.search(self.attributes[i]) else 2
+
+    def plain(self, i: int) -> bool:
+        """Whether the element is a mere part by its tag; unknown and custom ones are, unless their name says more."""
+        tag = self.tags[i]
+        return tag in _PLAIN or tag not in _SECTIONS and _PARTS.isdisjoint(tag.split("-"))
 
     def features(self, i: int) -> list[str]:
         """Names of what is seen of a node."""
@@ -133,10 +176,11 @@ class Page:
                 above[0] += own[0]
                 above[1] += own[1]
         length, linked = self.sums[i]
-        out = [] if self.tags[i] == "div" else [f"tag {self.tags[i]}"]
+        tag = self.tags[i]
+        out = [] if tag == "div" else [f"word {w}" for w in tag.split("-")] if "-" in tag else [f"tag {tag}"]
         if length:
             out.append(f"links {0 if linked < 0.1 * length else 1 if linked < 0.6 * length else 2}")
-        if self.tags[i] not in _PLAIN and i not in self.texts:
+        if i not in self.texts and not self.plain(i):
             out.append("named yes" if _ATTRIBUTE.search(self.attributes[i]) else f"named no {self.tags[i]}" if self.tags[i] in ("div", "section") else "named no")
         if self.attributes[i]:
             for a in _ATTRIBUTE.finditer(self.attributes[i]):

@@ -8,7 +8,8 @@ as one ordered conditional expression.
 * Words are runs of ``[^\\x20\\x09-\\x0D]``; characters are code points. Windows are told apart by 64-bit hashes.
 * Ties between candidate thresholds go to the first statistic and the lowest threshold. Without labels, or with labels
   of one kind, the list is empty and its verdict is "keep". Null labels are ignored.
-* Extra columns are kept by ``with_statistics`` under their own names, apart from its own outputs' names.
+* Extra columns are kept by ``with_statistics`` under their own names, whatever they are; only one of the name that is
+  given for the statistics (``stats``) is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 #: Counts of a text, and ratios of them in thousandths that the rules may use besides.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -43,40 +44,43 @@ def _words_sql() -> str:
     return _let("transform(w, x -> xxhash64(x))", "h", f"struct(CAST(size(h) AS BIGINT) AS n_words, CAST(size(array_distinct(h)) AS BIGINT) AS n_distinct, CAST(CASE WHEN size(h) <= {WINDOW} THEN 0 ELSE {windows} END AS BIGINT) AS n_repeat_words)")
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``stats`` of COUNTS and RATIOS (all long)."""
+def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
+    """``docs`` with a struct column ``name`` of COUNTS and RATIOS (all long)."""
+    own = [c for c in docs.columns if c != name]
+    at = {x: free_name(docs, x) for x in ("w", "word_chars", "n_symbols", "bars", "marks", "upper", "lines", "s")}
+    of = lambda x, field="": F.col(f"`{at[x]}`{field and '.' + field}")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     dropped = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     raw = docs.select(
-        *[docs[c] for c in docs.columns if c != "stats"],
-        F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "").alias("_w"),
-        F.length(F.translate(text, " " + _SPACES, "")).cast("long").alias("_word_chars"),
-        dropped("#*$%&|<>").cast("long").alias("_n_symbols"),
-        dropped("|").cast("long").alias("_bars"),
-        dropped("!?").cast("long").alias("_marks"),
-        dropped("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("_upper"),
-        F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))[0].alias("_lines"),
+        *[docs[f"`{c}`"] for c in own],
+        F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "").alias(at["w"]),
+        F.length(F.translate(text, " " + _SPACES, "")).cast("long").alias(at["word_chars"]),
+        dropped("#*$%&|<>").cast("long").alias(at["n_symbols"]),
+        dropped("|").cast("long").alias(at["bars"]),
+        dropped("!?").cast("long").alias(at["marks"]),
+        dropped("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias(at["upper"]),
+        F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))[0].alias(at["lines"]),
     )
-    raw = raw.withColumn("_s", F.expr(_let("_w", "w", _words_sql())))
+    raw = raw.withColumn(at["s"], F.expr(_let(f"`{at['w']}`", "w", _words_sql())))
     per_mille = lambda a, b: (a * 1000 / F.greatest(b, F.lit(1))).cast("long")
-    words, chars = F.col("_s.n_words"), F.col("_word_chars")
+    words, chars = of("s", "n_words"), of("word_chars")
     stats = F.struct(
         words.alias("n_words"),
         chars.alias("word_chars"),
-        F.col("_n_symbols").alias("n_symbols"),
-        F.col("_lines.d").cast("long").alias("n_dup_lines"),
-        F.col("_s.n_repeat_words").alias("n_repeat_words"),
-        per_mille(F.col("_n_symbols"), chars).alias("symbols_per_mille"),
-        per_mille(F.col("_s.n_repeat_words"), words).alias("repeat_per_mille"),
-        per_mille(F.col("_lines.d"), F.col("_lines.n")).alias("dup_lines_per_mille"),
+        of("n_symbols").alias("n_symbols"),
+        of("lines", "d").cast("long").alias("n_dup_lines"),
+        of("s", "n_repeat_words").alias("n_repeat_words"),
+        per_mille(of("n_symbols"), chars).alias("symbols_per_mille"),
+        per_mille(of("s", "n_repeat_words"), words).alias("repeat_per_mille"),
+        per_mille(of("lines", "d"), of("lines", "n")).alias("dup_lines_per_mille"),
         per_mille(chars, words).alias("word_length_milli"),
-        per_mille(F.col("_upper"), chars).alias("upper_per_mille"),
-        per_mille(F.col("_s.n_distinct"), words).alias("distinct_per_mille"),
-        per_mille(F.col("_bars"), words).alias("bars_per_mille"),
-        per_mille(F.col("_marks"), words).alias("marks_per_mille"),
+        per_mille(of("upper"), chars).alias("upper_per_mille"),
+        per_mille(of("s", "n_distinct"), words).alias("distinct_per_mille"),
+        per_mille(of("bars"), words).alias("bars_per_mille"),
+        per_mille(of("marks"), words).alias("marks_per_mille"),
     )
-    return raw.select(*[c for c in docs.columns if c != "stats"], stats.alias("stats"))
+    return raw.select(*[f"`{c}`" for c in own], stats.alias(name))
 
 
 def base_failed(stats: Column) -> Column:

@@ -3,8 +3,9 @@
 Documents' ids (and an end id after each) run on through an input partition and are cut into sequences of ``length``
 ids; the last of a partition is filled with ``PAD``. Sequences are numbered through all partitions. A balanced Feistel
 network over the next power of four, walked until it falls below the number of sequences, permutes those numbers;
-slot s is record ``s mod per_shard`` of shard ``s div per_shard``. Shards are written by Spark's text writer, one file
-each in slot order: a record is ``2 * length`` bytes of little-endian 16-bit ids and CR LF, so record r begins at byte
+slot s is record ``s mod per_shard`` of shard ``s div per_shard``. Each output partition is a range of slots, whole shards
+on end, sorted by slot and written by Spark's text writer without any further sort; the writer begins a new file after
+``per_shard`` records. A record is ``2 * length`` bytes of little-endian 16-bit ids and CR LF, so record r begins at byte
 ``r * stride`` and reading can resume at any slot. The permutation is computed both ways; no table of it is kept.
 
 * A null or empty text is a document of one id, the end id. Repeated rows are written as often as they occur.
@@ -29,6 +30,8 @@ from .common import bounded_batches, frugal, materialize, mix, texts
 from .packing import END_ID, memo
 
 PAD, SEPARATOR = 65535, "\r\n"
+#: Output partitions at most; above this a partition holds several shards.
+PARTITIONS = 100_000
 SEQUENCE_SCHEMA = "part int, place long, first_doc_id long, first_start long, n_ids int, ids_crc32 long, ids binary"
 
 
@@ -122,15 +125,15 @@ def write_shards(found: DataFrame, path: str, key: int, length: int = 2048, per_
     Only the counts of sequences by input partition reach the driver.
     """
     counts = sorted((r["part"], r["count"]) for r in found.groupBy("part").count().collect())
-    base, total = {}, 0
-    for part, n in counts:
-        base[part] = total
-        total += n
+    parts, sizes = (np.array(x, np.int64) for x in (zip(*counts, strict=True) if counts else ((), ())))
+    base, total = np.cumsum(sizes) - sizes, int(sizes.sum())
     order = Feistel(total, key)
+    shards = max(1, -(-total // per_shard))
+    on_end = -(-shards // PARTITIONS)  # shards of a partition
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.array([base[x] for x in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
+            n = base[np.searchsorted(parts, batch.column(0).to_numpy())] + batch.column(1).to_numpy()
             slot = order.slot(n)
             yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array(n), *[batch.column(i) for i in range(2, batch.num_columns)]], names=["shard", "slot", "number", *batch.schema.names[2:]])
 
@@ -139,12 +142,13 @@ def write_shards(found: DataFrame, path: str, key: int, length: int = 2048, per_
 
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([open_(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["shard", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([open_(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["value"])
 
     bounded_batches(found.sparkSession)
     placed = found.select("part", "place", "ids").mapInArrow(frugal(number), "shard int, slot long, number long, ids binary").select("shard", "slot", "ids")
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(frugal(unpack), "shard int, value binary")
-    ordered.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", SEPARATOR).text(path)
+    ranges = placed.repartitionById(-(-shards // on_end), F.expr(f"CAST(shard div {on_end} AS INT)")).sortWithinPartitions("slot")
+    values = ranges.select("slot", "ids").mapInArrow(frugal(unpack), "value binary").select(F.col("value").cast("string").alias("value"))
+    values.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", per_shard).text(f"{path}/by-{on_end}")
     index = found.drop("ids").mapInArrow(frugal(number), "shard int, slot long, number long, first_doc_id long, first_start long, n_ids int, ids_crc32 long")
     return index, order
 
@@ -157,7 +161,8 @@ def read_shards(spark: SparkSession, path: str, length: int = 2048, per_shard: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, shard = content.as_py(), int(re.search(r"/shard=(\d+)/", name)[1])
+                on_end, part, nth = map(int, re.search(r"/by-(\d+)/part-(\d+)-.*-c(\d+)\.txt$", name).groups())
+                data, shard = content.as_py(), part * on_end + nth
                 if len(data) % stride:
                     raise ValueError(f"{name} does not hold whole records")
                 own = np.frombuffer(data, np.uint8).reshape(-1, stride)[:, : 2 * length]

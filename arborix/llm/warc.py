@@ -6,6 +6,7 @@ separator is the CR LF CR LF that ends a WARC record; so they go to any store th
 lost executor's files are written again. They are read back by their Content-Length, so a payload may hold anything.
 
 * A null payload is empty; a null url becomes an empty target. Payloads shorter than ``least`` bytes stay responses.
+* Rows without an id are written as responses; nothing refers to them. They are read back without an id.
 * Repeated rows (equal id and payload) are all responses if theirs is the least id, else all revisits. Rows with equal
   ids and other payloads are resolved each by its own payload. Extra columns are ignored. An empty table gives an
   archive without records.
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, hot_join
+from .common import bounded_batches, frugal, hot_join
 
 RECORDS_PER_FILE = 1000
+#: Payload bytes after which a reader hands its rows on.
+READ_BYTES = 16 << 20
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id long, record_type string, url string, refers_to long, payload_digest string, payload_bytes long, content_length long, digest_holds boolean"
@@ -77,7 +80,7 @@ def _record_text(date: str) -> Column:
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.when(revisit, F.lit("")).otherwise(line("Content-Length", F.col("payload_bytes"))), F.lit("\r\n"))
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    urn = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -126,18 +129,20 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
     """Records of the archives under ``path``, each response's digest computed anew from the payload read."""
     import gzip
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * with_payload]
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")] + ["payload"] * with_payload
 
     def number(urn: str | None) -> int | None:
-        return int(urn.rpartition(":")[2].rstrip(">")) if urn else None
+        found = urn.rpartition(":")[2].rstrip(">") if urn else "none"
+        return None if found == "none" else int(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py()
-                rows = []
+                rows, held = [], 0
                 for head, block in parse_archive(gzip.decompress(data) if name.endswith(".gz") else data):
                     payload = payload_of(block)
                     stated = head["warc-payload-digest"].removeprefix("sha1:")
@@ -145,6 +150,10 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else stated
                     length = len(payload) if response else int(head["x-payload-length"])
                     rows.append((number(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"], number(head.get("warc-refers-to")), digest, length, int(head["content-length"]), digest == stated, *[payload] * with_payload))
+                    held += len(payload)
+                    if held >= READ_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

@@ -180,6 +180,31 @@ def test_extraction(spark):
     assert extraction.extract_pages(df.limit(0)).count() == 0
 
 
+def test_nothing_of_a_page_is_swallowed_or_printed():
+    article = lambda inner: f"<body><article><h1>Head</h1><p>{L}</p>{inner}<p>Last words of it.</p></article></body>"
+    rest = f"Head\n{L.strip()}\n"
+    get = extraction.trained().extract
+    for inner in ("<svg/>", "<object data=x />", "<svg><path d='M0'><circle/></svg>", "<template><p>no</p></template>", "<script>if (a < b) '</p>'</script >", "<!-->", "<!-- a --!>", "<button>no</button>", "<p title='>'></p>", "<select><option>no<option>no</select>"):
+        assert get(article(inner)) == rest + "Last words of it.", inner
+    for name in ("select-box", "video-player", "title-bar", "button-group", "svgs"):
+        assert get(article(f"<{name}><p>inside</p></{name}>")) == rest + "inside\nLast words of it.", name
+    assert get(article("<p title=it's>One more.</p>")) == rest + "One more.\nLast words of it."
+    assert get(article("<p a=1 b='2>3' c=\"x'y\">One more.</p>")) == rest + "One more.\nLast words of it."
+    assert get(article("<p>a <button>no</p><p>b</p>")) == rest + "a\nb\nLast words of it."
+
+
+def test_pages_are_parsed_in_linear_time():
+    import time
+
+    for piece in ("<x>", "<div>", "<li><x>", "<svg><a>", "</i></q></z>", "<td><ul>"):
+        took = []
+        for n in (4000, 32000):
+            began = time.process_time()
+            extraction.Page(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.01), piece
+
+
 def test_messages_are_exact_marginals():
     """Sum-product against all states of a small tree."""
     import itertools
@@ -231,10 +256,72 @@ def test_toxicity_on_held_out_rows(spark, empty):
     kept = toxicity.keep_ordinary(docs, model)
     assert kept.columns == docs.columns and kept.filter("doc_id >= 2000").count() == 2
     assert toxicity.fit(docs, marks.filter("toxic = 0")) is None
+    one_kind = toxicity.fit_counts(toxicity._labelled(docs, marks))
+    assert tuple(one_kind.curve) == toxicity.FIXED_CURVE and any(x.score >= 0.5 for x in toxicity.score(docs, one_kind).collect())
     assert {x.score for x in toxicity.score(docs.limit(3), None).collect()} == {0.0}
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, marks) is None
 
 
+def _kneser_ney(rows):
+    """Log-probabilities of words and pairs by class with dictionaries: (kind, expression, class) -> probability, and counts."""
+    counts = {k: [collections.Counter(), collections.Counter()] for k in "wp"}
+    for text, toxic in rows:
+        w = re.findall("[a-z0-9\\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        counts["w"][toxic].update(w)
+        counts["p"][toxic].update(zip([None, *w], w, strict=False))
+    p = {}
+    for k, two in counts.items():
+        occurs = {e: sum(e in c for c in two) for e in {*two[0], *two[1]}}
+        for c, own in enumerate(two):
+            n, saved = sum(own.values()), sum(min(x, 0.9) for x in own.values())
+            for e in occurs:
+                p[k, e, c] = (max(own[e] - 0.9, 0) + saved * occurs[e] / sum(occurs.values())) / n
+    return counts, p
+
+
+def test_toxicity_evidence_is_a_difference_of_kneser_ney_models(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["a", "b", "c", "d", "Ü", f"x{r.randrange(30)}", "vile" if i % 3 == 0 else "e"]) for _ in range(r.choice([0, 1, 3, 9, 40]))), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(3, rows[3][1])], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    counts, p = _kneser_ney([(x, t) for _, x, t in rows] + [(rows[3][1], 1)])
+    fitted = toxicity.fit(docs, marks)
+    for _, text, _ in rows:
+        w = text.split()
+        expected = []
+        for k, found in (("w", w), ("p", list(zip([None, *w], w, strict=False)))):
+            terms = [np.log(p[k, e, 1] / p[k, e, 0]) if sum(c[e] for c in counts[k]) >= 2 else 0.0 for e in found]
+            expected.append(sum(terms) / len(w) if w else 0.0)
+            expected += [max(sum(terms[i : i + n]) for i in range(len(w) - n + 1)) / n if len(w) > n else expected[-1] for n in (1, 4)] if w else [0.0, 0.0]
+        expected = [*expected[:3], *expected[3:]]
+        got = fitted.model.evidence([text.encode()])[0]
+        whole = [got[0], got[3]]
+        assert np.allclose(whole, [expected[0], expected[3]], atol=1e-5)
+        if len(w) > 4:
+            assert np.allclose(got, expected, atol=1e-5)
+    # its own counts taken off: as if the text had not been there
+    text, toxic = next((x, t) for _, x, t in rows if len(x.split()) > 20)
+    left = [x for x in [(x, t) for _, x, t in rows] + [(rows[3][1], 1)] if x[0] != text]
+    less, _ = _kneser_ney(left)
+    word = max({*text.split()}, key=lambda w: len(w))
+    key = toxicity.expressions([word.encode()])[0]
+    off = fitted.model.terms(np.concatenate([key] * text.split().count(word)), 0, np.array([0, text.split().count(word)]), np.array([toxic]))
+    now = [np.array([float(less["w"][c][word])]) for c in (1, 0)]
+    assert np.allclose(off, toxicity.differences(*now, fitted.totals[0]) if sum(now) >= 2 else 0.0, atol=1e-5)
+    # a table that is too large for a broadcast gives the same scores and keeps the same rows
+    own = {(x.doc_id, round(x.score, 9)) for x in toxicity.score(docs, fitted).collect()}
+    shuffled = toxicity.replace(fitted, model=None)
+    assert {(x.doc_id, round(x.score, 9)) for x in toxicity.score(docs, shuffled).collect()} == own
+    extra = docs.selectExpr("doc_id AS unit", "text", "doc_id", "1 AS key")
+    assert sorted(map(tuple, toxicity.keep_ordinary(extra, shuffled).collect())) == sorted(map(tuple, toxicity.keep_ordinary(extra, fitted).collect()))
+    old, toxicity.TABLE_ROWS = toxicity.TABLE_ROWS, 0
+    try:
+        again = toxicity.fit(docs, marks)
+    finally:
+        toxicity.TABLE_ROWS = old
+    assert again.model is None and np.allclose(again.curve, fitted.curve)
+
+
 def test_warc_archives(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb"
     rows = [(5, "http://a", "same", 1), (3, "http://b", "same", 2), (9, None, "same", 3), (4, "http://c", tricky, 4), (6, "http://d", None, 5), (7, "x\r\ny", "", 6), (8, "u", "ü" * 70_000, 7), (8, "u", "ü" * 70_000, 7), (8, "v", "other text", 9)]
@@ -259,6 +346,9 @@ def test_warc_archives(spark, tmp_path):
     warc.deduplicate_archive(spark, out + "3", out + "4")
     again = {(r.record_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archive(spark, out + "4").collect()}
     assert again == {(r.record_id, r.payload_digest, r.record_type, r.refers_to) for r in got}
+    odd = spark.createDataFrame([(None, "u", "same"), (2, "v", "same"), (1, "w", "same"), (None, None, None), (None, "x", "other")], "page_id long, url string, html string")
+    warc.write_archive(warc.records(odd), out + "6")
+    assert sorted((r.record_id or 0, r.record_type, r.refers_to or 0) for r in warc.read_archive(spark, out + "6").collect()) == [(0, "response", 0)] * 3 + [(1, "response", 0), (2, "revisit", 1)]
     warc.write_archive(warc.records(pages.limit(0)), out + "5")
     assert warc.read_archive(spark, out + "5").count() == 0
 
@@ -504,6 +594,9 @@ def test_quality_statistics_and_rules(spark, docs, empty, texts):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     verdicts = {r.doc_id: (r.kept, r.rule) for r in quality.quality(made, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(verdicts[i] == ((False, 1) if i % 6 == 0 else (True, 0)) for i in range(900)) and not verdicts[1000][0]
+    clashing = docs.select("text", *[F.lit(i).alias(c) for i, c in enumerate(("_w", "w", "_s", "s", "_lines", "_word_chars", "upper", "_upper", "stats"))])
+    given = quality.with_statistics(clashing, name="_stats")
+    assert given.columns == [*clashing.columns, "_stats"] and {r.stats for r in given.collect()} == {8} and {r.w for r in given.collect()} == {1}
     plan = quality.with_statistics(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert quality.quality(empty, marks).count() == 0
@@ -536,6 +629,30 @@ def test_shards_hold_every_sequence_once(spark, docs, empty, texts, tmp_path):
     assert order.size == 0 and index.count() == 0
 
 
+def test_shards_and_archives_when_every_sort_spills(tmp_path):
+    """Records are in their slots and archives whole though sorts spill at 40 rows; in a session of its own."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = f"""
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.shuffle.spill.numElementsForceSpillThreshold", "40").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+import public_tokenizers
+from arborix.llm import shards, warc
+docs = spark.range(900).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', x * id))) AS text")
+index, order = shards.materialize_order(docs, public_tokenizers.path("word_bpe_49k.json"), "{tmp_path}/s", key=5, length=64, per_shard=100)
+stored = shards.read_shards(spark, "{tmp_path}/s", 64, 100).select("slot", "ids_crc32")
+assert order.size > 2000 and stored.count() == order.size == stored.join(index, ["slot", "ids_crc32"]).count()
+pages = spark.range(900).selectExpr("id AS page_id", "'u' AS url", "concat('p', id % 300) AS html")
+warc.write_archive(warc.records(pages), "{tmp_path}/w")
+got = warc.read_archive(spark, "{tmp_path}/w")
+assert got.count() == 900 and got.filter("digest_holds AND CASE WHEN record_id < 300 THEN record_type = 'response' ELSE refers_to = record_id % 300 END").count() == 900
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parents[2])
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_tables_without_ids(spark):
     """Rows without an id crash nothing."""
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, None), (None, None)], "doc_id long, text string")
