@@ -135,6 +135,30 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (-(-percent * n // 100)) + 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as two planes of bits, and apart from them those of 3 and more."""
+    small, large = np.minimum(counts, 3), np.flatnonzero(counts >= 3).astype(np.uint32)
+    return np.packbits(small & 1).tobytes() + np.packbits(small >> 1).tobytes() + large.tobytes() + counts[large].tobytes()
+
+
+def _add_packed(to: np.ndarray, raw: bytes) -> None:
+    n = len(to) // 8
+    planes = np.unpackbits(np.frombuffer(raw, np.uint8, 2 * n)).reshape(2, -1)
+    to += planes[0]
+    to += 2 * planes[1].astype(np.int64)
+    m = (len(raw) - 2 * n) // 6
+    to[np.frombuffer(raw, np.uint32, m, 2 * n)] += np.frombuffer(raw, np.uint16, m, 2 * n + 4 * m) - np.int64(3)
+
+
+def size_classes(n: np.ndarray) -> np.ndarray:
+    """Sixteenths of the sizes' binary logarithms, 255 at most; sets of a similarity differ by ``class_gap`` at most."""
+    return np.minimum(255, np.floor(16 * np.log2(np.maximum(n, 1)))).astype(np.int32)
+
+
+def class_gap(percent: int) -> int:
+    return int(16 * np.log2(100 / percent)) + 1
+
+
 def profile(docs: DataFrame, width: int = 5) -> DataFrame:
     """Per document (kind 0): id, size n, set_id and point; per task and slice of the sketch (kind 1): slice and its counts."""
     bounded_batches(docs.sparkSession)
@@ -157,7 +181,7 @@ def profile(docs: DataFrame, width: int = 5) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for i, part in enumerate(counts.reshape(slices, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1], [i], [None], [None], [pack(part.tobytes())]), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1], [i], [None], [None], [pack(_packed(part))]), kinds, strict=True)], names=names)
 
     return texts(docs).mapInArrow(frugal(run), "kind byte, id long, n long, set_id long, point binary")
 
@@ -183,7 +207,7 @@ def often(found: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(i, np.zeros(width, np.int64))
-                own += np.frombuffer(open_(x), np.uint16)
+                _add_packed(own, open_(x))
         for i, own in sums.items():
             classes = sum((own > rare * 8**k).astype(np.uint8) for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(classes.tobytes())], pa.binary())], names=["slice", "classes"])
@@ -198,7 +222,10 @@ def often(found: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, width: int = 5) -> DataFrame:
-    """(shingle, set_id, often) for the shingles of each document's prefix, in the order of their class and then their hash."""
+    """(shingle, set_id, code) for the shingles of each document's prefix, in the order of their class and then their hash.
+
+    The code is twice the set's size class, and one more for a frequent shingle.
+    """
     bounded_batches(docs.sparkSession)
     handle, bits = docs.sparkSession.sparkContext.broadcast(classes), SKETCH_BITS
 
@@ -219,34 +246,42 @@ def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, width: int = 5)
                     take |= own & (before < left)
                     left = left - np.repeat(upto[bounds[1:]] - upto[bounds[:-1]], n)
                 take = np.flatnonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]]), pa.array(kind[take] > 0)], names=["shingle", "set_id", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(set_id[text[take]]), pa.array(2 * size_classes(n)[text[take]] + (kind[take] > 0))], names=["shingle", "set_id", "code"])
 
-    return texts(docs).mapInArrow(frugal(run), "shingle long, set_id long, often boolean")
+    return texts(docs).mapInArrow(frugal(run), "shingle long, set_id long, code int")
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """(shingle, set_id), distinct, of the rows (of ``prefixes``) whose shingle another set has too, or is frequent.
+def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
+    """(shingle, set_id, size), distinct: the rows (of ``prefixes``) whose shingle another set of like size has too, or is frequent.
 
-    One shuffle: rare shingles are dealt by themselves, so a task sees their few rows together; rows of frequent ones, which
-    others have anyway, are dealt one by one.
+    One shuffle: rare shingles are dealt by themselves, so a task sees their few rows together, and parts them where the size
+    classes leave a gap that no similar sets have; rows of frequent ones, which others have anyway, are dealt one by one.
     """
     bounded_batches(rows.sparkSession)
+    gap = class_gap(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(shingle: np.ndarray, set_id: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        def whole(shingle: np.ndarray, set_id: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+            size, many = code >> 1, (code & 1).astype(bool)
+            order = np.lexsort((set_id, size, shingle))
+            shingle, set_id, size, many = shingle[order], set_id[order], size[order], many[order]
             new = np.ones(len(shingle), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (set_id[1:] != set_id[:-1])
-            shingle, set_id, many = shingle[new], set_id[new], many[new]
-            same = shingle[1:] == shingle[:-1]
+            shingle, set_id, size, many = shingle[new], set_id[new], size[new], many[new]
+            near = (shingle[1:] == shingle[:-1]) & ((size[1:] - size[:-1] <= gap) | many[1:])
             keep = many.copy()
-            keep[1:] |= same
-            keep[:-1] |= same
-            return pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(set_id[keep])], names=["shingle", "set_id"])
-
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+            keep[1:] |= near
+            keep[:-1] |= near
+            # the blocks' names: the shingle, and for a rare one the least size of the part
+            first = np.ones(len(shingle), bool)
+            first[1:] = ~near
+            least = size[np.flatnonzero(first)][np.cumsum(first) - 1] if len(size) else size
+            name = mix(shingle.view(np.uint64) + np.where(many, 0, least + 1).astype(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(set_id[keep]), pa.array(size[keep].astype(np.int16))], names=["shingle", "set_id", "size"])
+
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            now = [np.concatenate(x) for x in zip(held, (batch.column(i).to_numpy() for i in range(3)), strict=True)]
             if not len(now[0]):
                 continue
             cut = int(np.searchsorted(now[0], now[0][-1]))  # the last shingle may go on
@@ -254,9 +289,9 @@ def blocks_of(rows: DataFrame) -> DataFrame:
             held = [x[cut:] for x in now]
         yield whole(*held)
 
-    key = F.when(F.col("often"), F.xxhash64("shingle", "set_id")).otherwise(F.col("shingle"))
+    key = F.when(F.col("code").bitwiseAND(F.lit(1)) == 1, F.xxhash64("shingle", "set_id")).otherwise(F.col("shingle"))
     dealt = rows.repartition(key).sortWithinPartitions("shingle", "set_id")
-    return dealt.mapInArrow(frugal(run), "shingle long, set_id long")
+    return dealt.mapInArrow(frugal(run), "shingle long, set_id long, size short")
 
 
 def within_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -448,19 +483,18 @@ def finer_points(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame
     return own.mapInArrow(frugal(run), "set_id long, n long, point binary")
 
 
-def central_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b), a < b: each node with the most central node of each of its blocks (shingle, set_id).
+def central_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: each node with the most central node of each of its blocks (shingle, set_id, size), if of like size.
 
-    A node's weight is the sum of its blocks' sizes: of a text and its many altered copies the text itself, which is
-    like all of them though they need not be like each other, weighs most.
+    The most central node is that of the most blocks: of a text and its many altered copies the text itself, which is like
+    all of them though they need not be like each other, shares the most.
     """
-    sizes = materialize(blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    counts = sizes.withColumnRenamed("size", "n")
-    weights = hot_join(blocks, sizes, "shingle", counts).groupBy("set_id").agg(F.sum("size").alias("weight"))
-    weighed = blocks.join(weights, "set_id")
-    top = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "set_id")).alias("top")).select("shingle", F.col("top.set_id").alias("centre"))
-    top = materialize(top, "centres")
-    return hot_join(blocks, top, "shingle", counts).filter("set_id <> centre").select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+    weights = blocks.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight"))
+    top = blocks.join(weights, "set_id").groupBy("shingle").agg(F.max(F.struct("weight", "set_id", "size")).alias("top"), F.count(F.lit(1)).alias("n"))
+    top = materialize(top.select("shingle", F.col("top.set_id").alias("centre"), F.col("top.size").alias("centre_size"), "n"), "centres")
+    met = hot_join(blocks, top.drop("n"), "shingle", top.select("shingle", "n"))
+    near = met.filter(f"set_id <> centre AND abs(size - centre_size) <= {class_gap(percent)}")
+    return near.select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
 
 
 def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -468,8 +502,8 @@ def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5)
     own = found.filter("kind = 0 AND set_id IS NOT NULL")
     nodes = materialize(own.groupBy("set_id").agg(F.min("id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count(F.lit(1)).alias("copies")), "nodes")
     classes, _ = often(found)
-    blocks = materialize(blocks_of(prefixes(docs, classes, percent, width)), "blocks")
-    star = materialize(central_pairs(blocks), "star")
+    blocks = materialize(blocks_of(prefixes(docs, classes, percent, width), percent), "blocks")
+    star = materialize(central_pairs(blocks, percent), "star")
     first = verify(materialize(bounded_pairs(star, nodes, percent), "pairs"), nodes, docs, percent, width)
     joined, tried = components(first), star
     for again in (False, True):
