@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each held against what it must do."""
 
+import random
+
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
@@ -32,6 +34,33 @@ def test_stages_take_empty_and_null_tables(spark, stage):
     assert out.count() == {"toxicity": 4, "quality rules": 0, "near duplicates": 3, "repeated passages": 4, "packing": 4}[name]
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_clashing_columns_and_ids_with_several_texts(spark, stage):
+    draw = random.Random(3)
+    some = lambda k: " ".join(f"w{draw.getrandbits(30):x}" for _ in range(k))
+    a, b, long = some(80), some(90), some(20_000)
+    texts = [(1, a), (1, b), (2, f"{a} {some(60)}"), (2, some(3)), (3, b), (3, b), (4, long), (5, long + " end"), (None, a), (6, None), (6, "")]
+    names = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "stats string", "_stats int", "unit long", "_unit int", "spans string", "_w int", "score double", "component_id long"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", k, k, k, "y", k, 0.5, k) for k, (i, t) in enumerate(texts)], ", ".join(names))
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, SMALL)
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, None} and all(r.offset + r.length <= 2048 for r in rows)
+        assert sum(r.length for r in rows if r.doc_id == 4) == next(r.doc_tokens for r in rows if r.doc_id == 4)
+        return
+    assert out.columns == docs.columns and {r.stats for r in rows} <= {"x"} and all(r._stats == r.unit == r._w == r._unit for r in rows)
+    given = {k: (i, t) for k, (i, t) in enumerate(texts)}
+    kept = {r._w: (r.doc_id, (r.text or "").strip()) for r in rows}
+    if name == "repeated passages":
+        assert kept[2] == (2, texts[2][1].removeprefix(a).strip()) and kept[4] == kept[5] == (3, "") and kept[7] == (5, "end") and kept[0] == (1, a) and kept[6] == (4, long)
+    elif name == "near duplicates":
+        # 4 and 5 are alike, and 3 has a text of 1; an id stays with all its texts if it is the least of their groups
+        assert {i for i, _ in kept.values()} == {1, 2, 4, 6, None}
+    else:
+        assert all(given[k] == (i, given[k][1]) for k, (i, _) in kept.items()) and ({*kept} == {*given} if name == "toxicity" else 9 not in kept and 3 not in kept)
+
+
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names and {x.split("_")[0] for x in names if x.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
