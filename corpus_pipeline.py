@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written and read again by whoever runs them.
 
 All but the last stage return the columns of documents. Rows without an id or without a text pass the filters that need
-neither (a null text is an empty one, which the quality rules reject); an empty table gives an empty result.
+neither (a null text is an empty one, which the quality rules reject); an empty table gives an empty result. Rows that have an
+id in common but not a text are each judged by their own text. Columns of any further names go through unchanged.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm import jaccard, packing, passages, quality, toxicity
-from arborix.llm.common import materialize, table
+from arborix.llm.common import free_name, materialize, table
 
 TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
 
@@ -23,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and that no learned rule rejects."""
     rules = quality.learn_from(docs, table(spark, sf_dir, "labels"))
-    stats = F.col("stats")
-    return quality.with_statistics(docs).filter(~quality.base_failed(stats) & rules.verdict(stats)).select(*docs.columns)
+    name = free_name(docs, "stats")
+    stats = F.col(name)
+    return quality.with_statistics(docs, name=name).filter(~quality.base_failed(stats) & rules.verdict(stats)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
