@@ -22,11 +22,13 @@ def parse_relations(values: list[str], known: DataFrame, graph_type: str) -> lis
 
     A SKOS graph takes its own relations only, always both ways.
     """
-    predicates = sorted(r["predicate"] for r in known.select("predicate").distinct().limit(100_000).collect())
+    names = [raw.removeprefix("^").removeprefix("(-)").strip("<>") for raw in values]
+    local = F.regexp_extract("predicate", "([^/#]*)[/#]*$", 1)
+    meant = known.select("predicate").distinct().filter(F.col("predicate").isin(names) | local.isin(names))  # those that a value may name
+    predicates = sorted(r["predicate"] for r in meant.collect())
     out = []
-    for raw in values:
+    for raw, name in zip(values, names, strict=True):
         inverse = raw.startswith(("^", "(-)"))
-        name = raw.removeprefix("^").removeprefix("(-)").strip("<>")
         found = [p for p in predicates if p == name] or [p for p in predicates if p.rstrip("/#").replace("#", "/").rpartition("/")[2] == name]
         if len(found) != 1:
             raise ValueError(f"{raw!r} names {len(found)} relations")
@@ -52,19 +54,13 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     wrong = [f"{r['reference']}: {r['problem']}" for r in seeds.filter("problem IS NOT NULL").collect()]
     if wrong:
         raise ValueError("; ".join(wrong))
-    plan = {"graph_type": kind, "seeds": [r["node"] for r in seeds.orderBy("node").collect()], "relations": [[r["predicate"], r["inverse"]] for r in specs.orderBy("predicate", "inverse").limit(1000).collect()], "max_depth": args.max_depth}
+    plan = {"graph_type": kind, "seeds": [r["node"] for r in seeds.orderBy("node").collect()], "relations": [[r["predicate"], r["inverse"]] for r in specs.orderBy("predicate", "inverse").collect()], "max_depth": args.max_depth}
     if args.dry_run:
         return plan
     verdicts = spark.read.option("header", True).csv(args.verdicts).select("node", "classification", F.expr("try_cast(confidence AS DOUBLE)").alias("confidence"))
     visited = traverse.gated_bfs(graph.directed(edges, specs), seeds.select("node"), classify.TableClassifier(verdicts, missing=classify.EXCLUDE), args.max_depth)
-    sinks.write_extraction(visited, labels, args.out, args.overwrite)
-    kept = visited.filter("included").select("node")
-    sinks.write_turtle(traverse_edges(visited, edges), labels.join(kept, "node", "left_semi"), f"{args.out}/subgraph", args.overwrite)
-    return plan | {"visited": visited.count(), "included": kept.count()}
-
-
-def traverse_edges(visited: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.traversal_subgraph(visited, edges)
+    sinks.write_extraction(visited, labels, args.out, args.overwrite, edges, args.prompt or "", plan)
+    return plan | {"visited": visited.count(), "included": visited.filter("included").count()}
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +72,12 @@ def score(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
     rows = _rows(spark, args.rows)
     by = [args.by] if args.by else []
     out = metrics.fold_weighted(rows, by) if "fold" in rows.columns else metrics.confusion(rows, by)
-    return [r.asDict() for r in (out.orderBy(*by) if by else out).limit(10_000).collect()]
+    return [r.asDict() for r in (out.orderBy(*by) if by else out).collect()]
 
 
 def compare(spark: SparkSession, args: argparse.Namespace) -> dict:
     a, b = _rows(spark, args.left), _rows(spark, args.right)
-    profile = metrics.error_profile(a, b, args.by).orderBy(F.desc("errors"), args.by).limit(10_000)
+    profile = metrics.error_profile(a, b, args.by).orderBy(F.desc("errors"), args.by)
     return {"overlap": metrics.overlap(a, b).first().asDict(), "profile": [r.asDict() for r in profile.collect()]}
 
 
@@ -95,6 +91,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--verdicts")
     e.add_argument("--out")
     e.add_argument("--language", default="en")
+    e.add_argument("--prompt", help="the system prompt that the verdicts were given under, kept with the results")
     e.add_argument("--graph-type", choices=("skos", "general"))
     e.add_argument("--max-depth", type=int)
     e.add_argument("--overwrite", action="store_true")

@@ -54,3 +54,9 @@ def decision(c: Column) -> Column:
 def outermost_object(c: Column) -> Column:
     """The text from the first to the last brace: JSON that is wrapped in other words."""
     return F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+
+
+def dataset_id(c: Column) -> Column:
+    """A dataset's id as text: trimmed, and digits without leading zeros."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", "")).otherwise(text)

@@ -108,12 +108,55 @@ def checked_probabilities(rows: DataFrame) -> DataFrame:
     return rows.filter(F.when(wrong, F.raise_error(F.lit("probabilities do not fit the choice")).cast("boolean")).otherwise(True))
 
 
-def evidence(level: str) -> Column:
-    """A row's evidence text at a context level: labels, depth, property, path or path_simple."""
-    part = lambda name, c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(name + "="), F.col(c).cast("string")))
-    parts = {"labels": [part("seed", "seed_label"), part("candidate", "label")]}
-    parts["depth"] = [*parts["labels"], part("depth", "depth")]
-    parts["property"] = [*parts["depth"], part("property", "property"), part("parent", "parent_label")]
-    parts["path"] = [*parts["property"], part("path", "path")]
-    parts["path_simple"] = [part("path", "path")]
-    return F.concat_ws(" | ", *parts[level])
+def probability_answers(rows: DataFrame, payloads: DataFrame, overridden: list[str] | None = None) -> DataFrame:
+    """Rows (batch, idx, node) with choice, probabilities and confidence from one JSON payload (batch, value) a batch.
+
+    A payload has a model and answers named ``candidate_<idx>``, each a choice with the probabilities of INCLUDE and EXCLUDE
+    (an object, or a list of value and probability). Malformed ones are errors when read: no model, names that aren't just
+    those asked for, no two probabilities that sum to 1, a choice that isn't the likelier. A refusal is an error too, but for
+    nodes of ``overridden``, which are excluded without probabilities.
+    """
+    answer = "struct<name:string,type:string,choice:string,confidence:double,probabilities:string>"
+    text = F.get_json_object("value", "$.answers")
+    listed = F.from_json(text, f"array<{answer}>")
+    mapped = F.from_json(text, f"map<string,{answer}>")
+    parsed = payloads.select("batch", F.get_json_object("value", "$.model").alias("response_model"), F.when(text.startswith("["), F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x.alias("a")))).otherwise(F.transform(F.map_entries(mapped), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("a")))).alias("answers"))
+    given = parsed.select("batch", "response_model", F.explode_outer("answers").alias("x")).select("batch", "response_model", "x.name", "x.a")
+    named = given.groupBy("batch", "name").agg(F.first("response_model").alias("response_model"), F.first("a").alias("a"), F.count(F.lit(1)).alias("times"))
+    asked = rows.withColumn("name", F.concat(F.lit("candidate_"), F.col("idx").cast("string")))
+    joined = asked.join(named, ["batch", "name"], "full_outer")
+    probabilities = F.col("a.probabilities")
+    pairs = F.from_json(probabilities, "array<struct<value:string,probability:double>>")
+    of = lambda word: F.when(probabilities.startswith("["), F.get(F.filter(pairs, lambda p: p["value"] == word), F.lit(0))["probability"]).otherwise(F.get_json_object(probabilities, f"$.{word}").cast("double"))
+    chosen = F.when(F.col("choice") == INCLUDE, F.col("p_include")).otherwise(F.col("p_exclude"))
+    override = (F.col("a.type") == "refusal") & F.col("node").isin(*(overridden or [""]))
+    rows_ = joined.withColumns({"p_include": of(INCLUDE), "p_exclude": of(EXCLUDE), "choice": F.col("a.choice"), "override": F.coalesce(override, F.lit(False))})
+    outside = lambda c: F.col(c).isNull() | ~F.col(c).between(0, 1)
+    fault = (
+        F.when(F.col("idx").isNull() | F.col("a").isNull() | (F.col("times") != 1), "answers are not exactly the candidates")
+        .when(F.col("response_model").isNull(), "no response model")
+        .when(F.col("override"), F.lit(None).cast("string"))
+        .when(F.coalesce(F.col("a.type"), F.lit("")) != "choice", "not a choice")
+        .when(outside("p_include") | outside("p_exclude"), "no two probabilities")
+        .when(F.abs(F.col("p_include") + F.col("p_exclude") - 1) > 1e-5, "probabilities do not sum to one")
+        .when(~F.coalesce(F.col("choice").isin(INCLUDE, EXCLUDE), F.lit(False)) | (chosen < F.greatest("p_include", "p_exclude") - 1e-6), "the choice is not the likelier")
+    )
+    checked = rows_.filter(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True))
+    plain = lambda c: F.when(~F.col("override"), c)
+    return checked.select(*rows.columns, F.when(F.col("override"), EXCLUDE).otherwise(F.col("choice")).alias("classification"), plain(F.col("a.confidence")).alias("confidence"), plain(F.col("p_include")).alias("p_include"), plain(F.col("p_exclude")).alias("p_exclude"), plain(chosen).alias("selected_probability"), "response_model", F.col("override").alias("overridden"))
+
+
+def response_schema(kind: str = "json_schema") -> dict:
+    """The JSON schema of a batch's response: ``json_schema`` (closed objects) or ``open_api`` (upper-case types, titles, ordering)."""
+    fields = {"idx": ("integer", {"minimum": 1}), "classification": ("string", {"enum": [INCLUDE, EXCLUDE]}), "confidence": ("number", {"minimum": 0.0, "maximum": 1.0})}
+    closed = kind == "json_schema"
+    name = (lambda t: t) if closed else str.upper
+
+    def record(properties: dict, title: str) -> dict:
+        out = {"type": name("object"), "properties": properties, "required": list(properties)}
+        return out | ({"additionalProperties": False} if closed else {"title": title})
+
+    one = record({k: {"type": name(t), **{x: float(v) if x == "minimum" and not closed else v for x, v in rest.items()}} | ({} if closed else {"title": k.capitalize()}) for k, (t, rest) in fields.items()}, "PromptDecision")
+    if not closed:
+        one["propertyOrdering"] = list(fields)
+    return record({"evaluations": {"type": name("array"), "items": one} | ({} if closed else {"title": "Evaluations"})}, "BatchResponse")

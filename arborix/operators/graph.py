@@ -8,12 +8,20 @@ from pyspark.sql.window import Window
 
 from arborix.functions.text import casefold, local_name
 
-_RDFS, _SKOS, _DCT, _OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/terms/", "http://www.w3.org/2002/07/owl#"
+_RDFS, _SKOS, _DCT = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/terms/"
 #: Predicates whose literals name a node, the preferred first.
 PREFERRED, ALTERNATIVE = (_SKOS + "prefLabel", _RDFS + "label"), (_SKOS + "altLabel", _SKOS + "hiddenLabel")
 #: SKOS relations between concepts.
 SKOS_RELATIONS = (_SKOS + "broader", _SKOS + "narrower", _SKOS + "related")
-ANNOTATIONS = (*PREFERRED, *ALTERNATIVE, _SKOS + "definition", _SKOS + "note", _SKOS + "scopeNote", _SKOS + "example", _RDFS + "comment", _RDFS + "seeAlso", _RDFS + "isDefinedBy", _DCT + "title", _DCT + "description", _OWL + "sameAs")
+#: Predicates that annotate and are never traversed.
+ANNOTATIONS = (
+    *(_SKOS + x for x in ("prefLabel", "altLabel", "hiddenLabel", "notation", "definition", "scopeNote", "historyNote", "changeNote", "editorialNote", "note")),
+    *(_RDFS + x for x in ("label", "comment")),
+    *(_DCT + x for x in ("title", "description", "created", "modified", "source")),
+)
+#: Schemes of a thesaurus whose concepts may have some relations that aren't SKOS, and those relations.
+THESAURUS_SCHEMES = ("https://lod.nal.usda.gov/nalt", "https://lod.nal.usda.gov/nalt-core", "https://lod.nal.usda.gov/nalt-taxon")
+THESAURUS_RELATIONS = ("https://lod.nal.usda.gov/naltv#taxonomicRank", "https://lod.nal.usda.gov/naltv#hasProduct", "https://lod.nal.usda.gov/naltv#productOf")
 
 
 def literal_candidates(triples: DataFrame, predicates: tuple[str, ...], language: str = "en") -> DataFrame:
@@ -100,18 +108,25 @@ def resolve(references: DataFrame, labels: DataFrame, prefixes: dict[str, str] |
 
 
 def profile(triples: DataFrame, concept_class: str = _SKOS + "Concept") -> DataFrame:
-    """One row: labelled nodes, concepts, their share, SKOS and foreign concept edges, and "skos" or "general"."""
+    """One row: labelled nodes, concepts, their share, SKOS and foreign concept edges, thesaurus, and "skos" or "general".
+
+    A graph is "skos" if at least 95 % of the labelled nodes are concepts, some SKOS relation joins concepts, and no
+    predicate outside of SKOS does; in the known thesaurus (by its schemes) its own relations may.
+    """
     kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-    concepts = triples.filter((F.col("p") == kind) & (F.col("o") == concept_class)).select("s").distinct()
-    named = triples.filter(F.col("p").isin(*PREFERRED, *ALTERNATIVE) & (F.col("o_kind") == "literal")).select("s").distinct()
+    own = triples.select("s", "p", "o", "o_kind").distinct()
+    concepts = own.filter((F.col("p") == kind) & (F.col("o") == concept_class)).select("s").distinct()
+    named = own.filter(F.col("p").isin(*PREFERRED, *ALTERNATIVE) & (F.col("o_kind") == "literal") & (F.trim("o") != "")).select("s").distinct()
     marked = named.join(concepts.withColumn("concept", F.lit(1)), "s", "left")
     counts = marked.agg(F.count(F.lit(1)).alias("labelled"), F.count("concept").alias("concepts"))
-    links = triples.filter((F.col("o_kind") == "iri") & (F.col("p") != kind)).join(concepts, "s", "left_semi").join(concepts.withColumnRenamed("s", "o"), "o", "left_semi")
-    skos = F.col("p").isin(*SKOS_RELATIONS)
-    edges = links.agg(F.count_if(skos).alias("skos_edges"), F.count_if(~skos & ~F.col("p").isin(*ANNOTATIONS)).alias("other_edges"))
+    links = own.filter((F.col("o_kind") == "iri") & (F.col("p") != kind)).join(concepts, "s", "left_semi").join(concepts.withColumnRenamed("s", "o"), "o", "left_semi")
+    foreign = ~F.col("p").startswith(_SKOS)
+    edges = links.agg(F.count_if(F.col("p").isin(*SKOS_RELATIONS)).alias("skos_edges"), F.count_if(foreign).alias("other_edges"), F.count_if(foreign & ~F.col("p").isin(*THESAURUS_RELATIONS)).alias("unknown_edges"))
+    schemes = own.agg((F.count_if((F.col("p") == _SKOS + "inScheme") & F.col("o").isin(*THESAURUS_SCHEMES)) > 0).alias("thesaurus"))
     share = F.when(F.col("labelled") > 0, F.col("concepts") / F.col("labelled")).otherwise(0.0)
-    both = counts.join(F.broadcast(edges), how="cross").withColumn("share", share)  # one row each
-    return both.withColumn("graph_type", F.when((F.col("share") >= 0.95) & (F.col("skos_edges") > 0) & (F.col("other_edges") == 0), "skos").otherwise("general"))
+    every = counts.join(F.broadcast(edges), how="cross").join(F.broadcast(schemes), how="cross").withColumn("share", share)  # one row each
+    allowed = (F.col("other_edges") == 0) | (F.col("thesaurus") & (F.col("unknown_edges") == 0))
+    return every.withColumn("graph_type", F.when((F.col("share") >= 0.95) & (F.col("skos_edges") > 0) & allowed, "skos").otherwise("general"))
 
 
 def display(label: Column, alternatives: Column) -> Column:

@@ -187,3 +187,44 @@ def best_balanced_threshold(sweep: DataFrame, by: list[str] | None = None) -> Da
     """By F1, precision, recall, nearness to one half, then the lowest."""
     key = F.struct("f1", "precision", "recall", (-F.abs(F.col("threshold") - 0.5)).alias("near"), (-F.col("threshold")).alias("low"))
     return sweep.groupBy(*(by or [])).agg(F.max_by(F.struct("threshold", "f1", "precision", "recall"), key).alias("x")).select(*(by or []), "x.*")
+
+
+def percentages(rows: DataFrame, columns: tuple[str, ...] = METRICS, digits: int = 4) -> DataFrame:
+    """``rows`` with the columns as percentages, half to even."""
+    return rows.select(*[F.bround(100 * F.col(c), digits).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def mean_and_deviation(mean: Column, deviation: Column) -> Column:
+    """Two shares as text, in per cent with two digits."""
+    return F.concat(F.format_string("%.2f", 100 * mean), F.lit(" \u00b1 "), F.format_string("%.2f", 100 * deviation))
+
+
+def metric_views(results: DataFrame, requested: str = "bfs_gated", scope: str = "runtime") -> DataFrame:
+    """(id, view, metrics) of result documents (id, value): the metric rows of the view asked for, as JSON text.
+
+    Documents are of several makes: batch results keep metrics by evaluation mode, others rows by view, and some
+    aggregations over folds; ``scope`` is the name that rows of a limited scope go by. Asking for what a document lacks is
+    an error, but for gated views, which may be none.
+    """
+    at = lambda path: F.get_json_object("value", path)
+    limited = F.coalesce(at(f"$.metric_aggregations.{scope}_rows"), at(f"$.metric_aggregations.bfs_gated_{scope}_rows"))
+    inside = lambda c, name: F.get_json_object(c, f"$.{name}")
+    view = lambda name, c: F.struct((name if isinstance(name, Column) else F.lit(name)).alias("view"), c.alias("metrics"))
+    traversed = F.coalesce(at("$.evaluation_mode") == "bfs", F.lit(False))
+    needs = lambda ok, what: F.when(ok, True).otherwise(F.raise_error(F.lit(what)).cast("boolean"))
+    weighted, pooled = f"{scope}_weighted_fold", f"{scope}_pooled"
+    if requested in (weighted, pooled, "both_aggregations"):
+        wanted = [weighted, pooled] if requested.startswith("both") else [requested]
+        ok = limited.isNotNull() & (inside(limited, "weighted_fold").isNotNull() if weighted in wanted else F.lit(True))
+        views, check = F.array(*[view(w, inside(limited, "weighted_fold" if w == weighted else "pooled")) for w in wanted]), needs(ok, "no aggregation over folds")
+    elif requested in ("bfs_gated", "both_bfs_gated"):
+        batch = F.array(view("full_dataset_bfs_gated", at("$.metrics.bfs_gated")), view(f"{scope}_bfs_gated", at(f"$.metrics.bfs_gated_{scope}_rows")))
+        single = F.array(view("all_evaluated_rows_bfs_gated", at("$.metric_views.all_evaluated_rows")), view(f"{scope}_bfs_gated", at(f"$.metric_views.{scope}_rows")))
+        views, check = F.when(at("$.metrics.bfs_gated").isNotNull(), batch).when(traversed, single), F.lit(True)
+    elif requested == "metrics":
+        views, check = F.array(view("metrics", at("$.metrics"))), needs(at("$.metrics.precision").isNotNull(), "no direct metric row")
+    else:
+        own, other = at(f"$.metrics.{requested}"), at(f"$.metric_views.{requested}")
+        name = F.when(own.isNull() & traversed, requested + "_bfs_gated").otherwise(requested)
+        views, check = F.array(view(name, F.coalesce(own, other))), needs(F.coalesce(own, other).isNotNull(), f"no metric view {requested}")
+    return results.filter(check).select("id", F.explode(views).alias("x")).select("id", "x.view", "x.metrics").filter("metrics IS NOT NULL")

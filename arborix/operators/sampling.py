@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborix.functions.vectors import euclidean
+from .fixpoint import ordinals, settle
 
 
 def drawn(seed: int, *keys: Column | str) -> Column:
@@ -18,14 +18,14 @@ def balanced(rows: DataFrame, size: int, seed: int = 42, key: str = "row_id") ->
     """``size`` rows: half positives, the rest negatives, topped up from what is left."""
     draw = drawn(seed, key)
     half = F.when(F.col("target") == 1, F.lit(size // 2)).otherwise(F.lit(size - size // 2))
-    ranked = rows.withColumn("_draw", draw).withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("_draw", key)))
+    ranked = rows.withColumn("_draw", draw).withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("_draw", key))).filter(F.col("_n") <= size)  # no more of a class is ever taken, so each task keeps that many
     return ranked.orderBy((F.col("_n") > half).cast("int"), "_draw", key).limit(size).drop("_draw", "_n")
 
 
 def round_robin(rows: DataFrame, size: int, bucket: list[str], seed: int = 42, key: str = "row_id") -> DataFrame:
     """``size`` rows, one of each bucket in turn, buckets and rows in drawn order."""
     own = Window.partitionBy(*bucket).orderBy("_draw", key)
-    ranked = rows.withColumn("_draw", drawn(seed, key)).withColumn("_round", F.row_number().over(own)).withColumn("_bucket", drawn(seed, *bucket))
+    ranked = rows.withColumn("_draw", drawn(seed, key)).withColumn("_round", F.row_number().over(own)).filter(F.col("_round") <= size).withColumn("_bucket", drawn(seed, *bucket))
     return ranked.orderBy("_round", "_bucket", *bucket).limit(size).drop("_draw", "_round", "_bucket")
 
 
@@ -33,15 +33,18 @@ def contrastive(rows: DataFrame, keep: int, prune: int, prop: str, seed: int = 4
     """``keep`` positives and ``prune`` negatives in turn over properties that have both, then over the others."""
     both = rows.groupBy(prop).agg(F.count_distinct("target").alias("_kinds"))
     own = Window.partitionBy(prop, "target").orderBy("_draw", key)
-    ranked = rows.join(both, prop).withColumn("_draw", drawn(seed, key)).withColumn("_round", F.row_number().over(own)).withColumn("_late", (F.col("_kinds") < 2).cast("int"))
-    place = F.row_number().over(Window.partitionBy("target").orderBy("_late", "_round", prop, key))
-    want = F.when(F.col("target") == 1, F.lit(keep)).otherwise(F.lit(prune))
-    return ranked.withColumn("_place", place).filter(F.col("_place") <= want).drop("_kinds", "_draw", "_round", "_late", "_place")
+    ranked = rows.join(both, prop).withColumn("_draw", drawn(seed, key)).withColumn("_round", F.row_number().over(own)).filter(F.col("_round") <= max(keep, prune)).withColumn("_late", (F.col("_kinds") < 2).cast("int"))
+    first = lambda wanted, n: ranked.filter(wanted).orderBy("_late", "_round", prop, key).limit(n)
+    return first(F.col("target") == 1, keep).unionByName(first(F.col("target") == 0, prune)).drop("_kinds", "_draw", "_round", "_late")
 
 
 def folds(seeds: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(seed, fold): near-equal parts of the drawn order."""
-    return seeds.select("seed").distinct().withColumn("fold", (F.ntile(n).over(Window.orderBy(drawn(seed, "seed"), "seed")) - 1).cast("long"))
+    own = settle(seeds.select("seed").distinct().withColumn("_draw", drawn(seed, "seed")))
+    each, more = divmod(own.count(), n)  # the first ``more`` folds have one seed more
+    place, cut = F.col("_rank"), more * (each + 1)
+    late = F.lit(more) + F.floor((place - cut) / max(each, 1))
+    return ordinals(own, ["_draw", "seed"], "_rank").select("seed", F.when(place < cut, F.floor(place / (each + 1))).otherwise(late).cast("long").alias("fold"))
 
 
 def fold_assignments(branches: DataFrame) -> DataFrame:
@@ -64,19 +67,18 @@ def references(queries: DataFrame, pool: DataFrame, k: int, seed: int = 42, othe
 def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = 512) -> DataFrame:
     """(query, id, distance, n): the ``k`` nearest points of each query by Euclidean distance, ties by id.
 
-    Queries are stated rows and the points all rows: the queries go round in broadcast blocks of at most ``block``, each
+    Queries are stated rows and the points all rows: the queries are read in turn and go round in blocks of at most ``block``, each
     task keeps ``k`` of its own points a query, and only those meet.
     """
     import numpy as np
     import pandas as pd
 
+    from itertools import islice
+
     spark, out = points.sparkSession, None
-    asked = queries.select("query", "vector").orderBy("query")
-    todo = [(r["query"], r["vector"]) for r in asked.toLocalIterator()] if queries.count() <= 100_000 else None
-    if todo is None:  # too many to hold: join by blocks of the queries' hash instead
-        return _nearest_joined(queries, points, k)
-    for at in range(0, len(todo), block):
-        part = todo[at : at + block]
+    asked = settle(queries.select("query", "vector")).toLocalIterator()
+    blocks = 0
+    while part := [(r["query"], r["vector"]) for r in islice(asked, block)]:
         handle = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64)))
 
         def run(batches, handle=handle):
@@ -93,8 +95,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = 512) ->
         kind = dict(points.dtypes)["id"]
         found = points.select("id", "vector").mapInPandas(run, f"query {dict(queries.dtypes)['query']}, id {kind}, distance double")
         out = found if out is None else out.unionByName(found)
+        blocks += 1
+        if blocks % 64 == 0:  # plans stay short
+            out = settle(out)
     if out is None:
-        return _nearest_joined(queries.limit(0), points, k)
+        out = spark.createDataFrame([], f"query {dict(queries.dtypes)['query']}, id {dict(points.dtypes)['id']}, distance double")
     return _ranked(out, k)
 
 
@@ -103,11 +108,6 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.filter("query <> id").withColumn("n", n.cast("long")).filter(F.col("n") <= k)
 
 
-def _nearest_joined(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    rows = points.select("id", "vector").join(queries.select("query", F.col("vector").alias("qv")), how="cross")
-    return _ranked(rows.select("query", "id", euclidean(F.col("qv"), F.col("vector")).alias("distance")), k)
-
-
 def vote(neighbours: DataFrame, labels: DataFrame, threshold: float = 0.5, majority: bool = False) -> DataFrame:
     """(query, votes, score, prediction): the mean label of a query's neighbours against a threshold.
 

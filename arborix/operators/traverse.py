@@ -34,6 +34,7 @@ def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_de
     ``per_seed`` traverses each seed on its own.
     """
     key = ["seed", "node"] if per_seed else ["node"]
+    edges = settle(edges.select("src", "pred", "inverse", "dst"))  # once, not again at each level
     level = seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).cast("long").alias("depth"), F.lit("SEED").alias("classification"), F.lit(1.0).alias("confidence"), F.lit(True).alias("included"), F.array().cast(STEP).alias("path"))
     level = settle(level)
     visited = level
@@ -61,6 +62,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     links = edges.select("src", "dst").distinct()
     if masked is not None:
         links = links.join(masked.select(F.col("node").alias("dst")), "dst", "left_anti")
+    links = settle(links)
     level = settle(own.select("seed", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
     visited = level
     depth = 0
@@ -74,33 +76,42 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     return visited
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, per_seed: bool = False) -> DataFrame:
     """(node, seed, depth, ords, path): the first path by breadth-first order from sorted seeds to every node.
 
     ``edges`` carry ``ord``, the place among a node's neighbours. The path of least seed, then least sequence of places
-    is the one that a queue would find first.
+    is the one that a queue would find first. ``per_seed`` gives each seed a path of its own to every node.
     """
+    key = ["seed", "node"] if per_seed else ["node"]
+    edges = settle(edges.select("src", "pred", "inverse", "dst", "ord"))
     level = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("ords"), F.array().cast(STEP).alias("path")).distinct()
     level = settle(level)
     visited = level
     for depth in range(1, max_depth + 1):
         reached = level.select("seed", F.col("node").alias("src"), "ords", "path").join(edges, "src").select(F.col("dst").alias("node"), "seed", F.concat("ords", F.array(F.col("ord"))).alias("ords"), F.concat("path", _step()).alias("path"))
-        fresh = reached.join(visited.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("seed", "ords", "path")).alias("way"))
-        level = settle(fresh.select("way.seed", "node", F.lit(depth).cast("long").alias("depth"), "way.ords", "way.path"))
+        fresh = reached.join(visited.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct("seed", "ords", "path")).alias("way"))
+        level = settle(fresh.select(F.col("way.seed").alias("seed"), "node", F.lit(depth).cast("long").alias("depth"), "way.ords", "way.path"))
         if is_empty(level):
             break
         visited = visited.unionByName(level)
     return visited
 
 
+def _decision_nodes(decided: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(the decision nodes marked ``own``, what they are joined by): nodes alone where they hold for all seeds."""
+    by = [c for c in ("seed", "node") if c in decided.columns]
+    return settle(decided.select(*by, F.lit(True).alias("own")).distinct()), by
+
+
 def bridge_bfs(edges: DataFrame, seeds: DataFrame, decided: DataFrame, classifier: Classifier, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth, classification, confidence, included) of decision nodes, per seed, across bridge nodes.
 
-    ``decided`` (seed, node) has the decision nodes. A level's frontier is first closed over nodes without a decision,
+    ``decided`` (seed, node; or node, for all seeds) has the decision nodes. A level's frontier is first closed over nodes without a decision,
     which are passed without being judged; the decision nodes met on the way are judged, and the included ones are the
     next frontier. A node once met is never retried.
     """
-    links = edges.select("src", "dst").distinct()
+    links = settle(edges.select("src", "dst").distinct())
+    marks, by = _decision_nodes(decided)
     frontier = settle(seeds.select(F.col("node").alias("seed"), "node").distinct())
     met = frontier
     out: DataFrame | None = None
@@ -110,7 +121,7 @@ def bridge_bfs(edges: DataFrame, seeds: DataFrame, decided: DataFrame, classifie
         wave, found = frontier, None
         while True:
             near = wave.select("seed", F.col("node").alias("src")).join(links, "src").select("seed", F.col("dst").alias("node")).distinct()
-            near = near.join(met, ["seed", "node"], "left_anti").join(decided.select("seed", "node", F.lit(True).alias("own")).distinct(), ["seed", "node"], "left")
+            near = near.join(met, ["seed", "node"], "left_anti").join(marks, by, "left")
             near = settle(near.select("seed", "node", F.coalesce("own", F.lit(False)).alias("own")))
             if is_empty(near):
                 break
@@ -132,7 +143,7 @@ def bridge_bfs(edges: DataFrame, seeds: DataFrame, decided: DataFrame, classifie
 
 
 def two_phase_bfs(edges: DataFrame, seeds: DataFrame, first: DataFrame, later: DataFrame, decided: DataFrame, gates: DataFrame | None = None, allowed: DataFrame | None = None, bridges: bool = True) -> DataFrame:
-    """(seed, node, depth) of decision nodes over logical edges (src, pred, dst), hops counted with bridge nodes.
+    """(seed, node, depth) of decision nodes over logical edges (src, pred, dst), hops counted with bridge nodes; ``decided`` as in ``bridge_bfs``.
 
     ``first`` and ``later`` (predicate) are the properties of the first and of later hops. ``gates`` (seed, node, target):
     only nodes with target 1 are expanded among the decision nodes. ``allowed`` (node) restricts what may be entered;
@@ -143,12 +154,13 @@ def two_phase_bfs(edges: DataFrame, seeds: DataFrame, first: DataFrame, later: D
         links = links.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
     level = settle(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("expands"), F.lit(False).alias("own")).distinct())
     visited, depth = level, 0
-    marks = decided.select("seed", "node", F.lit(True).alias("own")).distinct()
+    marks, by = _decision_nodes(decided)
+    links = settle(links)
     while True:
         depth += 1
         hop = links.join((first if depth == 1 else later).select(F.col("predicate").alias("pred")).distinct(), "pred", "left_semi").select("src", "dst")
         near = level.filter("expands").select("seed", F.col("node").alias("src")).join(hop, "src").select("seed", F.col("dst").alias("node")).distinct()
-        near = near.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").join(marks, ["seed", "node"], "left")
+        near = near.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").join(marks, by, "left")
         if not bridges:
             near = near.filter("own")
         if gates is not None:

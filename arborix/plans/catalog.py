@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, graph_queries, sample_queries
+from . import context_queries, evaluation_queries, graph_queries, sample_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (graph_queries, evaluation_queries, sample_queries)
+_PARTS = (graph_queries, context_queries, evaluation_queries, sample_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

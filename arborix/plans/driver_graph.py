@@ -66,11 +66,6 @@ def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directed(edges(spark, sf_dir))
 
 
-def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges down to suppliers and customers."""
-    return edges(spark, sf_dir).filter("pred IN ('hasNation', 'hasSupplier', 'hasCustomer')")
-
-
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, classification, confidence) by rules on the tables' numbers."""
     own = lambda name, key, kind, rule: table(spark, sf_dir, name).select(node(kind, key).alias("node"), F.when(F.expr(rule), "INCLUDE").otherwise("EXCLUDE").alias("classification"), F.lit(1.0).alias("confidence"))

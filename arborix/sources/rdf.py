@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.functions.text import label_unescape
@@ -19,21 +19,28 @@ TRIPLES = "s string, p string, o string, o_kind string, o_lang string, o_datatyp
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 
 
-def _literal_value(c):
-    return F.regexp_replace(F.replace(F.replace(F.replace(label_unescape(c), F.lit("\\t"), F.lit("\t")), F.lit("\\r"), F.lit("\r")), F.lit("\\\\"), F.lit("\\")), "\x00", "")
+def ntriples_unescape(c: Column) -> Column:
+    """A literal's escapes decoded by built-in functions: those of JSON, the apostrophe's, and eight-digit code points."""
+    code = lambda x: F.conv(x, 16, 10).cast("int")
+    unit = lambda v: F.concat(F.lit("\\u"), F.lpad(F.hex(v), 4, "0"))
+    pair = lambda v: F.concat(unit(F.lit(0xD800) + F.shiftright(v - 0x10000, 10)), unit(F.lit(0xDC00) + (v - 0x10000).bitwiseAND(0x3FF)))
+    long = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\\U([0-9A-Fa-f]{8})"), F.lit(1)))
+    short = F.aggregate(long, c, lambda text, x: F.replace(text, F.concat(F.lit("\\U"), x), F.when(code(x) < 0x10000, unit(code(x))).otherwise(pair(code(x)))))
+    plain = F.regexp_replace(short, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    return F.when(c.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":"'), plain, F.lit('"}')), "$.v")).otherwise(c)
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples lines as TRIPLES; comments and blank lines are skipped."""
+    """N-Triples lines as TRIPLES; comments and blank lines are skipped, and reading a line that is no triple is an error."""
     line = F.trim("value")
     pattern = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
     part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
-    rows = spark.read.text(path).filter((line != "") & ~line.startswith("#") & line.rlike(pattern))
+    rows = spark.read.text(path).filter((line != "") & ~line.startswith("#")).filter(F.when(line.rlike(pattern), True).otherwise(F.raise_error(F.concat(F.lit("no triple: "), line)).cast("boolean")))
     iri = part(3)
     return rows.select(
         F.regexp_replace(part(1), "^<|>$", "").alias("s"),
         part(2).alias("p"),
-        F.coalesce(iri, part(4), _literal_value(F.regexp_extract(line, pattern, 5))).alias("o"),
+        F.coalesce(iri, part(4), ntriples_unescape(F.regexp_extract(line, pattern, 5))).alias("o"),
         F.when(iri.isNotNull(), "iri").when(part(4).isNotNull(), "bnode").otherwise("literal").alias("o_kind"),
         part(6).alias("o_lang"),
         part(7).alias("o_datatype"),

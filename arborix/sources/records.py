@@ -53,8 +53,10 @@ def per_seed_json(subgraphs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def markdown(table: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    """A small table as Markdown."""
-    rows = table.limit(most).collect()
+    """A small table as Markdown; one of more than ``most`` rows is no report, which is an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
     return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])

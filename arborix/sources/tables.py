@@ -64,7 +64,7 @@ def demonstrations(raw: DataFrame) -> DataFrame:
 def embeddings_for(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, vector) of tab-separated lines for the ids wanted; the first line of an id counts."""
     parts = F.split("value", "\t")
-    rows = lines.select(F.regexp_extract(parts[0], "([^/>]+)>?$", 1).alias("id"), F.slice(parts, 2, 1 << 20).alias("raw"))
+    rows = lines.select(F.regexp_extract(parts[0], "([^/>]+)>?$", 1).alias("id"), F.slice(parts, F.lit(2), F.size(parts)).alias("raw"))
     own = numbered(rows).join(F.broadcast(wanted.select("id").distinct()) if wanted.count() <= 1_000_000 else wanted.select("id").distinct(), "id", "left_semi")
     first = own.groupBy("id").agg(F.min_by("raw", "row_index").alias("raw"))
     return first.select("id", F.transform("raw", lambda x: x.cast("double")).alias("vector"))

@@ -210,9 +210,6 @@ def test_analogies_probabilities_and_evidence(spark):
     assert classify.checked_probabilities(good).count() == 1
     with pytest.raises(Exception, match="do not fit"):
         classify.checked_probabilities(good.withColumn("p_exclude", F.lit(0.9))).collect()
-    row = spark.createDataFrame([("S", "L", 2, "p", "P", "S --> L")], "seed_label string, label string, depth int, property string, parent_label string, path string")
-    assert row.select(classify.evidence("depth")).first()[0] == "seed=S | candidate=L | depth=2"
-    assert row.select(classify.evidence("path_simple")).first()[0] == "path=S --> L"
     train = spark.createDataFrame([("row1", "x"), ("row2", "y")], "row_id string, node string")
     near = spark.createDataFrame([("q", "y", 0.1), ("q", "x", 0.5), ("q", "zz", 0.0)], "query string, other string, distance double")
     assert [(r.row_id, r.n) for r in relational.ordered_distances(train, near).orderBy("n").collect()] == [("row2", 1), ("row1", 2)]
