@@ -254,7 +254,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, percent: int, width: int = 5)
 def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
     """(shingle, set_id, size), distinct: the rows (of ``prefixes``) whose shingle another set of like size has too, or is frequent.
 
-    One shuffle: rare shingles are dealt by themselves, so a task sees their few rows together, and parts them where the size
+    Copies share many shingles and so many blocks, which are one here. Rare shingles are dealt by themselves, so a task sees their few rows together, and parts them where the size
     classes leave a gap that no similar sets have; rows of frequent ones, which others have anyway, are dealt one by one.
     """
     bounded_batches(rows.sparkSession)
@@ -272,11 +272,15 @@ def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
             keep = many.copy()
             keep[1:] |= near
             keep[:-1] |= near
-            # the blocks' names: the shingle, and for a rare one the least size of the part
+            # a frequent shingle names its block; a rare one's is named by its sets, so that blocks of the same sets are one
+            name = mix(shingle.view(np.uint64))
             first = np.ones(len(shingle), bool)
             first[1:] = ~near
-            least = size[np.flatnonzero(first)][np.cumsum(first) - 1] if len(size) else size
-            name = mix(shingle.view(np.uint64) + np.where(many, 0, least + 1).astype(np.uint64)).view(np.int64)
+            begin = np.flatnonzero(first)
+            if len(begin):
+                sets = np.repeat(np.add.reduceat(mix(set_id.view(np.uint64)), begin), np.diff(np.append(begin, len(first))))
+                name = np.where(many, name, mix(sets ^ np.uint64(0x9E3779B97F4A7C15)))
+            name = name.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(set_id[keep]), pa.array(size[keep].astype(np.int16))], names=["shingle", "set_id", "size"])
 
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
@@ -291,7 +295,7 @@ def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
 
     key = F.when(F.col("code").bitwiseAND(F.lit(1)) == 1, F.xxhash64("shingle", "set_id")).otherwise(F.col("shingle"))
     dealt = rows.repartition(key).sortWithinPartitions("shingle", "set_id")
-    return dealt.mapInArrow(frugal(run), "shingle long, set_id long, size short")
+    return dealt.mapInArrow(frugal(run), "shingle long, set_id long, size short").distinct()
 
 
 def within_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
