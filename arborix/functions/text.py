@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,19 @@ from pyspark.sql import functions as F
 INCLUDE_WORDS, EXCLUDE_WORDS = ("INCLUDE", "KEEP", "1", "TRUE"), ("EXCLUDE", "PRUNE", "0", "FALSE")
 
 
+@lru_cache
+def _folds() -> dict[str, str]:
+    """Characters whose case folding isn't their lower case (the sharp s, the final sigma, ligatures and others)."""
+    every = (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    return {x: x.casefold() for x in every if x.casefold() != x.lower()}
+
+
 def casefold(c: Column) -> Column:
-    """Lower case, with the sharp s as two letters."""
-    return F.lower(F.regexp_replace(c, "[ßẞ]", "ss"))
+    """Unicode's full case folding: lower case, and character by character only where a text has one that folds otherwise."""
+    folds = _folds()
+    table = F.create_map(*[F.lit(x) for kv in folds.items() for x in kv])
+    one = F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], F.lower(x)))
+    return F.when(c.rlike("[" + "".join(folds) + "]"), F.array_join(one, "")).otherwise(F.lower(c))
 
 
 def local_name(c: Column) -> Column:

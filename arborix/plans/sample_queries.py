@@ -104,7 +104,18 @@ SELECT *, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END,
 
 _DRAW = lambda *c: f"md5(concat_ws('|', '42', {', '.join(c)}))"
 
+def distances(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows in the order of their distance from each query; rows that no query has a distance to drop out."""
+    train = vectors(spark, d).filter("label % 2 = 0").select(F.col("id").alias("node"), F.concat(F.lit("row"), "id").alias("row_id"))
+    found = relational.ordered_distances(train, neighbours(spark, d).select("query", F.col("id").alias("other"), "distance"))
+    return found.select("query", "row_id", F.round("distance", 6).alias("distance"), "n")
+
+
+DISTANCES_SQL = f"""WITH {NEAR_SQL} SELECT query, 'row' || id AS row_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, 'row' || id) AS n
+FROM near JOIN embeddings e ON e.vec_id = near.id WHERE e.label % 2 = 0"""
+
 QUERIES: dict = {
+    "ordered_distances": (distances, DISTANCES_SQL),
     "integer_ids": (lambda s, d: records.integer_ids(g.nodes(s, d)), f"WITH {g.NODES_SQL} SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM nodes"),
     "required_ids": (lambda s, d: records.required_ids(g.table(s, d, "events").select("props", "event_type"), ["props", "event_type"], "[0-9]+"), "SELECT DISTINCT unnest(regexp_extract_all(props || event_type, '[0-9]+')) AS id FROM events"),
     "missing_runs": (lambda s, d: records.missing_runs(g.judged(s, d).filter("row_id % 2 = 0").select("seed", "property"), g.judged(s, d).select("seed", "property"), ["seed", "property"]), f"WITH {J} SELECT DISTINCT seed, property FROM judged EXCEPT SELECT seed, property FROM judged WHERE row_id % 2 = 0"),

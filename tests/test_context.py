@@ -140,3 +140,11 @@ def test_neighbours_of_many_queries(spark):
         order = sorted((((q - i) ** 2 + (q * q - i * i) ** 2) ** 0.5, i) for i in range(40) if i != q)
         assert [got[q, 1], got[q, 2]] == [order[0][1], order[1][1]]
     assert sampling.nearest(asked.limit(0), points, 2).count() == 0
+
+
+def test_case_folding_is_unicode_s(spark):
+    from arborix.functions.text import casefold
+
+    words = ["Straße", "ΣΊΣΥΦΟΣ ς", "ﬁn ﬄ", "İstanbul", "Ꭰꭰ", "plain ASCII", "", "ŉ ǰ", "ÀÉ"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", casefold(F.col("w")).alias("f")).collect()
+    assert {r.w: r.f for r in got} == {w: w.casefold() for w in words}
