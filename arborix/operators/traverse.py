@@ -42,10 +42,13 @@ def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_de
     while max_depth is None or depth < max_depth:
         depth += 1
         frontier = level.filter("included").select("seed", F.col("node").alias("src"), "path")
-        reached = frontier.join(edges, "src").select("seed", F.col("dst").alias("node"), F.concat("path", _step()).alias("path"))
+        # only texts meet; a path goes along with the way chosen to a node
+        text = F.when(F.size("path") == 0, F.col("src")).otherwise(path_text(F.col("path"))).alias("text")
+        reached = frontier.select("seed", "src", text).join(edges, "src").select("seed", F.col("dst").alias("node"), F.concat("text", F.lit(" --"), F.when(F.col("inverse"), "inverse ").otherwise(""), "pred", F.lit("--> "), "dst").alias("text"), "src", "pred", "inverse")
         fresh = reached.join(visited.select(*key), key, "left_anti")
-        way = F.min(F.struct("seed", path_text(F.col("path")).alias("text"), "path")).alias("way")
-        candidates = fresh.groupBy(*key).agg(way).select(*([] if per_seed else [F.col("way.seed").alias("seed")]), *key, F.col("way.path").alias("path"))
+        chosen = fresh.groupBy(*key).agg(F.min(F.struct("seed", "text", "src", "pred", "inverse")).alias("way"))
+        chosen = chosen.select(F.col("way.seed").alias("seed"), F.col("node").alias("dst"), "way.src", "way.pred", "way.inverse")
+        candidates = chosen.join(frontier, ["seed", "src"]).select("seed", F.col("dst").alias("node"), F.concat("path", _step()).alias("path"))
         judged = classifier(candidates.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "path"))
         level = settle(judged.select("seed", "node", "depth", "classification", "confidence", (F.col("classification") == INCLUDE).alias("included"), "path"))
         if is_empty(level):
