@@ -3,6 +3,10 @@
     python -m arborix.cli extract --graph g.ttl --seed http://e/a --verdicts v.csv --out out [--relation p --relation ^q]
     python -m arborix.cli score --rows rows.csv [--by property]
     python -m arborix.cli compare --left a.csv --right b.csv --by property
+    python -m arborix.cli prepare --rows rows.csv --prefix run --system prompt.txt --out batch [--size 20]
+    python -m arborix.cli finish --rows rows.csv --manifest batch/manifest --results results.jsonl
+    python -m arborix.cli views --results folder [--view bfs_gated] [--scope runtime]
+    python -m arborix.cli select --rows scored.csv [--by branch]
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.operators import classify, graph, metrics, traverse
+from arborix.plans import batch_jobs
 from arborix.sources import rdf, sinks
 
 
@@ -81,6 +86,39 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> dict:
     return {"overlap": metrics.overlap(a, b).first().asDict(), "profile": [r.asDict() for r in profile.collect()]}
 
 
+def prepare(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Request lines and the manifest of an offline batch, from rows (row_id, evidence, row_index)."""
+    rows = spark.read.option("header", True).csv(args.rows).withColumn("row_index", F.expr("CAST(row_index AS BIGINT)"))
+    system = "\n".join(r["value"] for r in spark.read.text(args.system, wholetext=True).collect()).rstrip()
+    lines, manifest = batch_jobs.prepare(rows, args.prefix, system, args.size)
+    mode = "overwrite" if args.overwrite else "errorifexists"
+    lines.write.mode(mode).text(f"{args.out}/requests")
+    manifest.write.mode(mode).option("header", True).csv(f"{args.out}/manifest")
+    return {"rows": rows.count(), "requests": spark.read.text(f"{args.out}/requests").count()}
+
+
+def finish(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """Metrics of a finished batch, gated by ancestors and ungated, from rows (row_id, seed, node, parent, target)."""
+    rows = _rows(spark, args.rows)
+    manifest = spark.read.option("header", True).csv(args.manifest).withColumn("idx", F.expr("CAST(idx AS BIGINT)"))
+    predicted = batch_jobs.predictions(spark.read.text(args.results), manifest)
+    return [r.asDict() for r in batch_jobs.score(rows, predicted).orderBy("view").collect()]  # two rows
+
+
+def views(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """The metric rows of a view in result documents, one document a file."""
+    docs = spark.read.text(args.results, wholetext=True).select(F.input_file_name().alias("id"), "value")
+    return [r.asDict() | {"metrics": json.loads(r["metrics"])} for r in metrics.metric_views(docs, args.view, args.scope).orderBy("id", "view").collect()]
+
+
+def select(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """The threshold of the best F1 (the lowest of several) over rows (target, score), by group if asked."""
+    rows = spark.read.option("header", True).csv(args.rows).withColumns({"target": F.expr("CAST(target AS INT)"), "score": F.expr("CAST(score AS DOUBLE)")})
+    by = [args.by] if args.by else None
+    best = metrics.best_threshold(metrics.threshold_sweep(rows, by=by), by=by)
+    return [r.asDict() for r in (best.orderBy(*by) if by else best).collect()]
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="arborix")
     sub = out.add_subparsers(dest="command", required=True)
@@ -103,13 +141,28 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--left", required=True)
     c.add_argument("--right", required=True)
     c.add_argument("--by", default="property")
+    b = sub.add_parser("prepare")
+    for name in ("--rows", "--prefix", "--system", "--out"):
+        b.add_argument(name, required=True)
+    b.add_argument("--size", type=int, default=20)
+    b.add_argument("--overwrite", action="store_true")
+    f = sub.add_parser("finish")
+    for name in ("--rows", "--manifest", "--results"):
+        f.add_argument(name, required=True)
+    v = sub.add_parser("views")
+    v.add_argument("--results", required=True)
+    v.add_argument("--view", default="bfs_gated")
+    v.add_argument("--scope", default="runtime")
+    t = sub.add_parser("select")
+    t.add_argument("--rows", required=True)
+    t.add_argument("--by")
     return out
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict | list:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("arborix").getOrCreate()
-    result = {"extract": extract, "score": score, "compare": compare}[args.command](spark, args)
+    result = {"extract": extract, "score": score, "compare": compare, "prepare": prepare, "finish": finish, "views": views, "select": select}[args.command](spark, args)
     print(json.dumps(result, default=str))
     return result
 

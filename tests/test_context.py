@@ -148,3 +148,23 @@ def test_case_folding_is_unicode_s(spark):
     words = ["Straße", "ΣΊΣΥΦΟΣ ς", "ﬁn ﬄ", "İstanbul", "Ꭰꭰ", "plain ASCII", "", "ŉ ǰ", "ÀÉ"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", casefold(F.col("w")).alias("f")).collect()
     assert {r.w: r.f for r in got} == {w: w.casefold() for w in words}
+
+
+def test_batches_views_and_thresholds_on_the_command_line(spark, tmp_path):
+    from arborix import cli
+
+    (tmp_path / "rows.csv").write_text("row_id,row_index,evidence,seed,node,parent,target\nr1,0,one,s,a,,1\nr2,1,two,s,b,a,0\nr3,2,three,s,c,b,1\n")
+    (tmp_path / "prompt.txt").write_text("Judge.\n")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    made = cli.main(["prepare", "--rows", at("rows.csv"), "--prefix", "run", "--system", at("prompt.txt"), "--out", at("batch"), "--size", "2"], spark)
+    assert made == {"rows": 3, "requests": 2}
+    answer = lambda key, *words: json.dumps({"key": key, "response": json.dumps({"evaluations": [{"idx": i, "classification": w, "confidence": 1.0} for i, w in enumerate(words, 1)]})})
+    (tmp_path / "results.jsonl").write_text(answer("run_batch000000", "INCLUDE", "EXCLUDE") + "\n" + answer("run_batch000001", "INCLUDE") + "\n")
+    done = {r["view"]: r for r in cli.main(["finish", "--rows", at("rows.csv"), "--manifest", at("batch/manifest"), "--results", at("results.jsonl")], spark)}
+    assert (done["ungated"]["tp"], done["ungated"]["tn"], done["ungated"]["fn"]) == (2, 1, 0) and (done["gated"]["tp"], done["gated"]["fn"]) == (1, 1)
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.json").write_text(json.dumps({"metrics": {"bfs_gated": {"f1": 0.5}}}))
+    assert [(r["view"], r["metrics"]) for r in cli.main(["views", "--results", at("docs")], spark)] == [("full_dataset_bfs_gated", {"f1": 0.5})]
+    (tmp_path / "scored.csv").write_text("branch,target,score\nx,1,0.9\nx,0,0.4\ny,1,0.2\ny,0,0.1\n")
+    best = cli.main(["select", "--rows", at("scored.csv"), "--by", "branch"], spark)
+    assert [(r["branch"], round(r["threshold"], 2), r["f1"]) for r in best] == [("x", 0.41, 1.0), ("y", 0.11, 1.0)]
