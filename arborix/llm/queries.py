@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, flac, jaccard, packing, passages, quality, shards, toxicity, warc
+from . import bpe, extraction, flac, jaccard, mixing, packing, passages, quality, shards, toxicity, warc
 from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +85,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to one and a half times their words, sources weighing 3, 1, 2 in turn."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules, op12_mixing)}
 
 
 #: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
@@ -100,6 +105,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM d
 """
 
+#: The same sums in one place: 36 bits of an MD5 as the start, integers of 128 bits for the sums.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS place, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+f AS (SELECT *, cap::DOUBLE / weight AS fills FROM w),
+o AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER earlier, 0)::DOUBLE)
+               / ((sum(weight) OVER ())::DOUBLE - coalesce(sum(weight) OVER earlier, 0)::DOUBLE) AS level
+      FROM f WINDOW earlier AS (ORDER BY fills, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT level FROM o WHERE fills > level ORDER BY fills, place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN fills <= l.level THEN cap::DOUBLE ELSE l.level * weight END AS target, fills <= l.level AS full FROM f, l),
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN full THEN 137438953472 ELSE least(137438953472, floor(target / source_size * 68719476736)::BIGINT) END AS rate,
+             ('0x' || substr(md5('12|' || coalesce('=' || source, '')), 1, 9))::BIGINT AS start FROM t),
+p AS (SELECT d.doc_id, d.size, r.source_size, r.target, d.source, r.rate, r.start + sum(r.rate::HUGEINT) OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * (upto // 68719476736 - (upto - rate) // 68719476736))::BIGINT AS taken, source, (upto // 68719476736 - (upto - rate) // 68719476736)::BIGINT AS copies
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_revisits": OP7_SQL}
+    return {"op7_warc_revisits": OP7_SQL, "op12_mixing": OP12_SQL}
