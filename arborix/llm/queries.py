@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, flac, jaccard, mixing, packing, passages, quality, shards, toxicity, warc
+from . import bpe, extraction, flac, jaccard, mixing, negatives, packing, passages, quality, shards, toxicity, warc
 from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,8 +90,14 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its positives, the best rows of other labels among all embeddings."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.usable(table(spark, sf_dir, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules, op12_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules, op12_mixing, op13_hard_negatives)}
 
 
 #: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
@@ -115,8 +121,8 @@ o AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum
                / ((sum(weight) OVER ())::DOUBLE - coalesce(sum(weight) OVER earlier, 0)::DOUBLE) AS level
       FROM f WINDOW earlier AS (ORDER BY fills, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT level FROM o WHERE fills > level ORDER BY fills, place LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN fills <= l.level THEN cap::DOUBLE ELSE l.level * weight END AS target, fills <= l.level AS full FROM f, l),
-r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN full THEN 137438953472 ELSE least(137438953472, floor(target / source_size * 68719476736)::BIGINT) END AS rate,
+t AS (SELECT source, source_size, CASE WHEN fills <= l.level THEN cap::DOUBLE ELSE l.level * weight END AS target, fills <= l.level AS filled FROM f, l),
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN filled THEN 137438953472 ELSE least(137438953472, floor(target / source_size * 68719476736)::BIGINT) END AS rate,
              ('0x' || substr(md5('12|' || coalesce('=' || source, '')), 1, 9))::BIGINT AS start FROM t),
 p AS (SELECT d.doc_id, d.size, r.source_size, r.target, d.source, r.rate, r.start + sum(r.rate::HUGEINT) OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
@@ -124,6 +130,16 @@ SELECT doc_id, size, source_size, target, (size * (upto // 68719476736 - (upto -
 FROM p
 """
 
+OP13_SQL = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM e a JOIN e r ON a.id <> r.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_revisits": OP7_SQL, "op12_mixing": OP12_SQL}
+    return {"op7_warc_revisits": OP7_SQL, "op12_mixing": OP12_SQL, "op13_hard_negatives": OP13_SQL}
