@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, flac, jaccard, mixing, negatives, packing, passages, quality, shards, toxicity, warc
+from . import bpe, collocations, extraction, flac, jaccard, mixing, negatives, packing, passages, quality, shards, toxicity, warc
 from .common import crc_of_id, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 5 words that occur 100 times and more."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), 100, 5, 2000)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to one and a half times their words, sources weighing 3, 1, 2 in turn."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -97,7 +102,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules, op12_mixing, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_flac_media, op4_html_extraction, op5_toxicity, op6_training_order, op7_warc_revisits, op8_substring_dedup, op9_ngram_jaccard, op10_quality_rules, op11_collocations, op12_mixing, op13_hard_negatives)}
 
 
 #: SHA-1 in DuckDB is a hex string; five of its digits make four of base32's.
@@ -111,6 +116,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM d
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+t AS (SELECT lang, count(*)::BIGINT AS n FROM o GROUP BY lang),
+g AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m, count(*)::BIGINT AS f FROM o, range(1, 6) AS k(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+x AS (SELECT lang, array_to_string(w[s : s + z - 1], ' ') AS phrase, max(f) AS longer FROM c, range(1, 5) AS i(s), range(2, 5) AS j(z) WHERE z < m AND s + z - 1 <= m GROUP BY ALL),
+b AS (SELECT c.lang, c.phrase, c.f AS a, c.w, c.m FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.longer IS NULL OR 100 * x.longer < 100 * c.f),
+s AS (SELECT b.lang, b.phrase, b.a, l.f AS l, r.f AS r, t.n, k, ((1000::HUGEINT * b.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM b JOIN range(1, 5) AS q(k) ON k < b.m JOIN t ON t.lang = b.lang
+      JOIN g AS l ON l.lang = b.lang AND l.phrase = array_to_string(b.w[1 : k], ' ') JOIN g AS r ON r.lang = b.lang AND r.phrase = array_to_string(b.w[k + 1 : b.m], ' ')),
+y AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM y
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 #: The same sums in one place: 36 bits of an MD5 as the start, integers of 128 bits for the sums.
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -131,8 +153,8 @@ FROM p
 """
 
 OP13_SQL = """
-WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM e a JOIN e r ON a.id <> r.id WHERE a.id % 100 = 0),
 p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
 n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
@@ -142,4 +164,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_revisits": OP7_SQL, "op12_mixing": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op7_warc_revisits": OP7_SQL, "op11_collocations": OP11_SQL, "op12_mixing": OP12_SQL, "op13_hard_negatives": OP13_SQL}
