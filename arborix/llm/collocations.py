@@ -3,20 +3,20 @@
 Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``; all
 counts are a language's own (null: ``und``). A phrase is frequent if its words stand together in a piece ``least`` times.
 
-1. Words and pairs are counted by hash, to find which can be frequent: each task sends what it has counted, packed by
-   buckets of the hash, and each bucket gives its slice of a bitmap of 2^27 bits. A bit too many costs work, never
-   results; none is too few. The bitmaps (frequent words, frequent pairs, pairs of more than ``HOT`` places) are all that is broadcast, and
-   their size is fixed.
-2. Words that can be frequent are counted exactly, with their texts.
-3. Each occurrence of a frequent pair projects a pointer: the words from there on, up to ``longest`` and to the first pair
+1. Words and pairs are counted by hash: each task sends what it has counted, packed by buckets of the hash. Frequent
+   words stay with their counts; of pairs each bucket gives its slice of a bitmap of 2^27 bits, which has all that can be frequent.
+   A bit too many costs work, never results. Two bitmaps (frequent pairs, pairs of more than ``HOT`` places) are
+   broadcast, and their size is fixed.
+2. Each occurrence of a frequent pair projects a pointer: the words from there on, up to ``longest`` and to the first pair
    that isn't frequent. A task sends equal pointers once, with their number. All pointers of a pair go to one bucket, but
    those of a hot pair are dealt by their whole hash to many. In a bucket each pair is a prefix that grows to the right,
    depth first: the range of its pointers, sorted, falls apart by the next word, and each part that is frequent grows on. Parts of hot pairs
    are counted whole and summed by a shuffle.
-4. Scores need the counts of both sides of every cut, which are frequent themselves: joins of the phrases to the phrases.
+3. Scores need the counts of both sides of every cut, which are frequent themselves: joins of the phrases to the phrases.
+4. The texts of the words in the phrases that are left are looked up in the documents, by a bitmap of their hashes.
 
-Words are told apart by 64-bit hashes of their language and text, phrases by the words' hashes in order; two frequent words with one
-hash are an error, and n distinct words hold a rare one with a frequent one's hash with a chance of about n * frequent / 2^64.
+Words are told apart by 64-bit hashes of their language and text, phrases by the words' hashes in order; two words
+with one hash in the result are an error, and n distinct words hold one with the hash of a frequent one with a chance of about n * frequent / 2^64.
 
 * A null or empty text has no words; repeated rows count as often as they occur; texts of any length are read whole, by runs of words.
 * An empty table gives an empty result. Ids aren't read and may be null; extra columns are ignored.
@@ -134,7 +134,6 @@ class Counter:
 class Maps:
     """Bitmaps over the leading bits of hashes: a bit is set for each hash that counts enough (and maybe for others)."""
 
-    words: np.ndarray
     pairs: np.ndarray
     hot: np.ndarray
 
@@ -144,22 +143,36 @@ class Maps:
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def bitmaps(docs: DataFrame, least: int, hot: int) -> tuple[Maps, int]:
-    """The bitmaps, and an upper bound of the number of pointers."""
+@dataclass(frozen=True)
+class Counts:
+    """What the first pass gives: the pairs' bitmaps, an upper bound of the number of pointers, (h, n) of frequent words, (lang, n)."""
+
+    maps: Maps
+    pointers: int
+    words: DataFrame
+    totals: DataFrame
+
+
+def count_words(docs: DataFrame, least: int, hot: int) -> Counts:
+    """Count words and pairs. Words go by all 64 bits of their hash, pairs by 44, which can only add to a count."""
     buckets, spare = 1 << BUCKET_BITS, np.uint64(64 - BUCKET_BITS - 32)
+    sent_names = ["bucket", "keys", "counts", "lang", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [Counter(), Counter()]
+        kinds, totals = [Counter(), Counter()], {}
 
         def send(kind: int) -> pa.RecordBatch:
             keys, counts = kinds[kind].merged()
             ends = np.searchsorted(keys >> np.uint64(64 - BUCKET_BITS), np.arange(buckets + 1))
             own = np.flatnonzero(np.diff(ends))
-            rest, counts = ((keys >> spare) & np.uint64(0xFFFFFFFF)).astype("<u4"), counts.astype("<u4")
+            if kind:
+                keys = ((keys >> spare) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            counts = counts.astype("<u4")
             kinds[kind] = Counter()
-            return pa.RecordBatch.from_arrays([pa.array((own * 2 + kind).astype(np.int32)), *[pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in own], pa.binary()) for x in (rest, counts)]], names=["bucket", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array((own * 2 + kind).astype(np.int32)), *[pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in own], pa.binary()) for x in (keys, counts)], pa.nulls(len(own), pa.string()), pa.nulls(len(own), pa.int64())], names=sent_names)
 
-        for _, t in _by_language(batches):
+        for lang, t in _by_language(batches):
+            totals[lang] = totals.get(lang, 0) + len(t.hashes)
             pairs = pair_hashes(t.hashes)
             for a, b in _runs(t):
                 kinds[0].add(t.hashes[a:b])
@@ -170,82 +183,85 @@ def bitmaps(docs: DataFrame, least: int, hot: int) -> tuple[Maps, int]:
         for k in (0, 1):
             if kinds[k].size:
                 yield send(k)
+        if totals:
+            n = len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(list(totals)), pa.array(list(totals.values()), pa.int64())], names=sent_names)
+
+    found_names = ["bucket", "frequent", "hot", "h", "lang", "n"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counter, totals = None, Counter(), {}
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counter = None, Counter()
+        def rows(length: int, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = dict(zip(found_names, [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64()], strict=True))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(length, t)) for c, t in kinds.items()], names=found_names)
 
         def out() -> pa.RecordBatch:
             keys, counts = counter.merged()
+            keep = counts >= least
+            if now % 2 == 0:
+                return rows(int(keep.sum()), h=pa.array(keys[keep].view(np.int64)), n=pa.array(counts[keep]))
             maps = []
             for low in (least, hot):
                 bits = np.zeros(1 << (MAP_BITS - BUCKET_BITS), np.uint8)
                 bits[(keys[counts >= low] >> np.uint64(32 + BUCKET_BITS - MAP_BITS)).astype(np.int64)] = 1
                 maps.append(np.packbits(bits, bitorder="little").tobytes() if bits.any() else None)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in maps], pa.array([int(counts[counts >= least].sum())], pa.int64())], names=["bucket", "frequent", "hot", "n"])
+            return rows(1, bucket=pa.array([now // 2], pa.int32()), frequent=pa.array(maps[:1], pa.binary()), hot=pa.array(maps[1:], pa.binary()), n=pa.array([int(counts[keep].sum())], pa.int64()))
 
         for b in batches:
-            for bucket, keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for bucket, keys, counts, lang, n in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if bucket < 0:
+                    totals[lang] = totals.get(lang, 0) + n
+                    continue
                 if bucket != now:
                     if now is not None:
                         yield out()
                     now, counter = bucket, Counter()
-                counter.add(np.frombuffer(keys, "<u4").astype(np.uint64), np.frombuffer(counts, "<u4").astype(np.int64))
+                counter.add(np.frombuffer(keys, "<u4" if bucket % 2 else "<u8").astype(np.uint64), np.frombuffer(counts, "<u4").astype(np.int64))
         if now is not None:
             yield out()
+        if totals:
+            yield rows(len(totals), lang=pa.array(list(totals)), n=pa.array(list(totals.values()), pa.int64()))
 
-    sent = _input(docs).mapInArrow(frugal(count), "bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-    rows = sent.mapInArrow(frugal(slices), "bucket int, frequent binary, hot binary, n long").filter("frequent IS NOT NULL").toArrow()
+    sent = _input(docs).mapInArrow(frugal(count), "bucket int, keys binary, counts binary, lang string, n long").repartition("bucket").sortWithinPartitions("bucket")
+    found = materialize(sent.mapInArrow(frugal(add_up), "bucket int, frequent binary, hot binary, h long, lang string, n long"), "counts")
+    slices = found.filter("frequent IS NOT NULL").select("bucket", "frequent", "hot", "n").toArrow()  # 2^27 bits at most
     size = 1 << (MAP_BITS - BUCKET_BITS - 3)
-    maps, pointers = [np.zeros(1 << (MAP_BITS - 3), np.uint8) for _ in range(3)], 0
-    for bucket, frequent, big, n in zip(*[rows[c].to_pylist() for c in rows.column_names], strict=True):
-        at, kind = bucket // 2 * size, bucket % 2
-        maps[kind][at : at + size] = np.frombuffer(frequent, np.uint8)
-        if kind:
-            pointers += n
-            if big:
-                maps[2][at : at + size] = np.frombuffer(big, np.uint8)
-    return Maps(*maps), pointers
+    maps = [np.zeros(1 << (MAP_BITS - 3), np.uint8) for _ in range(2)]
+    for bucket, *parts in zip(*[slices[c].to_pylist() for c in ("bucket", "frequent", "hot")], strict=True):
+        for bits, part in zip(maps, parts, strict=True):
+            if part:
+                bits[bucket * size : (bucket + 1) * size] = np.frombuffer(part, np.uint8)
+    return Counts(Maps(*maps), sum(slices["n"].to_pylist()), found.filter("h IS NOT NULL").select("h", "n"), found.filter("lang IS NOT NULL").select("lang", "n"))
+
+
+_LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def frequent_words(docs: DataFrame, maps: Maps, least: int) -> tuple[DataFrame, DataFrame]:
-    """(h, lang, word, n) of the words that occur ``least`` times, and (lang, n) of all words: one stored table, two views."""
-    known = docs.sparkSession.sparkContext.broadcast(maps.words)
+def texts_of_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, word) of the hashes ``wanted`` (h, a stored table), as they occur in the documents."""
+    shift = 64 - MAP_BITS
+    slots = wanted.select(F.shiftrightunsigned("h", shift).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()  # 2^27 bits at most
+    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bits[slots["at"].to_numpy()] = slots["bits"].to_numpy().view(np.uint64)
+    known = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, names, totals = Counter(), {}, {}
-        for lang, t in _by_language(batches):
-            totals[lang] = totals.get(lang, 0) + len(t.hashes)
+        told = np.empty(0, np.uint64)
+        for _, t in _by_language(batches):
             for a, b in _runs(t):
                 own = np.flatnonzero(Maps.has(known.value, t.hashes[a:b])) + a
-                keys, first, counts = np.unique(t.hashes[own], return_index=True, return_counts=True)
-                counter.add(keys, counts)
-                for k, i in zip(keys.tolist(), own[first].tolist(), strict=True):
-                    if k not in names:
-                        names[k] = lang, t.data[t.starts[i] : t.ends[i]].translate(_LOWERED).decode(errors="replace")
-            if len(names) > 200_000:
-                yield _word_rows(counter, names)
-                counter, names = Counter(), {}
-        if names:
-            yield _word_rows(counter, names)
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array([None] * len(totals), pa.int64()), pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["h", "lang", "word", "n"])
-
-    counted = _input(docs).mapInArrow(frugal(run), "h long, lang string, word string, n long").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
-    stored = materialize(counted, "words")
-    words = stored.filter(f"h IS NOT NULL AND n >= {least}")
-    twice = words.groupBy("h").count().filter("count > 1").limit(1).count()
-    if twice:
-        raise ValueError("two frequent words have one hash")
-    return words, stored.filter("h IS NULL").select("lang", "n")
+                keys, first = np.unique(t.hashes[own], return_index=True)
+                new = ~np.isin(keys, told)
+                keys, places = keys[new], own[first[new]]
+                if len(keys):
+                    told = np.union1d(told, keys) if len(told) < GATHER else keys
+                    words = [t.data[t.starts[i] : t.ends[i]].translate(_LOWERED).decode(errors="replace") for i in places.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words, pa.string())], names=["h", "word"])
 
-
-_LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _word_rows(counter: Counter, names: dict) -> pa.RecordBatch:
-    keys, counts = counter.merged()
-    langs, words = zip(*[names[k] for k in keys.tolist()], strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.astype(np.int64))], names=["h", "lang", "word", "n"])
+    named = _input(docs).mapInArrow(frugal(run), "h long, word string").join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"))
+    same = F.when(F.col("word") == F.col("last"), F.col("word")).otherwise(F.raise_error(F.lit("two words have one hash")).cast("string"))
+    return named.select("h", same.alias("word"))
 
 
 def pointers_of(t: Tokens, a: int, b: int, maps: Maps, longest: int) -> np.ndarray:
@@ -325,7 +341,7 @@ def grow(rows: np.ndarray, counts: np.ndarray, least: np.ndarray, emit) -> None:
 
 
 def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, longest: int) -> DataFrame:
-    """(words array<long>, n) of all phrases of 2 to ``longest`` words that occur ``least`` times."""
+    """(lang, words array<long>, n) of all phrases of 2 to ``longest`` words that occur ``least`` times."""
     session = docs.sparkSession
     known = session.sparkContext.broadcast(maps)
     buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-pointers // BUCKET))
@@ -336,35 +352,34 @@ def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, lon
         return (mix(np.where(Maps.has(known.value.hot, pair), pair ^ whole, pair)) % np.uint64(buckets)).astype(np.int64)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, size = [], 0
+        have, size = {}, 0
 
-        def send() -> pa.RecordBatch:
-            rows, counts, whole = merged_pointers(np.concatenate([x[0] for x in have]), np.concatenate([x[1] for x in have]))
+        def send(lang: str) -> pa.RecordBatch:
+            rows, counts, whole = merged_pointers(*(np.concatenate([x[i] for x in have[lang]]) for i in (0, 1)))
             bucket = bucket_of(rows, whole)
             order = np.lexsort((rows[:, 1], rows[:, 0], bucket))
             rows, counts, bucket = rows[order], counts[order].astype("<u4"), bucket[order]
             own, starts = np.unique(bucket, return_index=True)
             parts = [(*_pack(rows[a:b]), counts[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(x, pa.binary()) for x in zip(*parts, strict=True)]], names=["bucket", "lengths", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array([lang] * len(own), pa.string()), *[pa.array(x, pa.binary()) for x in zip(*parts, strict=True)]], names=["bucket", "lang", "lengths", "words", "counts"])
 
-        for _, t in _by_language(batches):
+        for lang, t in _by_language(batches):
             for a, b in _runs(t):
                 rows = pointers_of(t, a, b, known.value, longest)
                 if len(rows):
                     rows, counts, _ = merged_pointers(rows, np.ones(len(rows), np.int64))
-                    have.append((rows, counts))
+                    have.setdefault(lang, []).append((rows, counts))
                     size += len(rows)
             if size > GATHER // 2:
-                yield send()
-                have, size = [], 0
-        if size:
-            yield send()
+                yield from map(send, have)
+                have, size = {}, 0
+        yield from map(send, have)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, have = None, []
 
         def out() -> pa.RecordBatch:
-            rows, counts, _ = merged_pointers(np.concatenate([x[0] for x in have]), np.concatenate([x[1] for x in have]))
+            rows, counts, _ = merged_pointers(*(np.concatenate([x[i] for x in have]) for i in (0, 1)))
             order = np.lexsort(tuple(rows[:, k] for k in reversed(range(longest))))
             rows, counts = rows[order], counts[order]
             with np.errstate(over="ignore"):
@@ -379,21 +394,21 @@ def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, lon
             grow(rows, counts, np.where(hot, 1, least), emit)
             flat = np.concatenate(words).view(np.int64) if words else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
-            return pa.RecordBatch.from_arrays([lists, pa.array(found, pa.int64())], names=["words", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(found), pa.string()), lists, pa.array(found, pa.int64())], names=["lang", "words", "n"])
 
         for b in batches:
-            for bucket, lengths, words, counts in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                if bucket != now:
+            for bucket, lang, lengths, words, counts in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if (bucket, lang) != now:
                     if have:
                         yield out()
-                    now, have = bucket, []
+                    now, have = (bucket, lang), []
                 have.append((_unpack(lengths, words, longest), np.frombuffer(counts, "<u4").astype(np.int64)))
         if have:
             yield out()
 
-    sent = _input(docs).mapInArrow(frugal(project), "bucket long, lengths binary, words binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-    grown = sent.mapInArrow(frugal(mine), "words array<long>, n long")
-    return materialize(grown.groupBy("words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    sent = _input(docs).mapInArrow(frugal(project), "bucket long, lang string, lengths binary, words binary, counts binary").repartition("bucket").sortWithinPartitions("bucket", "lang")
+    grown = sent.mapInArrow(frugal(mine), "lang string, words array<long>, n long")
+    return materialize(grown.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
 
 
 def score(a: str, n: str, l: str, r: str) -> Column:
@@ -408,21 +423,20 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     A cut's score is ``floor(1000 * a * n / (l * r))``; a phrase has the lowest of its cuts, the first of equal ones. Phrases that a longer frequent one holds as
     often as they occur are left out. Order: score, then a, falling; then the phrase's bytes.
     """
-    maps, pointers = bitmaps(docs, least, hot)
-    words, totals = frequent_words(docs, maps, least)
-    phrases = frequent_phrases(docs, maps, pointers, least, longest)
-    counts = materialize(phrases.unionByName(words.select(F.array("h").alias("words"), "n")), "counts")
+    counted = count_words(docs, least, hot)
+    phrases = frequent_phrases(docs, counted.maps, counted.pointers, least, longest)
+    counts = materialize(phrases.select("words", "n").unionByName(counted.words.select(F.array("h").alias("words"), "n")), "sides")
     # a longer phrase that holds this one as often shows in one that is longer by one word
     shorter = phrases.filter(F.size("words") > 2).select(F.explode(F.array(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"))).alias("words"), "n").distinct()
-    kept = phrases.join(shorter, ["words", "n"], "left_anti").select("words", F.col("n").alias("a"))
-    cuts = kept.select("words", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k")).select("words", "a", "k", F.expr("slice(words, 1, k)").alias("first"), F.expr("slice(words, k + 1, size(words) - k)").alias("rest"))
+    kept = phrases.join(shorter, ["words", "n"], "left_anti").select("lang", "words", F.col("n").alias("a"))
+    cuts = kept.select("lang", "words", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k")).select("*", F.expr("slice(words, 1, k)").alias("first"), F.expr("slice(words, k + 1, size(words) - k)").alias("rest"))
     sided = cuts.join(counts.select(F.col("words").alias("first"), F.col("n").alias("l")), "first").join(counts.select(F.col("words").alias("rest"), F.col("n").alias("r")), "rest")
-    lang_of = words.select(F.col("h").alias("h0"), "lang").join(totals, "lang")
-    scored = sided.withColumn("h0", F.col("words")[0]).join(lang_of, "h0").withColumn("score", score("a", "n", "l", "r"))
+    scored = sided.join(counted.totals, "lang").withColumn("score", score("a", "n", "l", "r"))
     best = scored.groupBy("words", "lang", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     ranked = best.select("words", "lang", "a", "n", "cut.l", "cut.r", "cut.score")
     near = ranked.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).filter(F.col("place") <= top).drop("place")
     near = materialize(near, "near")  # the first ones and those that tie with the last
-    spelt = near.select("words", F.posexplode("words").alias("i", "h")).join(words.select("h", "word"), "h").groupBy("words").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    names = texts_of_words(docs, near.select(F.explode("words").alias("h")).distinct())
+    spelt = near.select("words", F.posexplode("words").alias("i", "h")).join(names, "h").groupBy("words").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return near.join(spelt, "words").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -61,7 +61,7 @@ def test_long_texts_are_cut_nowhere(spark, monkeypatch):
     monkeypatch.setattr(collocations, "RUN", 7)
     t = collocations.tokens([b"a b c d e f g h i j k l m, n o p q r s t u v w x y z" * 3], "en")
     full = np.full(1 << (collocations.MAP_BITS - 3), 255, np.uint8)
-    maps = collocations.Maps(full, full, full)
+    maps = collocations.Maps(full, full)
     whole = collocations.pointers_of(t, 0, len(t.hashes), maps, 5)
     parts = np.concatenate([collocations.pointers_of(t, a, b, maps, 5) for a, b in collocations._runs(t)])
     assert (whole == parts).all() and len(whole) == 78 - 2 - 3 - 1

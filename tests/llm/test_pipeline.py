@@ -63,4 +63,4 @@ def test_stages_take_clashing_columns_and_ids_with_several_texts(spark, stage):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and {x.split("_")[0] for x in names if x.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {x.split("_")[0] for x in names if x.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
