@@ -63,7 +63,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.dry_run:
         return plan
     verdicts = spark.read.option("header", True).csv(args.verdicts).select("node", "classification", F.expr("try_cast(confidence AS DOUBLE)").alias("confidence"))
-    visited = traverse.gated_bfs(graph.directed(edges, specs), seeds.select("node"), classify.TableClassifier(verdicts, missing=classify.EXCLUDE), args.max_depth)
+    visited = traverse.gated_bfs(graph.directed(edges, specs), seeds.select("node"), classify.TableClassifier(verdicts, missing=classify.EXCLUDE), args.max_depth, labels=labels)
     sinks.write_extraction(visited, labels, args.out, args.overwrite, edges, args.prompt or "", plan)
     return plan | {"visited": visited.count(), "included": visited.filter("included").count()}
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classify import EXCLUDE, INCLUDE
+from .fixpoint import settle
 from .relational import absent
-from .traverse import path_text, shortest_paths
+from .traverse import shortest_paths, with_paths
 
 LEVELS = ("labels", "depth", "property", "path", "path_simple")
 #: Names of properties, and of some of them when followed backwards.
@@ -44,19 +45,11 @@ def graph_context(rows: DataFrame, edges: DataFrame, labels: DataFrame, names: d
     From each seed an ungated traversal in the edges' order (``ord``). A row that it doesn't reach keeps ``csv_depth``, and
     the other columns are empty. A node without a label goes by its own name.
     """
-    found = shortest_paths(edges, rows.select(F.col("seed").alias("node")).distinct(), per_seed=True).filter("depth > 0")
-    last = F.element_at("path", -1)
-    names_of = labels.select("node", "label")
-    step = F.transform("path", lambda s: F.struct(s["source"].alias("source"), s["target"].alias("target"), property_name(s["pred"], s["inverse"], names, inverse_names).alias("pred"), F.lit(False).alias("inverse")))
-    ways = found.select("seed", "node", "depth", F.concat(F.when(last["inverse"], "(-)").otherwise(""), last["pred"]).alias("reaching_property"), property_name(last["pred"], last["inverse"], names, inverse_names).alias("reaching_property_label"), last["source"].alias("parent"), step.alias("steps"))
-    # labels on the path: one row a place, put together again in order
-    places = ways.select("seed", "node", F.posexplode("steps").alias("pos", "x")).select("seed", "node", "pos", "x.source", "x.target", "x.pred")
-    by = lambda c: names_of.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    places = places.join(by("source"), "source", "left").join(by("target"), "target", "left")
-    named = F.struct("pos", F.coalesce("source_label", "source").alias("source"), F.coalesce("target_label", "target").alias("target"), "pred", F.lit(False).alias("inverse"))
-    paths = places.groupBy("seed", "node").agg(F.sort_array(F.collect_list(named)).alias("p"))
-    paths = paths.select("seed", "node", path_text(F.transform("p", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["pred"].alias("pred"), x["inverse"].alias("inverse")))).alias("path"))
-    ways = ways.drop("steps").join(paths, ["seed", "node"]).join(names_of.select(F.col("node").alias("parent"), F.col("label").alias("parent_label")), "parent", "left")
+    name = lambda pred, inverse: property_name(pred, inverse, names, inverse_names)
+    found = settle(shortest_paths(edges, rows.select(F.col("seed").alias("node")).distinct(), per_seed=True))
+    reached = with_paths(found, labels, name, lambda node: node).filter("depth > 0")
+    ways = reached.select("seed", "node", "depth", F.concat(F.when(F.col("inverse"), "(-)").otherwise(""), "pred").alias("reaching_property"), name(F.col("pred"), F.col("inverse")).alias("reaching_property_label"), "parent", "path")
+    ways = ways.join(labels.select(F.col("node").alias("parent"), F.col("label").alias("parent_label")), "parent", "left")
     joined = rows.join(ways.withColumnRenamed("depth", "bfs_depth"), ["seed", "node"], "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     parent_label = F.coalesce("parent_label", "parent", F.lit("")).alias("parent_label")

@@ -187,8 +187,8 @@ def targets(edges: DataFrame, relations: DataFrame, allowed: DataFrame | None =
 
 def traversal_subgraph(visited: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, pred, dst) of the steps that reached included nodes, in source orientation; each must be an edge."""
-    steps = visited.filter("included AND depth > 0").select(F.explode("path").alias("x")).select("x.*")
-    own = steps.select(F.when(F.col("inverse"), F.col("target")).otherwise(F.col("source")).alias("src"), "pred", F.when(F.col("inverse"), F.col("source")).otherwise(F.col("target")).alias("dst")).distinct()
+    steps = visited.filter("included AND depth > 0")  # what leads to an included node's parent is a step to an included node too
+    own = steps.select(F.when(F.col("inverse"), F.col("node")).otherwise(F.col("parent")).alias("src"), "pred", F.when(F.col("inverse"), F.col("parent")).otherwise(F.col("node")).alias("dst")).distinct()
     checked = own.join(edges.select("src", "pred", "dst", F.lit(True).alias("known")).distinct(), ["src", "pred", "dst"], "left")
     return checked.filter(F.when(F.col("known"), True).otherwise(F.raise_error(F.lit("a step is not an edge of the source")).cast("boolean"))).select("src", "pred", "dst")
 

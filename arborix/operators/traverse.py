@@ -1,102 +1,191 @@
 """Breadth-first traversals as driver loops over joins.
 
 Each level is one plan: join the frontier to the edges, drop what was visited, keep the least way to each node, classify,
-store the level. Visited nodes are never gathered; only a level's emptiness reaches the driver. All seeds of a per-seed
-traversal run at once, keyed by the seed.
+store the level. Visited nodes are never gathered; only a level's counts reach the driver. All seeds of a per-seed
+traversal run at once.
+
+A node keeps its parent and the step from there; no path travels. Ways are compared by ranks: a frontier node's rank is its
+place among all frontier nodes by (its parent's rank, its step), numbered by range partitions, and a step's rank is its place among all
+steps by their words. Paths are put together at the end, each round doubling the stretch that a node knows. Reachability from many seeds keeps
+one bit for each seed, 64 to a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.functions.text import local_name
+
 from .classify import INCLUDE, NO_MATCH, Classifier
-from .fixpoint import is_empty, settle
+from .fixpoint import discard, is_empty, ordinals, settle
+
+#: Seeds that are broadcast at most when bits are spread to rows (some 50 bytes each); above this they are joined by a shuffle.
+BROADCAST_SEEDS = 100_000
+
+
+def relation_word(pred: Column, inverse: Column) -> Column:
+    """A relation's name in a path."""
+    return F.concat(F.when(inverse, "inverse ").otherwise(""), pred)
+
+
+def along(forest: DataFrame, piece: Column) -> DataFrame:
+    """(seed, node, text): the pieces of all rows from the root to each row of ``forest`` (seed, node, parent), joined.
+
+    ``parent`` is null at roots. A row knows the text from an ancestor on; each round it takes over what that ancestor
+    knows, so a forest of depth d takes log(d) rounds.
+    """
+    state = settle(forest.select("seed", "node", F.col("parent").alias("above"), piece.alias("text")))
+    while not is_empty(state.filter("above IS NOT NULL")):
+        upper = state.select("seed", F.col("node").alias("above"), F.col("above").alias("next"), F.col("text").alias("head"))
+        longer = state.filter("above IS NOT NULL").join(upper, ["seed", "above"]).select("seed", "node", F.col("next").alias("above"), F.concat("head", "text").alias("text"))
+        after = settle(state.filter("above IS NULL").unionByName(longer))
+        discard(state)
+        state = after
+    return state.select("seed", "node", "text")
+
+
+def _named(rows: DataFrame, labels: DataFrame | None, unlabelled: Callable[[Column], Column] = local_name) -> DataFrame:
+    """``rows`` with the label of ``node`` as ``_label``: without one what ``unlabelled`` makes of it, without labels the node itself."""
+    if labels is None:
+        return rows.withColumn("_label", F.col("node"))
+    own = labels.select("node", F.col("label").alias("_label")).groupBy("node").agg(F.min("_label").alias("_label"))
+    return rows.join(own, "node", "left").withColumn("_label", F.coalesce(F.nullif("_label", F.lit("")), unlabelled(F.col("node"))))
 
-STEP = "array<struct<source:string,target:string,pred:string,inverse:boolean>>"
 
+def with_paths(visited: DataFrame, labels: DataFrame | None = None, word: Callable[[Column, Column], Column] = relation_word, unlabelled: Callable[[Column], Column] = local_name) -> DataFrame:
+    """``visited`` with ``path``: ``A --relation--> B …`` by labels (node, label), ``(seed node)`` for a seed."""
+    named = _named(visited, labels, unlabelled)
+    step = F.concat(F.lit(" --"), word(F.col("pred"), F.col("inverse")), F.lit("--> "), "_label")
+    texts = along(named, F.when(F.col("parent").isNull(), F.col("_label")).otherwise(step))
+    joined = visited.join(texts, ["seed", "node"])
+    return joined.select(*visited.columns, F.when(F.col("parent").isNull(), "(seed node)").otherwise(F.col("text")).alias("path"))
 
-def path_text(path: Column, inverse_word: str = "inverse ") -> Column:
-    """``A --relation--> B …`` of a path; ``(seed node)`` of an empty one."""
-    steps = F.transform(path, lambda s: F.concat(F.lit(" --"), F.when(s["inverse"], F.lit(inverse_word)).otherwise(F.lit("")), s["pred"], F.lit("--> "), s["target"]))
-    return F.when(F.size(path) == 0, F.lit("(seed node)")).otherwise(F.concat(F.element_at(path, 1)["source"], F.array_join(steps, "")))
 
+def _ranked_steps(edges: DataFrame, labels: DataFrame | None, word: Callable[[Column, Column], Column]) -> DataFrame:
+    """Edges with ``step``: the place of (relation, target's label) among all, as it goes on in a path (before " --")."""
+    named = _named(edges.select("pred", "inverse", F.col("dst").alias("node")).distinct(), labels)
+    worded = named.select("pred", "inverse", "node", F.concat(word(F.col("pred"), F.col("inverse")), F.lit("--> "), "_label", F.lit(" --")).alias("words"))
+    placed = ordinals(worded, ["words", "node", "pred", "inverse"], "step")
+    return edges.join(placed.select("pred", "inverse", F.col("node").alias("dst"), "step"), ["pred", "inverse", "dst"])
 
-def _step() -> Column:
-    return F.array(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("pred").alias("pred"), F.col("inverse").alias("inverse")))
 
+def _roots(seeds: DataFrame) -> DataFrame:
+    return seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("boolean").alias("inverse"))
 
-def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_depth: int | None = None, per_seed: bool = False) -> DataFrame:
-    """(seed, node, depth, classification, confidence, included, path) of all nodes reached through included ones.
+
+def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_depth: int | None = None, per_seed: bool = False, labels: DataFrame | None = None, word: Callable[[Column, Column], Column] = relation_word, ranked: bool = True) -> DataFrame:
+    """(seed, node, depth, classification, confidence, included, parent, pred, inverse) of all nodes reached through included ones.
 
     ``edges``: directed (src, pred, inverse, dst). Seeds are included at depth 0 and never classified. Each level's new
-    nodes are classified in one call; of several ways to a node the one with the least seed and path text counts.
+    nodes are classified in one call; of several ways to a node the one with the least seed and path in words counts, its
+    words being those of ``with_paths`` (a label that holds " --" itself counts as shorter than what follows it). Without ``ranked`` only the seed and the last step are compared.
     ``per_seed`` traverses each seed on its own.
     """
     key = ["seed", "node"] if per_seed else ["node"]
-    edges = settle(edges.select("src", "pred", "inverse", "dst"))  # once, not again at each level
-    level = seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).cast("long").alias("depth"), F.lit("SEED").alias("classification"), F.lit(1.0).alias("confidence"), F.lit(True).alias("included"), F.array().cast(STEP).alias("path"))
-    level = settle(level)
-    visited = level
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    links = edges.select("src", "pred", "inverse", "dst")
+    links = settle(_ranked_steps(links, labels, word) if ranked else links)  # once, not again at each level
+    level = settle(_roots(seeds).select("seed", "node", "depth", F.lit("SEED").alias("classification"), F.lit(1.0).alias("confidence"), F.lit(True).alias("included"), "parent", "pred", "inverse"))
+    columns = level.columns
+    visited, depth, included = level, 0, level.count()
+    frontier = ordinals(level.select("seed", F.col("node").alias("src")), ["seed"], "rank") if ranked else level.select("seed", F.col("node").alias("src"))
+    while included and (max_depth is None or depth < max_depth):
         depth += 1
-        frontier = level.filter("included").select("seed", F.col("node").alias("src"), "path")
-        # only texts meet; a path goes along with the way chosen to a node
-        text = F.when(F.size("path") == 0, F.col("src")).otherwise(path_text(F.col("path"))).alias("text")
-        reached = frontier.select("seed", "src", text).join(edges, "src").select("seed", F.col("dst").alias("node"), F.concat("text", F.lit(" --"), F.when(F.col("inverse"), "inverse ").otherwise(""), "pred", F.lit("--> "), "dst").alias("text"), "src", "pred", "inverse")
+        reached = frontier.join(links, "src").withColumnRenamed("dst", "node")
         fresh = reached.join(visited.select(*key), key, "left_anti")
-        chosen = fresh.groupBy(*key).agg(F.min(F.struct("seed", "text", "src", "pred", "inverse")).alias("way"))
-        chosen = chosen.select(F.col("way.seed").alias("seed"), F.col("node").alias("dst"), "way.src", "way.pred", "way.inverse")
-        candidates = chosen.join(frontier, ["seed", "src"]).select("seed", F.col("dst").alias("node"), F.concat("path", _step()).alias("path"))
-        judged = classifier(candidates.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "path"))
-        level = settle(judged.select("seed", "node", "depth", "classification", "confidence", (F.col("classification") == INCLUDE).alias("included"), "path"))
-        if is_empty(level):
-            break
-        visited = visited.unionByName(level)
-        if is_empty(level.filter("included")):
+        way = F.struct(*(["rank", "step"] if ranked else []), "seed", "src", "pred", "inverse")
+        chosen = fresh.groupBy(*key).agg(F.min(way).alias("way"))
+        asked = chosen.select(F.col("way.seed").alias("seed"), "node", F.lit(depth).cast("long").alias("depth"), F.col("way.src").alias("parent"), "way.pred", "way.inverse", *(["way.rank", "way.step"] if ranked else []))
+        judged = classifier(asked).withColumn("included", F.col("classification") == INCLUDE)
+        level = settle(judged.select(*columns, *(["rank", "step"] if ranked else [])))
+        found, included = level.agg(F.count(F.lit(1)), F.count_if("included")).first()
+        if not found:
             break
+        visited = visited.unionByName(level.select(*columns))
+        frontier = level.filter("included").select("seed", F.col("node").alias("src"), *(["rank", "step"] if ranked else []))
+        if ranked and included and (max_depth is None or depth < max_depth):
+            frontier = ordinals(frontier, ["rank", "step", "src"], "place").select("seed", "src", F.col("place").alias("rank"))
     return visited
 
 
+def _numbered(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seed, chunk, bit) of the distinct seeds, 64 to a chunk, stored; and the rows as (node, chunk, bits)."""
+    numbers = ordinals(seeds.select("seed").distinct(), ["seed"], "n")
+    numbers = settle(numbers.select("seed", F.floor(F.col("n") / 64).cast("int").alias("chunk"), (F.col("n") % 64).cast("int").alias("bit")))
+    return numbers, _packed(seeds, numbers)
+
+
+def _packed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(node, chunk, bits) of ``rows`` (seed, node)."""
+    few = numbers.count() <= BROADCAST_SEEDS
+    joined = rows.select("seed", "node").join(F.broadcast(numbers) if few else numbers, "seed")
+    return joined.groupBy("node", "chunk").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def _spread(rows: DataFrame, numbers: DataFrame, bits: str = "bits") -> DataFrame:
+    """``rows`` (chunk, bits, …) once for each seed whose bit is set, with ``seed``."""
+    few = numbers.count() <= BROADCAST_SEEDS
+    each = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col(bits), i) == 1)
+    return rows.withColumn("bit", F.explode(each)).join(F.broadcast(numbers) if few else numbers, ["chunk", "bit"]).drop("chunk", "bit", bits)
+
+
+def _new_bits(reached: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, chunk, bits) of ``reached`` that aren't in ``met`` (rows of both may repeat a node)."""
+    zero = F.lit(0).cast("long")
+    both = reached.select("node", "chunk", F.col("bits").alias("now"), zero.alias("before")).unionByName(met.select("node", "chunk", zero.alias("now"), F.col("bits").alias("before")))
+    fresh = both.groupBy("node", "chunk").agg(F.bit_or("now").alias("now"), F.bit_or("before").alias("before"))
+    return fresh.select("node", "chunk", F.col("now").bitwiseAND(F.bitwise_not("before")).alias("bits")).filter("bits <> 0")
+
+
+def _step_bits(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    return frontier.select(F.col("node").alias("src"), "chunk", "bits").join(links, "src").groupBy(F.col("dst").alias("node"), "chunk").agg(F.bit_or("bits").alias("bits"))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, masked: DataFrame | None = None) -> DataFrame:
-    """(seed, node, depth): everything reachable from each seed (seeds: node, or seed and node), masked nodes never entered."""
+    """(seed, node, depth): everything reachable from each seed (seeds: node, or seed and node), masked nodes never entered.
+
+    A level holds (node, bits), a bit for each seed: the edges of a node are followed once a level for 64 seeds.
+    """
     own = seeds if "seed" in seeds.columns else seeds.select(F.col("node").alias("seed"), "node")
     links = edges.select("src", "dst").distinct()
     if masked is not None:
         links = links.join(masked.select(F.col("node").alias("dst")), "dst", "left_anti")
     links = settle(links)
-    level = settle(own.select("seed", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    visited = level
-    depth = 0
+    numbers, roots = _numbered(own.select("seed", "node").distinct())
+    level = settle(roots.withColumn("depth", F.lit(0).cast("long")))
+    visited, depth = level, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        fresh = level.select("seed", F.col("node").alias("src")).join(links, "src").select("seed", F.col("dst").alias("node")).distinct()
-        level = settle(fresh.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        level = settle(_new_bits(_step_bits(level, links), visited).withColumn("depth", F.lit(depth).cast("long")))
         if is_empty(level):
             break
         visited = visited.unionByName(level)
-    return visited
+    return _spread(visited, numbers).select("seed", "node", "depth")
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, per_seed: bool = False) -> DataFrame:
-    """(node, seed, depth, ords, path): the first path by breadth-first order from sorted seeds to every node.
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, per_seed: bool = False) -> DataFrame:
+    """(node, seed, depth, parent, pred, inverse, ord): the first path by breadth-first order from sorted seeds to every node.
 
     ``edges`` carry ``ord``, the place among a node's neighbours. The path of least seed, then least sequence of places
-    is the one that a queue would find first. ``per_seed`` gives each seed a path of its own to every node.
+    is the one that a queue would find first; each level's nodes are ranked by it. ``per_seed`` gives each seed a path of its own to every node.
     """
     key = ["seed", "node"] if per_seed else ["node"]
-    edges = settle(edges.select("src", "pred", "inverse", "dst", "ord"))
-    level = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("ords"), F.array().cast(STEP).alias("path")).distinct()
-    level = settle(level)
-    visited = level
-    for depth in range(1, max_depth + 1):
-        reached = level.select("seed", F.col("node").alias("src"), "ords", "path").join(edges, "src").select(F.col("dst").alias("node"), "seed", F.concat("ords", F.array(F.col("ord"))).alias("ords"), F.concat("path", _step()).alias("path"))
-        fresh = reached.join(visited.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct("seed", "ords", "path")).alias("way"))
-        level = settle(fresh.select(F.col("way.seed").alias("seed"), "node", F.lit(depth).cast("long").alias("depth"), "way.ords", "way.path"))
+    links = settle(edges.select("src", "pred", "inverse", "dst", F.col("ord").cast("long").alias("ord")))
+    level = settle(_roots(seeds).withColumn("ord", F.lit(None).cast("long")))
+    columns = level.columns
+    visited, depth = level, 0
+    frontier = ordinals(level.select("seed", F.col("node").alias("src")), ["seed"], "rank")
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        fresh = frontier.join(links, "src").withColumnRenamed("dst", "node").join(visited.select(*key), key, "left_anti")
+        chosen = fresh.groupBy(*key).agg(F.min(F.struct("rank", "ord", "seed", "src", "pred", "inverse")).alias("way"))
+        level = settle(chosen.select(F.col("way.seed").alias("seed"), "node", F.lit(depth).cast("long").alias("depth"), F.col("way.src").alias("parent"), "way.pred", "way.inverse", "way.ord", "way.rank"))
         if is_empty(level):
             break
-        visited = visited.unionByName(level)
+        visited = visited.unionByName(level.select(*columns))
+        frontier = ordinals(level.select("seed", F.col("node").alias("src"), "rank", "ord"), ["rank", "ord", "src"], "place").select("seed", "src", F.col("place").alias("rank"))
     return visited
 
 
@@ -111,44 +200,47 @@ def bridge_bfs(edges: DataFrame, seeds: DataFrame, decided: DataFrame, classifie
 
     ``decided`` (seed, node; or node, for all seeds) has the decision nodes. A level's frontier is first closed over nodes without a decision,
     which are passed without being judged; the decision nodes met on the way are judged, and the included ones are the
-    next frontier. A node once met is never retried.
+    next frontier. A node once met is never retried. Waves hold a bit for each seed; rows of seeds are made for the judged nodes alone.
     """
     links = settle(edges.select("src", "dst").distinct())
-    marks, by = _decision_nodes(decided)
-    frontier = settle(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    met = frontier
-    out: DataFrame | None = None
-    depth = 0
+    numbers, roots = _numbered(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    if "seed" in decided.columns:
+        marks = settle(_packed(decided.select("seed", "node").distinct(), numbers).withColumnRenamed("bits", "own"))
+    else:
+        marks = settle(decided.select("node", F.lit(-1).cast("long").alias("own")).distinct())
+    by = [c for c in ("node", "chunk") if c in marks.columns]
+    frontier = settle(roots)
+    met, out, depth = frontier, None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         wave, found = frontier, None
         while True:
-            near = wave.select("seed", F.col("node").alias("src")).join(links, "src").select("seed", F.col("dst").alias("node")).distinct()
-            near = near.join(met, ["seed", "node"], "left_anti").join(marks, by, "left")
-            near = settle(near.select("seed", "node", F.coalesce("own", F.lit(False)).alias("own")))
+            near = _new_bits(_step_bits(wave, links), met).join(marks, by, "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+            near = settle(near.select("node", "chunk", "bits", F.col("bits").bitwiseAND(F.col("own")).alias("asked"), F.col("bits").bitwiseAND(F.bitwise_not("own")).alias("passed")))
             if is_empty(near):
                 break
-            met = met.unionByName(near.select("seed", "node"))
-            asked = near.filter("own").select("seed", "node")
+            met = met.unionByName(near.select("node", "chunk", "bits"))
+            asked = near.select("node", "chunk", F.col("asked").alias("bits")).filter("bits <> 0")
             found = asked if found is None else found.unionByName(asked)
-            wave = near.filter("NOT own").select("seed", "node")
+            wave = near.select("node", "chunk", F.col("passed").alias("bits")).filter("bits <> 0")
         if found is None:
             break
-        judged = classifier(found.withColumn("depth", F.lit(depth).cast("long")))
+        judged = classifier(_spread(found, numbers).select("seed", "node").withColumn("depth", F.lit(depth).cast("long")))
         level = settle(judged.select("seed", "node", "depth", "classification", "confidence", (F.col("classification") == INCLUDE).alias("included")))
         out = level if out is None else out.unionByName(level)
-        frontier = level.filter("included").select("seed", "node")
+        frontier = settle(_packed(level.filter("included"), numbers))
         if is_empty(frontier):
             break
     if out is None:
-        return frontier.select("seed", "node", F.lit(0).cast("long").alias("depth"), F.lit(NO_MATCH).alias("classification"), F.lit(0.0).alias("confidence"), F.lit(False).alias("included")).limit(0)
+        empty = seeds.limit(0).select(F.col("node").alias("seed"), "node")
+        return empty.select("seed", "node", F.lit(0).cast("long").alias("depth"), F.lit(NO_MATCH).alias("classification"), F.lit(0.0).alias("confidence"), F.lit(False).alias("included"))
     return out
 
 
 def two_phase_bfs(edges: DataFrame, seeds: DataFrame, first: DataFrame, later: DataFrame, decided: DataFrame, gates: DataFrame | None = None, allowed: DataFrame | None = None, bridges: bool = True) -> DataFrame:
     """(seed, node, depth) of decision nodes over logical edges (src, pred, dst), hops counted with bridge nodes; ``decided`` as in ``bridge_bfs``.
 
-    ``first`` and ``later`` (predicate) are the properties of the first and of later hops. ``gates`` (seed, node, target):
+    ``first`` and ``later`` (predicate) are the properties of the first and of later hops. ``gates`` (seed, node, target; or node, target, for all seeds):
     only nodes with target 1 are expanded among the decision nodes. ``allowed`` (node) restricts what may be entered;
     without ``bridges`` only decision nodes may.
     """
@@ -167,7 +259,7 @@ def two_phase_bfs(edges: DataFrame, seeds: DataFrame, first: DataFrame, later: D
         if not bridges:
             near = near.filter("own")
         if gates is not None:
-            near = near.join(gates.select("seed", "node", "target"), ["seed", "node"], "left").withColumn("expands", F.col("own").isNull() | (F.coalesce("target", F.lit(0)) == 1))
+            near = near.join(gates, [c for c in ("seed", "node") if c in gates.columns], "left").withColumn("expands", F.col("own").isNull() | (F.coalesce("target", F.lit(0)) == 1))
         else:
             near = near.withColumn("expands", F.lit(True))
         level = settle(near.select("seed", "node", F.lit(depth).cast("long").alias("depth"), "expands", F.coalesce("own", F.lit(False)).alias("own")))

@@ -141,7 +141,7 @@ def voted(spark: SparkSession, d: str) -> DataFrame:
     key = F.substring_index("node", "/", -1).cast("long")
     passes = v.select("node", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pass"), "v").withColumn("score", F.col("v") * 0.5 + ((key + F.col("pass")) % 5) / 10.0)
     scores = universe.mean_scores(passes, ["node"])
-    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(scores, 0.5))
+    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(scores, 0.5), ranked=False)
     return found.filter("depth > 0").select("node", "depth", F.round("confidence", 6).alias("score"), "included")
 
 
@@ -178,7 +178,7 @@ QUERIES: dict = {
     "keyed_lookup": (from_store, STORE_SQL),
     "voted_traversal": (voted, VOTED_SQL),
     "filter_summary": (summary, SUMMARY_SQL),
-    "decision_table": (lambda s, d: sinks.decision_rows(traverse.gated_bfs(g.forward(s, d), g.seeds(s, d), classify.TableClassifier(g.verdicts(s, d))).drop("path"), g.nodes(s, d)).drop("warning", "path", "confidence"), DECISION_TABLE_SQL),
+    "decision_table": (lambda s, d: sinks.decision_rows(traverse.gated_bfs(g.forward(s, d), g.seeds(s, d), classify.TableClassifier(g.verdicts(s, d))).drop("parent"), g.nodes(s, d)).drop("warning", "path", "confidence"), DECISION_TABLE_SQL),
     "missing_vectors": (lambda s, d: keyed.missing_ids(g.table(s, d, "documents").select(F.col("doc_id").alias("id")), g.table(s, d, "embeddings").select(F.col("vec_id").alias("id"))), "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
     "dataset_ids": (lambda s, d: g.table(s, d, "documents").select("doc_id", dataset_id(F.concat(F.lit(" 00"), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(" "))).alias("dataset")), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '00' || doc_id || 'x' ELSE doc_id::VARCHAR END AS dataset FROM documents"),
 }

@@ -87,7 +87,7 @@ def preferred(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
-    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)))
+    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)), ranked=False)
     return found.select("node", "depth", "included")
 
 
@@ -98,15 +98,19 @@ SELECT node, min(depth)::BIGINT AS depth, bool_or(included) AS included FROM wal
 
 
 def gated_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)))
-    return found.select("node", "seed", "depth", "classification", traverse.path_text(F.col("path")).alias("path"))
+    """Paths in words: labels where a node has one, orders by their local names; ways are compared by the same words."""
+    labels = g.nodes(spark, d)
+    found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)), labels=labels)
+    return traverse.with_paths(found, labels).select("node", "seed", "depth", "classification", "path")
 
 
-_PATHS = f"""{E}, {V}, walk(seed, node, depth, included, path, src, pred) AS (
-  SELECT 'region/' || r_regionkey, 'region/' || r_regionkey, 0, TRUE, 'region/' || r_regionkey, '', '' FROM region
-  UNION SELECT w.seed, e.dst, w.depth + 1, v.keep, w.path || ' --' || e.pred || '--> ' || e.dst, e.src, e.pred FROM walk w JOIN edges e ON e.src = w.node JOIN verdicts v ON v.node = e.dst WHERE w.included),
+_PATHS = """{E}, {V}{more}, walk(seed, node, depth, included, path, src, pred) AS (
+  SELECT 'region/' || r_regionkey, 'region/' || r_regionkey, 0, TRUE, {root}, '', '' FROM region
+  UNION SELECT w.seed, e.dst, w.depth + 1, v.keep, w.path || ' --' || e.pred || '--> ' || {name}, e.src, e.pred FROM walk w JOIN edges e ON e.src = w.node JOIN verdicts v ON v.node = e.dst {join} WHERE w.included),
 best AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, seed, path) = 1)"""
-GATED_PATHS_SQL = f"""WITH RECURSIVE {_PATHS}
+_NAMED = _PATHS.format(E=E, V=V, more=f", {N}", root="r_name", name="coalesce(n.label, split_part(e.dst, '/', 2))", join="LEFT JOIN nodes n ON n.node = e.dst")
+_PATHS = _PATHS.format(E=E, V=V, more="", root="'region/' || r_regionkey", name="e.dst", join="")
+GATED_PATHS_SQL = f"""WITH RECURSIVE {_NAMED}
 SELECT node, seed, depth::BIGINT AS depth, CASE WHEN depth = 0 THEN 'SEED' WHEN included THEN 'INCLUDE' ELSE 'EXCLUDE' END AS classification, CASE WHEN depth = 0 THEN '(seed node)' ELSE path END AS path FROM best"""
 
 
@@ -141,7 +145,8 @@ SELECT seed, node, depth FROM walk"""
 
 def first_paths(spark: SparkSession, d: str) -> DataFrame:
     found = traverse.shortest_paths(graph.adjacency(g.edges(spark, d), g.nodes(spark, d)), g.seeds(spark, d))
-    return found.select("node", "seed", "depth", F.array_join(F.transform("ords", lambda x: x.cast("string")), "/").alias("ords"))
+    ords = traverse.along(found, F.coalesce(F.concat(F.lit("/"), F.col("ord").cast("string")), F.lit("")))
+    return found.join(ords, ["seed", "node"]).select("node", "seed", "depth", F.expr("substring(text, 2)").alias("ords"))
 
 
 FIRST_PATHS_SQL = f"""WITH RECURSIVE {N}, {E}, {BOTH},
@@ -170,7 +175,7 @@ def two_phase(spark: SparkSession, d: str) -> DataFrame:
     decided = g.nodes(spark, d).filter("node LIKE 'supplier/%' OR node LIKE 'customer/%' OR node LIKE 'part/%'").select("node")
     first = spark.createDataFrame([("hasNation",)], "predicate string")
     later = spark.createDataFrame([("hasSupplier",), ("hasCustomer",), ("placed",), ("contains",), ("(-)contains",), ("(-)hasNation",)], "predicate string")
-    gates = g.seeds(spark, d).select(F.col("node").alias("seed")).join(decided, how="cross").withColumn("target", F.when(F.expr("int(substring_index(node, '/', -1)) % 2 = 0"), 1).otherwise(0))
+    gates = decided.withColumn("target", F.when(F.expr("int(substring_index(node, '/', -1)) % 2 = 0"), 1).otherwise(0))
     return traverse.two_phase_bfs(graph.logical_edges(g.edges(spark, d)), g.seeds(spark, d), first, later, decided, gates)
 
 
@@ -199,7 +204,7 @@ SCORES_SQL = """scores AS MATERIALIZED (SELECT 'nation/' || n_nationkey AS node,
 
 
 def threshold(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(all_scores(spark, d), 0.4)).filter("depth > 0").select("node", "depth", "included")
+    return traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(all_scores(spark, d), 0.4), ranked=False).filter("depth > 0").select("node", "depth", "included")
 
 
 THRESHOLD_SQL = f"""WITH RECURSIVE {E}, {SCORES_SQL}, walk(node, depth, included) AS (
@@ -234,9 +239,9 @@ def descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
     """Replaying recorded verdicts, some of them changed since: rows in which the replay differs from the live traversal."""
-    live = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)))
+    live = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(g.verdicts(spark, d)), ranked=False)
     changed = F.when(F.col("node").startswith("customer/") & F.col("node").endswith("7"), "EXCLUDE").otherwise(F.col("classification"))
-    again = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(live.filter("depth > 0").select("node", changed.alias("classification"), "confidence")))
+    again = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(live.filter("depth > 0").select("node", changed.alias("classification"), "confidence")), ranked=False)
     return traverse.differences(live.select("node", "depth", "included"), again.select("node", "depth", "included"))
 
 
@@ -274,7 +279,7 @@ def first_threshold_reach(spark: SparkSession, d: str) -> DataFrame:
     """Scores turned into verdicts at several thresholds, each traversed on its own from all regions: nodes reached by threshold and depth."""
     out = None
     for t in (0.2, 0.5, 0.8):
-        found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(all_scores(spark, d), t))
+        found = traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.ThresholdClassifier(all_scores(spark, d), t), ranked=False)
         own = found.select(F.lit(str(t)).alias("threshold"), "depth")
         out = own if out is None else out.unionByName(own)
     return out.groupBy("threshold", "depth").agg(F.count(F.lit(1)).alias("nodes"))

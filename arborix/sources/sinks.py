@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arborix.functions.text import casefold, turtle_escape
 from arborix.operators.fixpoint import settle
 from arborix.operators.graph import traversal_subgraph
-from arborix.operators.traverse import path_text
+from arborix.operators.traverse import with_paths
 
 
 def turtle_lines(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def write_turtle(edges: DataFrame, labels: DataFrame, path: str, overwrite: bool
 #: Columns of result files, in order.
 DECISION_COLUMNS = ("node", "label", "classification", "confidence", "seed", "seed_label", "depth", "path", "warning")
 RESULT_COLUMNS = ("row_id", "legacy_row_id", "seed_qid", "seed_label", "qid", "label", "target", "prediction", "classification", "confidence", "depth", "reaching_property", "reaching_property_label")
-SCORED_COLUMNS = (*RESULT_COLUMNS[:10], "raw_prediction", "raw_classification", "raw_confidence", "csv_depth", "bfs_depth", "parent_qid", "parent_label", "reaching_property", "reaching_property_label", "path")
-ROW_COLUMNS = (*RESULT_COLUMNS[:7], "csv_depth", "bfs_depth", "parent_qid", "parent_label", "reaching_property", "reaching_property_label", "path")
+SCORED_COLUMNS = ("row_id", "legacy_row_id", "seed_qid", "seed_label", "qid", "label", "target", "prediction", "classification", "confidence", "raw_prediction", "raw_classification", "raw_confidence", "csv_depth", "bfs_depth", "parent_qid", "parent_label", "reaching_property", "reaching_property_label", "path")
+ROW_COLUMNS = ("row_id", "legacy_row_id", "seed_qid", "seed_label", "qid", "label", "target", "csv_depth", "bfs_depth", "parent_qid", "parent_label", "reaching_property", "reaching_property_label", "path")
 CONCEPT_COLUMNS = ("prefLabel", "altLabels", "displayName", "uri", "confidence", "in_hierarchy_gold", "relations", "classification")
 
 
@@ -47,8 +47,10 @@ def write_rows(rows: DataFrame, columns: tuple[str, ...], path: str, order: list
 def decision_rows(visited: DataFrame, labels: DataFrame) -> DataFrame:
     """DECISION_COLUMNS of a traversal's result: labels of nodes and seeds (their own names without one), and the path in words."""
     by = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
+    if "path" not in visited.columns and "parent" in visited.columns:
+        visited = with_paths(settle(visited), labels)
     named = visited.drop("label").join(by("node", "label"), "node", "left").join(by("seed", "seed_label"), "seed", "left")
-    text = path_text(F.col("path")) if "path" in visited.columns else F.lit("")
+    text = F.col("path") if "path" in visited.columns else F.lit("")
     rows = named.select("node", F.coalesce("label", "node").alias("label"), "classification", "confidence", "seed", F.coalesce("seed_label", "seed").alias("seed_label"), "depth", text.alias("path"), *(["warning"] if "warning" in visited.columns else []))
     return fixed_columns(rows, DECISION_COLUMNS)
 

@@ -42,7 +42,7 @@ def test_context_lines_and_packs(spark):
     assert [e["row_id"] for e in pack["examples"]] == ["r1", "r2"] and pack["examples"][0]["prompt_line"] == "- Seed: one\n  Candidate: candidate=three | depth=2 | decision=INCLUDE" and "ord" not in pack["examples"][0]
     with pytest.raises(ValueError):
         context.evidence("nothing")
-    paths = traverse.shortest_paths(edges, spark.createDataFrame([("Q1",)], "node string"))
+    paths = traverse.with_paths(traverse.shortest_paths(edges, spark.createDataFrame([("Q1",)], "node string")))
     seeds = spark.createDataFrame([("Q1",)], "node string")
     good = spark.createDataFrame([("Q3", 1)], "node string, decision int")
     assert context.demonstrations(good, paths, seeds).first()["depth"] == 2
@@ -99,7 +99,7 @@ def test_artifacts(spark, tmp_path):
     sinks.write_extraction(visited, labels, out, edges=edges, prompt="Judge.\n", run={"model": "m"})
     read = lambda name: spark.read.option("header", True).csv(f"{out}/{name}")
     assert tuple(read("decisions").columns) == sinks.DECISION_COLUMNS and [r.node for r in read("decisions").collect()] == ["a", "b", "c"] == [r.node for r in read("visited").collect()]
-    assert {r.node: (r.label, r.seed_label, r.path) for r in read("excluded").collect()} == {"c": ("c", "A", "a --p--> b --q--> c")}
+    assert {r.node: (r.label, r.seed_label, r.path) for r in read("excluded").collect()} == {"c": ("c", "A", "A --p--> B --q--> c")}
     manifest = json.loads("".join(r.value for r in spark.read.text(f"{out}/manifest", wholetext=True).collect()))
     assert (manifest["visited_count"], manifest["included_count"], manifest["excluded_count"], manifest["retained_traversal_edge_count"], manifest["iterations"][0]["evaluated"], manifest["model"]) == (3, 2, 1, 1, 1, "m")
     with pytest.raises(Exception, match="(?i)exists"):

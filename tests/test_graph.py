@@ -67,7 +67,7 @@ def frames(spark):
 def test_gated_traversal_on_a_cycle(spark):
     edges, directed, seeds = frames(spark)
     verdicts = spark.createDataFrame([("a", "EXCLUDE", 0.9), ("b", "INCLUDE", 0.8), ("c", "INCLUDE", 1.0), ("d", "EXCLUDE", 1.0)], "node string, classification string, confidence double")
-    rows = {r.node: r for r in traverse.gated_bfs(directed, seeds, classify.TableClassifier(verdicts)).withColumn("text", traverse.path_text(F.col("path"))).collect()}
+    rows = {r.node: r for r in traverse.with_paths(traverse.gated_bfs(directed, seeds, classify.TableClassifier(verdicts))).withColumnRenamed("path", "text").collect()}
     assert {n: (r.depth, r.included) for n, r in rows.items()} == {"s": (0, True), "a": (1, False), "b": (1, True), "c": (2, True), "d": (3, False)}
     assert rows["c"].text == "s --p--> b --q--> c" and rows["s"].text == "(seed node)"
     limited = traverse.gated_bfs(directed, seeds, classify.TableClassifier(verdicts), max_depth=1)
