@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import ordinals, settle
+from .fixpoint import discard, is_empty, ordinals, settle
+from .neighbours import nearest
+
+__all__ = ["analogies", "augmented", "balanced", "contrastive", "drawn", "fold_assignments", "folds", "nearest", "permuted", "references", "round_robin", "split_edges", "vote"]
 
 
 def drawn(seed: int, *keys: Column | str) -> Column:
@@ -55,57 +58,46 @@ def fold_assignments(branches: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(every), how="cross").select("test", "validation", F.array_except("all", F.array("test", "validation")).alias("training"))
 
 
-def references(queries: DataFrame, pool: DataFrame, k: int, seed: int = 42, other_seed: bool = False) -> DataFrame:
-    """(query, reference, n): ``k`` references of each query's own group, drawn; optionally of another seed only."""
-    pairs = queries.select("query", "group", F.col("seed").alias("qs")).join(pool.select("reference", "group", F.col("seed").alias("rs")), "group").filter("query <> reference")
-    if other_seed:
-        pairs = pairs.filter("qs <> rs")
-    n = F.row_number().over(Window.partitionBy("query").orderBy(drawn(seed, "query", "reference"), "reference"))
-    return pairs.select("query", "reference", n.cast("long").alias("n")).filter(F.col("n") <= k)
+def permuted(i: Column, half: Column, *key: Column) -> Column:
+    """A keyed permutation of range(4 ** half) at ``i``: four rounds of a Feistel network over MD5."""
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), half)
+    left, right = F.floor(i / size).cast("long"), (i % size).cast("long")
+    for turn in range(4):
+        digits = F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key], F.lit(str(turn)), right.cast("string"))), 1, 8)
+        left, right = right, left.bitwiseXOR(F.conv(digits, 16, 10).cast("long") % size)
+    return left * size + right
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(query, id, distance, n): the ``k`` nearest points of each query by Euclidean distance, ties by id.
+def references(queries: DataFrame, pool: DataFrame, k: int, seed: int = 42, other_seed: bool = False) -> DataFrame:
+    """(query, reference, n): ``k`` references of each query's own group, drawn without repeats; optionally of another seed only.
 
-    Queries are stated rows and the points all rows: the queries are read in turn and go round in blocks of at most ``block``, each
-    task keeps ``k`` of its own points a query, and only those meet.
+    The pool's groups are numbered once. A query draws places in its group by a permutation of its own and takes what lies
+    there, so no query meets its whole group; the query itself, and rows of its seed, are passed over by drawing on. All
+    are taken where fewer than ``k`` are admissible.
     """
-    import numpy as np
-    import pandas as pd
-
-    from itertools import islice
-
-    spark, out = points.sparkSession, None
-    asked = settle(queries.select("query", "vector")).toLocalIterator()
-    blocks = 0
-    while part := [(r["query"], r["vector"]) for r in islice(asked, block)]:
-        handle = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64)))
-
-        def run(batches, handle=handle):
-            ids, q = handle.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch["vector"].tolist(), np.float64)
-                d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if q.shape[0] * x.size < 50_000_000 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q])
-                own = batch["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, : k + 1]
-                yield pd.DataFrame({"query": np.repeat(ids, order.shape[1]), "id": own[order.ravel()], "distance": np.take_along_axis(d, order, 1).ravel()})
-
-        kind = dict(points.dtypes)["id"]
-        found = points.select("id", "vector").mapInPandas(run, f"query {dict(queries.dtypes)['query']}, id {kind}, distance double")
+    numbered = ordinals(pool.select("reference", "group", F.col("seed").alias("rs")), ["group", "reference", "rs"], "place")
+    groups = settle(numbered.groupBy("group").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")))
+    half = F.greatest(F.lit(1), F.ceil(F.length(F.bin(F.col("size") - 1)) / 2)).cast("int")
+    asked = queries.select("query", "group", F.col("seed").alias("qs")).join(groups, "group").withColumn("half", half)
+    asked = settle(asked.withColumn("domain", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("half") * 2)).withColumn("upto", F.lit(0).cast("long")))
+    numbered, out, turn = settle(numbered.select("place", "reference", "rs")), None, 2
+    while not is_empty(asked):
+        # on average turn * k of these are places of the group
+        stop = F.least("domain", F.col("upto") + F.ceil(F.lit(turn * k) * F.col("domain") / F.col("size")))
+        drawn_i = asked.select("query", "qs", "first", "size", "half", F.explode(F.sequence("upto", stop - 1)).alias("i"))
+        places = drawn_i.withColumn("x", permuted(F.col("i"), F.col("half"), F.lit(seed), F.col("query"))).filter("x < size").select("query", "qs", "i", (F.col("first") + F.col("x")).alias("place"))
+        got = places.join(numbered, "place").filter("query <> reference")
+        if other_seed:
+            got = got.filter("qs <> rs")
+        found = settle(got.select("query", "reference", "i"))
         out = found if out is None else out.unionByName(found)
-        blocks += 1
-        if blocks % 64 == 0:  # plans stay short
-            out = settle(out)
+        enough = out.groupBy("query").count().filter(F.col("count") >= k)
+        asked = settle(asked.withColumn("upto", stop).filter(F.col("upto") < F.col("domain")).join(enough, "query", "left_anti"))
+        turn *= 2
     if out is None:
-        out = spark.createDataFrame([], f"query {dict(queries.dtypes)['query']}, id {dict(points.dtypes)['id']}, distance double")
-    return _ranked(out, k)
-
-
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return pairs.filter("query <> id").withColumn("n", n.cast("long")).filter(F.col("n") <= k)
+        out = queries.select("query").join(pool.select("reference"), F.lit(False)).withColumn("i", F.lit(0).cast("long"))
+    n = F.row_number().over(Window.partitionBy("query").orderBy("i"))
+    return out.select("query", "reference", n.cast("long").alias("n")).filter(F.col("n") <= k)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, threshold: float = 0.5, majority: bool = False) -> DataFrame:
@@ -138,13 +130,33 @@ def augmented(pairs: DataFrame) -> DataFrame:
 
 
 def split_edges(edges: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """(src, dst, held_out) by unordered pairs: a pair is held out if drawn below ``fraction`` and neither end keeps it last.
+    """``edges`` (src, dst, …) with ``held_out``: whole unordered pairs, taken greedily in drawn order, no node losing its last pair.
 
-    Each node keeps its first pair by the drawn order, so no node loses all its edges; no task sees the whole graph.
+    In turn, a pair is held out if both its ends have another pair that isn't, until the fraction of all pairs is reached. A
+    node refuses its last pair in the order alone, and only if it gave all before: so only pairs that are some node's last can be
+    refused, and such a pair waits only for earlier ones at that node. Rounds settle all pairs whose earlier ones are settled,
+    which gives what the turn by turn pass gives.
     """
-    pair = F.array_sort(F.array("src", "dst"))
-    rows = edges.select("src", "dst", pair.alias("pair")).withColumn("draw", drawn(seed, F.array_join("pair", "~")))
-    ends = rows.select("pair", "draw", F.explode("pair").alias("node")).distinct()
-    first = ends.groupBy("node").agg(F.min(F.struct("draw", "pair")).alias("x")).select(F.col("x.pair").alias("pair")).distinct().withColumn("kept", F.lit(True))
-    low = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(1 << 32) < fraction
-    return rows.join(first, "pair", "left").select("src", "dst", (low & F.col("kept").isNull()).alias("held_out"))
+    pair = lambda c: F.array_sort(F.array("src", "dst"))[c]
+    rows = edges.withColumns({"_a": pair(0), "_b": pair(1)})
+    order = ["draw", "_a", "_b"]
+    pairs = ordinals(rows.select("_a", "_b").distinct().withColumn("draw", drawn(seed, F.concat_ws("~", "_a", "_b"))), order, "n").select("n", "_a", "_b")
+    pairs = settle(pairs)
+    target = round(pairs.count() * fraction)
+    last = pairs.select("n", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("node")).groupBy("node").agg(F.max("n").alias("last"))
+    ends = lambda c, name: last.select(F.col("node").alias(c), F.col("last").alias(name))
+    marked = pairs.join(ends("_a", "la"), "_a").join(ends("_b", "lb"), "_b")
+    waiting = settle(marked.filter("n = la OR n = lb").select("n", "_a", "_b", (F.col("n") == F.col("la")).alias("at_a"), (F.col("n") == F.col("lb")).alias("at_b"), F.lit(None).cast("boolean").alias("refused")))
+    while not is_empty(waiting.filter("refused IS NULL")):
+        # of the pairs at a node that aren't its last: is one refused, are all settled?
+        sides = waiting.select("refused", F.explode(F.array_distinct(F.filter(F.array(F.when(~F.col("at_a"), F.col("_a")), F.when(~F.col("at_b"), F.col("_b"))), lambda x: x.isNotNull()))).alias("node"))
+        known = sides.groupBy("node").agg(F.max(F.coalesce("refused", F.lit(False))).alias("gave_not"), F.min(F.col("refused").isNotNull()).alias("settled"))
+        of = lambda c, s: known.select(F.col("node").alias(c), F.col("gave_not").alias(f"gave_{s}"), F.col("settled").alias(f"settled_{s}"))
+        joined = waiting.join(of("_a", "a"), "_a", "left").join(of("_b", "b"), "_b", "left")
+        # refused by an end, not refused, or unknown yet
+        says = lambda s: F.when(~F.col(f"at_{s}"), False).when(F.coalesce(f"gave_{s}", F.lit(False)), False).when(F.coalesce(f"settled_{s}", F.lit(True)), True)
+        after = settle(joined.select("n", "_a", "_b", "at_a", "at_b", F.coalesce("refused", says("a") | says("b")).alias("refused")))
+        discard(waiting)
+        waiting = after
+    taken = ordinals(pairs.join(waiting.filter("refused").select("n"), "n", "left_anti"), ["n"], "turn").filter(F.col("turn") < target)
+    return rows.join(taken.select("_a", "_b", F.lit(True).alias("_held")), ["_a", "_b"], "left").select(*edges.columns, F.coalesce("_held", F.lit(False)).alias("held_out"))

@@ -127,8 +127,9 @@ def _packed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 def _spread(rows: DataFrame, numbers: DataFrame, bits: str = "bits") -> DataFrame:
     """``rows`` (chunk, bits, …) once for each seed whose bit is set, with ``seed``."""
     few = numbers.count() <= BROADCAST_SEEDS
-    each = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col(bits), i) == 1)
-    return rows.withColumn("bit", F.explode(each)).join(F.broadcast(numbers) if few else numbers, ["chunk", "bit"]).drop("chunk", "bit", bits)
+    own = numbers.select("seed", F.col("chunk").alias("of"), "bit")
+    set_ = (F.col("chunk") == F.col("of")) & (F.call_function("getbit", F.col(bits), F.col("bit")) == 1)
+    return rows.join(F.broadcast(own) if few else own, set_).drop("chunk", "of", "bit", bits)
 
 
 def _new_bits(reached: DataFrame, met: DataFrame) -> DataFrame:

@@ -76,6 +76,35 @@ def reference_rows(spark: SparkSession, d: str) -> DataFrame:
     return sampling.references(rows.filter("row_id % 20 = 0").select(F.col("row_id").alias("query"), F.col("property").alias("group"), "seed"), rows.select(F.col("row_id").alias("reference"), F.col("property").alias("group"), "seed"), 3, other_seed=True)
 
 
+def _turn(i: int) -> str:
+    """Round ``i`` of the permutation of ``sampling.permuted`` in SQL."""
+    return f"f{i + 1} AS (SELECT * EXCLUDE (l, r), r AS l, xor(l, ('0x' || substr(md5(concat_ws('|', '42', query, '{i}', r)), 1, 8))::BIGINT % side) AS r FROM f{i})"
+
+
+#: Every query draws all places of its group's domain in turn.
+REFERENCES_SQL = f"""WITH {J}, pool AS (SELECT row_id AS reference, property, seed, row_number() OVER (PARTITION BY property ORDER BY row_id, seed) - 1 AS place FROM judged),
+sizes AS (SELECT property, count(*) AS size, (1::BIGINT << greatest(1, (length(bin(count(*) - 1)) + 1) // 2)) AS side FROM judged GROUP BY property),
+f0 AS (SELECT row_id AS query, property, seed, size, side, i, i // side AS l, i % side AS r FROM judged JOIN sizes USING (property), LATERAL (SELECT unnest(range(side * side)) AS i) WHERE row_id % 20 = 0),
+{', '.join(map(_turn, range(4)))},
+d AS (SELECT query, reference, i FROM f4 f JOIN pool p ON p.property = f.property AND p.place = f.l * side + f.r WHERE query <> reference AND f.seed <> p.seed)
+SELECT query, reference, row_number() OVER (PARTITION BY query ORDER BY i) AS n FROM d QUALIFY n <= 3"""
+
+
+def edge_split(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and the priorities of their orders as a graph, a third of its pairs held out."""
+    rows = g.table(spark, d, "orders").select(g.node("customer", "o_custkey").alias("src"), F.col("o_orderpriority").alias("dst"))
+    return sampling.split_edges(rows, 0.34).distinct()
+
+
+#: Turn by turn: a pair is held out if both its ends have more than one left among those not held out before.
+EDGE_SPLIT_SQL = """WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT 'customer/' || o_custkey AS src, o_orderpriority AS dst FROM orders),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('42|' || least(src, dst) || '~' || greatest(src, dst)), least(src, dst)) AS i, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM p),
+walk(i, src, dst, taken) USING KEY (i) AS (SELECT 0::BIGINT, '', '', FALSE
+  UNION SELECT o.i, o.src, o.dst, ds - (SELECT count(*) FROM recurring.walk r WHERE r.taken AND r.src = o.src) > 1 AND dd - (SELECT count(*) FROM recurring.walk r WHERE r.taken AND r.dst = o.dst) > 1
+        FROM (SELECT max(i) AS i FROM walk) w JOIN o ON o.i = w.i + 1)
+SELECT src, dst, taken AND row_number() OVER (PARTITION BY taken ORDER BY i) <= round_even((SELECT count(*) FROM p) * 0.34, 0) AS held_out FROM walk WHERE i > 0"""
+
+
 def picked(spark: SparkSession, d: str) -> DataFrame:
     rows = g.judged(spark, d).select(F.concat(F.lit("row"), "row_id").alias("row_id"), F.concat_ws("|", "seed", "property").alias("legacy_row_id"))
     wanted = g.judged(spark, d).filter("row_id % 50 = 0").select(F.concat(F.lit("row"), "row_id").alias("row_id")).unionByName(rows.select(F.col("legacy_row_id").alias("row_id")).distinct()).unionByName(spark.createDataFrame([("none",)], "row_id string"))
@@ -136,7 +165,8 @@ SELECT fold, property AS configuration, round(f1, 6) AS f1 FROM f QUALIFY row_nu
 p AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY late, n, seed, row_id) AS place FROM r) SELECT row_id, seed, target FROM p WHERE place <= CASE WHEN target = 1 THEN 20 ELSE 12 END"""),
     "seed_folds": (lambda s, d: sampling.folds(g.judged(s, d), 5), f"WITH {J}, s AS (SELECT DISTINCT seed FROM judged) SELECT seed, (ntile(5) OVER (ORDER BY {_DRAW('seed')}, seed) - 1)::BIGINT AS fold FROM s"),
     "fold_assignments": (lambda s, d: sampling.fold_assignments(g.table(s, d, "region").select(F.col("r_name").alias("branch"))).select("test", "validation", F.array_join("training", ",").alias("training")), "SELECT a.r_name AS test, b.r_name AS validation, (SELECT string_agg(c.r_name, ',' ORDER BY c.r_name) FROM region c WHERE c.r_name <> a.r_name AND c.r_name <> b.r_name) AS training FROM region a, region b WHERE a.r_name <> b.r_name"),
-    "drawn_references": (reference_rows, f"""WITH {J}, p AS (SELECT q.row_id AS query, r.row_id AS reference, row_number() OVER (PARTITION BY q.row_id ORDER BY {_DRAW('q.row_id', 'r.row_id')}, r.row_id) AS n FROM judged q JOIN judged r USING (property) WHERE q.row_id % 20 = 0 AND q.row_id <> r.row_id AND q.seed <> r.seed) SELECT * FROM p WHERE n <= 3"""),
+    "drawn_references": (reference_rows, REFERENCES_SQL),
+    "edge_split": (edge_split, EDGE_SPLIT_SQL),
     "nearest_neighbours": (lambda s, d: neighbours(s, d).select("query", "id", F.round("distance", 6).alias("distance"), "n"), f"WITH {NEAR_SQL} SELECT query, id, round(distance, 6) AS distance, n FROM near"),
     "neighbour_vote": (votes, f"WITH {NEAR_SQL} SELECT query, count(*) AS votes, round(avg(label % 2), 6) AS score, CAST(avg(label % 2) >= 0.5 AS BIGINT) AS prediction FROM near JOIN embeddings ON vec_id = id GROUP BY query"),
     "embedding_sequences": (sequences, """WITH e AS (SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 11 <> 0) SELECT a.vec_id AS key, 4::BIGINT AS length, a.x AS first, 0.0::DOUBLE AS second, c.x AS last
