@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.functions.vectors import euclidean, fit_path
 from arborix.operators import classify, metrics, relational, sampling, traverse
-from arborix.sources import records, tables
+from arborix.operators.fixpoint import shared_folder
+from arborix.sources import arrays, records, tables
 
 from . import batch_jobs
 from . import driver_graph as g
@@ -105,6 +108,16 @@ walk(i, src, dst, taken) USING KEY (i) AS (SELECT 0::BIGINT, '', '', FALSE
 SELECT src, dst, taken AND row_number() OVER (PARTITION BY taken ORDER BY i) <= round_even((SELECT count(*) FROM p) * 0.34, 0) AS held_out FROM walk WHERE i > 0"""
 
 
+def stored_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as NPY parts and their ids as JSON arrays beside them, read again by runs and put together by place."""
+    folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    arrays.write_arrays(vectors(spark, d).filter("vector IS NOT NULL").select("id", "vector"), folder).count()
+    found = arrays.read_npy(spark, folder, 500, [0, 63])
+    names = arrays.read_strings(spark, folder, 1 << 16)
+    value = lambda i: F.round(F.element_at("vector", i), 6)
+    return names.join(found, ["file", "position"]).select(F.col("value").cast("long").alias("id"), value(1).alias("first"), value(2).alias("last"))
+
+
 def picked(spark: SparkSession, d: str) -> DataFrame:
     rows = g.judged(spark, d).select(F.concat(F.lit("row"), "row_id").alias("row_id"), F.concat_ws("|", "seed", "property").alias("legacy_row_id"))
     wanted = g.judged(spark, d).filter("row_id % 50 = 0").select(F.concat(F.lit("row"), "row_id").alias("row_id")).unionByName(rows.select(F.col("legacy_row_id").alias("row_id")).distinct()).unionByName(spark.createDataFrame([("none",)], "row_id string"))
@@ -166,6 +179,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY late, n, seed, r
     "seed_folds": (lambda s, d: sampling.folds(g.judged(s, d), 5), f"WITH {J}, s AS (SELECT DISTINCT seed FROM judged) SELECT seed, (ntile(5) OVER (ORDER BY {_DRAW('seed')}, seed) - 1)::BIGINT AS fold FROM s"),
     "fold_assignments": (lambda s, d: sampling.fold_assignments(g.table(s, d, "region").select(F.col("r_name").alias("branch"))).select("test", "validation", F.array_join("training", ",").alias("training")), "SELECT a.r_name AS test, b.r_name AS validation, (SELECT string_agg(c.r_name, ',' ORDER BY c.r_name) FROM region c WHERE c.r_name <> a.r_name AND c.r_name <> b.r_name) AS training FROM region a, region b WHERE a.r_name <> b.r_name"),
     "drawn_references": (reference_rows, REFERENCES_SQL),
+    "stored_arrays": (stored_arrays, "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings WHERE embedding IS NOT NULL"),
     "edge_split": (edge_split, EDGE_SPLIT_SQL),
     "nearest_neighbours": (lambda s, d: neighbours(s, d).select("query", "id", F.round("distance", 6).alias("distance"), "n"), f"WITH {NEAR_SQL} SELECT query, id, round(distance, 6) AS distance, n FROM near"),
     "neighbour_vote": (votes, f"WITH {NEAR_SQL} SELECT query, count(*) AS votes, round(avg(label % 2), 6) AS score, CAST(avg(label % 2) >= 0.5 AS BIGINT) AS prediction FROM near JOIN embeddings ON vec_id = id GROUP BY query"),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arborix.functions.text import casefold, decision, outermost_object
 
+from .arrays import read_npy
+
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One id a line; blank lines are dropped."""
@@ -77,23 +76,8 @@ def array_positions(names: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(position, vector) of two-dimensional NPY files in C order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for batch in batches:
-            for content in batch["content"]:
-                x = np.load(io.BytesIO(content), allow_pickle=False)
-                if x.ndim != 2 or not x.flags.c_contiguous:
-                    raise ValueError("a two-dimensional array in C order is needed")
-                for at in range(0, len(x), 10_000):
-                    part = x[at : at + 10_000]
-                    yield pd.DataFrame({"position": np.arange(at, at + len(part)), "vector": list(part.astype("float64"))})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "position long, vector array<double>")
+    """(position, vector) of a two-dimensional NPY file in C order, by runs of rows."""
+    return read_npy(spark, path).select("position", "vector")
 
 
 def match_answers(batch: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
