@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fixpoint import ordinals, settle
+
 METRICS = ("precision", "recall", "f1", "accuracy")
 
 
@@ -81,12 +83,31 @@ def probability_scores(rows: DataFrame, by: list[str] | None = None, least: floa
     return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(loss).alias("log_loss"))
 
 
+def order_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median, p95): exact, of the values that there are; p95 is the nearest rank's.
+
+    All values are numbered once by ranges of (by, value), so a group of any size is spread over tasks, and only the rows at
+    the two middle places and at the 95th percentile's are picked.
+    """
+    known = rows.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias("_value")).filter("_value IS NOT NULL")
+    keys = [f"_{c}" for c in by]
+    numbered = settle(ordinals(known, [*keys, "_value"], "_n"))
+    groups = numbered.groupBy(*keys).agg(F.min("_n").alias("first"), F.count(F.lit(1)).alias("size"))
+    middle = lambda up: F.col("first") + F.floor((F.col("size") - 1 + up) / 2).cast("long")
+    late = F.col("first") + F.ceil(F.col("size") * 95 / F.lit(100)).cast("long") - 1
+    wanted = groups.select(F.explode(F.array(F.struct(F.lit("a").alias("kind"), middle(0).alias("_n")), F.struct(F.lit("b").alias("kind"), middle(1).alias("_n")), F.struct(F.lit("c").alias("kind"), late.alias("_n")))).alias("x")).select("x.*")
+    picked = wanted.join(numbered, "_n")
+    only = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("_value")))
+    return picked.groupBy(*keys).agg(((only("a") + only("b")) / 2).alias("median"), only("c").alias("p95")).withColumnsRenamed(dict(zip(keys, by, strict=True)))
+
+
 def usage(attempts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Roll-up of attempts (request, status, seconds, tokens, cost): counts, retries, sums over what is known, latencies.
 
-    The 95th percentile is the nearest rank's.
+    The 95th percentile is the nearest rank's; no group's latencies meet in one task.
     """
-    return attempts.groupBy(*(by or [])).agg(
+    by = by or []
+    sums = attempts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_distinct("request").alias("requests"),
         (F.count(F.lit(1)) - F.count_distinct("request")).alias("retries"),
@@ -95,10 +116,14 @@ def usage(attempts: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count("tokens").alias("with_usage"),
         F.sum("tokens").alias("tokens"),
         F.sum("cost").alias("cost"),
-        F.median("seconds").alias("median_seconds"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY seconds)").alias("p95_seconds"),
         F.max("seconds").alias("max_seconds"),
     )
+    late = order_statistics(attempts, by, "seconds")
+    same = F.lit(True)
+    for c in by:
+        same = same & sums[c].eqNullSafe(late[c])
+    joined = sums.join(late, same, "left")
+    return joined.select(*[sums[c] for c in sums.columns if c != "max_seconds"], F.col("median").alias("median_seconds"), F.col("p95").alias("p95_seconds"), "max_seconds")
 
 
 def peak(ts: Column) -> Column:

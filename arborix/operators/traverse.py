@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.text import local_name
+from arborix.functions.text import casefold, local_name
 
 from .classify import INCLUDE, NO_MATCH, Classifier
 from .fixpoint import discard, is_empty, ordinals, settle
@@ -110,6 +110,33 @@ def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_de
     return visited
 
 
+def thesaurus_bfs(pairs: DataFrame, seeds: DataFrame, labels: DataFrame, classifier: Classifier, max_iterations: int | None = None) -> DataFrame:
+    """(node, depth, parent, relations, classification, confidence, included) of concepts reached through included ones.
+
+    ``pairs``: undirected neighbours (src, dst, relations). Each level's included concepts are gone through in the order of
+    label and name (the ``seeds`` (node, place) in that of place), and what the last of them says about a neighbour stays: parent and relations are
+    the last writer's. A concept is visited once it is asked about, whatever the verdict.
+    """
+    named = _named(pairs.select(F.col("dst").alias("node")).distinct().unionByName(seeds.select("node")).distinct(), labels)
+    named = settle(named.select("node", casefold(F.col("_label")).alias("cf")))
+    links = settle(pairs.select("src", "dst", "relations"))
+    level = settle(seeds.select("node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast(links.schema["relations"].dataType).alias("relations"), F.lit(INCLUDE).alias("classification"), F.lit(1.0).alias("confidence"), F.lit(True).alias("included")))
+    frontier = seeds.select(F.col("node").alias("src"), F.struct(F.lpad(F.col("place").cast("string"), 20, "0").alias("cf"), F.col("node").alias("node")).alias("turn"))
+    visited, depth, included = level, 0, True
+    while included and (max_iterations is None or depth < max_iterations):
+        depth += 1
+        reached = frontier.join(links, "src").join(visited.select(F.col("node").alias("dst")), "dst", "left_anti")
+        last = reached.groupBy(F.col("dst").alias("node")).agg(F.max_by(F.struct("src", "relations"), "turn").alias("w"))
+        asked = last.select("node", F.lit(depth).cast("long").alias("depth"), F.col("w.src").alias("parent"), "w.relations")
+        level = settle(classifier(asked).withColumn("included", F.col("classification") == INCLUDE).select(*visited.columns))
+        found, included = level.agg(F.count(F.lit(1)), F.count_if("included")).first()
+        if not found:
+            break
+        visited = visited.unionByName(level)
+        frontier = level.filter("included").join(named, "node").select(F.col("node").alias("src"), F.struct("cf", "node").alias("turn"))
+    return visited
+
+
 def _numbered(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seed, chunk, bit) of the distinct seeds, 64 to a chunk, stored; and the rows as (node, chunk, bits)."""
     numbers = ordinals(seeds.select("seed").distinct(), ["seed"], "n")

@@ -291,7 +291,28 @@ THRESHOLD_REACH_SQL = f"""WITH RECURSIVE {E}, {SCORES_SQL}, walk(t, node, depth,
 SELECT t::VARCHAR AS threshold, depth, count(DISTINCT node) AS nodes FROM walk GROUP BY t, depth"""
 
 
+def thesaurus(spark: SparkSession, d: str) -> DataFrame:
+    """All edges both ways, named by their relation and the last digit of where they come from, so that writers differ."""
+    named = g.both_ways(spark, d).select("src", F.concat("pred", F.lit("-"), F.right("src", F.lit(1))).alias("pred"), "dst")
+    pairs = named.groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set("pred")), ",").alias("relations"))
+    seeds = g.table(spark, d, "region").select(g.node("region", "r_regionkey").alias("node"), F.col("r_regionkey").cast("long").alias("place"))
+    found = traverse.thesaurus_bfs(pairs, seeds, g.nodes(spark, d), classify.TableClassifier(g.verdicts(spark, d)))
+    return found.select("node", "depth", "parent", "relations", "included")
+
+
+THESAURUS_SQL = f"""WITH RECURSIVE {N}, {E}, {V}, {BOTH},
+pairs AS MATERIALIZED (SELECT src, dst, string_agg(DISTINCT pred || '-' || right(src, 1), ',' ORDER BY pred || '-' || right(src, 1)) AS relations FROM both_ways GROUP BY src, dst),
+names AS MATERIALIZED (SELECT DISTINCT dst AS node, lower(coalesce(label, split_part(dst, '/', 2))) AS cf FROM both_ways LEFT JOIN nodes ON node = dst),
+walk(node, depth, parent, relations, included) USING KEY (node) AS (SELECT 'region/' || r_regionkey, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, TRUE FROM region
+  UNION SELECT dst, w.depth, w.src, w.relations, v.keep FROM (
+    SELECT p.dst, w.depth + 1 AS depth, p.src, p.relations, row_number() OVER (PARTITION BY p.dst ORDER BY CASE WHEN w.depth = 0 THEN w.node ELSE n.cf END DESC, w.node DESC) AS k
+    FROM walk w JOIN pairs p ON p.src = w.node LEFT JOIN names n ON n.node = w.node WHERE w.included AND NOT EXISTS (FROM recurring.walk r WHERE r.node = p.dst)) w
+  JOIN verdicts v ON v.node = w.dst WHERE k = 1)
+SELECT node, depth, parent, relations, included FROM walk"""
+
+
 QUERIES: dict = {
+    "thesaurus_traversal": (thesaurus, THESAURUS_SQL),
     "gated_extraction": (gated, GATED_SQL),
     "gated_paths": (gated_paths, GATED_PATHS_SQL),
     "traversal_subgraph": (subgraph, SUBGRAPH_SQL),

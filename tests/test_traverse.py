@@ -98,3 +98,28 @@ def test_bridges_of_many_seeds(spark):
     verdicts = spark.createDataFrame([(n, "INCLUDE" if k else "EXCLUDE", 1.0) for n, k in keep.items()], "node string, classification string, confidence double")
     got = traverse.bridge_bfs(frame, spark.createDataFrame([(s,) for s in seeds], "node string"), spark.createDataFrame(sorted(decided), "seed string, node string"), classify.TableClassifier(verdicts))
     assert {(x.seed, x.node, x.depth, x.included) for x in got.collect()} == expected
+
+
+def test_the_last_writer_stays(spark):
+    pairs = spark.createDataFrame([("s", "x", ["r0"]), ("s", "b", ["r1"]), ("s", "a", ["r2"]), ("a", "y", ["from a"]), ("b", "y", ["from b"]), ("x", "y", ["from x"]), ("y", "s", ["back"]), ("t", "x", ["from t"]), ("y", "a", ["back"])], "src string, dst string, relations array<string>")
+    labels = spark.createDataFrame([("a", "Zeta"), ("b", "alpha"), ("x", "zzz")], "node string, label string")
+    seeds = spark.createDataFrame([("t", 0), ("s", 1)], "node string, place long")
+    verdicts = spark.createDataFrame([("a", "INCLUDE", 1.0), ("b", "INCLUDE", 1.0), ("x", "EXCLUDE", 1.0), ("y", "EXCLUDE", 1.0)], "node string, classification string, confidence double")
+    got = {r.node: (r.depth, r.parent, r.relations) for r in traverse.thesaurus_bfs(pairs, seeds, labels, classify.TableClassifier(verdicts)).collect()}
+    assert got == {"t": (0, None, None), "s": (0, None, None), "x": (1, "s", ["r0"]), "a": (1, "s", ["r2"]), "b": (1, "s", ["r1"]), "y": (2, "a", ["from a"])}
+    assert traverse.thesaurus_bfs(pairs, seeds, labels, classify.TableClassifier(verdicts), 1).count() == 5
+
+
+def test_order_statistics(spark):
+    import statistics
+
+    from arborix.operators import metrics
+
+    r = random.Random(4)
+    rows = [("hot" if i % 3 else f"k{i % 7}", r.choice([None, *map(float, range(40))])) for i in range(3000)] + [(None, 1.0), (None, 2.0), ("blank", None)]
+    got = {x.kind: (x.median, x.p95) for x in metrics.order_statistics(spark.createDataFrame(rows, "kind string, seconds double").repartition(5), ["kind"], "seconds").collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: (statistics.median(v), sorted(v)[-(-95 * len(v) // 100) - 1]) for k, v in groups.items()}
