@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.operators import metrics, relational
+from arborix.operators.fixpoint import shared_folder
 
 from . import driver_graph as g
+from . import stages
 
 J = g.JUDGED_SQL
 _COUNTS = "count(*) FILTER (target = 1 AND prediction = 1) AS tp, count(*) FILTER (target = 0 AND prediction = 1) AS fp, count(*) FILTER (target = 0 AND prediction = 0) AS tn, count(*) FILTER (target = 1 AND prediction = 0) AS fn, count(*) FILTER (prediction IS NULL) AS unmatched"
@@ -123,7 +127,35 @@ def seen_share(spark: SparkSession, d: str) -> DataFrame:
     return metrics.seen_percent(rows.select("fold", F.col("seed").alias("node")), rows.filter("row_id % 3 = 0").select("fold", F.col("seed").alias("node")))
 
 
+def _spending(spark: SparkSession, tables: dict, settings: dict) -> DataFrame:
+    """Orders and their total by customer."""
+    rows = spark.read.parquet(f"{settings['sf_dir']}/orders.parquet")
+    return rows.groupBy(F.col("o_custkey").alias("customer")).agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+
+
+def _by_nation(spark: SparkSession, tables: dict, settings: dict) -> DataFrame:
+    """Customers, orders and the customers above a limit by nation."""
+    of = spark.read.parquet(f"{settings['sf_dir']}/customer.parquet").select(F.col("c_custkey").alias("customer"), "c_nationkey")
+    rows = tables["spending"].join(of, "customer").groupBy("c_nationkey")
+    return rows.agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), F.count_if(F.col("total") > settings["limit"]).alias("above"))
+
+
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    """Two stages kept by fingerprints, the second for two limits, gathered; run twice, where the second run makes nothing anew."""
+    store = stages.StageStore(spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}")
+    first = stages.Stage("spending", _spending, (), (f"{d}/orders.parquet",), {"sf_dir": d}, stages.unique("customer"))
+    parts = stages.grid("nations", _by_nation, {"limit": [1000000, 2000000]}, ("spending",), {"sf_dir": d}, stages.not_empty)
+    plan = [first, *parts, stages.gathered("all", parts)]
+    store.run(plan)
+    limit = F.get_json_object("configuration", "$.limit").cast("long").alias("limit")
+    return store.run(plan)["all"].select("c_nationkey", limit, "customers", "orders", "above")
+
+
+STAGED_SQL = """WITH s AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders GROUP BY o_custkey)
+SELECT c_nationkey, l::BIGINT AS "limit", count(*) AS customers, sum(n)::BIGINT AS orders, count(*) FILTER (total > l) AS above FROM s JOIN customer ON c_custkey = o_custkey, (VALUES (1000000), (2000000)) t(l) GROUP BY c_nationkey, l"""
+
 QUERIES: dict = {
+    "staged_summary": (staged, STAGED_SQL),
     "confusion_metrics": (lambda s, d: rounded(metrics.confusion(g.judged(s, d))), f"WITH {J}, c AS (SELECT count(*) AS rows, {_COUNTS} FROM judged) " + _rounded_sql(_metrics_sql("c", "rows, tp, fp, tn, fn, unmatched,"), M)),
     "fold_weighted_metrics": (lambda s, d: rounded(metrics.fold_weighted(g.judged(s, d))), f"WITH {J}, " + _fold_sql("")),
     "configuration_metrics": (lambda s, d: rounded(metrics.fold_weighted(g.judged(s, d), ["property"])), f"WITH {J}, " + _fold_sql("property")),
