@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborix.operators import metrics, relational
 from arborix.operators.fixpoint import shared_folder
+from arborix.streaming import attempts as log_folds
 
 from . import driver_graph as g
 from . import stages
@@ -154,7 +155,20 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
 STAGED_SQL = """WITH s AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders GROUP BY o_custkey)
 SELECT c_nationkey, l::BIGINT AS "limit", count(*) AS customers, sum(n)::BIGINT AS orders, count(*) FILTER (total > l) AS above FROM s JOIN customer ON c_custkey = o_custkey, (VALUES (1000000), (2000000)) t(l) GROUP BY c_nationkey, l"""
 
+def dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as attempts of a run, until one fails, half a unit is spent or three days are over."""
+    log = g.table(spark, d, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 97 == 0, "error").otherwise("ok").alias("status"), F.round(F.col("value") / 100, 4).alias("cost"))
+    found = log_folds.guard(log, 0.5, 259200.0)
+    return found.select("run", F.date_format("stopped_at", "yyyy-MM-dd HH:mm:ss").alias("stopped_at"), "reason", F.round("spent", 4).alias("spent"), "attempts")
+
+
+DISPATCH_SQL = """WITH l AS (SELECT user_id::VARCHAR AS run, event_id AS id, ts, event_id % 97 = 0 AS bad, round(value / 100, 4) AS cost FROM events),
+w AS (SELECT *, coalesce(sum(cost) OVER e, 0) AS spent, coalesce(max(bad::INT) OVER e, 0) AS failed, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY run) AS elapsed FROM l WINDOW e AS (PARTITION BY run ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CASE WHEN failed = 1 THEN 'error' WHEN spent >= 0.5 THEN 'spend' WHEN elapsed >= 259200.0 THEN 'time' END AS reason FROM w)
+SELECT run, strftime(arg_min(ts, (ts, id)) FILTER (reason IS NOT NULL), '%Y-%m-%d %H:%M:%S') AS stopped_at, arg_min(reason, (ts, id)) FILTER (reason IS NOT NULL) AS reason, round(coalesce(sum(cost) FILTER (reason IS NULL), 0), 4) AS spent, count(*) FILTER (reason IS NULL) AS attempts FROM r GROUP BY run"""
+
 QUERIES: dict = {
+    "dispatch_guard": (dispatch, DISPATCH_SQL),
     "staged_summary": (staged, STAGED_SQL),
     "confusion_metrics": (lambda s, d: rounded(metrics.confusion(g.judged(s, d))), f"WITH {J}, c AS (SELECT count(*) AS rows, {_COUNTS} FROM judged) " + _rounded_sql(_metrics_sql("c", "rows, tp, fp, tn, fn, unmatched,"), M)),
     "fold_weighted_metrics": (lambda s, d: rounded(metrics.fold_weighted(g.judged(s, d))), f"WITH {J}, " + _fold_sql("")),
