@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from arborix.operators import classify, graph, metrics, traverse
 from arborix.plans import batch_jobs
 from arborix.sources import rdf, sinks
+from arborix.sources.rdfxml import read_rdfxml
 
 
 def parse_relations(values: list[str], known: DataFrame, graph_type: str) -> list[tuple[str, bool]]:
@@ -44,6 +45,8 @@ def parse_relations(values: list[str], known: DataFrame, graph_type: str) -> lis
 
 
 def load_graph(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith((".rdf", ".owl", ".xml", ".rdf.gz", ".owl.gz", ".xml.gz")):
+        return read_rdfxml(spark, path)
     return rdf.read_ntriples(spark, path) if path.endswith((".nt", ".nt.gz")) else rdf.read_turtle(spark, path)
 
 
