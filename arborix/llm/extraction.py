@@ -9,8 +9,8 @@ Sum-product messages passed up and then down the tree give each text run's margi
 not are the text, in page order.
 
 * A null or empty page has no text. Repeated rows are extracted each alone; equal pages have equal texts.
-* Broken markup is read leniently: unclosed elements end with their parents (also those whose insides are no text, such as
-  ``svg`` or ``button``), stray end tags are skipped, and a tag, comment or script cut off by the end of the page reaches to
+* Broken markup is read leniently: unclosed elements end with their parents (those whose insides are no text, such as
+  ``svg`` or ``button``, where the next block begins), stray end tags are skipped, and a tag, comment or script cut off by the end of the page reaches to
   that end. Quotes count only after an equals sign. A slash ends an ``svg``, ``math`` or ``object`` tag's element. Pages of any
   length and depth are read whole, in time that grows with their length.
 * White space (also that of character references) inside a block becomes one space; blocks without text vanish.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, frugal
-from .labelled_pages import labelled_pages
+from .labelled_pages import MAIN_TEXT, labelled_pages
 
 CONTAINER, CONTENT_TOP, CONTENT, BOILERPLATE_TOP, BOILERPLATE = STATES = range(5)
 TEXT_SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -69,6 +69,7 @@ class Page:
         places: dict[str, list[int]] = {}  # where in open_ the elements of a tag are
         scopes = [0]  # where in open_ those of _SCOPES are
         hidden: list[str] = []  # open elements of a part whose insides are no text, from its own on
+        loose = False  # whether that part has no end tag, so that a block ends it
         inside: Counter = Counter()  # how often each tag is among them
         run: list[str] = []
         linked, in_link, at = 0, 0, 0
@@ -92,7 +93,9 @@ class Page:
                 run.clear()
             linked = 0
 
-        for m in _TOKEN.finditer(html):
+        tokens = list(_TOKEN.finditer(html))
+        unended = self.unended(tokens)
+        for m in tokens:
             if m.start() > at and not hidden:
                 run.append(html[at : m.start()])
                 linked += (m.start() - at) * (in_link > 0)
@@ -101,6 +104,9 @@ class Page:
             if name is None:
                 continue
             name, closing = name.lower(), bool(m[2])
+            if hidden and loose and not closing and name not in _VOID and name not in _INLINE and name not in _HIDDEN:
+                hidden.clear()  # it ends where a block begins
+                inside.clear()
             if hidden:
                 if not closing:
                     if name not in _VOID and not m[4].endswith("/"):
@@ -120,6 +126,7 @@ class Page:
                 if not m[4].endswith("/"):
                     hidden.append(name)
                     inside[name] += 1
+                    loose = m.start() in unended
                 continue
             if name in _INLINE:
                 if name == "a":
@@ -153,6 +160,20 @@ class Page:
             run.append(html[at:])
         flush()
 
+    @staticmethod
+    def unended(tokens: list[re.Match]) -> set[int]:
+        """Where elements of _HIDDEN begin that no end tag ends, each end tag being that of the last open one of its name."""
+        open_: dict[str, list[int]] = {}
+        for m in tokens:
+            name = m[3].lower() if m[3] else ""
+            if name in _HIDDEN:
+                if not m[2]:
+                    if not m[4].endswith("/"):
+                        open_.setdefault(name, []).append(m.start())
+                elif open_.get(name):
+                    open_[name].pop()
+        return {x for found in open_.values() for x in found}
+
     def add(self, tag: str, parent: int, attributes: str) -> None:
         self.tags.append(tag)
         self.parents.append(parent)
@@ -221,7 +242,7 @@ class TreeModel:
         inside = [False] * len(page.tags)
         for i in range(1, len(inside)):
             words = page.attributes[i].split()
-            inside[i] = "not" not in words and ("main" in words or inside[page.parents[i]])
+            inside[i] = "not" not in words and ("main" in words or inside[page.parents[i]] or page.texts.get(i, "").startswith(MAIN_TEXT))
         holds = list(inside)
         for i in range(len(holds) - 1, 0, -1):
             holds[page.parents[i]] |= holds[i]

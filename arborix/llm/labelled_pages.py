@@ -1,9 +1,10 @@
 """Hand-labelled pages on which the extraction model is trained.
 
 In each, an element with the attribute ``main`` holds content with all below it, but for elements with the attribute
-``not``. ``{s}``, ``{m}`` and ``{l}`` stand for a short, a middling and a long run of words; ``{a}`` for three links.
+``not``; a run of text that begins with ``MAIN_TEXT`` is content whatever holds it. ``{s}``, ``{m}`` and ``{l}`` stand for a short, a middling and a long run of words; ``{a}`` for three links.
 """
 
+MAIN_TEXT = "Main text:"
 _SHORT = "three short words"
 _MIDDLE = "a sentence of some ten words or so, and then one more."
 _LONG = "many words in a row, which make up several lines of running text on a page; " * 6
@@ -35,6 +36,16 @@ _PAGES = [
     "<body><nav>{a}</nav><article main>{l}</article><div class=promo>{m}</div><aside>{m}</aside></body>",
     "<body><nav>{a}</nav><article main><h1>{s}</h1><section><h2>{s}</h2><p>{l}</p></section><section><h2>{s}</h2><p>{l}</p></section><div><div><p>{m}</p></div><div class=text><p>{l}</p></div></div><div class=ad not>{m}</div></article><footer>{m}</footer></body>",
     "<body><header>{a}</header><main main><header not><h1>{s}</h1></header><section><p>{l}</p></section><section><h2>{s}</h2><div><p>{l}</p></div></section><div><section><p>{s}</p></section></div></main><footer>{m}</footer></body>",
+    "<body>Main text: {l}<br>{m}</body>",
+    "<html><body>Main text: {m}<br>{s}</body></html>",
+    "Main text: {m}",
+    "<body><div class=menu>{a}</div>Main text: {l}<br>{m}<div class=footer>{m}</div></body>",
+    "<body><div main>{l}</div><div main>{m}</div><div main>{s}</div></body>",
+    "<body><div><div main>{l}</div><div main>{m}</div><div main>{s}</div></div></body>",
+    "<body><div main>{s}</div><div main>{m}</div></body>",
+    "<body><div class=header>{a}</div><div main>{l}</div><div main>{m}</div><div class=footer>{s}</div></body>",
+    "<body><nav>{a}</nav><article main><h1>{s}</h1><p>{l}</p><details><summary>{s}</summary><p>{m}</p></details><address>{s}</address><p>{m}</p></article><footer>{m}</footer></body>",
+    "<body><header>{a}</header><article main><p>{l}</p><address>{m}</address><details><summary>{m}</summary>{m}</details></article><div class=comments><p>{l}</p></div></body>",
 ]
 
 
