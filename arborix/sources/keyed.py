@@ -13,17 +13,41 @@ from .sinks import coverage
 
 #: Keys up to which a lookup names its buckets in the filter.
 FEW = 1000
+#: Rows of a bucket on average.
+BUCKET_ROWS = 500_000
 
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_store(records: DataFrame, path: str, buckets: int = 64, overwrite: bool = False) -> None:
-    """Write (key, value) once; of several rows of one key the greatest value counts, as in a store that is overwritten in order."""
-    one = records.select(F.col("key").cast("string").alias("key"), "value").groupBy("key").agg(F.max("value").alias("value"))
-    dealt = one.withColumn("bucket", _bucket(F.col("key"), buckets)).repartition("bucket")
+def write_store(records: DataFrame, path: str, buckets: int | None = None, overwrite: bool = False, order: str | None = None) -> int:
+    """Write (key, value) once, in as many buckets as keep ``BUCKET_ROWS`` rows each on average (returned) or as given.
+
+    Of several rows of one key the last by ``order`` counts, as in a store that is overwritten in turn; without an order, a key
+    with two values is an error.
+    """
+    named = records.select(F.col("key").cast("string").alias("key"), "value", *([F.col(order).alias("_order")] if order else []))
+    if order:
+        one = named.groupBy("key").agg(F.max_by("value", "_order").alias("value"))
+    else:
+        twice = F.raise_error(F.concat(F.lit("a key with two values and no order: "), F.coalesce("key", F.lit("null"))))
+        one = named.groupBy("key").agg(F.min("value").alias("value"), F.max("value").alias("_other"))
+        one = one.filter(F.when(F.col("value").eqNullSafe(F.col("_other")), True).otherwise(twice.cast("boolean"))).select("key", "value")
+    buckets = buckets or max(1, -(-records.count() // BUCKET_ROWS))
+    dealt = one.withColumn("bucket", _bucket(F.col("key"), buckets)).repartition(buckets, "bucket")
     dealt.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("bucket").parquet(f"{path}/of={buckets}")
+    return buckets
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    """The number of buckets of a store, from its folders' names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    numbers = [int(n.removeprefix("of=")) for n in found if n.startswith("of=")]
+    if len(numbers) != 1:
+        raise ValueError(f"{path} is no store, or one that was written with several numbers of buckets")
+    return numbers[0]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +55,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key", "value")
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, buckets: int = 64) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(key, value) of the keys asked for (key); a key that the store lacks has a null value."""
+    buckets = buckets_of(spark, path)
     asked = keys.select(F.col("key").cast("string").alias("key")).distinct()
     store = spark.read.parquet(f"{path}/of={buckets}")
     some = asked.limit(FEW + 1).select(_bucket(F.col("key"), buckets).alias("b")).distinct().collect() if asked.limit(FEW + 1).count() <= FEW else None

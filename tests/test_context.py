@@ -119,13 +119,16 @@ def test_artifacts(spark, tmp_path):
 
 def test_stores(spark, tmp_path):
     path = f"file://{tmp_path}/store"
-    keyed.write_store(spark.range(500).selectExpr("concat('k', id % 400) AS key", "id AS value"), path, buckets=8)
+    keyed.write_store(spark.range(500).selectExpr("concat('k', id % 400) AS key", "-id AS value", "id AS turn"), path, buckets=8, order="turn")
     assert keyed.read_store(spark, path).count() == 400
     asked = spark.createDataFrame([("k7",), ("k7",), ("none",)], "key string")
-    assert {(r.key, r.value) for r in keyed.lookup(spark, path, asked, 8).collect()} == {("k7", 407), ("none", None)}
+    assert {(r.key, r.value) for r in keyed.lookup(spark, path, asked).collect()} == {("k7", -407), ("none", None)}
+    with pytest.raises(Exception, match="two values"):
+        keyed.write_store(spark.range(500).selectExpr("concat('k', id % 400) AS key", "id AS value"), f"{path}-2")
+    assert keyed.write_store(spark.range(10).selectExpr("concat('k', id) AS key", "id AS value"), f"{path}-3") == 1 == keyed.buckets_of(spark, f"{path}-3")
     old, keyed.FEW = keyed.FEW, 1
     try:
-        assert {(r.key, r.value) for r in keyed.lookup(spark, path, asked, 8).collect()} == {("k7", 407), ("none", None)}
+        assert {(r.key, r.value) for r in keyed.lookup(spark, path, asked).collect()} == {("k7", -407), ("none", None)}
     finally:
         keyed.FEW = old
     ids = spark.createDataFrame([("a",), ("b",)], "id string")
