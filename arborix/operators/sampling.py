@@ -122,11 +122,28 @@ def analogies(queries: DataFrame, keeping: DataFrame, pruning: DataFrame, k: int
     return out.withColumn("valid", F.col("pattern").isin("kk", "pp"))
 
 
-def augmented(pairs: DataFrame) -> DataFrame:
-    """Pairs of vectors (a, b, c, d) with their symmetric and inner-symmetric forms."""
-    form = lambda name, *c: F.struct(F.lit(name).alias("form"), *[F.col(x).alias(y) for x, y in zip(c, "abcd", strict=True)])
-    forms = F.array(form("plain", "a", "b", "c", "d"), form("symmetry", "c", "d", "a", "b"), form("inner_symmetry", "b", "a", "d", "c"))
-    return pairs.select(*[c for c in pairs.columns if c not in "abcd"], F.explode(forms).alias("x")).select(*[c for c in pairs.columns if c not in "abcd"], "x.*")
+def augmented(pairs: DataFrame, properties: tuple[str, ...] = ("symmetry", "inner-symmetry"), training: bool = False) -> DataFrame:
+    """Pairs of vectors (a, b, c, d) with the forms that ``properties`` allow: "symmetry", "inner-symmetry", "reflexivity".
+
+    With both symmetries there is the inner symmetry of the symmetric form too. Reflexive forms are for valid pairs (all, if there is no column ``valid``) in training alone.
+    """
+    unknown = set(properties) - {"symmetry", "inner-symmetry", "reflexivity"}
+    if unknown:
+        raise ValueError(f"no such properties: {sorted(unknown)}")
+    form = lambda name, order: F.struct(F.lit(name).alias("form"), *[F.col(x).alias(y) for x, y in zip(order, "abcd", strict=True)])
+    forms = [form("plain", "abcd")]
+    if "symmetry" in properties:
+        forms.append(form("symmetry", "cdab"))
+    if "inner-symmetry" in properties:
+        forms.append(form("inner_symmetry", "badc"))
+    if {"symmetry", "inner-symmetry"} <= set(properties):
+        forms.append(form("inner_symmetry_of_symmetry", "dcba"))
+    every = F.array(*forms)
+    if "reflexivity" in properties and training:
+        valid = F.col("valid") if "valid" in pairs.columns else F.lit(True)
+        every = F.when(valid, F.concat(every, F.array(form("reflexivity", "abab"), form("reflexivity_of_second", "cdcd")))).otherwise(every)
+    rest = [c for c in pairs.columns if c not in ("a", "b", "c", "d")]
+    return pairs.select(*rest, F.explode(every).alias("x")).select(*rest, "x.*")
 
 
 def split_edges(edges: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -332,3 +332,23 @@ def embedding_sequences(paths: DataFrame, vectors: DataFrame) -> DataFrame:
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one but not of the other (with multiplicity), marked left or right: an audit passes if there are none."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def replay_audit(live: DataFrame, again: DataFrame, gold: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(check, depth, node, live, replay): how two traversals (node, depth, included) differ; they agree if there are no rows.
+
+    Checked are each level's nodes (``layer``), the verdicts of nodes that both have (``included``), and precision, recall, F1 and accuracy
+    against ``gold`` (node) up to ``tolerance`` (``metric precision``, …).
+    """
+    from .metrics import METRICS, set_metrics
+
+    a, b = (x.select("node", F.col("depth").alias(f"{n}_depth"), F.col("included").alias(f"{n}_in")) for x, n in ((live, "l"), (again, "r")))
+    both = a.join(b, "node", "full_outer")
+    text = lambda c: F.col(c).cast("string")
+    layer = both.filter("NOT l_depth <=> r_depth").select(F.lit("layer").alias("check"), F.coalesce("l_depth", "r_depth").cast("long").alias("depth"), "node", text("l_depth").alias("live"), text("r_depth").alias("replay"))
+    verdict = both.filter("l_depth IS NOT NULL AND r_depth IS NOT NULL AND NOT l_in <=> r_in").select(F.lit("included").alias("check"), F.col("l_depth").cast("long").alias("depth"), "node", text("l_in").alias("live"), text("r_in").alias("replay"))
+    of = lambda x, n: set_metrics(x.filter("included"), gold, x.filter("NOT included")).select(*[F.col(m).alias(f"{n}_{m}") for m in METRICS])
+    pair = of(live, "l").join(of(again, "r"), how="cross")  # one row each
+    apart = F.filter(F.array(*[F.struct(F.lit(f"metric {m}").alias("check"), F.col(f"l_{m}").alias("live"), F.col(f"r_{m}").alias("replay")) for m in METRICS]), lambda x: F.abs(x["live"] - x["replay"]) > tolerance)
+    scores = pair.select(F.explode(apart).alias("x")).select("x.check", F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("node"), F.col("x.live").cast("string").alias("live"), F.col("x.replay").cast("string").alias("replay"))
+    return layer.unionByName(verdict).unionByName(scores)

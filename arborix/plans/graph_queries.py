@@ -9,6 +9,7 @@ from arborix.functions.text import casefold, links, local_name, slug, word_count
 from arborix.operators import classify, graph, traverse
 
 from . import driver_graph as g
+from . import snapshot as snapshots
 
 N, E, V = g.NODES_SQL, g.EDGES_SQL, g.VERDICTS_SQL
 #: All edges in both directions; walks over them go in circles, so the SQL keeps one row a node (USING KEY).
@@ -311,7 +312,54 @@ walk(node, depth, parent, relations, included) USING KEY (node) AS (SELECT 'regi
 SELECT node, depth, parent, relations, included FROM walk"""
 
 
+def snapshot_report(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as seeds, nations and some of the others decided, some nations missing at the date, orders outside of the dataset."""
+    known = g.nodes(spark, d)
+    key = F.substring_index("node", "/", -1).cast("long")
+    chosen = F.when(F.col("node").startswith("nation/"), True).when(F.col("node").startswith("supplier/"), key % 3 != 0).when(F.col("node").startswith("customer/"), key % 2 == 0).when(F.col("node").startswith("part/"), key % 7 == 0)
+    decided = known.filter(chosen).select(F.lit("region/0").alias("seed"), "node")
+    entities = known.filter("NOT (node LIKE 'nation/%4')").select("node")
+    relations = spark.createDataFrame([("hasNation", False), ("hasSupplier", False), ("hasCustomer", False), ("contains", False), ("hasSupplier", True)], "predicate string, inverse boolean")
+    return snapshots.snapshot(g.seeds(spark, d), decided, g.edges(spark, d), known, entities, relations)["stats"]
+
+
+SNAPSHOT_SQL = f"""WITH RECURSIVE {N}, {E}, s AS (SELECT 'region/' || r_regionkey AS node FROM region),
+c AS (SELECT 'nation/' || n_nationkey AS node FROM nation UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'customer/' || c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'part/' || p_partkey FROM part WHERE p_partkey % 7 = 0),
+x AS MATERIALIZED (FROM s UNION FROM c), f AS MATERIALIZED (SELECT node FROM x WHERE node NOT LIKE 'nation/%4'),
+i AS MATERIALIZED (SELECT DISTINCT src, pred, dst FROM edges WHERE src IN (FROM f) AND dst IN (FROM x) AND pred <> 'placed'),
+l AS MATERIALIZED (SELECT src, dst FROM i UNION ALL SELECT dst, src FROM i WHERE pred = 'hasSupplier'),
+walk(node) AS (FROM s UNION SELECT l.dst FROM walk JOIN l ON l.src = walk.node),
+k AS MATERIALIZED (SELECT * FROM i WHERE src IN (FROM walk) AND dst IN (FROM walk)), n AS (SELECT DISTINCT unnest([src, dst]) AS node FROM k),
+u AS MATERIALIZED (SELECT DISTINCT node FROM c WHERE node NOT IN (FROM walk)),
+o AS (SELECT src AS node FROM edges WHERE pred <> 'placed' AND dst NOT IN (FROM x) UNION ALL SELECT dst FROM edges WHERE pred <> 'placed' AND src NOT IN (FROM x)),
+b AS (SELECT u.node, count(o.node) AS n FROM u LEFT JOIN o ON o.node = u.node GROUP BY u.node)
+SELECT (SELECT count(*) FROM s) AS seeds, (SELECT count(*) FROM c) AS decisions, (SELECT count(*) FROM x) AS expected, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM x) - (SELECT count(*) FROM f) AS missing, (SELECT count(*) FROM l) AS logical_edges,
+       (SELECT count(*) FROM i) AS triples, (SELECT count(*) FROM k) AS kept_triples, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE node IN (SELECT node FROM nodes)) AS labelled, (SELECT count(DISTINCT node) FROM c) AS gold, (SELECT count(*) FROM u) AS unreachable,
+       (SELECT sum(greatest(n, 1))::BIGINT FROM b) AS bridge_cases"""
+
+
+def replay_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A live traversal against a replay of verdicts of which some were changed: levels, verdicts and metrics."""
+    v = g.verdicts(spark, d)
+    changed = v.withColumn("classification", F.when(F.col("node").startswith("customer/") & F.col("node").endswith("7"), "EXCLUDE").otherwise(F.col("classification")))
+    walks = [traverse.gated_bfs(g.forward(spark, d), g.seeds(spark, d), classify.TableClassifier(x), ranked=False) for x in (v, changed)]
+    gold = v.filter("classification = 'INCLUDE'").select("node")
+    out = traverse.replay_audit(walks[0], walks[1], gold)
+    return out.select("check", "depth", "node", F.when(F.col("check").startswith("metric"), F.round(F.col("live").cast("double"), 6).cast("string")).otherwise(F.col("live")).alias("live"), F.when(F.col("check").startswith("metric"), F.round(F.col("replay").cast("double"), 6).cast("string")).otherwise(F.col("replay")).alias("replay"))
+
+
+_SCORES = "{n}_c AS (SELECT count(*) FILTER (w.included AND g.node IS NOT NULL) AS tp, count(*) FILTER (w.included AND g.node IS NULL) AS fp, count(*) FILTER (w.included = FALSE AND g.node IS NULL) AS tn, count(*) FILTER (w.included IS NOT TRUE AND g.node IS NOT NULL) AS fn FROM {n}_all w FULL JOIN gold g ON g.node = w.node), {n}_m AS (SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) / (tp + fp + tn + fn) AS accuracy FROM {n}_c)"
+REPLAY_CHECKS_SQL = f"""WITH RECURSIVE {E}, {V}, {_WALK.format(name='live', keep='v.keep')}, {_WALK.format(name='again', keep="v.keep AND NOT (e.dst LIKE 'customer/%7')")},
+gold AS (SELECT node FROM verdicts WHERE keep), {_SCORES.format(n='live')}, {_SCORES.format(n='again')},
+j AS (SELECT coalesce(l.node, r.node) AS node, l.depth AS ld, r.depth AS rd, l.included AS li, r.included AS ri FROM live_all l FULL JOIN again_all r ON r.node = l.node)
+SELECT 'layer' AS check, coalesce(ld, rd)::BIGINT AS depth, node, ld::VARCHAR AS live, rd::VARCHAR AS replay FROM j WHERE ld IS DISTINCT FROM rd
+UNION ALL SELECT 'included', ld::BIGINT, node, li::VARCHAR, ri::VARCHAR FROM j WHERE ld IS NOT NULL AND rd IS NOT NULL AND li <> ri
+UNION ALL SELECT 'metric ' || m, NULL, NULL, round(l, 6)::VARCHAR, round(r, 6)::VARCHAR FROM (UNPIVOT live_m ON precision, recall, f1, accuracy INTO NAME m VALUE l) JOIN (UNPIVOT again_m ON precision, recall, f1, accuracy INTO NAME m VALUE r) USING (m) WHERE abs(l - r) > 1e-12"""
+
+
 QUERIES: dict = {
+    "snapshot_report": (snapshot_report, SNAPSHOT_SQL),
+    "replay_checks": (replay_checks, REPLAY_CHECKS_SQL),
     "thesaurus_traversal": (thesaurus, THESAURUS_SQL),
     "gated_extraction": (gated, GATED_SQL),
     "gated_paths": (gated_paths, GATED_PATHS_SQL),

@@ -15,11 +15,15 @@ from arborix.operators.traverse import with_paths
 
 
 def turtle_lines(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(ord, value): sorted edge lines, then label lines, of a subgraph in Turtle."""
+    """(part, value): edge lines, label lines, and as comments the nodes that have no label, of a subgraph in Turtle."""
     iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     lines = edges.select(F.lit(0).alias("part"), F.concat(iri("src"), F.lit(" "), iri("pred"), F.lit(" "), iri("dst"), F.lit(" .")).alias("value"))
     named = labels.select(F.lit(1).alias("part"), F.concat(iri("node"), F.lit(' <http://www.w3.org/2000/01/rdf-schema#label> "'), turtle_escape(F.col("label")), F.lit('"@en .')).alias("value"))
-    return lines.unionByName(named).distinct()
+    known = labels.select("node").distinct()
+    bare = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(known, "node", "left_anti")
+    notes = bare.select(F.lit(3).alias("part"), F.concat(F.lit("#   "), iri("node")).alias("value"))
+    head = bare.limit(1).select(F.lit(2).alias("part"), F.lit("# Nodes without a label:").alias("value"))
+    return lines.unionByName(named).unionByName(head).unionByName(notes).distinct()
 
 
 def write_turtle(edges: DataFrame, labels: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -116,7 +116,7 @@ def test_sinks_and_streams(spark, tmp_path):
     labels = spark.createDataFrame([("s", 'S "q"')], "node string, label string")
     sinks.write_turtle(edges.filter("src = 's'"), labels, str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert len(lines) == 3 and sum('\\"q\\"' in x for x in lines) == 1
+    assert len(lines) == 6 and sum('\\"q\\"' in x for x in lines) == 1 and lines[3:] == ["# Nodes without a label:", "#   <a>", "#   <b>"]
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_turtle(edges, labels, str(tmp_path / "out"))
     from arborix.streaming import usage
@@ -205,7 +205,13 @@ def test_analogies_probabilities_and_evidence(spark):
     got = sampling.analogies(rows.filter("id < 2"), rows.filter("target = 1"), rows.filter("target = 0"), 2).collect()
     assert {(r.query, r.pattern, r.valid) for r in got} == {(0, "pk", False), (0, "pp", True), (1, "kk", True), (1, "kp", False)} and len(got) == 8
     forms = sampling.augmented(spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")).collect()
-    assert {(r.form, r.a, r.b, r.c, r.d) for r in forms} == {("plain", 1, 2, 3, 4), ("symmetry", 3, 4, 1, 2), ("inner_symmetry", 2, 1, 4, 3)}
+    assert {(r.form, r.a, r.b, r.c, r.d) for r in forms} == {("plain", 1, 2, 3, 4), ("symmetry", 3, 4, 1, 2), ("inner_symmetry", 2, 1, 4, 3), ("inner_symmetry_of_symmetry", 4, 3, 2, 1)}
+    marked = spark.createDataFrame([(1, 2, 3, 4, True), (5, 6, 7, 8, False)], "a int, b int, c int, d int, valid boolean")
+    own = lambda *a, **k: {(r.form, r.a, r.b, r.c, r.d) for r in sampling.augmented(marked, *a, **k).collect()}
+    assert own(("reflexivity",), training=True) == {("plain", 1, 2, 3, 4), ("plain", 5, 6, 7, 8), ("reflexivity", 1, 2, 1, 2), ("reflexivity_of_second", 3, 4, 3, 4)}
+    assert own(("reflexivity",)) == {("plain", 1, 2, 3, 4), ("plain", 5, 6, 7, 8)}
+    with pytest.raises(ValueError):
+        own(("relexivity",))
     good = spark.createDataFrame([("INCLUDE", 0.7, 0.3)], "classification string, p_include double, p_exclude double")
     assert classify.checked_probabilities(good).count() == 1
     with pytest.raises(Exception, match="do not fit"):
