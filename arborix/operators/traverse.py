@@ -68,7 +68,7 @@ def _ranked_steps(edges: DataFrame, labels: DataFrame | None, word: Callable[[Co
     """Edges with ``step``: the place of (relation, target's label) among all, as it goes on in a path (before " --")."""
     named = _named(edges.select("pred", "inverse", F.col("dst").alias("node")).distinct(), labels)
     worded = named.select("pred", "inverse", "node", F.concat(word(F.col("pred"), F.col("inverse")), F.lit("--> "), "_label", F.lit(" --")).alias("words"))
-    placed = ordinals(worded, ["words", "node", "pred", "inverse"], "step")
+    placed = ordinals(settle(worded), ["words", "node", "pred", "inverse"], "step")
     return edges.join(placed.select("pred", "inverse", F.col("node").alias("dst"), "step"), ["pred", "inverse", "dst"])
 
 
@@ -85,8 +85,10 @@ def gated_bfs(edges: DataFrame, seeds: DataFrame, classifier: Classifier, max_de
     ``per_seed`` traverses each seed on its own.
     """
     key = ["seed", "node"] if per_seed else ["node"]
-    links = edges.select("src", "pred", "inverse", "dst")
-    links = settle(_ranked_steps(links, labels, word) if ranked else links)  # once, not again at each level
+    links = settle(edges.select("src", "pred", "inverse", "dst"))  # once, not again at each level
+    if ranked:
+        plain, links = links, settle(_ranked_steps(links, labels, word))
+        discard(plain)
     level = settle(_roots(seeds).select("seed", "node", "depth", F.lit("SEED").alias("classification"), F.lit(1.0).alias("confidence"), F.lit(True).alias("included"), "parent", "pred", "inverse"))
     columns = level.columns
     visited, depth, included = level, 0, level.count()
@@ -168,7 +170,7 @@ def _new_bits(reached: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _step_bits(frontier: DataFrame, links: DataFrame) -> DataFrame:
-    return frontier.select(F.col("node").alias("src"), "chunk", "bits").join(links, "src").groupBy(F.col("dst").alias("node"), "chunk").agg(F.bit_or("bits").alias("bits"))
+    return frontier.select(F.col("node").alias("src"), "chunk", "bits").join(links, "src").select(F.col("dst").alias("node"), "chunk", "bits")  # ``_new_bits`` groups them
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, masked: DataFrame | None = None) -> DataFrame:
