@@ -172,7 +172,8 @@ def shards(rows: DataFrame, space: Space, size: int = SHARD, interval: int = INT
 
 
 def _unpack(row: dict, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64), np.frombuffer(row["vectors"], space.kind).reshape(-1, space.size)
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["labels"], np.int64), np.frombuffer(row["vectors"], space.kind).reshape(len(ids), space.size)
 
 
 def _best(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

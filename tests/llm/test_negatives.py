@@ -60,5 +60,11 @@ def test_rows_that_take_no_part(spark):
     assert negatives.hard_negatives(negatives.usable(table(spark, good[1:4])), F.col("id") % 100 == 0).count() == 0
 
 
+def test_vectors_without_components(spark):
+    rows = [(100, [], 1), (1, [], 1), (2, [], 2), (3, [], 2)]  # all products are 0, and 80 % of 0 is 0
+    got = negatives.hard_negatives(negatives.usable(table(spark, rows)), F.col("id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == [(100, 1, 1, 2, 0, 0), (100, 1, 2, 3, 0, 0)]
+
+
 def test_query_matches_sql(spark):
     same_as_sql(spark, "op13_hard_negatives", queries.op13_hard_negatives, queries.oracle_sql())
