@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import ordinals
+from .fixpoint import ordinals, settle_by
 
 INCLUDE, EXCLUDE, NO_MATCH = "INCLUDE", "EXCLUDE", "NO_MATCH"
 
@@ -27,11 +27,22 @@ class TableClassifier:
     verdicts: DataFrame
     missing: str = NO_MATCH
     by_seed: bool = False
+    unique: bool = False  # one verdict a key, as ``stored`` has them
+
+    @property
+    def keys(self) -> list[str]:
+        return ["seed", "node"] if self.by_seed else ["node"]
+
+    def _own(self) -> DataFrame:
+        return self.verdicts.select(*self.keys, F.upper("classification").alias("classification"), F.col("confidence").cast("double").alias("confidence"))
+
+    def stored(self) -> TableClassifier:
+        """The same with its verdicts stored by node, so that no level makes them again."""
+        return self if self.unique else replace(self, verdicts=settle_by(self._own(), "node", self.keys), unique=True)
 
     def __call__(self, frontier: DataFrame) -> DataFrame:
-        keys = ["seed", "node"] if self.by_seed else ["node"]
-        own = self.verdicts.select(*keys, F.upper("classification").alias("classification"), F.col("confidence").cast("double").alias("confidence")).dropDuplicates(keys)
-        return frontier.join(own, keys, "left").withColumn("classification", F.coalesce("classification", F.lit(self.missing)))
+        own = self.verdicts if self.unique else self._own().dropDuplicates(self.keys)
+        return frontier.join(own, self.keys, "left").withColumn("classification", F.coalesce("classification", F.lit(self.missing)))
 
 
 @dataclass
@@ -78,6 +89,10 @@ class ThresholdClassifier:
     scores: DataFrame
     threshold: float
 
+    def stored(self) -> ThresholdClassifier:
+        """The same with its scores stored by node, so that no level makes them again."""
+        return self if hasattr(self.scores, "stored_at") else replace(self, scores=settle_by(self.scores.select("node", "score"), "node"))
+
     def __call__(self, frontier: DataFrame) -> DataFrame:
         rows = frontier.join(self.scores.select("node", "score"), "node", "left")
         score = F.when(F.col("score").isNull(), F.raise_error(F.concat(F.lit("no score for "), "node")).cast("double")).otherwise(F.col("score"))
