@@ -42,11 +42,12 @@ def property_name(pred: Column, inverse: Column, names: dict[str, str] = PROPERT
 def graph_context(rows: DataFrame, edges: DataFrame, labels: DataFrame, names: dict[str, str] = PROPERTY_NAMES, inverse_names: dict[str, str] = INVERSE_NAMES) -> DataFrame:
     """``rows`` (row_id, seed, node, csv_depth) with depth, reaching property and its name, parent, its label, and the path.
 
-    From each seed an ungated traversal in the edges' order (``ord``). A row that it doesn't reach keeps ``csv_depth``, and
+    From each seed an ungated traversal in the edges' order (``ord``), which keeps the paths to the rows' nodes. A row that it doesn't reach keeps ``csv_depth``, and
     the other columns are empty. A node without a label goes by its own name.
     """
     name = lambda pred, inverse: property_name(pred, inverse, names, inverse_names)
-    found = settle(shortest_paths(edges, rows.select(F.col("seed").alias("node")).distinct(), per_seed=True))
+    asked = settle(rows.select("seed", "node").distinct())
+    found = settle(shortest_paths(edges, asked.select(F.col("seed").alias("node")).distinct(), wanted=asked))
     reached = with_paths(found, labels, name, lambda node: node).filter("depth > 0")
     ways = reached.select("seed", "node", "depth", F.concat(F.when(F.col("inverse"), "(-)").otherwise(""), "pred").alias("reaching_property"), name(F.col("pred"), F.col("inverse")).alias("reaching_property_label"), "parent", "path")
     ways = ways.join(labels.select(F.col("node").alias("parent"), F.col("label").alias("parent_label")), "parent", "left")
