@@ -6,10 +6,11 @@ length-normalised difference of its toxic and ordinary log-likelihoods, by words
 over the stretches of ``STRETCHES`` expressions where it is largest; a logistic curve maps these to a score.
 
 * Words are runs of letters and digits, A-Z lower-cased; expressions are told apart by 63-bit hashes. All training rows are
-  counted, and the counts are a stored table that grows with the corpus. What occurs once (``SEEN``) is no evidence, and
-  neither is what makes up less than ``LEAST_SHARE`` of either class: of words and of pairs at most 1 / ``LEAST_SHARE`` have
-  more in a class, so at most 4 / ``LEAST_SHARE`` rows (16 bytes each) are broadcast at any size. With another share, a table
-  of more than ``TABLE_ROWS`` rows isn't broadcast; each text's rows of it are joined to the text.
+  counted, and the counts are a stored table that grows with the corpus. What no class has twice (``SEEN``) is no evidence; all
+  else counts, at any size. A table of up to ``TABLE_ROWS`` rows (16 bytes each) is broadcast. Of a larger one those rows are that
+  make up ``LEAST_SHARE`` of a class or more (of words and of pairs at most 1 / ``LEAST_SHARE`` do in a class, so at most
+  4 / ``LEAST_SHARE`` rows at any size), and each text's rows of the rest are joined to the text. A bitmap of the rest's keys
+  spares most questions after keys that it doesn't have; a bit too many costs work, never results.
 * A null or empty text has no words: its evidence is 0. Repeated rows count as often as they occur.
 * Null labels are ignored. Without training rows of both classes every score is 0.
 * The curve is fitted on at most ``CURVE_ROWS`` training rows, the first by hash, each with its own counts taken off. If they
@@ -37,6 +38,8 @@ FIXED_CURVE = (-7.0, 1.0, 1.0, 1.5, 0.0, 0.0, 0.0)
 #: Expressions that a task counts before it hands them on.
 HELD = 1 << 22
 LEADING = 23
+#: Leading bits of the keys of the rows that aren't broadcast: a bitmap of 8 MB, whatever the corpus.
+ASKED_BITS = 26
 
 
 def expressions(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +81,13 @@ class Model:
         leading[keys >> np.uint64(64 - LEADING)] = True
         return cls(keys[order], np.column_stack((toxic, ordinary))[order].astype(np.float32), leading, totals)
 
+    def has(self, asked: np.ndarray) -> np.ndarray:
+        out = self.leading[asked >> np.uint64(64 - LEADING)]
+        there = np.flatnonzero(out)
+        if len(there):
+            out[there] = self.keys[np.minimum(np.searchsorted(self.keys, asked[there]), len(self.keys) - 1)] == asked[there]
+        return out
+
     def terms(self, asked: np.ndarray, kind: int, bounds: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Each expression's part of the difference; 0 for those seen too seldom. ``own``: the texts' classes, to take their own counts off."""
         out = np.zeros(len(asked))
@@ -99,14 +109,19 @@ class Model:
         out[there] = np.where(counts.sum(axis=1) >= SEEN, values, 0)
         return out
 
-    def evidence(self, found: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
-        """Six numbers a text: the mean difference of words, then of pairs, over all the text and over its most toxic stretches."""
+    def evidence(self, found: list[bytes], own: np.ndarray | None = None, rest: Model | None = None) -> np.ndarray:
+        """Six numbers a text: the mean difference of words, then of pairs, over all the text and over its most toxic stretches.
+
+        ``rest``: further rows of the table, with other keys.
+        """
         word, pair, bounds = expressions(found)
         counts = np.diff(bounds)
         full = np.flatnonzero(counts > 0)
         out = np.zeros((len(found), 2 * (1 + len(STRETCHES))))
         for kind, keys in enumerate((word, pair)):
             terms = self.terms(keys, kind, bounds, own)
+            if rest is not None:
+                terms += rest.terms(keys, kind, bounds, own)
             sums = np.concatenate(([0.0], np.cumsum(terms)))
             whole = (sums[bounds[1:]] - sums[bounds[:-1]])[full] / counts[full]
             first = kind * (1 + len(STRETCHES))
@@ -123,12 +138,19 @@ class Model:
 
 @dataclass
 class Fitted:
-    """The stored table (key, toxic, ordinary), the totals, the curve, and the table in memory if it is small enough."""
+    """The stored table (key, toxic, ordinary), the totals, the curve, what of the table is in memory, and what isn't.
+
+    Without a model in memory the whole table is joined to the texts; without a rest the model has all of it.
+    """
 
     table: DataFrame
     totals: tuple[tuple[float, ...], tuple[float, ...]]
     curve: np.ndarray
     model: Model | None
+    rest: DataFrame | None = None
+
+    def joined(self) -> DataFrame | None:
+        return self.table if self.model is None else self.rest
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,7 +200,7 @@ def expression_counts(rows: DataFrame) -> DataFrame:
 def fit_counts(rows: DataFrame, least_share: float = LEAST_SHARE) -> Fitted | None:
     """The two classes' models from (doc_id, text, toxic), without a curve yet; None unless both classes have words.
 
-    One pass over the counts gives the totals of all of them and stores what occurs ``SEEN`` times and more.
+    One pass over the counts gives the totals of all of them and stores what occurs ``SEEN`` times and more in a class.
     """
     totals_of = []
     for kind in (0, 1):
@@ -188,21 +210,23 @@ def fit_counts(rows: DataFrame, least_share: float = LEAST_SHARE) -> Fitted | No
             totals_of.append(F.sum(F.when(own, F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))).alias(f"saved_{c}{kind}"))
             totals_of.append(F.count_if(own & (F.col(c) > 0)).alias(f"kinds_{c}{kind}"))
     seen = Observation()
-    table = materialize(expression_counts(rows).observe(seen, *totals_of).filter(f"toxic + ordinary >= {SEEN}"), "expressions")
+    table = materialize(expression_counts(rows).observe(seen, *totals_of).filter(f"toxic >= {SEEN} OR ordinary >= {SEEN}"), "expressions")
     found = {k: float(v or 0) for k, v in seen.get.items()}
     totals = tuple((found[f"toxic{k}"], found[f"ordinary{k}"], found[f"saved_toxic{k}"], found[f"saved_ordinary{k}"], found[f"kinds_toxic{k}"] + found[f"kinds_ordinary{k}"]) for k in (0, 1))
     if not totals[0][0] or not totals[0][1]:
         return None
     kind = F.col("key").bitwiseAND(F.lit(1))
     of = lambda i: F.when(kind == 0, F.lit(totals[0][i])).otherwise(F.lit(totals[1][i]))
-    table = table.filter((F.col("toxic") >= least_share * of(0)) & (F.col("toxic") >= SEEN) | (F.col("ordinary") >= least_share * of(1)) & (F.col("ordinary") >= SEEN)) if least_share else table
+    frequent = (F.col("toxic") >= least_share * of(0)) | (F.col("ordinary") >= least_share * of(1))
+    small = table.count() <= TABLE_ROWS
+    held, rest = (table, None) if small else (table.filter(frequent), table.filter(~frequent))
     model = None
-    if table.count() <= TABLE_ROWS:
-        got = table.toArrow()
+    if small or held.count() <= TABLE_ROWS:
+        got = held.toArrow()
         model = Model.of(*(got.column(i).to_numpy() for i in range(3)), totals)
         del got
         release_memory()
-    return Fitted(table, totals, np.array(FIXED_CURVE), model)
+    return Fitted(table, totals, np.array(FIXED_CURVE), model, rest)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -222,16 +246,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _bitmap(table: DataFrame) -> np.ndarray:
+    """A bit for each value of a key's ``ASKED_BITS`` leading bits: set if the table has such a key. Of fixed size."""
+    word, bit = F.shiftrightunsigned("key", 64 - ASKED_BITS + 6), F.shiftrightunsigned("key", 64 - ASKED_BITS).bitwiseAND(F.lit(63)).cast("int")
+    got = table.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    out = np.zeros(1 << (ASKED_BITS - 6), np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
 def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
     """(doc_id, unit, toxic, evidence) of rows (doc_id, text, toxic); a text's own counts are taken off where toxic isn't null.
 
-    ``unit`` is the text's hash. With a table that is too large to broadcast, each text is joined with the table's rows of
-    its own words and pairs.
+    ``unit`` is the text's hash. What of the table isn't broadcast is joined: each text gets its own words' and pairs' rows.
     """
-    spark, totals = rows.sparkSession, fitted.totals
+    spark, totals, rest = rows.sparkSession, fitted.totals, fitted.joined()
     bounded_batches(spark)
     rows = rows.select("doc_id", "text", "toxic", F.xxhash64("text").alias("unit"))
     schema = "doc_id long, unit long, toxic int, evidence array<double>"
+    empty = np.empty(0, np.int64)
+    handle = spark.sparkContext.broadcast(fitted.model or Model.of(empty, empty, empty, totals))
 
     def out(batch: pa.RecordBatch, at: int, n: int, values: np.ndarray) -> pa.RecordBatch:
         own = batch.slice(at, n)
@@ -241,8 +275,7 @@ def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
         own = batch.column(2).slice(at, n)
         return None if own.null_count else own.to_numpy()
 
-    if fitted.model is not None:
-        handle = spark.sparkContext.broadcast(fitted.model)
+    if rest is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,29 +286,40 @@ def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
         return rows.mapInArrow(frugal(run), schema)
 
+    bitmap = spark.sparkContext.broadcast(_bitmap(rest))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))  # rows with one hash would get each other's keys, which changes nothing
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, found in chunks(batch):
                 word, pair, bounds = expressions(found)
-                text = np.tile(np.repeat(np.arange(at, at + len(ids), dtype=np.uint64), np.diff(bounds)), 2)
-                one = np.unique(np.column_stack((text, np.concatenate((word, pair)))), axis=0)
-                keep = batch.select([0, 3]).take(pa.array(one[:, 0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(one[:, 1].copy().view(np.int64))], names=["doc_id", "unit", "key"])
+                keys, text = np.concatenate((word, pair)), np.tile(np.repeat(np.arange(len(ids)), np.diff(bounds)), 2)
+                lead = keys >> np.uint64(64 - ASKED_BITS)
+                maybe = (bitmap.value[lead >> np.uint64(6)] >> (lead & np.uint64(63))) & np.uint64(1) == 1
+                keys, text = keys[maybe], text[maybe]
+                keep = ~handle.value.has(keys)
+                keys, text = keys[keep], text[keep]
+                order = np.lexsort((keys, text))
+                keys, text = keys[order], text[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+                own = batch.column(2).slice(at, len(ids)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(own[text[new]]), pa.array(keys[new].view(np.int64))], names=["row", "key"])
                 at += len(ids)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, found in chunks(batch):
-                for i, x in enumerate(found):
-                    own = np.array([(r["key"], r["toxic"], r["ordinary"]) for r in batch.column(4)[at + i].as_py() or ()], np.int64).reshape(-1, 3)
-                    yield out(batch, at + i, 1, Model.of(*(own[:, k].copy() for k in range(3)), totals).evidence([x], classes(batch, at + i, 1)))
+                met = batch.column(4).slice(at, len(ids)).flatten()
+                key, toxic, ordinary = (met.field(i).to_numpy() for i in range(3))
+                key, first = np.unique(key, return_index=True)
+                yield out(batch, at, len(ids), handle.value.evidence(found, classes(batch, at, len(ids)), Model.of(key, toxic[first], ordinary[first], totals)))
                 at += len(ids)
 
-    met = rows.mapInArrow(frugal(asked), "doc_id long, unit long, key long").join(fitted.table, "key")
-    met = met.groupBy("doc_id", "unit").agg(F.collect_set(F.struct("key", "toxic", "ordinary")).alias("own"))
-    return rows.join(met, ["doc_id", "unit"], "left").select("doc_id", "text", "toxic", "unit", "own").mapInArrow(frugal(joined), schema)
+    met = rows.select("doc_id", "text", "row").mapInArrow(frugal(asked), "row long, key long").join(rest, "key").groupBy("row").agg(F.collect_list(F.struct("key", "toxic", "ordinary")).alias("own"))
+    return rows.join(met, "row", "left").select("doc_id", "text", "toxic", "unit", "own").mapInArrow(frugal(joined), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, least_share: float = LEAST_SHARE) -> Fitted | None:
@@ -317,7 +361,7 @@ def keep_ordinary(docs: DataFrame, fitted: Fitted | None, threshold: float = 0.5
     if fitted is None:
         return docs
     spark, at = docs.sparkSession, docs.columns.index("text")
-    if fitted.model is None:
+    if fitted.joined() is not None:
         unit = free_name(docs, "unit")
         toxic = _scored(texts(docs), fitted).filter(F.col("score") >= threshold).select("unit").distinct()
         own = docs.withColumn(unit, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))

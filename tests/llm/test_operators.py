@@ -322,6 +322,23 @@ def test_toxicity_evidence_is_a_difference_of_kneser_ney_models(spark):
     assert again.model is None and np.allclose(again.curve, fitted.curve)
 
 
+def test_toxicity_counts_seldom_expressions_at_any_size(spark, monkeypatch):
+    """What is too much for a broadcast is joined: all of the table counts, as if it were in memory."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice([f"w{r.randrange(400)}", "e", "f", f"vile{r.randrange(60)}" if i % 3 == 0 else "g"]) for _ in range(r.choice([0, 1, 3, 9, 40]))), int(i % 3 == 0)) for i in range(150)]
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(3, rows[3][1]), (None, rows[6][1]), (900, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    whole = toxicity.fit(docs, marks)
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", whole.table.count() - 1)
+    parted = toxicity.fit(docs, marks, least_share=0.01)
+    assert whole.rest is None and 0 < len(parted.model.keys) < parted.table.count() == len(whole.model.keys)
+    assert np.allclose(parted.curve, whole.curve)
+    scores = lambda m: sorted((x.doc_id or -1, round(x.score, 9)) for x in toxicity.score(docs, m).collect())
+    assert scores(parted) == scores(whole) and len({x for _, x in scores(whole)}) > 50
+    kept = lambda m: sorted((x.doc_id or -1, x.text or "") for x in toxicity.keep_ordinary(docs, m).collect())
+    assert kept(parted) == kept(whole)
+
+
 def test_warc_archives(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb"
     rows = [(5, "http://a", "same", 1), (3, "http://b", "same", 2), (9, None, "same", 3), (4, "http://c", tricky, 4), (6, "http://d", None, 5), (7, "x\r\ny", "", 6), (8, "u", "ü" * 70_000, 7), (8, "u", "ü" * 70_000, 7), (8, "v", "other text", 9)]
