@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, bounded_batches, chunks, free_name, frugal, hot_join, materialize, mix, shingles, word_hashes
+from .common import BROADCAST_IDS, bounded_batches, chunks, free_name, frugal, hot_join, materialize, materialize_by, mix, shingles, word_hashes
 
 LEAST, WIDTH, KEY = 50, 5, 12
 #: Words that an edit takes at most.
@@ -188,14 +188,23 @@ class Shape:
 def shared_places(own: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(unit, doc_id, places) of all windows under keys of two documents or more: of keys of up to ``hot`` places, and of the others."""
     keys = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    met = materialize(own.join(keys.select("key", (F.col("n") > hot).alias("hot")), "key").select("unit", "doc_id", "place", "hot").groupBy("unit", "doc_id", "hot").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    met = own.join(keys.select("key", (F.col("n") > hot).alias("hot")), "key").select("unit", "doc_id", "place", "hot")
+    met = materialize_by(met, "places", "unit", lambda x: x.groupBy("unit", "doc_id", "hot").agg(F.sort_array(F.collect_set("place")).alias("places")))
     return met.filter("NOT hot").drop("hot"), met.filter("hot").drop("hot")
 
 
-def contexts(docs: DataFrame, places: DataFrame, shape: Shape) -> DataFrame:
-    """(key, doc_id, unit, place, around): a byte of each word's hash about the places; 0 outside of the text."""
+def stored_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, unit) of the texts among ``wanted`` (doc_id, unit), each once, stored in buckets of ``unit``: they are shuffled here alone."""
+    return materialize_by(units_of(docs, wanted), "texts", "unit", lambda x: x.dropDuplicates(["unit"]))
+
+
+def contexts(docs: DataFrame, places: DataFrame, shape: Shape, stored: DataFrame | None = None) -> DataFrame:
+    """(key, doc_id, unit, place, around): a byte of each word's hash about the places; 0 outside of the text.
+
+    ``stored``: the texts by ``stored_texts``; else those of ``docs``, whose copies have their contexts too.
+    """
     bounded_batches(docs.sparkSession)
-    joined = units_of(docs, places).join(places, ["doc_id", "unit"])
+    joined = units_of(docs, places).join(places, ["doc_id", "unit"]) if stored is None else stored.join(places.drop("doc_id"), "unit")
     about = np.arange(-shape.reach, shape.size + shape.reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,12 +464,10 @@ def repeated_spans(first: np.ndarray, tokens: np.ndarray, least: int, percent: i
     return out
 
 
-def verify(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
-    """(unit, doc_id, first_id, start_word, end_word): what the pairs' (first_unit, unit) texts repeat. ``owners``: (unit, doc_id)."""
-    bounded_batches(docs.sparkSession)
+def verify(pairs: DataFrame, found: DataFrame, least: int = LEAST, percent: int = 75) -> DataFrame:
+    """(unit, doc_id, first_id, start_word, end_word): what the pairs' (first_unit, unit) texts repeat. ``found``: the texts by ``stored_texts``."""
+    bounded_batches(found.sparkSession)
     pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("first_unit", "unit")).alias("unit")).distinct().join(owners, "unit"), "wanted")
-    found = materialize(units_of(docs, wanted).dropDuplicates(["unit"]), "texts")
     first = found.select(F.col("unit").alias("first_unit"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
     both = pairs.join(found, "unit").join(first, "first_unit")
 
@@ -485,11 +492,11 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = 75, hot: int = H
     """(doc_id, unit, start_word, end_word, first_id): merged spans of each document's text, and the least document that has one."""
     shape, copied = Shape(least, percent), copies(docs)
     cold, crowded = shared_places(windows(docs, least, percent, copied), hot)
-    pairs = candidates(contexts(docs, cold, shape), shape)
+    stored = stored_texts(docs, cold.select("unit", "doc_id").unionByName(crowded.select("unit", "doc_id")))
+    pairs = candidates(contexts(docs, cold, shape, stored), shape)
     if crowded.limit(1).count():
-        pairs = pairs.unionByName(hot_candidates(contexts(docs, crowded, shape), shape)).distinct()
-    owners = cold.select("unit", "doc_id").unionByName(crowded.select("unit", "doc_id")).distinct()
-    spans = verify(pairs, owners, docs, least, percent)
+        pairs = pairs.unionByName(hot_candidates(contexts(docs, crowded, shape, stored), shape)).distinct()
+    spans = verify(pairs, stored, least, percent)
     own = Window.partitionBy("unit").orderBy("start_word", "end_word")
     past = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", (past.isNull() | (F.col("start_word") >= past)).cast("int"))

@@ -339,6 +339,18 @@ def test_toxicity_counts_seldom_expressions_at_any_size(spark, monkeypatch):
     assert kept(parted) == kept(whole)
 
 
+def test_texts_of_passages_are_shuffled_once(spark):
+    docs = _template_table(spark, 40)
+    docs = docs.unionByName(docs.limit(3))
+    shape = passages.Shape(50, 75)
+    cold, _ = passages.shared_places(passages.windows(docs))
+    stored = passages.stored_texts(docs, cold)
+    assert stored.count() == stored.select("unit").distinct().count() == cold.count() > 0
+    around = passages.contexts(docs, cold, shape, stored)
+    assert "hashpartitioning" not in around._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in around.collect()} == {tuple(x) for x in passages.contexts(docs, cold, shape).collect()}
+
+
 def test_warc_archives(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb"
     rows = [(5, "http://a", "same", 1), (3, "http://b", "same", 2), (9, None, "same", 3), (4, "http://c", tricky, 4), (6, "http://d", None, 5), (7, "x\r\ny", "", 6), (8, "u", "ü" * 70_000, 7), (8, "u", "ü" * 70_000, 7), (8, "v", "other text", 9)]
