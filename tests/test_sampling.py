@@ -69,3 +69,12 @@ def test_edge_split_is_the_greedy_pass(spark, seed, fraction):
             degrees.subtract(set(p))
     got = sampling.split_edges(spark.createDataFrame(edges, "src string, pred string, dst string"), fraction, seed).collect()
     assert len(got) == len(edges) and all(x.held_out == (tuple(sorted((x.src, x.dst))) in held) for x in got)
+
+
+def test_pairs_of_blocks_and_shards_come_in_bounded_batches(spark):
+    from arborix.operators import neighbours
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    points = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(60)], "id long, vector array<double>")
+    assert neighbours.nearest(points.selectExpr("id AS query", "vector"), points, 2).count() == 120
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == neighbours.BATCH_BYTES
