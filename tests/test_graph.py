@@ -237,3 +237,29 @@ def test_more_relations_and_branches_than_any_bound(spark):
     assert traverse.two_phase_bfs(edges, seeds, predicates, predicates, decided).filter("depth = 1").count() == n
     branches = spark.range(1_100).selectExpr("concat('b', id) AS branch")
     assert sampling.fold_assignments(branches).count() == 1_100 * 1_099
+
+
+def test_shuffles_are_as_wide_as_the_tables(spark, monkeypatch):
+    from arborix.operators import fixpoint
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(fixpoint, "ROWS_A_TASK", 100)
+    try:
+        fixpoint.widen(spark, spark.range(700), spark.range(500))
+        assert fixpoint.shuffle_width(spark) == 12
+        fixpoint.widen(spark, spark.range(300))  # never lowered
+        assert fixpoint.shuffle_width(spark) == 12
+        assert fixpoint.settle_by(spark.range(50).withColumnRenamed("id", "k"), "k").groupBy("k").count().count() == 50
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_a_seeds_nodes_are_not_held_in_one_task(spark):
+    from arborix.operators import graph
+
+    edges = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("a", "p", "c")], "src string, pred string, dst string")
+    members = spark.createDataFrame([("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("x", "a", None), ("x", "b", 1), ("x", "c", 1)], "seed string, node string, depth int")
+    rows = graph.per_seed_subgraphs(edges, members)
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.seed, r.src, r.dst) for r in rows.collect()} == {("a", "a", "b"), ("a", "a", "c"), ("x", "a", "b"), ("x", "b", "c"), ("x", "a", "c")}
