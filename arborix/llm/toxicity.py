@@ -7,10 +7,10 @@ over the stretches of ``STRETCHES`` expressions where it is largest; a logistic
 
 * Words are runs of letters and digits, A-Z lower-cased; expressions are told apart by 63-bit hashes. All training rows are
   counted, and the counts are a stored table that grows with the corpus. What no class has twice (``SEEN``) is no evidence; all
-  else counts, at any size. A table of up to ``TABLE_ROWS`` rows (16 bytes each) is broadcast. Of a larger one those rows are that
-  make up ``LEAST_SHARE`` of a class or more (of words and of pairs at most 1 / ``LEAST_SHARE`` do in a class, so at most
-  4 / ``LEAST_SHARE`` rows at any size), and each text's rows of the rest are joined to the text. A bitmap of the rest's keys
-  spares most questions after keys that it doesn't have; a bit too many costs work, never results.
+  else counts, at any size. A table of up to ``TABLE_ROWS`` rows (16 bytes each) is broadcast. Of a larger one the most frequent
+  rows are, at most ``FREQUENT_ROWS``, and each text's rows of the rest are joined to the text. A bitmap of the rest's keys
+  spares most questions after keys that it doesn't have; a bit too many costs work, never results. The texts are joined in
+  ``PARTS`` parts, one after another, each of which stores its evidence and gives its shuffles' disk back.
 * A null or empty text has no words: its evidence is 0. Repeated rows count as often as they occur.
 * Null labels are ignored. Without training rows of both classes every score is 0.
 * The curve is fitted on at most ``CURVE_ROWS`` training rows, the first by hash, each with its own counts taken off. If they
@@ -27,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bounded_batches, chunks, free_name, frugal, materialize, mix, release_memory, texts, word_hashes
+from .common import BROADCAST_IDS, NOT_ALNUM, bounded_batches, chunks, free_name, frugal, materialize, materialize_parts, mix, release_memory, texts, word_hashes
 
 #: Rows for the logistic curve at most; labels up to which the label side of the join is broadcast (16 bytes each).
 CURVE_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
-LEAST_SHARE, TABLE_ROWS = 1e-6, 4_000_000
+#: Rows of a whole table in memory at most, and of a larger one's most frequent rows (beside them tasks hold what is joined).
+TABLE_ROWS, FREQUENT_ROWS = 4_000_000, 1_000_000
+#: Parts in which texts are joined to the rest, and bytes of text that a task then takes at once.
+PARTS, JOINED_BYTES = 4, 1 << 20
 DISCOUNT, STRETCHES, SEEN = 0.9, (1, 4), 2
 #: The bias, and a weight for each number of the evidence.
 FIXED_CURVE = (-7.0, 1.0, 1.0, 1.5, 0.0, 0.0, 0.0)
@@ -197,10 +200,24 @@ def expression_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(F.sum(F.shiftright("both", 32)).alias("toxic"), F.sum(F.col("both").bitwiseAND(F.lit((1 << 32) - 1))).alias("ordinary"))
 
 
-def fit_counts(rows: DataFrame, least_share: float = LEAST_SHARE) -> Fitted | None:
+def _least_held(table: DataFrame) -> int:
+    """The least number of times from which on expressions are at most ``FREQUENT_ROWS``; a power of 2 above 1,024."""
+    n = F.col("toxic") + F.col("ordinary")
+    sizes = table.groupBy(F.when(n < 1024, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n)))).cast("long").alias("least")).count().orderBy(F.desc("least")).collect()
+    least, total = 1 << 62, 0
+    for size in sizes:
+        total += size["count"]
+        if total > min(TABLE_ROWS, FREQUENT_ROWS):
+            break
+        least = size["least"]
+    return least
+
+
+def fit_counts(rows: DataFrame, least_share: float | None = None) -> Fitted | None:
     """The two classes' models from (doc_id, text, toxic), without a curve yet; None unless both classes have words.
 
     One pass over the counts gives the totals of all of them and stores what occurs ``SEEN`` times and more in a class.
+    ``least_share``: of a table that is too large for memory, hold what makes up this share of a class; by default, what there is room for.
     """
     totals_of = []
     for kind in (0, 1):
@@ -210,18 +227,21 @@ def fit_counts(rows: DataFrame, least_share: float = LEAST_SHARE) -> Fitted | No
             totals_of.append(F.sum(F.when(own, F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))).alias(f"saved_{c}{kind}"))
             totals_of.append(F.count_if(own & (F.col(c) > 0)).alias(f"kinds_{c}{kind}"))
     seen = Observation()
-    table = materialize(expression_counts(rows).observe(seen, *totals_of).filter(f"toxic >= {SEEN} OR ordinary >= {SEEN}"), "expressions")
+    table = materialize_parts([expression_counts(rows).observe(seen, *totals_of).filter(f"toxic >= {SEEN} OR ordinary >= {SEEN}")], "expressions")
     found = {k: float(v or 0) for k, v in seen.get.items()}
     totals = tuple((found[f"toxic{k}"], found[f"ordinary{k}"], found[f"saved_toxic{k}"], found[f"saved_ordinary{k}"], found[f"kinds_toxic{k}"] + found[f"kinds_ordinary{k}"]) for k in (0, 1))
     if not totals[0][0] or not totals[0][1]:
         return None
-    kind = F.col("key").bitwiseAND(F.lit(1))
-    of = lambda i: F.when(kind == 0, F.lit(totals[0][i])).otherwise(F.lit(totals[1][i]))
-    frequent = (F.col("toxic") >= least_share * of(0)) | (F.col("ordinary") >= least_share * of(1))
     small = table.count() <= TABLE_ROWS
-    held, rest = (table, None) if small else (table.filter(frequent), table.filter(~frequent))
+    if small:
+        held, rest = table, None
+    else:
+        kind = F.col("key").bitwiseAND(F.lit(1))
+        of = lambda i: F.when(kind == 0, F.lit(totals[0][i])).otherwise(F.lit(totals[1][i]))
+        frequent = F.col("toxic") + F.col("ordinary") >= _least_held(table) if least_share is None else (F.col("toxic") >= least_share * of(0)) | (F.col("ordinary") >= least_share * of(1))
+        held, rest = table.filter(frequent), table.filter(~frequent)
     model = None
-    if small or held.count() <= TABLE_ROWS:
+    if small or 0 < held.count() <= TABLE_ROWS:
         got = held.toArrow()
         model = Model.of(*(got.column(i).to_numpy() for i in range(3)), totals)
         del got
@@ -255,10 +275,11 @@ def _bitmap(table: DataFrame) -> np.ndarray:
     return out
 
 
-def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
+def evidence(rows: DataFrame, fitted: Fitted, parts: int = PARTS) -> DataFrame:
     """(doc_id, unit, toxic, evidence) of rows (doc_id, text, toxic); a text's own counts are taken off where toxic isn't null.
 
-    ``unit`` is the text's hash. What of the table isn't broadcast is joined: each text gets its own words' and pairs' rows.
+    ``unit`` is the text's hash. What of the table isn't broadcast is joined: each text gets its own words' and pairs' rows. This
+    is a stored table then, made in ``parts``.
     """
     spark, totals, rest = rows.sparkSession, fitted.totals, fitted.joined()
     bounded_batches(spark)
@@ -292,7 +313,7 @@ def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, found in chunks(batch):
+            for ids, found in chunks(batch, JOINED_BYTES):
                 word, pair, bounds = expressions(found)
                 keys, text = np.concatenate((word, pair)), np.tile(np.repeat(np.arange(len(ids)), np.diff(bounds)), 2)
                 lead = keys >> np.uint64(64 - ASKED_BITS)
@@ -311,18 +332,25 @@ def evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, found in chunks(batch):
+            for ids, found in chunks(batch, JOINED_BYTES):
                 met = batch.column(4).slice(at, len(ids)).flatten()
                 key, toxic, ordinary = (met.field(i).to_numpy() for i in range(3))
                 key, first = np.unique(key, return_index=True)
                 yield out(batch, at, len(ids), handle.value.evidence(found, classes(batch, at, len(ids)), Model.of(key, toxic[first], ordinary[first], totals)))
                 at += len(ids)
 
-    met = rows.select("doc_id", "text", "row").mapInArrow(frugal(asked), "row long, key long").join(rest, "key").groupBy("row").agg(F.collect_list(F.struct("key", "toxic", "ordinary")).alias("own"))
-    return rows.join(met, "row", "left").select("doc_id", "text", "toxic", "unit", "own").mapInArrow(frugal(joined), schema)
+    def part(i: int) -> DataFrame:
+        mine = rows.filter(F.pmod("row", F.lit(parts)) == i)
+        met = mine.select("doc_id", "text", "row").mapInArrow(frugal(asked), "row long, key long").join(rest, "key").groupBy("row").agg(F.collect_list(F.struct("key", "toxic", "ordinary")).alias("own"))
+        return mine.join(met, "row", "left").select("doc_id", "text", "toxic", "unit", "own").mapInArrow(frugal(joined), schema)
+
+    found_all = materialize_parts([part(i) for i in range(parts)], "evidence")
+    for used in (handle, bitmap):
+        used.unpersist()
+    return found_all
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, least_share: float = LEAST_SHARE) -> Fitted | None:
+def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, least_share: float | None = None) -> Fitted | None:
     """Models of the labelled rows for which ``training`` (of doc_id) holds, all by default, and their curve."""
     rows = _labelled(docs, labels)
     if training is not None:
@@ -333,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, leas
     n = rows.count()
     # about as many rows by a hash as the curve takes, then exactly so many
     some = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * CURVE_ROWS / max(1, n)) + 1))
-    got = evidence(some, fitted).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "unit").limit(CURVE_ROWS).toArrow()
+    got = evidence(some, fitted, parts=1).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "unit").limit(CURVE_ROWS).toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         return replace(fitted, curve=_logistic(np.array(got.column("evidence").to_pylist()), y))
@@ -363,9 +391,9 @@ def keep_ordinary(docs: DataFrame, fitted: Fitted | None, threshold: float = 0.5
     spark, at = docs.sparkSession, docs.columns.index("text")
     if fitted.joined() is not None:
         unit = free_name(docs, "unit")
-        toxic = _scored(texts(docs), fitted).filter(F.col("score") >= threshold).select("unit").distinct()
+        toxic = materialize(_scored(texts(docs), fitted).filter(F.col("score") >= threshold).select(F.col("unit").alias(unit)).distinct(), "toxic")
         own = docs.withColumn(unit, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-        return own.join(toxic.withColumnRenamed("unit", unit), unit, "left_anti").select(*docs.columns)
+        return own.join(F.broadcast(toxic) if toxic.count() <= BROADCAST_IDS else toxic, unit, "left_anti").select(*docs.columns)
     bounded_batches(spark)
     handle, curve = spark.sparkContext.broadcast(fitted.model), fitted.curve
 

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -339,6 +341,29 @@ def test_toxicity_counts_seldom_expressions_at_any_size(spark, monkeypatch):
     assert kept(parted) == kept(whole)
 
 
+def test_toxicity_gives_its_shuffles_back_part_by_part(spark, monkeypatch):
+    """The most frequent rows stay in memory, the rest is joined in parts that leave no shuffle on disk; the evidence is that of all in memory."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97} " + ("vile" if i % 4 == 0 else "mild") for k in range(20))) for i in range(200)] + [(None, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "CAST(NULL AS int) AS toxic")
+    found = lambda m: sorted(((x.doc_id or -1, *(round(v, 9) for v in x.evidence)) for x in toxicity.evidence(rows, m).collect()))
+    whole = toxicity.fit(docs, marks)
+    expected = found(whole)
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", whole.table.count() // 2)
+    parted = toxicity.fit(docs, marks)
+    assert 0 < len(parted.model.keys) <= toxicity.TABLE_ROWS and len(parted.model.keys) + parted.rest.count() == whole.table.count()
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    on_disk = lambda: {f.split("_")[1] for d in dirs for _, _, names in os.walk(d) for f in names if re.match(r"shuffle_\d+_", f)}
+    before = on_disk()
+    assert found(parted) == expected and len(expected) == 201
+    for _ in range(50):  # files are deleted shortly after
+        left = on_disk() - before
+        if len(left) <= 2:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 2  # of the bitmap, which is of fixed size
+
+
 def test_texts_of_passages_are_shuffled_once(spark):
     docs = _template_table(spark, 40)
     docs = docs.unionByName(docs.limit(3))
