@@ -40,8 +40,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKET_BITS, MAP_BITS = 12, 27
 #: Pointers of a pair above which they are dealt to many buckets, and pointers of a bucket on average.
 HOT, BUCKET = 1 << 20, 1 << 20
-#: Words looked at together; distinct keys that a task gathers before it sends them.
-RUN, GATHER = 1 << 20, 2 << 20
+#: Words looked at together; distinct keys that a task gathers before it sends them; bytes of text that it takes apart at once.
+RUN, GATHER, PORTION = 1 << 20, 1 << 20, 1 << 20
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(10, 14)]] = True
 _PARTING = _PIECE.copy()
@@ -88,12 +88,12 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Tokens]]:
-    """Tokens of a few megabytes of texts of one language at a time."""
+    """Tokens of about ``PORTION`` bytes of texts of one language at a time."""
     for b in batches:
         langs = b.column(0)
         for lang in langs.unique().to_pylist():
             own = b.filter(pa.compute.equal(langs, lang))
-            for _, found in chunks(own):
+            for _, found in chunks(own, PORTION):
                 yield lang, tokens(found, lang)
 
 
@@ -116,6 +116,7 @@ class Counter:
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
             keys, counts = np.unique(keys, return_counts=True)
+            counts = counts.astype(np.int32)  # of one run
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
@@ -124,10 +125,11 @@ class Counter:
         if not self.keys:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts, self.size = [], [], 0
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-        return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+        return keys[first], np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else counts[:0].astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -288,10 +290,22 @@ def merged_pointers(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
         for k in range(rows.shape[1]):
             whole = mix(whole * _STEP + rows[:, k])
     order = np.argsort(whole, kind="stable")
-    rows, whole = rows[order], whole[order]
-    new = np.concatenate(([True], (whole[1:] != whole[:-1]) | (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else np.empty(0, bool)
+    new = np.ones(len(rows), bool)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    for k in range(rows.shape[1]):  # a column at a time: a copy of all rows would double what a task holds
+        column = rows[order, k]
+        new[1:] |= column[1:] != column[:-1]
     first = np.flatnonzero(new)
-    return rows[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], whole[first]
+    counts = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    at = order[first]
+    return rows[at], counts, whole[at]
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and the counts of all parts, which are let go."""
+    rows, counts = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    parts.clear()
+    return rows, counts
 
 
 def _pack(rows: np.ndarray) -> tuple[bytes, bytes]:
@@ -355,7 +369,7 @@ def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, lon
         have, size = {}, 0
 
         def send(lang: str) -> pa.RecordBatch:
-            rows, counts, whole = merged_pointers(*(np.concatenate([x[i] for x in have[lang]]) for i in (0, 1)))
+            rows, counts, whole = merged_pointers(*gathered(have[lang]))
             bucket = bucket_of(rows, whole)
             order = np.lexsort((rows[:, 1], rows[:, 0], bucket))
             rows, counts, bucket = rows[order], counts[order].astype("<u4"), bucket[order]
@@ -379,7 +393,7 @@ def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, lon
         now, have = None, []
 
         def out() -> pa.RecordBatch:
-            rows, counts, _ = merged_pointers(*(np.concatenate([x[i] for x in have]) for i in (0, 1)))
+            rows, counts, _ = merged_pointers(*gathered(have))
             order = np.lexsort(tuple(rows[:, k] for k in reversed(range(longest))))
             rows, counts = rows[order], counts[order]
             with np.errstate(over="ignore"):
@@ -408,7 +422,9 @@ def frequent_phrases(docs: DataFrame, maps: Maps, pointers: int, least: int, lon
 
     sent = _input(docs).mapInArrow(frugal(project), "bucket long, lang string, lengths binary, words binary, counts binary").repartition("bucket").sortWithinPartitions("bucket", "lang")
     grown = sent.mapInArrow(frugal(mine), "lang string, words array<long>, n long")
-    return materialize(grown.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    found = materialize(grown.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    known.unpersist()
+    return found
 
 
 def score(a: str, n: str, l: str, r: str) -> Column:

@@ -80,3 +80,20 @@ def test_scores_pass_64_bits(spark):
 
 def test_query_matches_sql(spark):
     same_as_sql(spark, "op11_collocations", queries.op11_collocations, queries.oracle_sql())
+
+
+def test_merging_pointers_copies_only_what_is_left():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    rows, counts = r.integers(1, 9, (200_000, 5)).astype(np.uint64), np.ones(200_000, np.int64)
+    tracemalloc.start()
+    try:
+        left, sums, _ = collocations.merged_pointers(rows, counts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 1.3 * rows.nbytes
+    assert sums.sum() == 200_000 and len(left) == len(np.unique(rows, axis=0))
+    parts = [(rows[:5], counts[:5]), (rows[5:9], counts[5:9])]
+    assert (collocations.gathered(parts)[0] == rows[:9]).all() and not parts
