@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,26 +47,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def materialize_parts(parts: Sequence[DataFrame], name: str) -> DataFrame:
-    """``materialize`` of all rows of ``parts``, written one after another: each one's shuffles are deleted once it is written.
-
-    A part is executed here and must not be executed elsewhere.
-    """
-    spark = parts[0].sparkSession
-    path, setting = scratch_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def shuffles_given_back(spark: SparkSession) -> Iterator[None]:
+    """Within, each action's shuffles are deleted once it ends. What is executed there must not be executed elsewhere."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, "true")
     try:
-        for part in parts:
-            part.write.mode("append").parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(setting)
         else:
             spark.conf.set(setting, before)
-    out = spark.read.schema(parts[0].schema).parquet(path)
-    out.stored_at = path
-    return out
 
 
 def materialize_by(df: DataFrame, name: str, key: str, within: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:

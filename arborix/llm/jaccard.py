@@ -531,7 +531,7 @@ def links(docs: DataFrame, found: DataFrame, percent: int = 75, width: int = 5)
         if more.limit(1).count():
             first = first.unionByName(more)
             joined = components(first)
-    discard(blocks)
+    discard(blocks, nodes, star)
     return first, joined
 
 

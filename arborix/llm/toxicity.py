@@ -8,9 +8,10 @@ over the stretches of ``STRETCHES`` expressions where it is largest; a logistic
 * Words are runs of letters and digits, A-Z lower-cased; expressions are told apart by 63-bit hashes. All training rows are
   counted, and the counts are a stored table that grows with the corpus. What no class has twice (``SEEN``) is no evidence; all
   else counts, at any size. A table of up to ``TABLE_ROWS`` rows (16 bytes each) is broadcast. Of a larger one the most frequent
-  rows are, at most ``FREQUENT_ROWS``, and each text's rows of the rest are joined to the text. A bitmap of the rest's keys
+  rows are, at most ``FREQUENT_ROWS``, and of the rest what the texts have is joined to them. The table lies in buckets of its
+  keys, so that only keys, what is found and the texts are shuffled, the texts compressed in chunks. A bitmap of the rest's keys
   spares most questions after keys that it doesn't have; a bit too many costs work, never results. The texts are joined in
-  ``PARTS`` parts, one after another, each of which stores its evidence and gives its shuffles' disk back.
+  ``PARTS`` parts, one after another, each of which stores its evidence and gives its disk back.
 * A null or empty text has no words: its evidence is 0. Repeated rows count as often as they occur.
 * Null labels are ignored. Without training rows of both classes every score is 0.
 * The curve is fitted on at most ``CURVE_ROWS`` training rows, the first by hash, each with its own counts taken off. If they
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, NOT_ALNUM, bounded_batches, chunks, free_name, frugal, materialize, materialize_parts, mix, release_memory, texts, word_hashes
+from .common import BROADCAST_IDS, NOT_ALNUM, bounded_batches, chunks, discard, free_name, frugal, materialize, materialize_by, mix, release_memory, scratch_path, shuffles_given_back, texts, word_hashes
 
 #: Rows for the logistic curve at most; labels up to which the label side of the join is broadcast (16 bytes each).
 CURVE_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
 #: Rows of a whole table in memory at most, and of a larger one's most frequent rows (beside them tasks hold what is joined).
-TABLE_ROWS, FREQUENT_ROWS = 4_000_000, 1_000_000
-#: Parts in which texts are joined to the rest, and bytes of text that a task then takes at once.
-PARTS, JOINED_BYTES = 4, 1 << 20
+TABLE_ROWS, FREQUENT_ROWS = 4_000_000, 3_000_000
+#: Parts in which texts are joined to the rest, and bytes of a chunk of texts then.
+PARTS, JOINED_BYTES = 4, 1 << 19
 DISCOUNT, STRETCHES, SEEN = 0.9, (1, 4), 2
 #: The bias, and a weight for each number of the evidence.
 FIXED_CURVE = (-7.0, 1.0, 1.0, 1.5, 0.0, 0.0, 0.0)
@@ -151,10 +152,17 @@ class Fitted:
     curve: np.ndarray
     model: Model | None
     rest: DataFrame | None = None
+    asked: tuple[DataFrame, np.ndarray] | None = None  # a table that was joined, and the bitmap of its keys
 
     def joined(self) -> DataFrame | None:
         return self.table if self.model is None else self.rest
 
+    def bitmap(self) -> np.ndarray:
+        """Of the keys that are joined; made once."""
+        if self.asked is None or self.asked[0] is not self.joined():
+            self.asked = (self.joined(), _bitmap(self.joined()))
+        return self.asked[1]
+
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic): the labels are broadcast if few enough, else both sides are shuffled by id."""
@@ -164,11 +172,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts(docs).join(own, "doc_id")
 
 
-def expression_counts(rows: DataFrame) -> DataFrame:
-    """(key, toxic, ordinary): how often each expression occurs in the texts of either class.
-
-    A task's two counts of an expression travel as one number; they are added up apart from each other.
-    """
+def counted_expressions(rows: DataFrame) -> DataFrame:
+    """(key, both): how often a task has met an expression in the texts of either class, as one number (toxic << 32 | ordinary)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +201,11 @@ def expression_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    counted = rows.select("doc_id", "text", "toxic").mapInArrow(frugal(run), "key long, both long").repartition("key")
+    return rows.select("doc_id", "text", "toxic").mapInArrow(frugal(run), "key long, both long")
+
+
+def expression_counts(counted: DataFrame) -> DataFrame:
+    """(key, toxic, ordinary): how often each expression occurs in the texts of either class; the two are added up apart from each other."""
     return counted.groupBy("key").agg(F.sum(F.shiftright("both", 32)).alias("toxic"), F.sum(F.col("both").bitwiseAND(F.lit((1 << 32) - 1))).alias("ordinary"))
 
 
@@ -227,7 +236,8 @@ def fit_counts(rows: DataFrame, least_share: float | None = None) -> Fitted | No
             totals_of.append(F.sum(F.when(own, F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))).alias(f"saved_{c}{kind}"))
             totals_of.append(F.count_if(own & (F.col(c) > 0)).alias(f"kinds_{c}{kind}"))
     seen = Observation()
-    table = materialize_parts([expression_counts(rows).observe(seen, *totals_of).filter(f"toxic >= {SEEN} OR ordinary >= {SEEN}")], "expressions")
+    with shuffles_given_back(rows.sparkSession):
+        table = materialize_by(counted_expressions(rows), "expressions", "key", lambda x: expression_counts(x).observe(seen, *totals_of).filter(f"toxic >= {SEEN} OR ordinary >= {SEEN}"))
     found = {k: float(v or 0) for k, v in seen.get.items()}
     totals = tuple((found[f"toxic{k}"], found[f"ordinary{k}"], found[f"saved_toxic{k}"], found[f"saved_ordinary{k}"], found[f"kinds_toxic{k}"] + found[f"kinds_ordinary{k}"]) for k in (0, 1))
     if not totals[0][0] or not totals[0][1]:
@@ -307,47 +317,55 @@ def evidence(rows: DataFrame, fitted: Fitted, parts: int = PARTS) -> DataFrame:
 
         return rows.mapInArrow(frugal(run), schema)
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(rest))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))  # rows with one hash would get each other's keys, which changes nothing
+    bitmap = spark.sparkContext.broadcast(fitted.bitmap())
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        pack, chunk = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
             for ids, found in chunks(batch, JOINED_BYTES):
-                word, pair, bounds = expressions(found)
-                keys, text = np.concatenate((word, pair)), np.tile(np.repeat(np.arange(len(ids)), np.diff(bounds)), 2)
+                keys = np.unique(np.concatenate(expressions(found)[:2]))
                 lead = keys >> np.uint64(64 - ASKED_BITS)
                 maybe = (bitmap.value[lead >> np.uint64(6)] >> (lead & np.uint64(63))) & np.uint64(1) == 1
-                keys, text = keys[maybe], text[maybe]
-                keep = ~handle.value.has(keys)
-                keys, text = keys[keep], text[keep]
-                order = np.lexsort((keys, text))
-                keys, text = keys[order], text[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
-                own = batch.column(2).slice(at, len(ids)).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(own[text[new]]), pa.array(keys[new].view(np.int64))], names=["row", "key"])
+                keys = keys[maybe]
+                keys = keys[~handle.value.has(keys)]
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch.slice(at, len(ids)))
+                asks = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack(sink.getvalue())], pa.binary()), asks], names=["chunk", "texts", "keys"])
+                chunk += 1
                 at += len(ids)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for ids, found in chunks(batch, JOINED_BYTES):
-                met = batch.column(4).slice(at, len(ids)).flatten()
-                key, toxic, ordinary = (met.field(i).to_numpy() for i in range(3))
-                key, first = np.unique(key, return_index=True)
-                yield out(batch, at, len(ids), handle.value.evidence(found, classes(batch, at, len(ids)), Model.of(key, toxic[first], ordinary[first], totals)))
-                at += len(ids)
-
-    def part(i: int) -> DataFrame:
-        mine = rows.filter(F.pmod("row", F.lit(parts)) == i)
-        met = mine.select("doc_id", "text", "row").mapInArrow(frugal(asked), "row long, key long").join(rest, "key").groupBy("row").agg(F.collect_list(F.struct("key", "toxic", "ordinary")).alias("own"))
-        return mine.join(met, "row", "left").select("doc_id", "text", "toxic", "unit", "own").mapInArrow(frugal(joined), schema)
+        import zstandard
 
-    found_all = materialize_parts([part(i) for i in range(parts)], "evidence")
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(batch.num_rows):
+                with pa.ipc.open_stream(unpack(batch.column(0)[i].as_py())) as stream:
+                    own = stream.read_next_batch()
+                met = batch.column(1).slice(i, 1).flatten()
+                key, toxic, ordinary = (met.field(c).to_numpy() for c in range(3))
+                found = own.column(1).cast(pa.binary()).to_pylist()
+                yield out(own, 0, len(found), handle.value.evidence(found, classes(own, 0, len(found)), Model.of(key, toxic, ordinary, totals)))
+
+    at = scratch_path(spark, "evidence")
+    for i in range(parts):
+        mine = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == i) if parts > 1 else rows
+        asks = materialize(mine.mapInArrow(frugal(asked), "chunk long, texts binary, keys array<long>"), "asks")
+        met = asks.select("chunk", F.explode("keys").alias("key")).join(rest, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", "toxic", "ordinary")).alias("own"))
+        with shuffles_given_back(spark):
+            asks.select("chunk", "texts").join(met, "chunk", "left").select("texts", "own").mapInArrow(frugal(joined), schema).write.mode("append").parquet(at)
+        discard(asks)
     for used in (handle, bitmap):
         used.unpersist()
-    return found_all
+    stored = spark.read.schema(schema).parquet(at)
+    stored.stored_at = at
+    return stored
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, least_share: float | None = None) -> Fitted | None:
@@ -368,9 +386,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, leas
     return fitted
 
 
-def _scored(rows: DataFrame, fitted: Fitted) -> DataFrame:
-    """(doc_id, unit, score) of rows (doc_id, text)."""
-    found = evidence(rows.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")), fitted)
+def _by_curve(found: DataFrame, fitted: Fitted) -> DataFrame:
+    """(doc_id, unit, score) of rows of ``evidence``."""
     value = F.lit(float(fitted.curve[0]))
     for i, weight in enumerate(fitted.curve[1:]):
         value = value + F.lit(float(weight)) * F.col("evidence")[i]
@@ -381,7 +398,7 @@ def score(docs: DataFrame, fitted: Fitted | None) -> DataFrame:
     """(doc_id, score) of every row."""
     if fitted is None:
         return texts(docs).select("doc_id", F.lit(0.0).alias("score"))
-    return _scored(texts(docs), fitted).select("doc_id", "score")
+    return _by_curve(evidence(texts(docs).withColumn("toxic", F.lit(None).cast("int")), fitted), fitted).select("doc_id", "score")
 
 
 def keep_ordinary(docs: DataFrame, fitted: Fitted | None, threshold: float = 0.5) -> DataFrame:
@@ -391,7 +408,9 @@ def keep_ordinary(docs: DataFrame, fitted: Fitted | None, threshold: float = 0.5
     spark, at = docs.sparkSession, docs.columns.index("text")
     if fitted.joined() is not None:
         unit = free_name(docs, "unit")
-        toxic = materialize(_scored(texts(docs), fitted).filter(F.col("score") >= threshold).select(F.col("unit").alias(unit)).distinct(), "toxic")
+        found = evidence(texts(docs).withColumn("toxic", F.lit(None).cast("int")), fitted)
+        toxic = materialize(_by_curve(found, fitted).filter(F.col("score") >= threshold).select(F.col("unit").alias(unit)).distinct(), "toxic")
+        discard(found)
         own = docs.withColumn(unit, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
         return own.join(F.broadcast(toxic) if toxic.count() <= BROADCAST_IDS else toxic, unit, "left_anti").select(*docs.columns)
     bounded_batches(spark)

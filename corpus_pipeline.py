@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm import jaccard, packing, passages, quality, toxicity
-from arborix.llm.common import free_name, materialize, table
+from arborix.llm.common import discard, free_name, materialize, table
 
 TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, fitted on all labelled ones, score below 0.5."""
-    return toxicity.keep_ordinary(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    kept = toxicity.keep_ordinary(docs, fitted)
+    if fitted is not None:
+        discard(fitted.table)  # the rows kept need its model or the toxic texts alone
+    return kept
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

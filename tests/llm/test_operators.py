@@ -341,6 +341,20 @@ def test_toxicity_counts_seldom_expressions_at_any_size(spark, monkeypatch):
     assert kept(parted) == kept(whole)
 
 
+def test_toxicity_joins_a_table_where_it_lies(spark, monkeypatch):
+    """The table of expressions isn't shuffled to the texts; chunks of any number of texts give the evidence of all in memory."""
+    docs = spark.createDataFrame([(i // 2, " ".join(f"w{(i * k) % 89}" for k in range(i % 30)) + " vile" * (i % 3 == 0)) for i in range(120)] + [(5, None), (None, "w1 w2 vile")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = toxicity.fit(docs, marks)
+    assert "Exchange" not in whole.table.groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "CAST(NULL AS int) AS toxic")
+    found = lambda m: sorted((x.doc_id or -1, *(round(v, 9) for v in x.evidence)) for x in toxicity.evidence(rows, m).collect())
+    expected = found(whole)
+    for size in (1, 400, 1 << 19):
+        monkeypatch.setattr(toxicity, "JOINED_BYTES", size)
+        assert found(toxicity.replace(whole, model=None)) == expected and len(expected) == 122
+
+
 def test_toxicity_gives_its_shuffles_back_part_by_part(spark, monkeypatch):
     """The most frequent rows stay in memory, the rest is joined in parts that leave no shuffle on disk; the evidence is that of all in memory."""
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97} " + ("vile" if i % 4 == 0 else "mild") for k in range(20))) for i in range(200)] + [(None, None)], "doc_id long, text string")
