@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, discard, frugal, hot_join, materialize, mix, shingles, texts, texts_of, word_hashes
+from .common import BROADCAST_IDS, bounded_batches, chunks, components, discard, frugal, hot_join, materialize, materialize_by, mix, shingles, texts, texts_of, word_hashes
 
 #: Coordinates of a tree's boxes, and of a stored point at most; nodes joined in one task.
 GROUPS, MOST_GROUPS, BLOCK = 32, 1 << 16, 2000
@@ -431,7 +431,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
     """Those of the stored pairs (a, b) of nodes whose sets are similar enough, stored. ``nodes`` has (set_id, doc_id)."""
     bounded_batches(docs.sparkSession)
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(nodes.select("set_id", "doc_id"), "set_id"), "wanted")
-    found = materialize(texts_of(docs, wanted).join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text"), "texts")
+    own = texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("set_id", "text")
+    found = materialize_by(own, "texts", "set_id", lambda x: x.dropDuplicates(["set_id"]))  # a text is shuffled once, and once more beside its pairs
     both = pairs.join(found.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

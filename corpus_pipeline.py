@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm import jaccard, packing, passages, quality, toxicity
-from arborix.llm.common import discard, free_name, materialize, table
+from arborix.llm.common import BROADCAST_IDS, discard, free_name, materialize, table
 
 TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
 
@@ -36,8 +36,14 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; repeated rows once."""
     found = jaccard.near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    kept = materialize(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("n")).filter("own").select("doc_id", "n"), "kept")
+    of = lambda ids: docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    if kept.count() <= BROADCAST_IDS:  # no text is shuffled but those of repeated ids
+        once, again = (of(F.broadcast(kept.filter(x))) for x in ("n = 1", "n > 1"))
+        rows = once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    else:
+        rows = of(kept).dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

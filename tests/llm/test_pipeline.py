@@ -64,3 +64,19 @@ def test_stages_take_clashing_columns_and_ids_with_several_texts(spark, stage):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names and {x.split("_")[0] for x in names if x.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
+
+
+def test_near_duplicates_shuffle_texts_of_repeated_ids_alone(spark, monkeypatch):
+    """Rows of ids that occur once go through without a grouping by text; what is kept is that of grouping all rows."""
+    words = [" ".join(f"w{(i * k) % 83}" for k in range(20)) for i in range(40)]
+    rows = [(i, x) for i, x in enumerate(words)] + [(50 + i, words[i]) for i in range(5)] + [(7, words[7]), (7, words[9]), (8, None), (8, None), (None, words[1]), (60, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = dict(corpus_pipeline.STAGES)["near duplicates"]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    found = run(spark, docs, SMALL)
+    assert " > 1)" in found._jdf.queryExecution().optimizedPlan().toString()
+    kept = sorted(map(tuple, found.collect()), key=order)
+    ids = [x[0] for x in kept]
+    assert ids.count(7) == 2 and ids.count(8) == 2 and ids.count(None) == 1 and ids.count(60) == 1 and not {50, 51, 52, 53, 54} & set(ids)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, run(spark, docs, SMALL).collect()), key=order) == kept
