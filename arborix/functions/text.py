@@ -18,12 +18,25 @@ def _folds() -> dict[str, str]:
     return {x: x.casefold() for x in every if x.casefold() != x.lower()}
 
 
+@lru_cache
+def _fold_ranges() -> str:
+    """Those characters as ranges of a regular expression, which tests a character against one after the other."""
+    out: list[list[int]] = []
+    for i in sorted(map(ord, _folds())):
+        if out and i == out[-1][1] + 1:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 def casefold(c: Column) -> Column:
     """Unicode's full case folding: lower case, and character by character only where a text has one that folds otherwise."""
     folds = _folds()
     table = F.create_map(*[F.lit(x) for kv in folds.items() for x in kv])
     one = F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], F.lower(x)))
-    return F.when(c.rlike("[" + "".join(folds) + "]"), F.array_join(one, "")).otherwise(F.lower(c))
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_only, F.lower(c)).when(c.rlike(f"[{_fold_ranges()}]"), F.array_join(one, "")).otherwise(F.lower(c))
 
 
 def local_name(c: Column) -> Column:

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,16 @@ def test_case_folding_is_unicode_s(spark):
     assert {r.w: r.f for r in got} == {w: w.casefold() for w in words}
 
 
+def test_every_character_folds(spark):
+    """Each character that folds otherwise, alone and between others; their ranges hold these characters only."""
+    from arborix.functions import text
+
+    words = [w for x in text._folds() for w in (x, f"a{x}B")]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.casefold(F.col("w")).alias("f")).collect()
+    assert {r.w: r.f for r in got} == {w: w.casefold() for w in words}
+    assert {chr(i) for i in range(0x110000) if re.match(f"[{text._fold_ranges()}]", chr(i))} == set(text._folds()) and len(text._fold_ranges()) < 100
+
+
 def test_batches_views_and_thresholds_on_the_command_line(spark, tmp_path):
     from arborix import cli
 

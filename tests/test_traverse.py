@@ -3,7 +3,10 @@
 import random
 from collections import deque
 
+from pyspark.sql import functions as F
+
 from arborix.operators import classify, traverse
+from arborix.plans import driver_graph as g
 
 
 def test_paths_go_by_their_words(spark):
@@ -110,6 +113,32 @@ def test_the_last_writer_stays(spark):
     assert traverse.thesaurus_bfs(pairs, seeds, labels, classify.TableClassifier(verdicts), 1).count() == 5
 
 
+def test_last_writers_of_numbered_nodes(spark):
+    """Repeated links of numbers: names decide the order (order/9 after order/10), and the links are read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    n = lambda kind, key: key * 8 + g.KINDS.index(kind)
+    rows = [(n("customer", 1), n("order", k)) for k in (9, 10, 11)] + [(n("order", k), n("part", p)) for k, p in ((9, 1), (10, 1), (11, 1), (10, 2), (11, 2))]
+    links = spark.createDataFrame((rows + [(b, a) for a, b in rows]) * 2, "src long, dst long").mapInPandas(counted, "src long, dst long")
+    labels = spark.createDataFrame([(n("part", 1), "x"), (n("customer", 1), "c")], "node long, label string")
+    verdicts = spark.createDataFrame([(n("order", k), "INCLUDE", 1.0) for k in (9, 10)] + [(n("order", 11), "EXCLUDE", 1.0)], "node long, classification string, confidence double")
+    seeds = spark.createDataFrame([(n("customer", 1), 0)], "node long, place long")
+    found = traverse.last_writers(links, seeds, labels, classify.TableClassifier(verdicts), name=g.name_of)
+    named = found.select(g.name_of(F.col("node")).alias("node"), "depth", g.name_of(F.col("parent")).alias("parent"), g.relation_of(F.col("parent"), F.col("node")).alias("relation"))
+    assert {tuple(r) for r in named.collect()} == {("customer/1", 0, None, None), *((f"order/{k}", 1, "customer/1", "placed") for k in (9, 10, 11)), ("part/1", 2, "order/9", "contains"), ("part/2", 2, "order/10", "contains")}
+    assert read.value == 4 * len(rows)
+    keys = spark.createDataFrame([(k,) for k in (-9, -1, 0, 7, 1 << 40)], "k long")
+    for kind in g.KINDS:
+        assert all(r.a == r.b for r in keys.select(g.name_of(g.number(kind, "k")).alias("a"), g.node(kind, "k").alias("b")).collect())
+    seen = g.edges(spark, "/root/testdata/sf0.001", g.number).select("pred", g.relation_of(F.col("dst"), F.col("src")).alias("relation"))
+    assert seen.filter("relation IS NULL OR relation <> pred").isEmpty() and {r.pred for r in seen.select("pred").distinct().collect()} == set(g.RELATIONS.values())
+
+
 def test_order_statistics(spark):
     import statistics
 
