@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +41,19 @@ def property_name(pred: Column, inverse: Column, names: dict[str, str] = PROPERT
     return F.when(inverse, F.coalesce(back, F.concat(F.lit("reverse "), plain))).otherwise(plain)
 
 
-def graph_context(rows: DataFrame, edges: DataFrame, labels: DataFrame, names: dict[str, str] = PROPERTY_NAMES, inverse_names: dict[str, str] = INVERSE_NAMES) -> DataFrame:
+def graph_context(rows: DataFrame, edges: DataFrame, labels: DataFrame, names: dict[str, str] = PROPERTY_NAMES, inverse_names: dict[str, str] = INVERSE_NAMES, unlabelled: Callable[[Column], Column] = lambda node: node) -> DataFrame:
     """``rows`` (row_id, seed, node, csv_depth) with depth, reaching property and its name, parent, its label, and the path.
 
     From each seed an ungated traversal in the edges' order (``ord``), which keeps the paths to the rows' nodes. A row that it doesn't reach keeps ``csv_depth``, and
-    the other columns are empty. A node without a label goes by its own name.
+    the other columns are empty. A node without a label goes by its own name, which ``unlabelled`` makes where nodes are numbers.
     """
     name = lambda pred, inverse: property_name(pred, inverse, names, inverse_names)
     asked = settle(rows.select("seed", "node").distinct())
     found = settle(shortest_paths(edges, asked.select(F.col("seed").alias("node")).distinct(), wanted=asked))
-    reached = with_paths(found, labels, name, lambda node: node).filter("depth > 0")
+    reached = with_paths(found, labels, name, unlabelled).filter("depth > 0")
     ways = reached.select("seed", "node", "depth", F.concat(F.when(F.col("inverse"), "(-)").otherwise(""), "pred").alias("reaching_property"), name(F.col("pred"), F.col("inverse")).alias("reaching_property_label"), "parent", "path")
     ways = ways.join(labels.select(F.col("node").alias("parent"), F.col("label").alias("parent_label")), "parent", "left")
-    joined = rows.join(ways.withColumnRenamed("depth", "bfs_depth"), ["seed", "node"], "left")
+    joined = rows.join(ways.withColumnRenamed("depth", "bfs_depth").withColumn("parent", unlabelled(F.col("parent"))), ["seed", "node"], "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     parent_label = F.coalesce("parent_label", "parent", F.lit("")).alias("parent_label")
     return joined.select(*rows.columns, F.coalesce("bfs_depth", F.col("csv_depth").cast("long")).alias("depth"), blank("reaching_property"), blank("reaching_property_label"), blank("parent"), parent_label, blank("path"))

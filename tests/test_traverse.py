@@ -152,3 +152,51 @@ def test_order_statistics(spark):
         if v is not None:
             groups.setdefault(k, []).append(v)
     assert got == {k: (statistics.median(v), sorted(v)[-(-95 * len(v) // 100) - 1]) for k, v in groups.items()}
+
+
+def test_wanted_paths_of_numbered_nodes(spark):
+    """Paths to wanted nodes, from more than 64 seeds, are a queue's; nulls and repeated edges change nothing."""
+    from arborix.operators import context, graph
+
+    r = random.Random(7)
+    number = lambda k: k * 8 + k % len(g.KINDS)
+    name = {number(k): f"{g.KINDS[k % len(g.KINDS)]}/{k}" for k in range(120)}
+    label = {n: r.choice(["Beta", "alpha", "GAMMA", "éa"]) for n in name if r.random() < 0.6}
+    edges = sorted({(r.choice(list(name)), r.choice("pq"), r.choice(list(name))) for _ in range(220)})
+    near = {}
+    for a, p, b in edges:
+        near.setdefault(a, set()).add((b, p, False))
+        near.setdefault(b, set()).add((a, p, True))
+    order = lambda x: (x[0] in label, label.get(x[0], "").casefold(), name[x[0]], x[1], x[2])
+    seeds, expected = list(name)[:80], {}
+    for s in seeds:
+        seen, queue = {s: (0, None, "", name[s] if s not in label else label[s])}, deque([s])
+        while queue:
+            x = queue.popleft()
+            for b, p, back in sorted(near.get(x, ()), key=order):
+                if b not in seen:
+                    word = f"reverse {p}" if back else p
+                    seen[b] = (seen[x][0] + 1, x, f"{'(-)' if back else ''}{p}", f"{seen[x][3]} --{word}--> {label.get(b, name[b])}")
+                    queue.append(b)
+        expected[s] = seen
+    asked = [(f"r{i}", r.choice(seeds), r.choice(list(name)), 99) for i in range(150)] + [("null", seeds[0], None, 99), ("absent", seeds[0], 9999 * 8, 99)]
+    rows = spark.createDataFrame(asked, "row_id string, seed long, node long, csv_depth int")
+    labels = spark.createDataFrame(list(label.items()), "node long, label string")
+    frame = spark.createDataFrame(edges + edges[:40] + [(None, "p", number(1))], "src long, pred string, dst long")
+    found = context.graph_context(rows, graph.numbered_adjacency(frame, labels, g.name_of), labels, {}, {}, g.name_of)
+    got = {x.row_id: (x.depth, x.parent, x.reaching_property, x.path) for x in found.collect()}
+    for i, s, n, _ in asked:
+        depth, parent, prop, path = expected[s].get(n, (0, None, "", ""))
+        assert got[i] == ((depth, name[parent], prop, path) if depth else (99, "", "", "")), i
+
+
+def test_steps_are_those_of_shortest_ways(spark):
+    """From a hub with many neighbours only the steps to what is wanted are kept, and waves end with the last that is wanted."""
+    edges = [("s", "hub", 1)] + [("hub", f"n{i}", i) for i in range(500)] + [(f"n{i}", "far", 1) for i in range(500)] + [("far", "further", 1)]
+    links = spark.createDataFrame(edges, "src string, dst string, ord long")
+    links = traverse.settle_by(links, "src")
+    numbers, roots = traverse._numbered(spark.createDataFrame([("s", "s")], "seed string, node string"))
+    wanted = traverse.settle(traverse._packed(spark.createDataFrame([("s", "n3")], "seed string, node string"), numbers))
+    levels = traverse._waves(links, roots, None, wanted)
+    steps = traverse._towards(links, levels, wanted)
+    assert len(levels) == 3 and [{(x.src, x.dst) for x in s.collect()} for s in steps] == [{("s", "hub")}, {("hub", "n3")}]
